@@ -48,15 +48,16 @@ def _key(words: Column, at: Column, size: int) -> Column:
     return F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(size), *parts))
 
 
-def _probe(docs: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
-    """One row for each word position and token size of a document: pos, key. The outer explode keeps Catalyst
+def _probe(docs: DataFrame, sizes: list[int], keep: list[str], also: bool = False) -> DataFrame:
+    """One row for each word position and token size of a document: pos, key, and with ``also`` all its folded words. The outer explode keeps Catalyst
     from computing the words a second time for a size filter."""
     rows = docs.select(*keep, raw_words(fold(F.col("text"))).alias("lowered"))
     rows = rows.select(*keep, "lowered", F.posexplode_outer("lowered").alias("pos", "word"))
     keys = [_key(F.col("lowered"), F.col("pos"), k) for k in sizes]
+    keep = [*keep, "pos", *["lowered"] * also]
     if len(keys) == 1:
-        return rows.select(*keep, "pos", keys[0].alias("key"))
-    return rows.select(*keep, "pos", F.explode(F.array(*keys)).alias("key"))
+        return rows.select(*keep, keys[0].alias("key"))
+    return rows.select(*keep, F.explode(F.array(*keys)).alias("key"))
 
 
 def _shingles(items: DataFrame, sizes: list[int]) -> DataFrame:
@@ -69,7 +70,9 @@ def _shingles(items: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _anchors(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, words, n, length, at, key, starts): for each window its rarest token, leftmost on ties; ``starts`` are the windows that rest on it."""
+    """(item_id, words, length, at, key, low, high, core): for each window its rarest token, leftmost on ties.
+
+    The windows that rest on a token start at ``low`` to ``high``; ``core`` are the folded words that all of them have."""
     ranked = tokens.join(counts, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     windows = ranked.withColumn(
         "start",
@@ -80,11 +83,12 @@ def _anchors(tokens: DataFrame, counts: DataFrame) -> DataFrame:
             )
         ),
     )
-    item = ["item_id", "words"]
-    best = windows.groupBy(*item, "n", "length", "start").agg(F.min(F.struct("df", "at", "key")).alias("b"))
-    return best.groupBy(*item, "n", "length", F.col("b.at").alias("at"), F.col("b.key").alias("key")).agg(
-        F.array_sort(F.collect_list("start")).alias("starts")
-    )
+    item = ["item_id", "words", "length"]
+    best = windows.groupBy(*item, "start").agg(F.min(F.struct("df", "at", "key")).alias("b"))
+    # the starts of an anchor's windows are consecutive; all of the windows share the words from the last start to the first end
+    anchors = best.groupBy(*item, F.col("b.at").alias("at"), F.col("b.key").alias("key")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    core = F.transform(F.slice("words", F.col("high") + 1, F.col("low") + F.col("length") - F.col("high")), fold)
+    return anchors.withColumn("core", core)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
@@ -117,27 +121,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFram
 
     found = []
     for block in blocks(anchors, rows):
-        hit = (
-            _probe(texts, sizes, ["text"])
-            .join(block, "key")
-            .withColumn("shift", F.col("pos") - F.col("at"))  # where word 0 of the item would stand
-        )
-        # item-sized stretch of the document, in the exact form of its words
-        stretch = hit.withColumn("own", raw_words(ascii_lower(F.col("text")))).where(
-            F.expr("exists(starts, s -> shift + s >= 0 and shift + s + length <= size(own))")
-        )
-        good = F.expr(
-            "filter(starts, s -> shift + s >= 0 and shift + s + length <= size(own)"
-            " and slice(own, greatest(shift + s, 0) + 1, length) = slice(words, s + 1, length))"
-        )
-        found.append(
-            stretch.select(
-                text_key(F.col("text")).alias("key"),
-                "item_id",
-                F.transform(good, lambda s: F.struct((F.col("shift") + s).alias("b"), (F.col("shift") + s + F.col("length")).alias("e"))).alias("spans"),
-            ).where(F.size("spans") > 0)
-        )
-    return union(found).distinct().groupBy("key", "item_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+        # No higher-order function may reach this join: it would take the stage out of generated code, and a row with
+        # its text would be made for each word.
+        shift = F.col("pos") - F.col("at")  # where word 0 of the item would stand
+        core = F.slice("lowered", F.greatest(shift + F.col("high"), F.lit(0)) + 1, F.size("core"))
+        hit = _probe(texts, sizes, ["text"], also=True).join(block, "key").where((shift + F.col("high") >= 0) & (core == F.col("core")))
+        # the windows' stretch of the document in the exact form of its words, from the first place that exists
+        first = F.greatest(shift + F.col("low"), F.lit(0))
+        stretch = F.slice(raw_words(ascii_lower(F.col("text"))), first + 1, shift + F.col("high") + F.col("length") - first)
+        starts = F.sequence("low", "high")
+        spans = F.transform(
+            F.array(stretch),  # evaluated once for all starts
+            lambda part: F.transform(
+                F.filter(
+                    starts,
+                    lambda s: (shift + s >= 0)
+                    & (F.slice(part, F.greatest(shift + s - first, F.lit(0)) + 1, F.col("length")) == F.slice("words", s + 1, F.col("length"))),
+                ),
+                lambda s: F.struct((shift + s).alias("b"), (shift + s + F.col("length")).alias("e")),
+            ),
+        )[0]
+        found.append(hit.select(text_key(F.col("text")).alias("key"), "item_id", spans.alias("spans")))
+    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans"))))
+    return union(found).groupBy("key", "item_id").agg(spans.alias("spans")).where(F.size("spans") > 0)
 
 
 def _covered(spans: Column) -> Column:
