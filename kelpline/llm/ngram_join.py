@@ -38,6 +38,7 @@ MARGIN = 6
 _WORD = re.compile(WORD_RE)
 _LOWER = {i: i + 32 for i in range(65, 91)}
 _CACHE = 500_000
+_hashed: dict[str, int] = {}  # words' hashes, for each worker process
 
 
 def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
@@ -62,12 +63,11 @@ class Signer:
         rng = np.random.default_rng(20240607)
         self.factors = rng.integers(0, 1 << 63, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.weights = rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.known: dict[str, int] = {}
 
     def shingles(self, text: str | None) -> np.ndarray:
         """64-bit hashes of a text's shingles, in order."""
         words = words_of(text)
-        known = self.known
+        known = _hashed
         if len(known) > _CACHE:
             known.clear()
         for w in words:
@@ -83,7 +83,7 @@ class Signer:
         return _mix(h)
 
     def sign(self, texts: list[str | None]) -> list[bytes | None]:
-        """Minimum hashes of each text as bytes; None for texts without words. Long and short texts share the passes."""
+        """The low 16 bits of each text's minimum hashes as bytes; None for texts without words. Texts share the passes."""
         out: list[bytes | None] = [None] * len(texts)
         rows, parts, size = [], [], 0
         for i, t in enumerate(texts):
@@ -102,12 +102,12 @@ class Signer:
     def _sign(self, rows: list[int], parts: list[np.ndarray], out: list[bytes | None]) -> None:
         h = np.concatenate(parts)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        sig = np.empty((len(parts), len(self.factors)), np.uint32)
+        sig = np.empty((len(parts), len(self.factors)), np.uint16)
         buf = np.empty_like(h)
         for k, f in enumerate(self.factors):
             np.multiply(h, f, out=buf)
             np.right_shift(buf, np.uint64(32), out=buf)
-            sig[:, k] = np.minimum.reduceat(buf, starts)
+            sig[:, k] = np.minimum.reduceat(buf, starts) & np.uint64(0xFFFF)
         for i, s in zip(rows, sig):
             out[i] = s.tobytes()
 
@@ -165,7 +165,7 @@ def _likely(threshold: float, values: int):
             if t.num_rows < 2:
                 continue
             ids = t.column("id").to_pylist()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(ids), values)
+            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(ids), values)
             same = np.zeros((len(ids), len(ids)), np.uint16)
             for k in range(values):
                 same += sig[:, k, None] == sig[None, :, k]
@@ -178,10 +178,10 @@ def _likely(threshold: float, values: int):
                     a.append(ids[x])
                     b.append(ids[r])
             if len(a) > 20_000:
-                yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
                 a, b = [], []
         if a:
-            yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -229,12 +229,12 @@ def _exact(threshold: float):
             root = roots(near)
             linked = np.flatnonzero(near.any(1))
             if len(linked):
-                yield pa.record_batch({"id": pa.array([ids[x] for x in linked], pa.binary()), "root": pa.array([ids[root[x]] for x in linked], pa.binary()), "links": pa.array(links[linked], pa.int64())})
+                yield pa.record_batch({"id": pa.array([ids[x] for x in linked], pa.int64()), "root": pa.array([ids[root[x]] for x in linked], pa.int64()), "links": pa.array(links[linked], pa.int64())})
 
     return run
 
 
-def _block_pairs(df: DataFrame, key: str, blocks: str) -> DataFrame:
+def _block_pairs(df: DataFrame, blocks: str) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in: i <= j, and side, its own."""
     own = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
     return (
@@ -251,72 +251,82 @@ def _tasks(spark) -> int:
 
 
 def texts_of(docs: DataFrame, values: int) -> DataFrame:
-    """(id, first, rows, copies, sig): one row for each distinct text. first: its smallest doc_id, rows: rows with that one."""
-    signer = Signer(values)  # pickled empty; a worker's copy keeps the words it has hashed
+    """(id, key, first, copies, size, sig): one row for each distinct text; first is its smallest doc_id, id a number of this table."""
+    signer = Signer(values)
 
     def sign(column: pa.Array) -> pa.Array:
         return pa.array(signer.sign(column.to_pylist()), pa.binary())
 
-    signed = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("id"), F.col("doc_id"), F.arrow_udf(sign, "binary")(F.col("text")).alias("sig"))
-    per_doc = signed.groupBy("id", "doc_id").agg(F.count("*").alias("rows"), F.first("sig").alias("sig"))
-    return per_doc.groupBy("id").agg(
-        F.min("doc_id").alias("first"), F.min_by("rows", F.struct(F.col("doc_id").isNull(), "doc_id")).alias("rows"), F.sum("rows").alias("copies"), F.first("sig").alias("sig")
-    )
+    text = F.coalesce("text", F.lit(""))
+    signed = docs.select(text_key(text).alias("key"), "doc_id", F.octet_length(text).cast("long").alias("size"), F.arrow_udf(sign, "binary")(F.col("text")).alias("sig"))
+    once = signed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("sig").alias("sig"))
+    return once.withColumn("id", F.monotonically_increasing_id())
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """(id, class_id, rep, rows, n_links) for each distinct text: rep is the id of the class's text that holds class_id."""
-    spark = docs.sparkSession
-    depth = prefix_length(threshold, trees, recall)
-    values = trees * depth
-    texts = cut(texts_of(docs.select("doc_id", "text"), values), "texts")
-    signed = texts.where(F.col("sig").isNotNull())
-
-    nodes = [F.xxhash64(F.lit(t), F.substring("sig", t * depth * 4 + 1, depth * 4)) for t in range(trees)]
+def families(texts: DataFrame, threshold: float, trees: int, depth: int) -> DataFrame:
+    """(id, label): texts that the forest and the signatures connect."""
+    signed = texts.where(F.col("sig").isNotNull()).select("id", "sig")
+    width = 2 * depth
+    nodes = [F.xxhash64(F.lit(t), F.substring("sig", t * width + 1, width)) for t in range(trees)]
     places = signed.select("id", F.explode(F.array(*nodes)).alias("node"))
+    shared = places.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # of nodes that hold the same texts one is enough
+    held = cut(places.join(shared.select("node"), "node"), "nodes")
     filled = (
-        places.groupBy("node")
+        held.groupBy("node")
         .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("id").alias("lo"))
-        .where(F.col("n") > 1)
         .groupBy("n", "x", "y", "lo")
         .agg(F.min("node").alias("node"))
         .select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    members = places.join(filled, "node").join(signed.select("id", "sig"), "id")
-    pairs = _block_pairs(members.select("node", "id", "sig", "blocks"), "node", "blocks").select("node", "i", "j", "side", "id", "sig")
-    dealt = pairs.repartition(_tasks(spark), "node", "i", "j").sortWithinPartitions("node", "i", "j")
-    family = cut(components(dealt.mapInArrow(_likely(threshold, values), "a binary, b binary").distinct()), "families")
-
-    own = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("id"), "text").join(family, "id").groupBy("id", "label").agg(F.first("text").alias("text"))
-    sized = family.join(texts.select("id", "copies"), "id")
-    bodies = cut(own.join(sized.select("id", "copies"), "id").select("id", "label", "copies", "text", F.octet_length("text").cast("long").alias("size")), "bodies")
-    blocks = bodies.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    pairs = _block_pairs(bodies.join(blocks, "label").drop("size"), "label", "blocks").select("label", "i", "j", "side", "id", "copies", "text")
-    dealt = pairs.repartition(_tasks(spark), "label", "i", "j").sortWithinPartitions("label", "i", "j")
-    verified = cut(dealt.mapInArrow(_exact(threshold), "id binary, root binary, links long"), "links")
-
-    label = components(verified.select(F.col("id").alias("a"), F.col("root").alias("b"))).select("id", "label")
-    links = verified.groupBy("id").agg(F.sum("links").alias("links"))
-    plain = texts.select("id", "first", "rows", "copies").join(label, "id", "left").join(links, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    full = cut(plain, "classes")
-    rep = full.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "id", "rows")).alias("r"))
-    return full.join(rep, "label").select(
-        "id", F.col("r.first").alias("class_id"), F.col("r.id").alias("rep"), "rows", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    members = held.join(cut(filled, "filled"), "node").join(signed, "id")
+    pairs = _block_pairs(members, "blocks").select("node", "i", "j", "side", "id", "sig")
+    dealt = pairs.repartition(_tasks(texts.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j")
+    return components(dealt.mapInArrow(_likely(threshold, trees * depth), "a long, b long"))
+
+
+def verified_links(docs: DataFrame, texts: DataFrame, family: DataFrame, threshold: float) -> DataFrame:
+    """(id, root, links): for each text its exact links in a block pair of its family, and a text it is connected with there."""
+    known = cut(family.join(texts.select("id", "key", "copies", "size"), "id"), "members")
+    blocks = known.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    narrow = known.join(cut(blocks, "blocks"), "label").drop("size")
+    once = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
+    pairs = _block_pairs(once.join(narrow, "key"), "blocks").select("label", "i", "j", "side", "id", "copies", "text")
+    dealt = pairs.repartition(_tasks(docs.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j")
+    return dealt.mapInArrow(_exact(threshold), "id long, root long, links long")
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+    """(key, class_id, rep, n_links) for each distinct text: rep is the key of the class's text that holds class_id."""
+    depth = prefix_length(threshold, trees, recall)
+    texts = cut(texts_of(docs.select("doc_id", "text"), trees * depth), "texts")
+    family = families(texts, threshold, trees, depth)
+    links = cut(verified_links(docs, texts, family, threshold), "links")
+    label = components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select("id", "label")
+    count = links.groupBy("id").agg(F.sum("links").alias("links"))
+    linked = label.join(count, "id")
+    full = texts.select("id", "key", "first", "copies").join(cut(linked, "linked"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    full = cut(full, "classes")
+    rep = full.groupBy("label").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key")).alias("r"))
+    return full.join(cut(rep, "reps"), "label").select(
+        "key", F.col("r.first").alias("class_id"), F.col("r.key").alias("rep"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
 
 
 def join_near(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """``docs`` with class_id and n_links, which replace same-named columns."""
     k, v = fresh(docs, "key", "class")
-    found = classes(docs, threshold, trees, recall).select(F.col("id").alias(k), F.struct("class_id", "n_links").alias(v))
+    found = cut(classes(docs, threshold, trees, recall), "joined").select(F.col("key").alias(k), F.struct("class_id", "n_links").alias(v))
     return docs.withColumn(k, text_key(F.coalesce("text", F.lit("")))).join(found, k, "left").withColumns({c: F.col(v)[c] for c in ("class_id", "n_links")}).drop(k, v)
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each class of near-duplicates: the one with the smallest doc_id; columns stay. Texts without words are classes by their exact text."""
     k, v = fresh(docs, "key", "class")
-    found = cut(classes(docs, threshold), "kept").where(F.col("id") == F.col("rep")).select(F.col("id").alias(k), F.struct("class_id", "rows").alias(v))
-    kept = docs.withColumn(k, text_key(F.coalesce("text", F.lit("")))).join(found, k).where(F.col("doc_id").eqNullSafe(F.col(v)["class_id"]))
-    if not found.where(F.col(v)["rows"] > 1).isEmpty():  # rows equal in id and text: one of them
+    found = cut(classes(docs, threshold), "kept").where(F.col("key") == F.col("rep")).select(F.col("key").alias(k), F.struct("class_id").alias(v))
+    key = text_key(F.coalesce("text", F.lit("")))
+    kept = docs.withColumn(k, key).join(found, k).where(F.col("doc_id").eqNullSafe(F.col(v)["class_id"]))
+    same = docs.select(key.alias(k), "doc_id").groupBy(k, "doc_id").agg(F.count("*").alias("n"))
+    if not same.where(F.col("n") > 1).isEmpty():  # rows equal in id and text: one of them
         kept = kept.dropDuplicates([k])
     return kept.select(*docs.columns)
