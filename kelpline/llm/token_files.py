@@ -81,6 +81,16 @@ class PartTokenizer:
         return out
 
 
+_tokenizers: dict[str, PartTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> PartTokenizer:
+    """One for each worker process, so that what it remembers outlives a task."""
+    if path not in _tokenizers:
+        _tokenizers[path] = PartTokenizer(path)
+    return _tokenizers[path]
+
+
 def _open(uri: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
@@ -136,7 +146,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, writer, path = PartTokenizer(tokenizer), None, ""
+        tok, writer, path = tokenizer_of(tokenizer), None, ""
         part = TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], tok.kind).tobytes()
         for batch in batches:
