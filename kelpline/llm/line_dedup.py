@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import ascii_lower, fresh
+from kelpline.llm.common import ascii_lower, cut, fresh
 
 #: The white space that a line's key loses at both ends.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -46,7 +46,8 @@ def _reassembled(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFr
     )
     parts = numbered.select(row, rest, F.posexplode(line).alias(pos, line))
     parts = parts.select(row, F.when(F.col(pos) == 0, F.col(rest)).alias(rest), pos, line, _digest(line_key(F.col(line))).alias(digest))
-    dropped = common_lines(docs, min_docs, min_chars).select(F.col("digest").alias(digest), F.lit(True).alias(hot))
+    # as a written table it leaves a plain join, of which a very common line can be split
+    dropped = cut(common_lines(docs, min_docs, min_chars), "common-lines").select(F.col("digest").alias(digest), F.lit(True).alias(hot))
     marked = parts.join(dropped, digest, "left").select(row, rest, F.when(F.col(hot).isNull(), F.struct(pos, line)).alias(line))
     whole = marked.groupBy(row).agg(F.first(rest, ignorenulls=True).alias(rest), F.collect_list(line).alias(line), F.count("*").alias(n))
     kept = F.array_join(F.transform(F.array_sort(line), lambda x: x[line]), "\n")
