@@ -170,11 +170,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         )
         .select(F.col("key").alias(k), F.struct("items", "spans").alias(f"{k}v"))
     )
-    found = docs.withColumn(k, text_key(F.col("text"))).join(per_text, k, "left")
+    # as a written table the texts with hits leave a plain join, of which a digest's many copies can be split
+    counted = docs.withColumns({k: text_key(F.col("text")), "n_words": F.size(raw_words(F.col("text"))).cast("long")})
+    found = counted.join(cut(per_text, "decon-texts"), k, "left")
     v = F.col(f"{k}v")
     none = F.expr("cast(array() as array<struct<b:int,e:int>>)")
     out = {
-        "n_words": F.size(raw_words(F.col("text"))).cast("long"),
         "n_hit": F.coalesce(_covered(v["spans"]), F.lit(0)).cast("long"),
         "items": F.coalesce(v["items"], F.expr("cast(array() as array<string>)")),
         "spans": F.coalesce(v["spans"], none),
@@ -186,5 +187,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their own columns."""
     (k,) = fresh(docs, "key")
-    hit = matches(docs, benchmark, window).select(F.col("key").alias(k)).distinct()
+    hit = cut(matches(docs, benchmark, window).select(F.col("key").alias(k)).distinct(), "decon-texts")
     return docs.withColumn(k, text_key(F.coalesce("text", F.lit("")))).join(hit, k, "left_anti").drop(k)
