@@ -3,8 +3,8 @@
 Method: every n-gram of the trusted texts up to ``ORDER`` is counted (tasks count before the shuffle), lower orders get continuation
 counts, discounts come from the counts of counts, and probabilities are built order by order by joining the
 count tables on n-gram digests. The model is written as digest-sharded, sorted tables to the shared folder; a scoring
-task joins a batch's distinct n-grams with one shard at a time, so it never holds more than the batch and the shards
-it keeps (``KEEP_BYTES``). A document is rejected if its perplexity is above a quantile of the
+task joins a batch's n-grams with one group of shards at a time, and a group has ``KEEP_BYTES`` at most, so a task's memory
+is bounded. A document is rejected if its perplexity is above a quantile of the
 trusted texts' own perplexities in its language.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a language without trusted text, or null, is held against the quantile
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import cut, fresh, shared_dir
 
-ORDER, SHARDS, KEEP_BYTES = 5, 16, 128 << 20
+ORDER, SHARDS, KEEP_BYTES = 4, 16, 128 << 20
 START = 1  # code of the padding before a text
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,43 +43,50 @@ def digests(text: str) -> list[np.ndarray]:
     return out
 
 
-def _grams(text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(n, digest, of the first n - 1, of the last n - 1) of the n-grams that end in the text, not its padding."""
-    d = digests(text)
-    for n in range(1, ORDER + 1):
-        at = np.arange(ORDER - n, ORDER - n + len(text))
-        yield n, d[n][at], d[n - 1][at], d[n - 1][at + 1]
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list[np.ndarray]] = {n: [] for n in range(1, ORDER + 1)}
+    """Counts of the longest n-grams; the shorter ones are their ends, of which lower orders only need that they exist.
+
+    g, c, s: digests of an n-gram, of its first n - 1 characters and of its last n - 1."""
+    fields = [f"g{n}" for n in range(1, ORDER + 1)] + [f"c{n}" for n in range(ORDER)]
+    held: list[np.ndarray] = []  # columns: fields, then the count
+    fresh_rows: list[np.ndarray] = []
     size = 0
 
     def squeeze() -> None:
-        for n, parts in held.items():
-            if parts:
-                rows = np.concatenate(parts)
-                _, first, of = np.unique(rows[:, 0], return_index=True, return_inverse=True)
-                sums = np.bincount(of, weights=rows[:, 3].astype(np.float64)).astype(np.uint64)
-                rows = rows[first]
-                rows[:, 3] = sums
-                held[n] = [rows]
+        nonlocal held, fresh_rows
+        parts = []
+        if fresh_rows:
+            rows = np.concatenate(fresh_rows, axis=1)
+            _, first, n = np.unique(rows[ORDER - 1], return_index=True, return_counts=True)
+            parts = [np.concatenate([rows[:, first], n[None].astype(np.uint64)])]
+        both = np.concatenate([*held, *parts], axis=1) if held or parts else None
+        if both is not None and held and parts:
+            _, first, of = np.unique(both[ORDER - 1], return_index=True, return_inverse=True)
+            total = np.bincount(of, weights=both[-1].astype(np.float64)).astype(np.uint64)
+            both = np.concatenate([both[:-1, first], total[None]])
+        held, fresh_rows = ([both] if both is not None else []), []
 
     for b in batches:
         for text in b.column(0).to_pylist():
             if text:
-                for n, g, c, s in _grams(text):
-                    held[n].append(np.stack([g, c, s, np.ones_like(g)], 1))
-                size += len(text)
+                d = digests(text)
+                n = len(text)
+                fresh_rows.append(np.stack([d[k][ORDER - k : ORDER - k + n] for k in range(1, ORDER + 1)] + [d[k][ORDER - 1 - k : ORDER - 1 - k + n] for k in range(ORDER)]))
+                size += n
             if size > 1_000_000:
                 squeeze()
                 size = 0
     squeeze()
-    for n, parts in held.items():
-        for rows in parts:
-            for lo in range(0, len(rows), 50_000):
-                r = rows[lo : lo + 50_000].view(np.int64)
-                yield pa.record_batch({"n": pa.array(np.full(len(r), n, np.int32)), "g": pa.array(r[:, 0].copy()), "c": pa.array(r[:, 1].copy()), "s": pa.array(r[:, 2].copy()), "k": pa.array(r[:, 3].copy())})
+    if not held:
+        return
+    table = dict(zip([*fields, "k"], held[0].view(np.int64)))
+    for n in range(1, ORDER + 1):
+        _, first = np.unique(table[f"g{n}"], return_index=True)
+        g, c, k = table[f"g{n}"][first], table[f"c{n - 1}"][first], table["k"][first] if n == ORDER else np.zeros(len(first), np.int64)
+        s = table[f"g{n - 1}"][first] if n > 1 else np.zeros(len(first), np.int64)
+        for lo in range(0, len(g), 50_000):
+            cut_ = slice(lo, lo + 50_000)
+            yield pa.record_batch({"n": pa.array(np.full(len(g[cut_]), n, np.int32)), "g": g[cut_], "c": c[cut_], "s": s[cut_], "k": k[cut_]})
 
 
 def train(trusted: DataFrame) -> tuple[str, int] | None:
@@ -125,44 +132,74 @@ def train(trusted: DataFrame) -> tuple[str, int] | None:
     return out, known
 
 
+class _Table:
+    """Digests to values by open addressing, built and probed on whole arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2))))
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values, self.used = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.float32), np.zeros(1 << bits, bool)
+        left, step = np.arange(len(keys)), 0
+        slot = self._slot(keys)
+        while len(left):
+            at = (slot[left] + step) & self.mask
+            _, first = np.unique(at, return_index=True)
+            first = first[~self.used[at[first]]]
+            put, to = left[first], at[first]
+            self.keys[to], self.values[to], self.used[to] = keys[put], values[put], True
+            left = np.delete(left, first)
+            step += 1
+        self.steps = step
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _P) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray, out: np.ndarray, where: np.ndarray | None = None) -> None:
+        """Put the values of known keys in ``out``."""
+        slot = self._slot(keys)
+        left = None
+        for step in range(self.steps):
+            at = slot if left is None else (slot[left] + step) & self.mask
+            mine = keys if left is None else keys[left]
+            same = (self.keys[at] == mine) & self.used[at]
+            hit = np.flatnonzero(same)
+            to = hit if left is None else left[hit]
+            out[to if where is None else where[to]] = self.values[at[hit]]
+            more = np.flatnonzero(~same & self.used[at])
+            left = more if left is None else left[more]
+            if not len(left):
+                return
+
+
 class Model:
-    """Looks n-grams up shard by shard."""
+    """Looks n-grams up, one group of shards at a time; a model within ``KEEP_BYTES`` is one group and stays in memory."""
 
     def __init__(self, folder: str, known: int):
         self.fs, self.root = pa.fs.FileSystem.from_uri(folder)
-        self.known, self.held, self.bytes = known, {}, 0
-
-    def shard(self, i: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        if i in self.held:
-            return self.held[i]
-        files = [f.path for f in self.fs.get_file_info(pa.fs.FileSelector(f"{self.root}/shard={i}", allow_not_found=True)) if f.path.endswith(".parquet")]
-        tables = [pa.parquet.read_table(f, filesystem=self.fs, columns=["kind", "g", "v"], partitioning=None) for f in files]
-        t = pa.concat_tables(tables) if tables else pa.table({"kind": pa.array([], pa.int8()), "g": pa.array([], pa.int64()), "v": pa.array([], pa.float32())})
+        self.known = known
+        found = self.fs.get_file_info(pa.fs.FileSelector(self.root, recursive=True))
+        files = [(int(f.path.rsplit("/shard=", 1)[1].split("/")[0]), f.path, f.size) for f in found if f.path.endswith(".parquet")]
+        self.groups = min(SHARDS, max(1, -(-sum(n for _, _, n in files) * 3 // KEEP_BYTES)))
+        self.files = [[p for i, p, _ in files if i % self.groups == k] for k in range(self.groups)]
+        self.resident = self._load(0) if self.groups == 1 else None
+
+    def _load(self, group: int) -> dict[int, _Table]:
+        tables = [pa.parquet.read_table(f, filesystem=self.fs, columns=["kind", "g", "v"], partitioning=None) for f in self.files[group]]
+        if not tables:
+            return {}
+        t = pa.concat_tables(tables)
         kind, g, v = (t.column(c).to_numpy() for c in ("kind", "g", "v"))
-        out = {}
-        for k in np.unique(kind).tolist():
-            own = kind == k
-            order = np.argsort(g[own])
-            out[k] = g[own][order], v[own][order]
-        if self.bytes + t.nbytes <= KEEP_BYTES:
-            self.held[i] = out
-            self.bytes += t.nbytes
-        return out
+        return {k: _Table(g[kind == k], v[kind == k]) for k in np.unique(kind).tolist()}
 
     def find(self, kind: int, g: np.ndarray) -> np.ndarray:
-        """Values of distinct digests, NaN where there is none."""
+        """Values of digests, NaN where there is none."""
         signed = g.view(np.int64)
         out = np.full(len(g), np.nan, np.float32)
-        where = signed % SHARDS
-        for i in range(SHARDS):
-            at = np.flatnonzero(where == i)
-            if not len(at):
-                continue
-            keys, values = self.shard(i).get(kind, (np.array([], np.int64), np.array([], np.float32)))
-            if len(keys):
-                j = np.minimum(np.searchsorted(keys, signed[at]), len(keys) - 1)
-                hit = keys[j] == signed[at]
-                out[at[hit]] = values[j[hit]]
+        for i in range(self.groups):
+            at = None if self.groups == 1 else np.flatnonzero(signed % SHARDS % self.groups == i)
+            table = (self.resident or self._load(i)).get(kind)
+            if table is not None:
+                table.find(signed if at is None else signed[at], out, at)
         return out
 
     def log_probability(self, texts: list[str | None]) -> list[float | None]:
@@ -179,15 +216,13 @@ class Model:
         score, weight = np.zeros(total), np.zeros(total)
         open_ = np.arange(total)  # characters whose probability isn't known yet
         for n in range(ORDER, 0, -1):
-            g, of = np.unique(level(n, 0)[open_], return_inverse=True)
-            p = self.find(n, g)[of]
+            p = self.find(n, level(n, 0)[open_])
             got = ~np.isnan(p)
             score[open_[got]] = p[got]
             open_ = open_[~got]
             if not len(open_):
                 break
-            c, of = np.unique(level(n - 1, 1)[open_], return_inverse=True)
-            w = self.find(ORDER + n - 1, c)[of]
+            w = self.find(ORDER + n - 1, level(n - 1, 1)[open_])
             weight[open_] += np.where(np.isnan(w), 0.0, w)
         if len(open_):
             score[open_] = -np.log(self.known)
@@ -220,24 +255,30 @@ def with_perplexity(docs: DataFrame, model: tuple[str, int], name: str = "perple
     return docs.withColumn(name, F.arrow_udf(run, "double")(F.col("text")))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99) -> DataFrame:
-    """``docs`` (text, lang) with perplexity, max_perplexity and keep, which replace same-named columns; ``trusted`` has text and lang."""
-    model = train(trusted)
+def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text) of the documents that the labels call good. Labels grow with the corpus, so neither side is broadcast."""
+    return docs.select("doc_id", "text").hint("merge").join(_good(labels), "doc_id", "left_semi").select("text")
+
+
+def _good(labels: DataFrame) -> DataFrame:
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` (doc_id, text, lang) without the columns ``drop`` but with perplexity, max_perplexity and keep, which replace same-named columns.
+
+    ``labels`` (doc_id, quality) name the trusted documents: quality 1. The scored rows are written once, for the quantiles and the result.
+    """
+    model = train(trusted_text(docs, labels))
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"perplexity": none, "max_perplexity": none, "keep": F.coalesce(F.length("text") > 0, F.lit(False))})
-    lang, high, p = fresh(docs, "lang", "high", "p")
-    own = with_perplexity(trusted.select("text", "lang"), model, p).where(F.col(p).isNotNull())
-    bounds = cut(own.rollup("lang").agg(F.percentile_approx(p, quantile, 10_000).alias("hi"), F.grouping("lang").alias("whole")), "bounds")
+        return docs.withColumns({"perplexity": none, "max_perplexity": none, "keep": F.coalesce(F.length("text") > 0, F.lit(False))}).drop(*drop)
+    lang, high = fresh(docs, "lang", "high")
+    scored = cut(with_perplexity(docs, model).drop(*drop), "scored")
+    own = scored.join(_good(labels), "doc_id", "left_semi").where(F.col("perplexity").isNotNull())
+    bounds = cut(own.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("hi"), F.grouping("lang").alias("whole")), "bounds")
     whole = bounds.where("whole = 1").first()["hi"]
     by_lang = bounds.where("whole = 0 and lang is not null").select(F.col("lang").alias(lang), F.col("hi").alias(high))
-    out = with_perplexity(docs, model, p).join(by_lang, F.col("lang") == F.col(lang), "left")
     most = F.coalesce(F.col(high), F.lit(whole))
-    out = out.withColumns({"perplexity": F.col(p), "max_perplexity": most, "keep": F.coalesce(F.col(p) <= most, F.lit(False))})
-    return out.drop(lang, high, p)
-
-
-def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, lang) of the documents that the labels call good."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select("text", "lang")
+    out = scored.join(by_lang, F.col("lang") == F.col(lang), "left")
+    return out.withColumns({"max_perplexity": most, "keep": F.coalesce(F.col("perplexity") <= most, F.lit(False))}).drop(lang, high)

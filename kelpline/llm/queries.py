@@ -27,7 +27,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents", "labels")
-    found = quality.classify(docs.select("doc_id", "text", "lang"), quality.trusted_text(docs, labels))
+    found = quality.classify(docs.select("doc_id", "text", "lang"), labels, drop=("text",))
     return found.select("doc_id", "lang", "perplexity", "max_perplexity", "keep")
 
 
