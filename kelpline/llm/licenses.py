@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import ascii_lower, fold, fresh, raw_words, text_key
+from kelpline.llm.common import ascii_lower, cut, fold, fresh, raw_words, text_key
 
 #: Phrases that count wherever their words stand together.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -127,7 +127,6 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     base, more = F.coalesce(F.col(v)["base"], none), F.coalesce(F.col(v)["more"], none)
     out = {
-        "n_words": F.size(raw_words(F.col("text"))).cast("long"),
         "n_base": F.coalesce(F.col(v)["n_base"], F.lit(0)).cast("long"),
         "first_word": F.col(v)["first_word"],
         "last_word": F.col(v)["last_word"],
@@ -135,4 +134,5 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
         "labels": F.array_join(F.array_sort(F.array_union(base, more)), ","),
         "score": F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.col(v)["best"], F.lit(0.0))),
     }
-    return docs.withColumn(k, text_key(F.col("text"))).join(both, k, "left").withColumns(out).drop(k, v)
+    counted = docs.withColumns({k: text_key(F.col("text")), "n_words": F.size(raw_words(F.col("text"))).cast("long")})
+    return counted.join(cut(both, "license-texts"), k, "left").withColumns(out).drop(k, v)
