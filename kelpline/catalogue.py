@@ -1,19 +1,372 @@
-"""Queries over the driver's tables and their SQL."""
+"""Queries over the driver's tables and their SQL. Conversations stand in for messages, documents for the keyword corpus,
+embeddings for vectors, events for containers over time."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kelpline.functions import text as X
+from kelpline.operators import containers as C
+from kelpline.operators import search as S
+from kelpline.operators import units as U
+from kelpline.plans import predicates as P
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERY = "of stand ner"
+#: A fixed query vector of 64 numbers.
+VECTOR = [((i * 37) % 17 - 8) / 16 for i in range(64)]
+DAY = 86_400
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    c = _table(spark, d, "conversations")
+    return c.select(
+        F.concat_ws("/", F.col("conv_id").cast("string"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("id"),
+        F.when(F.col("conv_id") % 2 == 0, "mac").otherwise("box").alias("host"),
+        F.lit("pi").alias("source"),
+        F.col("conv_id").cast("string").alias("container_id"),
+        F.col("role").alias("author_id"),
+        F.when(F.col("role") == "system", "title").otherwise("message").alias("kind"),
+        (F.col("conv_id") * 3600 + F.col("turn") * 60).alias("timestamp"),
+        "text",
+    )
+
+
+def events(spark: SparkSession, d: str) -> DataFrame:
+    e = _table(spark, d, "events")
+    return e.select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("id"),
+        F.col("user_id").cast("string").alias("container_id"),
+        F.col("event_type").alias("kind"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"),
+        "value",
+        "event_id",
+    )
+
+
+MESSAGES = """(SELECT concat_ws('/', CAST(conv_id AS VARCHAR), lpad(CAST(turn AS VARCHAR), 6, '0')) AS id, CASE WHEN conv_id % 2 = 0 THEN 'mac' ELSE 'box' END AS host,
+ 'pi' AS source, CAST(conv_id AS VARCHAR) AS container_id, role AS author_id, CASE WHEN role = 'system' THEN 'title' ELSE 'message' END AS kind,
+ conv_id * 3600 + turn * 60 AS timestamp, text FROM conversations)"""
+EVENTS = """(SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, CAST(user_id AS VARCHAR) AS container_id, event_type AS kind,
+ CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, value, event_id FROM events)"""
+TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> '')"
+T0 = 1_704_499_200
+
+_registry: dict[str, tuple[Query, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _registry[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+@query(f"SELECT id, value FROM {EVENTS} WHERE kind = 'view' AND container_id = '7'")
+def filter_eq_and(s, d):
+    return events(s, d).where(P.eq_all(kind="view", container_id="7")).select("id", "value")
+
+
+@query(f"SELECT id FROM {EVENTS} WHERE kind = 'error'")
+def filter_unknown_field_ignored(s, d):
+    return events(s, d).where(P.conj([P.eq("kind", "error"), P.eq("value", "1")])).select("id")
+
+
+@query(f"SELECT id, timestamp FROM {EVENTS} WHERE timestamp >= {T0} ORDER BY timestamp, id LIMIT 50")
+def cursor_ts_inclusive(s, d):
+    return events(s, d).where(P.cursor(T0)).select("id", "timestamp").orderBy("timestamp", "id").limit(50)
+
+
+@query(f"SELECT id, timestamp FROM {EVENTS} WHERE timestamp > {T0} OR (timestamp = {T0} AND id > '000000000100') ORDER BY timestamp, id LIMIT 50")
+def cursor_ts_id(s, d):
+    return events(s, d).where(P.cursor(T0, "000000000100")).select("id", "timestamp").orderBy("timestamp", "id").limit(50)
+
+
+@query(f"SELECT id, timestamp FROM {EVENTS} WHERE id > '000000000500'")
+def cursor_id_only(s, d):
+    return events(s, d).where(P.cursor(0, "000000000500")).select("id", "timestamp")
+
+
+@query(f"SELECT id FROM {EVENTS} WHERE timestamp < {T0}")
+def before_bound(s, d):
+    return events(s, d).where(P.before(T0)).select("id")
+
+
+@query(f"SELECT id, kind FROM {EVENTS} WHERE kind IN ('purchase', 'signup')")
+def include_kinds(s, d):
+    return events(s, d).where(F.col("kind").isin("purchase", "signup")).select("id", "kind")
+
+
+@query(f"SELECT id, timestamp, author_id FROM {MESSAGES} WHERE container_id = '3' ORDER BY timestamp, id LIMIT 3")
+def container_walk_page1(s, d):
+    return C.walk(messages(s, d), "3", limit=3).select("id", "timestamp", "author_id")
+
+
+@query(f"SELECT id, timestamp, author_id FROM {MESSAGES} WHERE container_id = '3' AND (timestamp > 10920 OR (timestamp = 10920 AND id > '3/000002')) ORDER BY timestamp, id LIMIT 3")
+def container_walk_page2(s, d):
+    return C.walk(messages(s, d), "3", 10_920, "3/000002", limit=3).select("id", "timestamp", "author_id")
+
+
+@query(f"""SELECT host, source, container_id, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) AS messages,
+ coalesce(CASE WHEN length(p) > 300 THEN left(p, 300) || '…' ELSE p END, '') AS first_prompt FROM
+ (SELECT *, coalesce(arg_min(text, (timestamp, id)) FILTER (author_id = 'user' AND text <> '') OVER w, arg_min(text, (timestamp, id)) FILTER (text <> '') OVER w) AS p
+  FROM {MESSAGES} WHERE kind = 'message' AND timestamp >= 36000 AND timestamp < 180000 WINDOW w AS (PARTITION BY host, source, container_id)) GROUP BY host, source, container_id, p""")
+def sessions_window(s, d):
+    return C.sessions(messages(s, d), 36_000, 180_000)
+
+
+@query(f"""SELECT source, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS processing, count(*) AS total
+ FROM (SELECT container_id AS source, CASE kind WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'indexed' END AS status FROM {EVENTS}) GROUP BY ROLLUP (source)""")
+def raw_status_counts(s, d):
+    status = F.when(F.col("kind") == "error", "failed").when(F.col("kind") == "view", "processing").otherwise("indexed")
+    return C.status_counts(events(s, d).select(F.col("container_id").alias("source"), status.alias("status")))
+
+
+@query("SELECT l_orderkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1")
+def audit_duplicates(s, d):
+    return C.duplicates(_table(s, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, array_to_string(t, ' ') AS line FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
+def tokenize(s, d):
+    t = X.tokens(F.col("text"))
+    return _table(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(t, " ").alias("line"))
+
+
+_TF = "(SELECT doc_id, text, " + ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(QUERY.split())) + f", len(t) AS len FROM (SELECT doc_id, text, {TOKENS} AS t FROM documents))"
+_KEYWORD = " + ".join(f"CASE WHEN f{i} > 0 THEN 1 + ln(1 + f{i}) ELSE 0 END" for i in range(3))
+_SUM = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / a))" for i in range(3))
+_BM25 = f"(SELECT doc_id, {_SUM} AS score FROM {_TF}, (SELECT count(*) AS n, avg(len) AS a, " + ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(3)) + f" FROM {_TF}))"
+
+
+@query(f"SELECT doc_id, round({_KEYWORD}, 6) AS score FROM {_TF}")
+def keyword_score(s, d):
+    return _table(s, d, "documents").select("doc_id", F.round(S.keyword_score(F.col("text"), QUERY), 6).alias("score"))
+
+
+@query(f"SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, {_KEYWORD} AS score FROM {_TF}) WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
+def keyword_topk(s, d):
+    return S.keyword_search(_table(s, d, "documents"), QUERY, 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT doc_id AS id, round(score, 6) AS score FROM {_BM25} WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+def bm25_topk(s, d):
+    return S.bm25(_table(s, d, "documents"), QUERY, "doc_id").orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
+
+
+_DIST = f"list_distance(CAST(embedding AS DOUBLE[]), CAST({VECTOR} AS DOUBLE[]))"
+
+
+@query(f"SELECT vec_id, round({_DIST}, 6) AS distance FROM embeddings ORDER BY {_DIST}, vec_id LIMIT 20")
+def vector_topk(s, d):
+    return S.vector_search(_table(s, d, "embeddings"), VECTOR, 20, "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, round({_DIST}, 6) AS distance FROM embeddings WHERE label = 3 ORDER BY {_DIST}, vec_id LIMIT 10")
+def vector_topk_filtered(s, d):
+    return S.vector_search(_table(s, d, "embeddings").where("label = 3"), VECTOR, 10, "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query(f"SELECT vec_id, round(1 / (1 + {_DIST}), 6) AS score FROM embeddings")
+def vector_score(s, d):
+    return _table(s, d, "embeddings").select("vec_id", F.round(1 / (1 + S.l2(F.col("embedding"), VECTOR)), 6).alias("score"))
+
+
+_LISTS = f"""SELECT id, row_number() OVER (ORDER BY {_DIST}, id) AS rank FROM (SELECT vec_id AS id, embedding FROM embeddings) QUALIFY rank <= 50
+ UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM {_BM25} WHERE score > 0 QUALIFY rank <= 50"""
+
+
+def _fused(s, d):
+    vectors = S.vector_search(_table(s, d, "embeddings"), VECTOR, 50, "vec_id", "embedding").withColumnRenamed("vec_id", "id")
+    words = S.bm25(_table(s, d, "documents"), QUERY, "doc_id").orderBy(F.desc("score"), "id").limit(50)
+    return S.fuse(S.ranked(vectors, "distance", "id"), S.ranked(words, F.desc("score"), "id"))
+
+
+@query(f"SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ({_LISTS}) GROUP BY id")
+def rrf_fusion(s, d):
+    return _fused(s, d).withColumn("score", F.round("score", 9))
+
+
+@query(f"SELECT id, round(score, 9) AS score, substr(text, 1, 40) AS text FROM (SELECT id, sum(1.0 / (60 + rank)) AS score FROM ({_LISTS}) GROUP BY id ORDER BY score DESC, id LIMIT 10) JOIN documents ON id = doc_id")
+def hybrid_topk(s, d):
+    """Ranks are narrow; only the ten hits left meet the wide rows."""
+    top = _fused(s, d).orderBy(F.desc("score"), "id").limit(10)
+    docs = _table(s, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("text"))
+    return docs.join(F.broadcast(top), "id").select("id", F.round("score", 9).alias("score"), "text")
+
+
+@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def collapse_message(s, d):
+    docs = _table(s, d, "documents")
+    key = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r"))
+    return key.select("r.doc_id", "r.text")
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS rk, event_id, container_id AS u, timestamp AS t FROM {EVENTS} QUALIFY rk <= 60),
+ s AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(e BIGINT, u VARCHAR, t BIGINT)[]) AS kept UNION ALL
+ SELECT r.rk, CASE WHEN len(list_filter(kept, lambda k: k.u = r.u AND abs(k.t - r.t) <= {5 * DAY})) > 0 THEN kept ELSE list_append(kept, {{'e': event_id, 'u': u, 't': t}}) END FROM s JOIN r ON r.rk = s.rk + 1)
+ SELECT k.e AS event_id FROM (SELECT unnest(kept) AS k FROM s WHERE rk = (SELECT max(rk) FROM s))""")
+def collapse_hits(s, d):
+    top = S.ranked(events(s, d).orderBy(F.desc("value"), "event_id").limit(60), F.desc("value"), "event_id")
+    hits = top.withColumns({"message_id": F.col("id"), "content_hash": F.lit(""), "chat": F.lit(True)})
+    return S.collapse(hits, 5 * DAY).select(F.col("id").cast("long").alias("event_id"))
+
+
+@query(f"""SELECT id, CASE WHEN length(q) > 80 THEN left(q, 80) || '…' ELSE q END AS question FROM (SELECT id, trim(regexp_replace(last_value(CASE WHEN author_id = 'user' THEN text END IGNORE NULLS)
+ OVER (PARTITION BY container_id ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '\\s+', ' ', 'g')) AS q FROM {MESSAGES})""")
+def question_carry(s, d):
+    return U.carry_question(messages(s, d), 80).select("id", "question")
+
+
+@query(f"""SELECT id, concat_ws(chr(10), CASE WHEN timestamp - lag(timestamp, 2) OVER w <= {DAY} THEN lag(id, 2) OVER w END, CASE WHEN timestamp - lag(timestamp, 1) OVER w <= {DAY} THEN lag(id, 1) OVER w END) AS lead
+ FROM {EVENTS} WINDOW w AS (PARTITION BY container_id ORDER BY timestamp, id)""")
+def lead_in_lines(s, d):
+    return U.lead_in(events(s, d).withColumn("text", F.col("id")), DAY).select("id", "lead")
+
+
+_REPLY = f"(SELECT *, CASE WHEN timestamp % 120 = 0 THEN container_id || '/000001' END AS reply_to FROM {MESSAGES})"
+
+
+@query(f"SELECT a.id, CASE WHEN b.timestamp < a.timestamp THEN b.text END AS quoted FROM {_REPLY} a LEFT JOIN {MESSAGES} b ON a.reply_to = b.id")
+def reply_quote(s, d):
+    reply = F.when(F.col("timestamp") % 120 == 0, F.concat("container_id", F.lit("/000001")))
+    return U.quote_parent(messages(s, d).withColumn("reply_to", reply)).select("id", "quoted")
+
+
+@query(f"SELECT id, sha256(author_id || chr(10) || text) AS content_hash FROM {MESSAGES}")
+def session_unit_hash(s, d):
+    return messages(s, d).select("id", X.content_hash(F.concat_ws("\n", "author_id", "text")).alias("content_hash"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(l) > 60 THEN left(l, 60) || '…' ELSE l END AS line FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS l FROM documents)")
+def clip_line(s, d):
+    return _table(s, d, "documents").select("doc_id", X.clip_line(F.col("text"), 60).alias("line"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN left(text, 100) || '…' ELSE text END AS head FROM documents")
+def clip_runes(s, d):
+    return _table(s, d, "documents").select("doc_id", X.clip_runes(F.col("text"), 100).alias("head"))
+
+
+@query(f"SELECT id FROM {MESSAGES} WHERE author_id IN ('user', 'assistant') AND strlen(text) >= 8 AND NOT (author_id = 'user' AND starts_with(ltrim(text, E' \\t\\r\\n'), 'The'))")
+def indexable_filter(s, d):
+    return messages(s, d).where(X.indexable(F.col("author_id"), F.col("text"), ("The",))).select("id")
+
+
+@query(f"SELECT container_id, kind, arg_max(value, id) AS value, min(id) AS id FROM {EVENTS} GROUP BY container_id, kind")
+def last_version_wins(s, d):
+    return events(s, d).groupBy("container_id", "kind").agg(F.max_by("value", "id").alias("value"), F.min("id").alias("id"))
+
+
+@query(f"SELECT id, container_id, kind FROM {EVENTS} QUALIFY row_number() OVER (PARTITION BY container_id, kind ORDER BY timestamp, id) = 1")
+def first_occurrence(s, d):
+    return U.first_of(events(s, d), "container_id", "kind").select("id", "container_id", "kind")
+
+
+@query(f"SELECT a.id, coalesce(t, '') AS container_title FROM {MESSAGES} a LEFT JOIN (SELECT container_id, arg_max(text, (timestamp, id)) AS t FROM {MESSAGES} WHERE kind = 'title' GROUP BY container_id) USING (container_id)")
+def title_backfill(s, d):
+    return U.backfill_title(messages(s, d)).select("id", "container_title")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE 'old' END AS version FROM orders UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_orderkey % 10 = 0")
+def upsert_merge(s, d):
+    o = _table(s, d, "orders").select("o_orderkey")
+    some = o.where("o_orderkey % 10 = 0")
+    new = some.unionByName(some.select((F.col("o_orderkey") + 100_000_000).alias("o_orderkey"))).withColumn("version", F.lit("new"))
+    return C.upsert(o.withColumn("version", F.lit("old")), new, "o_orderkey")
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey <> 7")
+def delete_host(s, d):
+    return _table(s, d, "customer").select("c_custkey", "c_nationkey").where(F.col("c_nationkey") != 7)
+
+
+@query("SELECT doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 3 = 0 AND sha256(a.text) = sha256(b.text))")
+def dedup_anti_join(s, d):
+    units = _table(s, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("h"))
+    return units.join(units.where("doc_id % 3 = 0").select("h").distinct(), "h", "left_anti").select("doc_id")
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) < 20 THEN 'error' WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 'skipped' ELSE 'accepted' END AS outcome FROM documents""")
+def ingest_classify(s, d):
+    docs = _table(s, d, "documents").select("doc_id", F.char_length("text").alias("n"), X.content_hash(F.col("text")).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    outcome = F.when(F.col("n") < 20, "error").when(F.col("doc_id") > F.col("first"), "skipped").otherwise("accepted")
+    return docs.join(first, "h").select("doc_id", outcome.alias("outcome"))
+
+
+_NOW = T0 + 20 * DAY
+
+
+@query(f"""SELECT id AS key FROM {EVENTS} WHERE kind = 'signup' OR (kind = 'error' AND {_NOW} - timestamp >= least(3600, 60 * pow(2, event_id % 8)))
+ OR (kind NOT IN ('signup', 'error') AND event_id % 2 = 1 AND {_NOW} - timestamp >= 300)""")
+def due_objects(s, d):
+    e = events(s, d)
+    objects = e.select(F.col("id").alias("key"), F.lit("b").alias("etag"), F.lit(1).alias("size"))
+    status = F.when(F.col("kind") == "error", "failed").otherwise("indexed")
+    known = e.where("kind <> 'signup'").select(F.col("id").alias("key"), F.when(F.col("event_id") % 2 == 1, "a").otherwise("b").alias("etag"), F.lit(1).alias("size"), status.alias("status"), F.lit(1).alias("parser_version"), (F.col("event_id") % 8).alias("attempts"), F.col("timestamp").alias("updated_at"))
+    return C.due(objects, known, _NOW).select("key")
+
+
+@query(f"""SELECT store, rank, id FROM (SELECT CASE WHEN host = 'mac' THEN 0 ELSE 1 END AS store, row_number() OVER (PARTITION BY host ORDER BY timestamp, id) AS rank, id FROM {MESSAGES}) ORDER BY rank, store LIMIT 25""")
+def interleave_stores(s, d):
+    m = messages(s, d)
+    return C.interleave([m.where("host = 'mac'"), m.where("host = 'box'")], ["timestamp", "id"], 25).select("store", "rank", "id")
+
+
+@query(f"SELECT CASE WHEN host = 'mac' THEN 'mac' ELSE 'box' END AS store, id FROM {MESSAGES}")
+def union_stores(s, d):
+    m = messages(s, d)
+    parts = [m.where(F.col("host") == h).select(F.lit(h).alias("store"), "id") for h in ("mac", "box")]
+    return parts[0].unionByName(parts[1])
+
+
+@query(f"SELECT a.id FROM {EVENTS} a WHERE kind = 'purchase' AND EXISTS (SELECT 1 FROM {EVENTS} b WHERE b.kind = 'signup' AND b.container_id = a.container_id AND b.timestamp < a.timestamp)")
+def tool_result_semi_join(s, d):
+    e = events(s, d)
+    first = e.where("kind = 'signup'").groupBy("container_id").agg(F.min("timestamp").alias("t"))  # an earlier one exists if the first is earlier
+    return e.where("kind = 'purchase'").join(first, "container_id").where("t < timestamp").select("id")
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m') AS month FROM events")
+def month_partition(s, d):
+    return _table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM").alias("month"))
+
+
+@query(f"SELECT id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS minute FROM {EVENTS}")
+def when_format(s, d):
+    return events(s, d).select("id", X.when_format(F.col("timestamp")).alias("minute"))
+
+
+@query()
+def chunk_windows(s, d):
+    return U.token_windows(_table(s, d, "documents"), 384, 64, "doc_id")
+
+
+@query()
+def ivf_search(s, d):
+    rows = _table(s, d, "embeddings").select("vec_id", "embedding")
+    centroids = [list(map(float, r[0])) for r in rows.where("vec_id < 16").select("embedding").collect()]  # sixteen rows at most
+    return S.ivf_search(S.ivf_assign(rows, centroids, "embedding"), centroids, VECTOR, 10, 4, "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    """Keyword search over the smallest conversations, as hits."""
+    hits = S.keyword_search(messages(spark, "/root/testdata/sf0.001"), "the of", 50)
+    return hits.select("id", "score", "container_id", "author_id", "timestamp", "text")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for k, (_, q) in _registry.items() if q}

@@ -1,0 +1,61 @@
+"""Order-dependent context of messages: carried questions, lead-in lines, quoted parents, titles; and token windows."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from kelpline.functions.text import clip_line
+
+
+def _order(*keys: str) -> W:
+    return W.partitionBy(*keys).orderBy("timestamp", "id")
+
+
+def carry_question(rows: DataFrame, n: int = 200) -> DataFrame:
+    """``question``: the latest user prompt before a row in its container, cut to ``n`` code points."""
+    w = _order("container_id").rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("question", F.last(F.when(F.col("author_id") == "user", clip_line(F.col("text"), n)), ignorenulls=True).over(w))
+
+
+def lead_in(rows: DataFrame, gap: int = 600) -> DataFrame:
+    """``lead``: up to two messages before a row in its container, oldest first, each only within ``gap`` seconds."""
+    w = _order("container_id")
+    lines = [F.when(F.col("timestamp") - F.lag("timestamp", k).over(w) <= gap, F.lag("text", k).over(w)) for k in (2, 1)]
+    return rows.withColumn("lead", F.concat_ws("\n", *lines))
+
+
+def quote_parent(rows: DataFrame) -> DataFrame:
+    """``quoted``: the text of the row that ``reply_to`` names, if it came before."""
+    parent = rows.select(F.col("id").alias("reply_to"), F.col("text").alias("quoted"), F.col("timestamp").alias("_at"))
+    found = rows.join(parent, "reply_to", "left")
+    return found.withColumn("quoted", F.when(F.col("_at") < F.col("timestamp"), F.col("quoted"))).drop("_at")
+
+
+def backfill_title(rows: DataFrame) -> DataFrame:
+    """``container_title``: the last title row of the container, else empty."""
+    title = rows.where("kind = 'title'").groupBy("container_id").agg(F.max_by("text", F.struct("timestamp", "id")).alias("container_title"))
+    return rows.drop("container_title").join(title, "container_id", "left").fillna("", ["container_title"])
+
+
+def first_of(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.withColumn("_n", F.row_number().over(_order(*keys))).where("_n = 1").drop("_n")
+
+
+def token_windows(rows: DataFrame, size: int = 384, overlap: int = 64, id: str = "id", text: str = "text") -> DataFrame:
+    """(message_id, chunk_index, chunk_count, text): windows of white-space tokens that share ``overlap`` with the one before."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, t in zip(b[id], b[text]):
+                words = (t or "").split()
+                starts = range(0, max(1, len(words) - overlap), size - overlap)
+                out += [(str(i), k, len(starts), " ".join(words[s : s + size])) for k, s in enumerate(starts)]
+            yield pd.DataFrame(out, columns=["message_id", "chunk_index", "chunk_count", "text"])
+
+    return rows.select(id, text).mapInPandas(cut, "message_id string, chunk_index long, chunk_count long, text string")
