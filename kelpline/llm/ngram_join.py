@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import WORD_RE, cut, fresh, text_key
+from kelpline.llm.common import WORD_RE, bounded_batches, cut, fresh, text_key
 from kelpline.llm.components import components
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 1 - 1e-7
@@ -37,7 +37,7 @@ BLOCK, BLOCK_BYTES = 256, 8 << 20
 MARGIN = 6
 _WORD = re.compile(WORD_RE)
 _LOWER = {i: i + 32 for i in range(65, 91)}
-_CACHE = 500_000
+_CACHE = 200_000
 _hashed: dict[str, int] = {}  # words' hashes, for each worker process
 
 
@@ -298,6 +298,7 @@ def verified_links(docs: DataFrame, texts: DataFrame, family: DataFrame, thresho
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """(key, class_id, rep, n_links) for each distinct text: rep is the key of the class's text that holds class_id."""
+    bounded_batches(docs.sparkSession)
     depth = prefix_length(threshold, trees, recall)
     texts = cut(texts_of(docs.select("doc_id", "text"), trees * depth), "texts")
     family = families(texts, threshold, trees, depth)

@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import fresh
+from kelpline.llm.common import bounded_batches, fresh
 
 MARK = "▁"
-CACHE, PAIRS = 400_000, 1_000_000
+CACHE, PAIRS = 250_000, 500_000
 
 
 class PieceModel:
@@ -56,7 +56,7 @@ class PieceModel:
         for p, i in self.id.items():
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.after_mark: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.mark_id = self.id[MARK]
@@ -88,7 +88,7 @@ class PieceModel:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the text of both again ends with just these two."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
@@ -239,6 +239,7 @@ def encode_pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         arrays = [pa.array(ids, pa.binary()), pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(back, pa.string()), pa.array(map(sha, ids), pa.string()), pa.array([sha(t.encode()) for t in back], pa.string())]
         return pa.StructArray.from_arrays(arrays, names)
 
+    bounded_batches(docs.sparkSession)
     (c,) = fresh(docs, "v")
     kind = "ids binary, n_tokens long, decoded string, ids_sha256 string, decoded_sha256 string"
     return docs.withColumn(c, F.arrow_udf(run, kind)(F.col(text))).withColumns({n: F.col(c)[n] for n in names}).drop(c)

@@ -22,7 +22,7 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import cut, fresh, shared_dir
+from kelpline.llm.common import bounded_batches, cut, fresh, shared_dir
 
 ORDER, SHARDS, KEEP_BYTES = 4, 16, 128 << 20
 START = 1  # code of the padding before a text
@@ -234,6 +234,7 @@ class Model:
 
 def with_perplexity(docs: DataFrame, model: tuple[str, int], name: str = "perplexity") -> DataFrame:
     """``docs`` with each text's perplexity per character."""
+    bounded_batches(docs.sparkSession)
     held: list[Model] = []
 
     def run(column: pa.Array) -> pa.Array:

@@ -11,8 +11,8 @@ row for each range.
 
 Tokenizing: parts of a text are encoded one by one, since no token crosses a white space; texts of plain Latin letters are
 parted as the tokenizer itself does after lower-casing. Each distinct part of a batch that isn't in the worker's
-cache goes through the library, all of them in one call with the end-of-text token as a fence. Texts with the
-fence itself are encoded whole.
+cache goes through the library, all of them in one call with the end-of-text token as a fence. Texts with a
+special token's own string are encoded whole.
 
 Defined cases: a null text is empty, and a document without ids has its end id alone; documents with a null doc_id come first;
 equal ids keep one order within a file; an empty table writes no sequences.
@@ -33,10 +33,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import shared_dir
+from kelpline.llm.common import bounded_batches, shared_dir
 
 LENGTH, ROWS = 1024, 256
-CACHE = 800_000
+CACHE = 700_000
 _PART = re.compile("[^ \n]+")
 #: In texts of these characters alone, the tokenizer's own parts: letters, single digits, other characters in a row.
 _PLAIN = re.compile("[\x20-\x26\x28-\x7e\nÀ-ÖØ-öø-ÿ]*")
@@ -51,6 +51,7 @@ class PartTokenizer:
 
         self.t = Tokenizer.from_file(path)
         self.fence = fence
+        self.added = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.fence_id = self.t.token_to_id(fence)
         self.wide = self.t.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
@@ -61,8 +62,8 @@ class PartTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``kind``."""
-        whole = [i for i, t in enumerate(texts) if self.fence in t]
-        split = [[] if self.fence in t else _FINE.findall(t.lower()) if _PLAIN.fullmatch(t) else _PART.findall(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        split = [[] if i in whole else _FINE.findall(t.lower()) if _PLAIN.fullmatch(t) else _PART.findall(t) for i, t in enumerate(texts)]
         if len(self.cache) > CACHE:
             self.cache.clear()
         cache = self.cache
@@ -76,7 +77,7 @@ class PartTokenizer:
             data = ids.tobytes()
             cache.update(zip(some, [data[a:b] for a, b in zip(begins, stops)]))
         out = [b"".join([cache[p] for p in parts]) for parts in split]
-        for i, b in zip(whole, self._library([texts[i] for i in whole])):
+        for i, b in zip(sorted(whole), self._library([texts[i] for i in sorted(whole)])):
             out[i] = b
         return out
 
@@ -141,6 +142,7 @@ class _Writer:
 def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int | None = 2, length: int = LENGTH, files: int | None = None) -> list[tuple[int, str, int]]:
     """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; (range, path without suffix, ids) of each file, in order."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = out or shared_dir(spark, "tokens")
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")

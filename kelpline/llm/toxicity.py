@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import WORD_RE, fresh
+from kelpline.llm.common import WORD_RE, bounded_batches, fresh
 
 #: Small word classes of the grammar, in the four languages of the corpus.
 SEEDS = ("idiot", "moron", "stupid", "scum", "pathetic", "worthless", "loser", "imbécile", "dummkopf", "estúpido")
@@ -229,6 +229,7 @@ def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text") -> Dat
             names,
         )
 
+    bounded_batches(docs.sparkSession)
     (c,) = fresh(docs, "v")
     v = F.arrow_udf(run, "score double, predicted int, matches map<string,double>")(F.col(text))
     return docs.withColumn(c, v).withColumns({n: F.col(c)[n] for n in names}).drop(c)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kelpline.llm.common import fresh
+from kelpline.llm.common import bounded_batches, fresh
 
 PACKET, SYNC = 188, 0x47
 PID_PAT, PID_PMT, PID_DATA, STREAM_TYPE, STREAM_ID = 0, 0x1000, 0x100, 0x06, 0xBD
@@ -211,5 +211,6 @@ def read_media(media: DataFrame) -> DataFrame:
 
 
 def _with(df: DataFrame, value, names: list[str]) -> DataFrame:
+    bounded_batches(df.sparkSession)
     (c,) = fresh(df, "v")
     return df.withColumn(c, value).withColumns({n: F.col(c)[n] for n in names}).drop(c)
