@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import tokens
-
 RRF_K, K1, B = 60, 1.2, 0.75
 
 
@@ -17,36 +15,53 @@ def fetch_size(limit: int) -> int:
     return max(50, 8 * limit)
 
 
+def query_terms(query: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in query.lower()).split()
+
+
+def term_frequency(text: Column, term: str) -> Column:
+    """Times a token stands in a text; most texts are done with a plain substring search."""
+    lowered = F.lower(text)
+    edge = r"[\p{L}\p{Nd}]"
+    return F.when(lowered.contains(term), F.regexp_count(lowered, F.lit(f"(?<!{edge}){term}(?!{edge})"))).otherwise(0)
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"))
+
+
 def keyword_score(text: Column, query: str) -> Column:
     """Sum over the query's tokens found of 1 + ln(1 + tf); a repeated query token counts again."""
-    words = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
-    own, score = tokens(text), F.lit(0.0)
-    for w in words:
-        tf = F.size(own) - F.size(F.array_remove(own, w))
+    score = F.lit(0.0)
+    for w in query_terms(query):
+        tf = term_frequency(text, w)
         score = score + F.when(tf > 0, 1 + F.log(1 + tf.cast("double"))).otherwise(0.0)
     return score
 
 
 def keyword_search(rows: DataFrame, query: str, k: int, id: str = "id", text: str = "text") -> DataFrame:
     """The ``k`` best rows by keyword score; rows without a match are left out."""
-    scored = rows.withColumn("score", keyword_score(F.col(text), query)).where(F.col("score") > 0)
-    return scored.orderBy(F.desc("score"), id).limit(k)
+    some = F.lit(False)
+    for w in query_terms(query):
+        some = some | F.lower(text).contains(w)
+    top = rows.where(some).withColumn("score", keyword_score(F.col(text), query)).orderBy(F.desc("score"), id).limit(k)
+    return top.where(F.col("score") > 0)
 
 
 def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text") -> DataFrame:
-    """(id, score) by BM25 over distinct query terms. Only the query's terms are exploded, lengths are one aggregate row."""
-    terms = sorted({w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
-    words = rows.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t"))
-    lengths = words.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg"))
-    hits = words.select("id", F.size("t").alias("len"), *[(F.size("t") - F.size(F.array_remove("t", w))).alias(f"tf{i}") for i, w in enumerate(terms)])
-    df = hits.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    both = hits.crossJoin(F.broadcast(lengths)).crossJoin(F.broadcast(df))  # one row each
+    """(id, score) by BM25 over distinct query terms. Nothing is exploded; the corpus statistics are one aggregate row."""
+    terms = sorted(set(query_terms(query)))
+    hits = rows.select(F.col(id).alias("id"), token_count(F.col(text)).alias("len"), *[term_frequency(F.col(text), w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    stats = hits.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    some = F.lit(False)
+    for i in range(len(terms)):
+        some = some | (F.col(f"tf{i}") > 0)
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, d = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
         idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avg")))
-    return both.select("id", score.alias("score")).where(F.col("score") > 0)
+    return hits.where(some).crossJoin(F.broadcast(stats)).select("id", score.alias("score"))  # stats is one row
 
 
 def l2(vector: Column, query: list[float]) -> Column:
