@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import bounded_batches, fresh
 
 MARK = "▁"
-CACHE, PAIRS = 250_000, 500_000
+#: Entries of a memory's younger half; when it is full it becomes the older half, and what is asked for again moves over.
+CACHE, PAIRS = 150_000, 300_000
 
 
 class PieceModel:
@@ -57,7 +58,9 @@ class PieceModel:
             self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
+        self.old_pairs: dict[int, bool] = {}
         self.after_mark: dict[str, bytes] = {}
+        self.old_after: dict[str, bytes] = {}
         self.plain: dict[str, bytes] = {}
         self.mark_id = self.id[MARK]
         self.mark_bytes = self._pack([self.mark_id])
@@ -92,8 +95,9 @@ class PieceModel:
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._remerge(left, right)
+                self.old_pairs, self.pairs = self.pairs, {}
+            known = self.old_pairs.get(key)
+            known = self.pairs[key] = self._remerge(left, right) if known is None else known
         return known
 
     def _remerge(self, left: int, right: int) -> bool:
@@ -172,7 +176,7 @@ class PieceModel:
         out = [self._pack([self.begin])]
         if text:
             if len(self.after_mark) > CACHE:
-                self.after_mark.clear()
+                self.old_after, self.after_mark = self.after_mark, {}
             if len(self.plain) > CACHE:
                 self.plain.clear()
             after, plain = self.after_mark, self.plain
@@ -199,7 +203,8 @@ class PieceModel:
                         continue
                     ids = after.get(w)
                     if ids is None:
-                        ids = after[w] = self._pack(self.part_ids(MARK + w))
+                        ids = self.old_after.get(w)
+                        ids = after[w] = self._pack(self.part_ids(MARK + w)) if ids is None else ids
                     if run:
                         if ids.startswith(self.mark_bytes):
                             out += [self._marks(run + 1), ids[4:]]
