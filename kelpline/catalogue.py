@@ -306,7 +306,7 @@ def ingest_classify(s, d):
 _NOW = T0 + 20 * DAY
 
 
-@query(f"""SELECT id AS key FROM {EVENTS} WHERE kind = 'signup' OR (kind = 'error' AND {_NOW} - timestamp >= least(3600, 60 * pow(2, event_id % 8)))
+@query(f"""SELECT id AS key FROM {EVENTS} WHERE kind = 'signup' OR (kind = 'error' AND event_id % 2 = 1) OR (kind = 'error' AND {_NOW} - timestamp >= least(3600, 30 * pow(2, greatest(event_id % 8 - 1, 0))))
  OR (kind NOT IN ('signup', 'error') AND event_id % 2 = 1 AND {_NOW} - timestamp >= 300)""")
 def due_objects(s, d):
     e = events(s, d)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BOILERPLATE = ("<environment_context>", "<user_instructions>", "Caveat:")
+#: Openings of user messages that only repeat instructions, and of sessions that only restate other data.
+BOILERPLATE = ("# AGENTS.md", "<permissions instructions>", "<INSTRUCTIONS>")
+RESTATING = ('Summarize the relationship with "',)
 
 
 def trim_space(c: Column) -> Column:
@@ -51,16 +53,22 @@ def indexable(role: Column, text: Column, prefixes: tuple[str, ...] = BOILERPLAT
 
 def project_from_cwd(cwd: Column) -> Column:
     """Last path segment of a working directory, else ``unknown``."""
-    base = F.element_at(F.split(F.regexp_replace(F.coalesce(cwd, F.lit("")), "/+$", ""), "/"), -1)
-    return F.when(base == "", "unknown").otherwise(base)
+    path = F.coalesce(cwd, F.lit(""))
+    base = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    return F.when(base.isin("", ".") | (trim_space(path) == ""), "unknown").otherwise(base)
+
+
+def rfc3339(value: Column) -> Column:
+    """Unix seconds of an RFC 3339 time, white space around it aside, else 0."""
+    t = trim_space(value)
+    return F.coalesce(F.when(t.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.unix_seconds(t.try_cast("timestamp"))), F.lit(0))
 
 
 def raw_timestamp(value: Column) -> Column:
     """Unix seconds of a number (milliseconds above 1e10) or of an RFC 3339 string, else 0."""
     number = value.try_cast("double")
     scaled = F.when(number > 1e10, number / 1000).otherwise(number)
-    stamp = F.when(value.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$"), F.unix_seconds(value.try_cast("timestamp")))
-    return F.coalesce(F.when(number.isNotNull(), scaled.cast("long")), stamp, F.lit(0).cast("long"))
+    return F.when(number.isNotNull(), scaled.cast("long")).otherwise(F.coalesce(rfc3339(value), F.lit(0))).cast("long")
 
 
 def when_format(seconds: Column) -> Column:

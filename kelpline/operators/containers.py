@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -52,16 +52,28 @@ def interleave(stores: list[DataFrame], order: list[str], limit: int) -> DataFra
     return both.orderBy("rank", "store").limit(limit)
 
 
-def due(objects: DataFrame, registry: DataFrame, now: int, version: int = 1, interval: int = 300, longest: int = 3600) -> DataFrame:
-    """Objects to process: new, changed after the write interval, of an older parser, or failed and past their back-off (2^attempts minutes)."""
-    wait = F.least(F.lit(longest), 60 * F.pow(F.lit(2.0), F.least(F.col("attempts"), F.lit(20))))
+def due(objects: DataFrame, registry: DataFrame, now: int, version: int | str = 1, interval: int = 300, first: int = 30, longest: int = 3600) -> DataFrame:
+    """Objects to process, with their ``attempts`` so far.
+
+    Due are: new objects, those read by another parser, changed ones (if indexed, only ``interval`` seconds after they were), those left in
+    processing, and failed ones past their back-off, ``first`` seconds doubled with each attempt after the first, ``longest`` at most.
+    """
+    doubled = F.least(F.greatest(F.coalesce("attempts", F.lit(0)) - 1, F.lit(0)), F.lit(20))
+    wait = F.least(F.lit(longest), first * F.pow(F.lit(2.0), doubled))
     known = objects.join(registry.withColumnsRenamed({"etag": "old_etag", "size": "old_size"}), "key", "left")
     changed = (F.col("etag") != F.col("old_etag")) | (F.col("size") != F.col("old_size"))
-    age = now - F.col("updated_at")
+    age, indexed = now - F.col("updated_at"), F.col("status") == "indexed"
     ready = (
-        F.when(F.col("status").isNull(), True)
+        F.when(F.col("status").isNull() | (F.col("parser_version") != version), True)
+        .when(changed, ~indexed | (age >= interval))
+        .when(indexed, False)
         .when(F.col("status") == "failed", age >= wait)
-        .when(F.col("parser_version") != version, True)
-        .otherwise(changed & (age >= interval))
+        .otherwise(True)
     )
     return known.where(ready)
+
+
+def advance(entries: DataFrame, status: str, now: int, version: int | str, error: Column | str = "") -> DataFrame:
+    """Registry entries (key, etag, size, attempts, same_version) moved to ``status``; starting counts an attempt, anew for another version of the object or parser."""
+    again = F.when(F.col("same_version"), F.coalesce("attempts", F.lit(0))).otherwise(0) + (1 if status == "processing" else 0)
+    return entries.withColumns({"status": F.lit(status), "attempts": again.cast("long"), "updated_at": F.lit(now).cast("long"), "parser_version": F.lit(version), "error": error if isinstance(error, Column) else F.lit(error)})

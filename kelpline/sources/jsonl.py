@@ -1,15 +1,32 @@
-"""Raw transcript objects: keys, lines, and parsers of sessions and chat exports into message rows."""
+"""Raw transcript objects: keys, lines, and parsers of sessions and chat exports into message rows.
+
+Running state (session, project, pending titles) is a window over one object's lines. An object is bounded by
+``LARGEST``, so no window partition outgrows it. Each parser gives rows placed by (at, sub, line_no) in their object.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from kelpline.functions.text import indexable, project_from_cwd, raw_timestamp, record_id, trim_space
+from kelpline.functions import variants as V
+from kelpline.functions.text import RESTATING, content_hash, indexable, project_from_cwd, record_id, trim_space
 
 SOURCES = ("pi", "codex", "omp", "claude", "grok", "grokbot", "telegram", "x")
 CHATS = ("telegram", "x")
-COLUMNS = ("id", "text", "source", "host", "container_id", "container_kind", "project", "author_id", "author_name", "kind", "reply_to", "timestamp")
+LARGEST, LONGEST_LINE = 128 << 20, 64 << 20
+COLUMNS = ("id", "text", "source", "host", "container_id", "container_kind", "container_title", "project", "author_id", "author_name", "kind", "reply_to", "attrs", "content_hash", "timestamp")
+PLACE = ("key", "at", "sub", "line_no")
+
+
+def _so_far() -> WindowSpec:
+    return W.partitionBy("key").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+
+
+def _after() -> WindowSpec:
+    return W.partitionBy("key").orderBy("line_no").rowsBetween(1, W.unboundedFollowing)
 
 
 def identify(objects: DataFrame, key: str = "key") -> DataFrame:
@@ -19,66 +36,207 @@ def identify(objects: DataFrame, key: str = "key") -> DataFrame:
     return objects.where(ok).withColumns({"host": parts[0], "source": parts[1]})
 
 
-def lines(objects: DataFrame, longest: int = 64 << 20) -> DataFrame:
-    """(key, host, source, line_no, line): non-blank lines of each object's ``content``, numbered from 1 as they stand."""
-    text = F.col("content").cast("string")
-    each = objects.select("key", "host", "source", F.posexplode(F.split(text, "\n")).alias("n", "raw"))
-    return each.select("key", "host", "source", (F.col("n") + 1).alias("line_no"), trim_space(F.col("raw")).alias("line")).where((F.col("line") != "") & (F.octet_length("raw") <= longest))
+def failures(objects: DataFrame) -> DataFrame:
+    """(key, error) of recognised objects that are too large or have a line that is too long."""
+    long_line = F.exists(F.split(F.col("content").cast("string"), "\n"), lambda t: F.octet_length(t) > LONGEST_LINE)
+    error = F.when(F.octet_length("content") > LARGEST, "object too large").when(long_line, "line too long")
+    return identify(objects).select("key", error.alias("error")).where(F.col("error").isNotNull())
 
 
-def _string(v: Column, path: str) -> Column:
-    return F.coalesce(F.try_variant_get(v, path, "string"), F.lit(""))
+def lines(objects: DataFrame) -> DataFrame:
+    """(key, host, source, line_no, line): non-blank lines of each object's ``content``, numbered from 1 as they stand.
 
+    Objects named by ``failures`` give no lines.
+    """
+    split = F.split(F.col("content").cast("string"), "\n")
+    fit = objects.where(F.octet_length("content") <= LARGEST).where(~F.exists(split, lambda t: F.octet_length(t) > LONGEST_LINE))
+    each = fit.select("key", "host", "source", F.posexplode(split).alias("n", "raw"))
+    return each.select("key", "host", "source", (F.col("n") + 1).alias("line_no"), trim_space(F.col("raw")).alias("line")).where(F.col("line") != "")
 
-def content_text(v: Column, path: str) -> Column:
-    """A string's trimmed text, or the texts of an array's parts but its thinking, on lines of their own."""
-    parts = F.try_variant_get(v, path, "array<variant>")
-    spoken = F.filter(parts, lambda p: ~F.coalesce(F.try_variant_get(p, "$.type", "string"), F.lit("")).isin("thinking", "reasoning"))
-    texts = F.filter(F.transform(spoken, lambda p: trim_space(F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))), lambda t: t != "")
-    return F.when(parts.isNotNull(), F.array_join(texts, "\n")).otherwise(trim_space(_string(v, path)))
 
+def entries(rows: DataFrame) -> DataFrame:
+    """Lines that hold a JSON object, as ``v`` with its ``type``."""
+    read = rows.select("key", "host", "source", "line_no", F.try_parse_json("line").alias("v"))
+    return read.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("type", V.string(F.col("v"), "$.type"))
 
-def parse_pi(rows: DataFrame) -> DataFrame:
-    """Messages of session files with a header line: ``session`` sets the container and project of the lines after it."""
-    from pyspark.sql import Window as W
-
-    j = rows.select("*", F.try_parse_json("line").alias("v")).where(F.col("v").isNotNull())
-    kind = _string(F.col("v"), "$.type")
-    head = kind == "session"
-    w = W.partitionBy("key").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    stem = F.regexp_replace(F.element_at(F.split("key", "/"), -1), r"(?i)\.jsonl$", "")
-    session = F.coalesce(F.last(F.when(head & (_string(F.col("v"), "$.id") != ""), _string(F.col("v"), "$.id")), ignorenulls=True).over(w), stem)
-    project = F.coalesce(F.last(F.when(head, project_from_cwd(_string(F.col("v"), "$.cwd"))), ignorenulls=True).over(w), F.lit("unknown"))
-    own = _string(F.col("v"), "$.id")
-    message = j.select("*", kind.alias("type"), session.alias("container_id"), project.alias("project")).where("type = 'message'")
-    role, text = _string(F.col("v"), "$.message.role"), content_text(F.col("v"), "$.message.content")
-    out = message.select(
-        record_id(F.col("host"), F.col("source"), F.col("container_id"), F.when(own != "", own).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))).alias("id"),
-        text.alias("text"), "source", "host", "container_id", F.lit("agent_session").alias("container_kind"), "project", role.alias("author_id"), F.lit("").alias("author_name"),
-        F.lit("message").alias("kind"), F.lit("").alias("reply_to"), F.greatest(F.lit(1), raw_timestamp(_string(F.col("v"), "$.timestamp"))).alias("timestamp"),
+
+def _stem() -> Column:
+    return F.regexp_replace(F.element_at(F.split("key", "/"), -1), r"\.[^.]*$", "")
+
+
+def _latest(value: Column, default: Column | str) -> Column:
+    return F.coalesce(F.last(value, ignorenulls=True).over(_so_far()), F.lit(default) if isinstance(default, str) else default)
+
+
+def _record(kind: Column | str, turn: Column, role: Column | str, text: Column, when: Column, sub: Column | int = 1, name: str = "", waits: Column | None = None, ref: Column | None = None) -> Column:
+    """A candidate row. ``waits``: it takes session, project and place of the next header; ``ref``: the call it answers."""
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(
+        lit(kind).alias("kind"), turn.alias("turn"), lit(role).alias("role"), text.alias("text"), when.cast("long").alias("when"), lit(sub).cast("int").alias("sub"),
+        F.lit(name).alias("name"), (waits if waits is not None else F.lit(False)).alias("waits"), (ref if ref is not None else F.lit(None).cast("string")).alias("ref"),
     )
-    return out.where(indexable(F.col("author_id"), F.col("text")))
+
+
+def _emit(rows: DataFrame, found: Column) -> DataFrame:
+    """Explode the candidates ``found`` of each line; those without a text go."""
+    keep = [c for c in ("key", "host", "source", "line_no", "session", "project", "header")]
+    r = rows.select(*keep, F.explode(F.filter(found, lambda r: r.isNotNull() & (r["text"] != ""))).alias("r")).where(~F.col("r.waits") | F.col("header").isNotNull())
+    waits = F.col("r.waits")
+    session = F.when(waits, F.col("header.session")).otherwise(F.col("session"))
+    part = F.when(F.col("r.kind") == "message", F.col("r.turn")).otherwise(F.concat_ws("/", "r.kind", "r.turn"))
+    return r.select(
+        record_id(F.col("host"), F.col("source"), session, part).alias("id"), F.col("r.text").alias("text"), "source", "host", session.alias("container_id"),
+        F.lit("agent_session").alias("container_kind"), F.lit("").alias("container_title"), F.when(waits, F.col("header.project")).otherwise(F.col("project")).alias("project"),
+        F.col("r.role").alias("author_id"), F.col("r.name").alias("author_name"), F.col("r.kind").alias("kind"), F.lit("").alias("reply_to"), F.lit("").alias("attrs"),
+        content_hash(F.col("r.text")).alias("content_hash"), F.when(F.col("r.when") == 0, 1).otherwise(F.col("r.when")).cast("long").alias("timestamp"),
+        "key", F.when(waits, F.col("header.at")).otherwise(F.col("line_no")).cast("long").alias("at"), F.when(waits, 0).otherwise(F.col("r.sub")).alias("sub"), F.col("line_no").cast("long").alias("line_no"), F.col("r.ref").alias("ref"),
+    )
+
+
+def _state(rows: DataFrame, session: Column, project: Column, heads: Column) -> DataFrame:
+    """The running session and project, and the next line for which ``heads`` holds, as ``header``."""
+    known = rows.withColumns({"session": session, "project": project})
+    return known.withColumn("header", F.first(F.when(heads, F.struct("session", "project", F.col("line_no").alias("at"))), ignorenulls=True).over(_after()))
+
+
+def parse_pi(rows: DataFrame) -> DataFrame:
+    """Sessions of pi, omp and grokbot: a ``session`` line sets container and project of what follows."""
+    e, v = entries(rows), F.col("v")
+    head, own, kind = F.col("type") == "session", V.string(v, "$.id"), F.col("type")
+    e = _state(e, _latest(F.when(head, F.nullif(own, F.lit(""))), _stem()), _latest(F.when(head, project_from_cwd(V.string(v, "$.cwd"))), "unknown"), head)
+    turn = F.when(own != "", own).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))
+    named, changed, sent = V.moment(v, "$.updatedAt", "$.timestamp"), V.moment(v, "$.timestamp"), V.moment(v, "$.timestamp", "$.message.timestamp")
+    role, tool, text, voice = V.string(v, "$.message.role"), V.string(v, "$.message.toolName"), V.spoken(v, "$.message.content"), V.spoken(v, "$.content")
+    custom = V.string(v, "$.customType")
+    record = (
+        F.when(head, _record("title", F.concat(turn, F.lit("-session")), "system", V.title(v, "session"), named))
+        .when(kind.isin("title", "title_change"), _record("title", turn, "system", V.title(v, kind), named, waits=F.col("project") == "unknown"))
+        .when((kind == "custom") & (custom == "user_todo_edit"), _record("todo", turn, "user_todo_edit", V.todo(v, "user_todo_edit"), changed))
+        .when((kind == "custom_message") & (custom == "live-delegation") & indexable(F.lit("user"), voice), _record("message", turn, "user", voice, changed, name="user (voice)"))
+        .when((kind == "message") & (role == "toolResult") & (tool == "todo"), _record("todo", turn, role, V.todo(v, "todo", "$.message"), sent))
+        .when((kind == "message") & (role == "toolResult") & (tool == "task"), _record("task", turn, role, V.tool_result(v, "task", "$.message"), sent))
+        .when((kind == "message") & indexable(role, text), _record("message", turn, role, text, sent))
+    )
+    return _emit(e, F.array(record)).drop("ref")
+
+
+def parse_claude(rows: DataFrame) -> DataFrame:
+    """Sessions named by their file; the project is the first known working directory; tool calls are rows of their own."""
+    e, v = entries(rows), F.col("v")
+    cwd, kind, text = V.string(v, "$.cwd"), F.col("type"), V.spoken(v, "$.message.content")
+    project = F.coalesce(F.first(F.nullif(project_from_cwd(cwd), F.lit("unknown")), ignorenulls=True).over(_so_far()), F.lit("unknown"))
+    now = V.moment(v, "$.timestamp")
+    e = _state(e, _stem(), project, cwd != "").withColumn("clock", _latest(F.nullif(now, F.lit(0).cast("long")), F.lit(0).cast("long")))
+    e = e.withColumn("title", F.when(kind.isin("ai-title", "custom-title", "summary"), F.nullif(V.title(v, kind), F.lit(""))))
+    e = e.withColumn("once", F.row_number().over(W.partitionBy("key", "title").orderBy("line_no")) == 1)
+    role, uuid = V.string(v, "$.message.role"), V.string(v, "$.uuid")
+    title = F.when(
+        F.col("title").isNotNull() & F.col("once"),
+        _record("title", F.concat(F.lit("title-"), F.left(content_hash(F.col("title")), F.lit(16))), "system", F.col("title"), F.col("clock"), waits=F.col("project") == "unknown"),
+    )
+    message = F.when(indexable(role, text) & (uuid != "") & ~text.startswith("<local-command-stdout>"), _record("message", uuid, role, text, now, sub=2**31 - 1))
+    async_start = V.is_true(v, "$.toolUseResult.isAsync")
+
+    def part(p: Column, i: Column) -> Column:
+        what, name, own, answers = V.string(p, "$.type"), V.string(p, "$.name"), V.string(p, "$.id"), V.string(p, "$.tool_use_id")
+        use = what == "tool_use"
+        return (
+            F.when(use & (name == "TodoWrite"), _record("todo", own, role, V.todo(p, "TodoWrite", "$.input"), now, i + 1))
+            .when(use & name.isin("Agent", "Task"), _record("call", own, role, F.lit("call"), now, i + 1, ref=own))
+            .when(use & (name == "Bash"), _record("tool", own, role, V.command(p, "$.input"), now, i + 1))
+            .when((what == "tool_result") & ~async_start, _record("task", answers, "toolResult", V.tool_result(p, "task"), now, i + 1, ref=answers))
+        )
+
+    parts = F.transform(F.coalesce(F.try_variant_get(v, "$.message.content", "array<variant>"), F.array().cast("array<variant>")), part)
+    said = kind.isin("user", "assistant") & ~V.is_true(v, "$.isMeta")
+    out = _emit(e, F.when(said, F.concat(parts, F.array(message))).otherwise(F.array(title)))
+    called = F.min(F.when(F.col("kind") == "call", F.struct("at", "sub"))).over(W.partitionBy("key", "ref"))
+    out = out.withColumn("called", called)
+    return out.where((F.col("kind") != "call") & ((F.col("kind") != "task") | (F.col("called") < F.struct("at", "sub")))).drop("called", "ref")
+
+
+def parse_codex(rows: DataFrame) -> DataFrame:
+    """Sessions with a ``session_meta`` line; messages are told apart by their id, or by their text where they have none."""
+    e, v = entries(rows), F.col("v")
+    head, own = F.col("type") == "session_meta", trim_space(V.string(v, "$.payload.id"))
+    named = V.string(v, "$.payload.id")
+    e = _state(e, _latest(F.when(head, F.nullif(named, F.lit(""))), _stem()), _latest(F.when(head, project_from_cwd(V.string(v, "$.payload.cwd"))), "unknown"), head)
+    role, text, now = V.string(v, "$.payload.role"), V.spoken(v, "$.payload.content"), V.moment(v, "$.timestamp")
+    said = (F.col("type") == "response_item") & (V.string(v, "$.payload.type") == "message") & indexable(role, text)
+    same = F.when(said, F.when(own != "", own).otherwise(F.concat(F.lit("legacy-"), F.left(content_hash(text), F.lit(16)))))
+    e = e.withColumn("same", same).withColumn("once", F.row_number().over(W.partitionBy("key", "same").orderBy("line_no")) == 1)
+    turn = F.when(own != "", own).otherwise(F.concat(F.lit("line-"), (F.col("line_no") - 1).cast("string")))
+    record = F.when(head, _record("title", F.concat(named, F.lit("-session")), "system", V.title(v, "session", "$.payload"), now)).when(
+        F.col("same").isNotNull() & F.col("once"), _record("message", turn, role, text, now)
+    )
+    return _emit(e, F.array(record)).drop("ref")
+
+
+def parse_grok(rows: DataFrame) -> DataFrame:
+    """Session updates; the project is in the path, the session in the updates that are kept."""
+    u, m = "$.params.update", "$.params._meta"
+    e, v = entries(rows), F.col("v")
+    what, text = V.string(v, f"{u}.sessionUpdate"), trim_space(V.string(v, f"{u}.content.text"))
+    role = F.when(what == "user_message_chunk", "user").when(what == "agent_message_chunk", "assistant").otherwise("")
+    e = e.where((V.string(v, "$.method") == "session/update") & ~text.startswith("<runtime_info>") & indexable(role, text))
+    folder = F.coalesce(F.try_element_at(F.split("key", "/"), F.lit(-3)), F.lit(""))
+    project = F.coalesce(project_from_cwd(F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))), F.lit("unknown"))
+    e = _state(e, _latest(F.nullif(V.string(v, "$.params.sessionId"), F.lit("")), _stem()), project, F.lit(False))
+    event = V.string(v, f"{m}.eventId")
+    turn = F.when(event != "", event).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))
+    return _emit(e, F.array(_record("message", turn, role, text, V.moment(v, f"{m}.agentTimestampMs", "$.timestamp")))).drop("ref")
 
 
 def parse_chat(rows: DataFrame) -> DataFrame:
-    """Messages of chat exports: the last version of an id wins and keeps the first one's place; emptied messages go."""
-    j = rows.select("*", F.try_parse_json("line").alias("v"))
+    """Messages of chat exports: the last version of an id wins and keeps the first one's place; emptied messages go.
+
+    A line with a field of the wrong type goes; the loose extra fields may be of any type.
+    """
     v = F.col("v")
-    number = lambda p: F.try_variant_get(v, p, "long")
-    read = j.select(
-        "key", "host", "source", "line_no", number("$.id").alias("n"), number("$.chat_id").alias("chat"), number("$.topic_id").alias("topic"), _string(v, "$.chat_type").alias("container_kind"),
-        _string(v, "$.text").alias("text"), number("$.date").alias("date"), number("$.sender_id").alias("sender"), _string(v, "$.sender_name").alias("author_name"), number("$.reply_to").alias("reply"),
-    ).where("n IS NOT NULL AND chat IS NOT NULL")
-    last = read.groupBy("key", "host", "source", "chat", "n").agg(F.max_by(F.struct("topic", "container_kind", "text", "date", "sender", "author_name", "reply"), "line_no").alias("m"))
-    base = lambda n: F.concat_ws("/", "host", "source", F.col("chat").cast("string"), n.cast("string"))
-    return last.where(trim_space(F.col("m.text")) != "").select(
-        base(F.col("n")).alias("id"), trim_space(F.col("m.text")).alias("text"), "source", "host", F.concat_ws(":", F.col("chat").cast("string"), F.col("m.topic").cast("string")).alias("container_id"),
-        "m.container_kind", F.lit("unknown").alias("project"), F.coalesce(F.col("m.sender").cast("string"), F.lit("")).alias("author_id"), "m.author_name", F.lit("message").alias("kind"),
-        F.coalesce(base(F.col("m.reply")), F.lit("")).alias("reply_to"), F.greatest(F.lit(1).cast("long"), F.coalesce("m.date", F.lit(0))).alias("timestamp"),
+    texts = ("id", "chat_id", "chat_type", "chat_title", "topic_id", "sender_id", "sender_name", "reply_to", "fwd_from", "media", "text")
+    numbers = ("date", "edit_date")
+    ok = F.lit(True)
+    for name in texts:
+        ok = ok & V.type_of(V.at(v, f"$.{name}")).isin("STRING", "VOID")
+    for name in numbers:
+        ok = ok & V.type_of(V.at(v, f"$.{name}")).isin("BIGINT", "VOID")
+    extra = {k: V.present(V.at(v, f"$.{k}")) for k in ("encrypted", "message_id", "sender_handle", "source_account", "verified")}
+    given = lambda k: F.nullif(V.string(v, f"$.{k}"), F.lit(""))
+    number = lambda k: F.nullif(F.coalesce(F.try_variant_get(v, f"$.{k}", "long"), F.lit(0)), F.lit(0).cast("long"))
+    attrs = F.to_json(F.struct(number("edit_date").alias("edit_date"), extra["encrypted"].alias("encrypted"), given("fwd_from").alias("fwd_from"), given("media").alias("media"),
+                               *[extra[k].alias(k) for k in ("message_id", "sender_handle", "source_account", "verified")]))
+    read = entries(rows).where(ok).select(
+        "key", "host", "source", "line_no", *[V.string(v, f"$.{k}").alias(k) for k in texts], F.coalesce(number("date"), F.lit(1)).cast("long").alias("timestamp"), F.when(attrs == "{}", "").otherwise(attrs).alias("attrs"),
+    ).where("id <> '' AND chat_id <> ''").withColumn("container_id", F.concat_ws(":", "chat_id", F.nullif("topic_id", F.lit(""))))
+    last = read.groupBy("key", "host", "source", "container_id", "id").agg(
+        F.max_by(F.struct("chat_type", "chat_title", "sender_id", "sender_name", "reply_to", "text", "timestamp", "attrs"), "line_no").alias("m"), F.min("line_no").cast("long").alias("line_no")
+    )
+    full = lambda c: record_id(F.col("host"), F.col("source"), F.col("container_id"), c)
+    text = trim_space(F.col("m.text"))
+    return last.where(text != "").select(
+        full(F.col("id")).alias("id"), text.alias("text"), "source", "host", "container_id", F.col("m.chat_type").alias("container_kind"), F.col("m.chat_title").alias("container_title"),
+        F.lit("").alias("project"), F.col("m.sender_id").alias("author_id"), F.col("m.sender_name").alias("author_name"), F.lit("message").alias("kind"),
+        F.when(F.col("m.reply_to") != "", full(F.col("m.reply_to"))).otherwise("").alias("reply_to"), "m.attrs", content_hash(text).alias("content_hash"), "m.timestamp",
+        "key", F.col("m.timestamp").alias("at"), F.lit(0).alias("sub"), "line_no",
     )
 
 
-def parse(objects: DataFrame) -> DataFrame:
-    """Message rows of all recognised objects (key, content)."""
+def drop_restating(rows: DataFrame) -> DataFrame:
+    """Without the objects whose first user message opens with a restating prompt."""
+    user = (F.col("kind") == "message") & (F.col("author_id") == "user")
+    opens = F.lit(False)
+    for p in RESTATING:
+        opens = opens | trim_space(F.col("text")).startswith(p)
+    w = W.partitionBy("key").orderBy("at", "sub", "line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return rows.withColumn("_skip", F.coalesce(F.first(F.when(user, opens), ignorenulls=True).over(w), F.lit(False))).where("NOT _skip").drop("_skip")
+
+
+def parse(objects: DataFrame, state: bool = True) -> DataFrame:
+    """Message rows of all recognised objects (key, content), with their place; without titles, todos, tasks and tools unless ``state``."""
     rows = lines(identify(objects))
-    return parse_pi(rows.where(F.col("source").isin("pi", "omp", "grokbot"))).unionByName(parse_chat(rows.where(F.col("source").isin(*CHATS))))
+    of = lambda *names: rows.where(F.col("source").isin(*names))
+    sessions = parse_pi(of("pi", "omp", "grokbot"))
+    for f, name in ((parse_claude, "claude"), (parse_codex, "codex"), (parse_grok, "grok")):
+        sessions = sessions.unionByName(f(of(name)))
+    out = drop_restating(sessions).unionByName(parse_chat(of(*CHATS)))
+    return out if state else out.where("kind = 'message'")

@@ -6,27 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kelpline.functions.text import content_hash
-from kelpline.operators.units import token_windows
-from kelpline.sources.jsonl import parse
-from kelpline.sources.store import Store
+from kelpline.engine import Engine
 
 
 def raw_objects(spark: SparkSession, root: str) -> DataFrame:
     """(key, content) of the objects under ``root``, as a stream of files."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root)
     return files.select(F.regexp_replace("path", "^.*?" + root.split("://")[-1].strip("/") + "/", "").alias("key"), "content")
 
 
-def ingest_batch(store: Store, objects: DataFrame) -> None:
-    """Idempotent: what was seen with the same content is left out, the rest is upserted by id."""
-    rows = parse(objects).withColumn("content_hash", content_hash(F.col("text"))).dropDuplicates(["id"])
-    seen = store.read("dedup")
-    state = rows.select(F.col("id").alias("dedup_key"), "content_hash")
-    new = rows if seen is None else rows.join(seen.withColumnRenamed("dedup_key", "id"), ["id", "content_hash"], "left_anti")
-    chunks = token_windows(new).join(new.select(F.col("id").alias("message_id"), "source", "host", "container_id", "timestamp"), "message_id")
-    store.flush(new, chunks.withColumn("id", F.concat_ws("#", "message_id", F.col("chunk_index").cast("string"))), state.join(new.select(F.col("id").alias("dedup_key")), "dedup_key"))
-
-
-def start(spark: SparkSession, root: str, store: Store, checkpoint: str) -> StreamingQuery:
-    return raw_objects(spark, root).writeStream.foreachBatch(lambda df, _: ingest_batch(store, df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(spark: SparkSession, root: str, engine: Engine, checkpoint: str) -> StreamingQuery:
+    """Ingest what is new under ``root``. A batch that runs twice changes nothing; files that grow are for ``Engine.poll``."""
+    return raw_objects(spark, root).writeStream.foreachBatch(lambda df, _: engine.ingest_objects(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

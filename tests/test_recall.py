@@ -1,4 +1,3 @@
-import json
 import math
 from pathlib import Path
 
@@ -12,9 +11,6 @@ from kelpline.operators import containers as C
 from kelpline.operators import search as S
 from kelpline.operators import units as U
 from kelpline.plans import predicates as P
-from kelpline.sources import jsonl
-from kelpline.sources.store import Store
-from kelpline.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,34 +85,3 @@ def test_ivf_falls_back_to_the_flat_scan(spark):
     rows = S.ivf_assign(spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id int, vector array<float>"), [[0.0, 0.0], [4.0, 0.0]])
     got = S.ivf_search(rows, [[0.0, 0.0], [4.0, 0.0]], [0.0, 0.0], 5, 1)
     assert [r.id for r in got.collect()] == [0, 1, 2, 3, 4] and math.isclose(got.first().score, 1)
-
-
-PI = [
-    {"type": "session", "id": "s1", "cwd": "/home/me/boat/"},
-    {"type": "message", "id": "u1", "timestamp": "2024-01-01T00:00:00Z", "message": {"role": "user", "content": [{"type": "text", "text": " please mend the boat "}]}},
-    {"type": "message", "timestamp": 1704067260000, "message": {"role": "assistant", "content": [{"type": "thinking", "text": "hm"}, {"type": "text", "text": "the boat is mended"}]}},
-    {"type": "message", "id": "u2", "timestamp": 5, "message": {"role": "user", "content": "ok"}},
-]
-CHAT = [{"id": 1, "chat_id": 9, "chat_type": "group", "date": 50, "sender_id": 3, "text": "first"}, {"id": 2, "chat_id": 9, "chat_type": "group", "topic_id": 4, "date": 60, "sender_id": 3, "text": "", "reply_to": 1}, {"id": 1, "chat_id": 9, "chat_type": "group", "date": 50, "sender_id": 3, "text": "edited"}]
-
-
-def _objects(spark):
-    body = lambda lines: bytearray("\n".join(map(json.dumps, lines)).encode() + b"\nnot json\n")
-    return spark.createDataFrame([("mac/pi/a/s.jsonl", body(PI)), ("mac/telegram/c/2024.JSONL", body(CHAT)), ("mac/notes/x.jsonl", body(PI)), ("pi/a.jsonl", body(PI))], "key string, content binary")
-
-
-def test_parsers(spark):
-    rows = {r.id: r for r in jsonl.parse(_objects(spark)).collect()}
-    assert set(rows) == {"mac/pi/s1/u1", "mac/pi/s1/line-3", "mac/telegram/9/1"}
-    assert rows["mac/pi/s1/u1"].text == "please mend the boat" and rows["mac/pi/s1/u1"].project == "boat"
-    assert rows["mac/pi/s1/line-3"].text == "the boat is mended" and rows["mac/pi/s1/line-3"].timestamp == 1704067260
-    assert rows["mac/telegram/9/1"].text == "edited"
-
-
-def test_store_and_ingest(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/store")
-    for _ in range(2):
-        ingest.ingest_batch(store, _objects(spark))
-    assert store.read("messages").count() == store.read("dedup").count() == 3 and store.read("chunks").count() == 3
-    assert store.delete_host("ma", "messages") == 0 and store.delete_host("mac", "messages", "chunks") == 6
-    assert store.read("messages").count() == 0
