@@ -15,7 +15,7 @@ from kelpline.operators import containers as C
 from kelpline.operators import contextual as U
 from kelpline.operators import search as S
 from kelpline.plans import predicates as P
-from kelpline.sources import jsonl
+from kelpline.sources import jsonl, local
 from kelpline.sources.store import Store
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -137,6 +137,24 @@ class Engine:
         rows.unpersist()
         return {"due": n, "written": written}
 
+    def sync(self, root: str, source: str, host: str, dry_run: bool = False) -> dict[str, int]:
+        """Ingest files under ``root`` that have grown since their cursors, up to their last complete line.
+
+        An object is parsed whole, since its rows depend on the lines before; what the store has seen is not written or embedded again.
+        Cursors move after the rows are stored, so a crash in between only repeats work.
+        """
+        new = local.grown(local.files(self.spark, root), self.store.read("cursor")).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = new.count()
+            if not n or dry_run:
+                return {"files": n, "accepted": 0}
+            objects = new.select(F.concat_ws("/", F.lit(host), F.lit(source), "rel").alias("key"), "content")
+            accepted = self.ingest_objects(objects)
+            self.store.upsert("cursor", new.select("path", "offset"), "path")
+            return {"files": n, "accepted": accepted}
+        finally:
+            new.unpersist()
+
     def ingest(self, records: DataFrame) -> tuple[dict[str, int], DataFrame]:
         """Store records (``RECORD``'s columns; absent ones count as empty): counts, and (id, error) of those refused.
 
