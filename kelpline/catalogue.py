@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as X
 from kelpline.operators import containers as C
+from kelpline.operators import postings as I
+from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
 from kelpline.operators import units as U
 from kelpline.plans import predicates as P
+from kelpline.sources import migrate as M
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERY = "of stand ner"
@@ -346,6 +349,46 @@ def when_format(s, d):
     return events(s, d).select("id", X.when_format(F.col("timestamp")).alias("minute"))
 
 
+@query(f"SELECT doc_id AS id, round(score, 6) AS score FROM {_BM25} WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+def bm25_indexed(s, d):
+    """Through postings, built here; a store keeps them."""
+    docs = _table(s, d, "documents")
+    n, avg = I.stats(docs).first()
+    hits = I.bm25(I.build(docs, "doc_id"), n, avg, QUERY)
+    return hits.orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
+def postings_counts(s, d):
+    return I.build(_table(s, d, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+_OLDER = "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN concat_ws('/', 'h', 'pi', user_id, 'message', event_id) WHEN 2 THEN concat_ws('/', 'h', 'pi', user_id, event_type, event_id) ELSE concat_ws('/', 'h', 'pi', user_id, event_id) END"
+
+
+@query(f"""SELECT event_id, CASE WHEN p = '' THEN CAST(event_id AS VARCHAR) WHEN event_id % 4 = 1 THEN replace(p, '/message/', '/') ELSE p END AS id,
+ CASE WHEN event_id % 4 = 2 THEN event_type ELSE 'message' END AS kind FROM (SELECT *, {_OLDER} AS p FROM events)""")
+def older_identity(s, d):
+    id, kind = M.identity(F.col("p"), F.col("event_id").cast("string"))
+    return _table(s, d, "events").withColumn("p", F.expr(_OLDER)).select("event_id", id.alias("id"), kind.alias("kind"))
+
+
+@query("SELECT o_orderkey AS key, CAST(o_custkey AS BIGINT) AS size FROM orders WHERE o_custkey % 3 = 0")
+def upload_differences(s, d):
+    """Objects without a remote one of their key and size."""
+    here = _table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("long").alias("size"))
+    there = here.withColumn("size", F.when(F.col("size") % 3 == 0, -1).otherwise(F.col("size")))
+    return here.join(there, ["key", "size"], "left_anti")
+
+
+@query()
+def pq_search(s, d):
+    rows = _table(s, d, "embeddings")
+    book = Q.train(rows, 64, lists=4, parts=16, codes=64, id="vec_id", vector="embedding")
+    hits = Q.search(Q.encode(rows, book, "embedding"), book, VECTOR, 10, 4, 8, "vec_id", "embedding")
+    return hits.select("vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query()
 def chunk_windows(s, d):
     return U.token_windows(_table(s, d, "documents"), 384, 64, "doc_id")

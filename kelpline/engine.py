@@ -6,13 +6,14 @@ import time
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import content_hash
 from kelpline.operators import containers as C
 from kelpline.operators import contextual as U
+from kelpline.operators import postings as I
 from kelpline.operators import search as S
 from kelpline.plans import predicates as P
 from kelpline.sources import jsonl, local
@@ -30,6 +31,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, dims: int = 384):
         self.spark, self.store, self.embedder, self.dims = spark, Store(spark, root), embedder, dims
+        self._indexed: tuple[str, object] | None = None  # path of the index's statistics, and they
 
     # Reading
 
@@ -43,6 +45,16 @@ class Engine:
         """Whether a search of one row runs."""
         return self.store.read("chunks") is not None and len(S.bm25(self._table("chunks"), "ready").limit(1).collect()) <= 1
 
+    def _keywords(self, text: str, keep: Column, narrowed: bool) -> DataFrame:
+        """BM25 scores of the chunks that ``keep`` holds for: by the index if it is of these chunks, else by a scan."""
+        stats, chunks = self.store.version("index_stats"), self._table("chunks")
+        if stats and (self._indexed is None or self._indexed[0] != stats[1]):
+            self._indexed = stats[1], self.spark.read.parquet(stats[1]).first()  # its only row
+        if not stats or self._indexed[1].chunks != self.store.version("chunks")[1]:
+            return S.bm25(chunks, text, keep=keep)
+        hits = I.bm25(self.spark.read.parquet(self._indexed[1].postings), self._indexed[1].n, self._indexed[1].avg, text)
+        return hits.join(chunks.where(keep).select("id"), "id", "left_semi") if narrowed else hits
+
     def search(self, text: str = "", vector: list[float] | None = None, limit: int = 5, embed: bool | None = None, **filters: str) -> DataFrame:
         """(rank, id, score, matched_chunk_id, text, ...) of at most ``limit`` messages.
 
@@ -58,13 +70,14 @@ class Engine:
             raise ValueError("a query needs a text or a vector")
         if vector and len(vector) != self.dims:
             raise ValueError(f"the vector has {len(vector)} numbers, not {self.dims}")
-        rows, k = self._table("chunks").where(P.eq_all(**filters)), S.fetch_size(limit)
+        keep, k = P.eq_all(**filters), S.fetch_size(limit)
+        rows = self._table("chunks").where(keep)
         lists = []
         if vector:
             near = S.vector_search(rows.select("id", "vector"), vector, k)
             lists.append(S.ranked(near.select("id", "distance", "score"), "distance", "id"))
         if text:
-            lists.append(S.ranked(S.bm25(rows, text).orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id"))
+            lists.append(S.ranked(self._keywords(text, keep, any(filters.values())).orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id"))
         hits = lists[0].select("id", "score", "rank")
         if len(lists) == 2:
             hits = S.ranked(S.fuse(*lists).orderBy(F.desc("score"), "id").limit(2 * k), F.desc("score"), "id")
@@ -199,10 +212,28 @@ class Engine:
 
     # Maintenance
 
-    def optimize(self, files: int = 8) -> None:
-        """Rewrite each table in ``files`` files."""
+    def optimize(self, files: int = 8, threshold: int = 0, prune: bool = False) -> bool:
+        """Rewrite each table in ``files`` files and index the chunks, if a table has more than ``threshold`` files; whether that was so.
+
+        With ``prune``, older snapshots are deleted; no one may be reading them then.
+        """
+        if max(self.fragment_counts().values(), default=0) <= threshold:
+            return False
         for t in ("messages", "chunks"):
             self.store.optimize(t, files)
+        self.build_index()
+        if prune:
+            for t in ("messages", "chunks", "dedup", "registry", "cursor", "postings", "index_stats"):
+                self.store.prune(t)
+        return True
+
+    def build_index(self) -> None:
+        """Index the chunks' words; a search uses that until the chunks change. The statistics name the snapshots they are of and come last."""
+        chunks = self._table("chunks")
+        of = self.store.version("chunks")[1]
+        self.store.write("postings", I.build(chunks))
+        made = self.store.version("postings")[1]
+        self.store.write("index_stats", I.stats(chunks).withColumns({"chunks": F.lit(of), "postings": F.lit(made)}))
 
     def audit_duplicates(self) -> DataFrame:
         """(table, id, copies) of ids that stand more than once."""

@@ -48,14 +48,18 @@ def keyword_search(rows: DataFrame, query: str, k: int, id: str = "id", text: st
     return top.where(F.col("score") > 0)
 
 
-def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text") -> DataFrame:
-    """(id, score) by BM25 over distinct query terms. Nothing is exploded; the corpus statistics are one aggregate row."""
+def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text", keep: Column | None = None) -> DataFrame:
+    """(id, score) by BM25 over distinct query terms. Nothing is exploded; the corpus statistics are one aggregate row.
+
+    They are those of all ``rows``; ``keep`` then says which may be found.
+    """
     terms = sorted(set(query_terms(query)))
-    hits = rows.select(F.col(id).alias("id"), token_count(F.col(text)).alias("len"), *[term_frequency(F.col(text), w).alias(f"tf{i}") for i, w in enumerate(terms)])
+    hits = rows.select(F.col(id).alias("id"), (F.lit(True) if keep is None else keep).alias("_keep"), token_count(F.col(text)).alias("len"), *[term_frequency(F.col(text), w).alias(f"tf{i}") for i, w in enumerate(terms)])
     stats = hits.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     some = F.lit(False)
     for i in range(len(terms)):
         some = some | (F.col(f"tf{i}") > 0)
+    some = some & F.col("_keep")
     score = F.lit(0.0)
     for i in range(len(terms)):
         tf, d = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")

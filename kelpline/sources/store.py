@@ -71,3 +71,16 @@ class Store:
         """Rewrite a table in ``files`` files."""
         base = self.read(table)
         return self.write(table, base.repartition(files)) if base is not None else 0
+
+    def prune(self, table: str) -> int:
+        """Delete all snapshots but the newest, for times without readers; how many there were."""
+        newest = self.version(table)
+        if newest is None:
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        old = [s.getPath() for s in fs.listStatus(path(self._log(table))) if int(s.getPath().getName().split("@", 1)[0]) < newest[0]]
+        for entry in old:
+            fs.delete(path(f"{self.root}/{table}/{entry.getName().split('@', 1)[1]}"), True)
+            fs.delete(entry, False)
+        return len(old)

@@ -168,3 +168,25 @@ def test_quantised_search_finds_what_brute_force_does(spark):
     with pytest.raises(ValueError):
         Q.train(rows.where("vector IS NULL"), 32, parts=8)
     assert Q.encode(rows.limit(0), book).count() == 0 and index.select(F.octet_length("codes")).first()[0] == 8
+
+
+def test_an_index_gives_what_a_scan_does(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/i", hashed_vectors(4), 4)
+    rows = [("a", "the tide, the TIDE"), ("b", "a tide of boats"), ("c", "boats"), ("d", "no match")]
+    e.ingest(spark.createDataFrame([(i, t, "crm", f"c{i}", "h" if i < "c" else "g", 5) for i, t in rows], ROW))
+    found = lambda **k: [(r.id, round(r.score, 9)) for r in e.search("tide boats tide", **k).collect()]
+    scanned, narrowed = found(), found(host="g")
+    assert len(scanned) == 3 and [i for i, _ in narrowed] == ["c"]
+    assert e.optimize(2) and not e.optimize(2, threshold=20)
+    assert e.store.version("index_stats") and found() == scanned and found(host="g") == narrowed
+    e.ingest(spark.createDataFrame([("z", "tide", "crm", "cz", "h", 6)], ROW))  # the index is stale now
+    assert len(found()) == 4
+    assert e.optimize(2, prune=True) and len(found()) == 4 and e.store.prune("chunks") == 0
+
+
+def test_an_index_of_empty_and_null_texts(spark):
+    from kelpline.operators import postings as I
+
+    rows = spark.createDataFrame([("a", None), ("b", "")], "id string, text string")
+    assert I.build(rows).count() == 0 and tuple(I.stats(rows).first()) == (2, 0.0) and tuple(I.stats(rows.limit(0)).first()) == (0, 0.0)
+    assert I.bm25(I.build(rows), 2, 0.0, "x").count() == 0
