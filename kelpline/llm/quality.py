@@ -14,17 +14,18 @@ over all languages; without any trusted text nothing is rejected but empty texts
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import bounded_batches, cut, fresh, shared_dir
 
-ORDER, SHARDS, KEEP_BYTES = 4, 16, 128 << 20
+ORDER, SHARDS, KEEP_BYTES = 5, 16, 128 << 20
 START = 1  # code of the padding before a text
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,59 +35,100 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _codes(text: str) -> np.ndarray:
+    """Characters of the padded text."""
+    return np.frombuffer(("\1" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def digests(text: str) -> list[np.ndarray]:
     """For n = 0..ORDER the digests of the n-grams that begin at each position of the padded text."""
-    codes = np.frombuffer(("\1" * (ORDER - 1) + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = _codes(text).astype(np.uint64)
     out = [np.zeros(len(codes) + 1, np.uint64)]
     for n in range(1, ORDER + 1):
         out.append(_mix(out[-1][: len(codes) - n + 1] * _P + codes[n - 1 :] + np.uint64(n)))
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the longest n-grams; the shorter ones are their ends, of which lower orders only need that they exist.
+def _squeeze(rows: np.ndarray) -> np.ndarray:
+    """Rows (first characters, last characters, count) with equal n-grams added up."""
+    rows = rows[:, np.lexsort((rows[1], rows[0]))]
+    starts = np.flatnonzero(np.concatenate([[True], (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])]))
+    return np.stack([rows[0, starts], rows[1, starts], np.add.reduceat(rows[2], starts)])
 
-    g, c, s: digests of an n-gram, of its first n - 1 characters and of its last n - 1."""
-    fields = [f"g{n}" for n in range(1, ORDER + 1)] + [f"c{n}" for n in range(ORDER)]
-    held: list[np.ndarray] = []  # columns: fields, then the count
-    fresh_rows: list[np.ndarray] = []
-    size = 0
 
-    def squeeze() -> None:
-        nonlocal held, fresh_rows
-        parts = []
-        if fresh_rows:
-            rows = np.concatenate(fresh_rows, axis=1)
-            _, first, n = np.unique(rows[ORDER - 1], return_index=True, return_counts=True)
-            parts = [np.concatenate([rows[:, first], n[None].astype(np.uint64)])]
-        both = np.concatenate([*held, *parts], axis=1) if held or parts else None
-        if both is not None and held and parts:
-            _, first, of = np.unique(both[ORDER - 1], return_index=True, return_inverse=True)
-            total = np.bincount(of, weights=both[-1].astype(np.float64)).astype(np.uint64)
-            both = np.concatenate([both[:-1, first], total[None]])
-        held, fresh_rows = ([both] if both is not None else []), []
-
-    for b in batches:
-        for text in b.column(0).to_pylist():
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the longest n-grams, kept as characters: a has all but the last three, b those three, 21 bits each."""
+    held: list[np.ndarray] = []
+    size = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
             if text:
-                d = digests(text)
-                n = len(text)
-                fresh_rows.append(np.stack([d[k][ORDER - k : ORDER - k + n] for k in range(1, ORDER + 1)] + [d[k][ORDER - 1 - k : ORDER - 1 - k + n] for k in range(ORDER)]))
+                codes, n = _codes(text).astype(np.int64), len(text)
+                a, b = np.zeros(n, np.int64), np.zeros(n, np.int64)
+                for k in range(ORDER):
+                    part = a if k < ORDER - 3 else b
+                    part[:] = part << 21 | codes[k : k + n]
+                held.append(np.stack([a, b, np.ones(n, np.int64)]))
                 size += n
             if size > 1_000_000:
-                squeeze()
-                size = 0
-    squeeze()
-    if not held:
-        return
-    table = dict(zip([*fields, "k"], held[0].view(np.int64)))
-    for n in range(1, ORDER + 1):
-        _, first = np.unique(table[f"g{n}"], return_index=True)
-        g, c, k = table[f"g{n}"][first], table[f"c{n - 1}"][first], table["k"][first] if n == ORDER else np.zeros(len(first), np.int64)
-        s = table[f"g{n - 1}"][first] if n > 1 else np.zeros(len(first), np.int64)
-        for lo in range(0, len(g), 50_000):
-            cut_ = slice(lo, lo + 50_000)
-            yield pa.record_batch({"n": pa.array(np.full(len(g[cut_]), n, np.int32)), "g": g[cut_], "c": c[cut_], "s": s[cut_], "k": k[cut_]})
+                held, size = [_squeeze(np.concatenate(held, axis=1))], 0
+    if held:
+        rows = _squeeze(np.concatenate(held, axis=1))
+        for lo in range(0, rows.shape[1], 50_000):
+            yield pa.record_batch(dict(zip("abk", rows[:, lo : lo + 50_000])))
+
+
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counted longest n-grams as digests, and the shorter ones, which are their ends and of which lower orders only need that they exist.
+
+    g, c, s: digests of an n-gram, of its first n - 1 characters and of its last n - 1."""
+    mask = np.int64((1 << 21) - 1)
+
+    def orders(a: np.ndarray, b: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes = [((a >> 21 * (ORDER - 4 - i) if i < ORDER - 3 else b >> 21 * (ORDER - 1 - i)) & mask).astype(np.uint64) for i in range(ORDER)]
+
+        def digest(first: int, n: int) -> np.ndarray:
+            h = np.zeros(len(a), np.uint64)
+            for i in range(n):
+                h = _mix(h * _P + codes[first + i] + np.uint64(i + 1))
+            return h.view(np.int64)
+
+        s = digest(ORDER, 0)
+        for n in range(1, ORDER + 1):
+            g = digest(ORDER - n, n)
+            _, first = np.unique(g, return_index=True)
+            c, own = digest(ORDER - n, n - 1), k if n == ORDER else np.zeros_like(k)
+            for lo in range(0, len(first), 50_000):
+                at = first[lo : lo + 50_000]
+                yield pa.record_batch({"n": pa.array(np.full(len(at), n, np.int32)), "g": g[at], "c": c[at], "s": s[at], "k": own[at]})
+            s = g
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) > 500_000:
+            yield from orders(*(pa.Table.from_batches(held).column(x).to_numpy() for x in "abk"))
+            held = []
+    if held:
+        yield from orders(*(pa.Table.from_batches(held).column(x).to_numpy() for x in "abk"))
+
+
+@contextmanager
+def _bloom_filter(spark: SparkSession) -> Iterator[None]:
+    """Plans made here sieve the large side of a semi-join by a Bloom filter of 8 MB before the shuffle; the join itself stays exact."""
+    size = "spark.sql.optimizer.runtime.bloomFilter."
+    values = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", size + "enabled": "true", size + "creationSideThreshold": "1t", size + "applicationSideScanSizeThreshold": "0",
+        size + "expectedNumItems": "4000000", size + "numBits": str(1 << 26),
+    }
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def train(trusted: DataFrame) -> tuple[str, int] | None:
@@ -96,7 +138,9 @@ def train(trusted: DataFrame) -> tuple[str, int] | None:
     """
     spark = trusted.sparkSession
     kinds = "n int, g long, c long, s long, k long"
-    raw = cut(trusted.select("text").mapInArrow(_count, kinds).groupBy("n", "g").agg(F.sum("k").alias("k"), F.first("c").alias("c"), F.first("s").alias("s")), "grams")
+    with _bloom_filter(spark):
+        longest = cut(trusted.select("text").mapInArrow(_count, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k")), "longest")
+    raw = cut(longest.mapInArrow(_orders, kinds).groupBy("n", "g").agg(F.sum("k").alias("k"), F.first("c").alias("c"), F.first("s").alias("s")), "grams")
     more = raw.where(F.col("n") > 1).groupBy((F.col("n") - 1).alias("n"), F.col("s").alias("g")).agg(F.count("*").alias("cont"))
     counts = raw.join(more, ["n", "g"], "left").select("n", "g", "c", "s", F.when(F.col("n") == ORDER, F.col("k")).otherwise(F.coalesce("cont", F.lit(1))).alias("k"))
     counts = cut(counts, "counts")
@@ -262,7 +306,7 @@ def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _good(labels: DataFrame) -> DataFrame:
-    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, drop: tuple[str, ...] = ()) -> DataFrame:

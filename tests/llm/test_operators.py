@@ -192,6 +192,12 @@ def test_quality_against_plain_kneser_ney(spark):
     assert not keep[len(texts)] and not keep[len(texts) + 1] and sum(keep.values()) >= len(texts) - 1
 
 
+def test_quality_tells_fifth_characters_by_four_before(spark):
+    folder, known = quality.train(docs_of(spark, ["abcde", "xbcdf"] * 20).select("text"))
+    seen, mixed = quality.Model(folder, known).log_probability(["abcde", "abcdf"])
+    assert seen > mixed + 1  # after bcd alone, e and f are as likely
+
+
 def test_url_rules(spark):
     urls = ["http://A.Example.org/es/1?x", "https://example.org/en/12#t", "https://example.org/fr", "http://badorg/x", "http://x.com/de/", "http://x.com/it", "http://spam-farm.example.net/", None, "nothing", "http://org", "http://x.org?y/"]
     out = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame([(u,) for u in urls], "url string").coalesce(1)).collect()]
