@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import text as X
 from kelpline.operators import containers as C
+from kelpline.operators import ivf as V
 from kelpline.operators import postings as I
 from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
@@ -396,9 +397,11 @@ def chunk_windows(s, d):
 
 @query()
 def ivf_search(s, d):
+    """The ten nearest of every twentieth vector."""
     rows = _table(s, d, "embeddings").select("vec_id", "embedding")
-    centroids = [list(map(float, r[0])) for r in rows.where("vec_id < 16").select("embedding").collect()]  # sixteen rows at most
-    return S.ivf_search(S.ivf_assign(rows, centroids, "embedding"), centroids, VECTOR, 10, 4, "vec_id", "embedding").select("vec_id", F.round("distance", 6).alias("distance"))
+    index = V.build(rows, 64, 16, id="vec_id", vector="embedding")
+    hits = V.search(index, rows.where("vec_id % 20 = 0"), 10, V.probes_for(s, index, 10), "vec_id", "embedding")
+    return hits.select("query_id", F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance"))
 
 
 def entry(spark: SparkSession) -> DataFrame:

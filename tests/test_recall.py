@@ -2,12 +2,15 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from kelpline import catalogue
 from kelpline.functions import text as X
 from kelpline.operators import containers as C
+from kelpline.operators import ivf as V
 from kelpline.operators import search as S
 from kelpline.operators import units as U
 from kelpline.plans import predicates as P
@@ -85,3 +88,34 @@ def test_ivf_falls_back_to_the_flat_scan(spark):
     rows = S.ivf_assign(spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id int, vector array<float>"), [[0.0, 0.0], [4.0, 0.0]])
     got = S.ivf_search(rows, [[0.0, 0.0], [4.0, 0.0]], [0.0, 0.0], 5, 1)
     assert [r.id for r in got.collect()] == [0, 1, 2, 3, 4] and math.isclose(got.first().score, 1)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_ivf_recall_against_brute_force(spark, sf):
+    table = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+    ids, points = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), dtype=np.float64)
+    got = {}
+    for r in catalogue.queries()["ivf_search"](spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    found = [len(got[ids[i]] & set(ids[np.lexsort((ids, ((points - points[i]) ** 2).sum(1)))[:10]].tolist())) for i in asked]
+    assert np.mean(found) / 10 >= 0.9
+
+
+def test_ivf_of_all_lists_is_exact(spark):
+    rng = np.random.default_rng(1)
+    points = np.round(rng.normal(size=(300, 4)), 1)
+    points[100:140] = points[100]  # copies are told apart by id
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(900, None), (901, [1.0])], "id long, vector array<float>")
+    points = points.astype(np.float32).astype(np.float64)
+    index = V.build(rows, 4, 8)
+    for probes, queries in ((8, rows), (1, rows.where("id = 5"))):
+        got = {}
+        for r in V.search(index, queries, 60 if probes == 1 else 5, probes).orderBy("query_id", "distance", "id").collect():
+            got.setdefault(r.query_id, []).append(r.id)
+        for i, ids in got.items():
+            d = np.sqrt(((points - points[i]) ** 2).sum(1))
+            assert ids == np.lexsort((np.arange(300), d))[: len(ids)].tolist()
+            assert len(ids) == (60 if probes == 1 else 5)
+        assert len(got) == (1 if probes == 1 else 300)
