@@ -1,12 +1,13 @@
 """N-gram Jaccard join: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
-Method: MinHash LSH forest. A text's signature is ``trees`` sequences of minimum hashes; a tree is the sorted prefix trie of
-one sequence over all texts. Prefixes start at ``DEPTH`` and are shortened until pairs at the threshold meet in some
-tree with the target recall (1 - 5e-8 by default); texts that share a node of that length are candidates.
+Method: banded MinHash LSH with exact verification, not the LSH forest. A text's signature is ``trees`` bands of minimum hashes, all of the one
+length that ``prefix_length`` computes before any text is read: the longest of at most ``DEPTH`` at which pairs at the threshold share a band with
+the target recall (1 - 1e-7 by default; 4 values, which miss 5e-8). Nothing is sorted and no text's band is shortened; texts that share a
+band, called a node below, are candidates.
 
 1. Equal texts become one node, by digest; copies never meet again.
 2. Nodes with one text, and nodes with the same texts as another tree's node, are dropped on counts alone.
-3. Within a trie node, split into blocks and block pairs so that no task holds an unbounded group, signatures
+3. Within a node, split into blocks and block pairs so that no task holds an unbounded group, signatures
    estimate similarities; pairs more than six deviations below the threshold go. Only spanning edges leave.
 4. Connected texts form families; only their texts are read again. Within a family, again by block pairs, every pair is
    verified on its exact shingles. Numbers of links and spanning edges leave, never the pairs.
