@@ -1,4 +1,4 @@
-"""A product-quantised vector index (IVF-PQ): lists of near rows, codes of one byte for each part of a vector, exact re-ranking."""
+"""A product-quantised vector index (IVF-PQ): lists of near rows, codes of one byte for each part of a vector, re-ranking that is exact within the lists probed."""
 
 from __future__ import annotations
 
@@ -55,7 +55,7 @@ def train(rows: DataFrame, dims: int, lists: int = 1, parts: int = 96, codes: in
 
 
 def encode(rows: DataFrame, book: Codebook, vector: str = "vector") -> DataFrame:
-    """``rows`` with ``list`` and ``codes`` (binary, a byte for each part); both null where the vector is null or of another length."""
+    """``rows`` with ``list``, ``codes`` (binary, a byte for each part) and ``error``, the vector's distance from what its codes stand for; null where the vector is null or of another length."""
     parts, _, width = book.parts.shape
 
     def run(column: pa.Array) -> pa.Array:
@@ -67,19 +67,21 @@ def encode(rows: DataFrame, book: Codebook, vector: str = "vector") -> DataFrame
             at = _nearest(points, book.lists)
             rest = (points - book.lists[at]).reshape(len(good), parts, width)
             found = np.stack([_nearest(rest[:, j], book.parts[j]) for j in range(parts)], axis=1).astype(np.uint8)
+            error = np.sqrt(((rest - book.parts[np.arange(parts), found]) ** 2).sum((1, 2)))
             for n, i in enumerate(good):
-                out[i] = {"list": int(at[n]), "codes": found[n].tobytes()}
-        return pa.array(out, pa.struct([("list", pa.int32()), ("codes", pa.binary())]))
+                out[i] = {"list": int(at[n]), "codes": found[n].tobytes(), "error": float(error[n])}
+        return pa.array(out, pa.struct([("list", pa.int32()), ("codes", pa.binary()), ("error", pa.float64())]))
 
-    coded = rows.withColumn("_pq", F.arrow_udf(run, "list int, codes binary")(F.col(vector)))
-    return coded.withColumns({"list": F.col("_pq.list"), "codes": F.col("_pq.codes")}).drop("_pq")
+    coded = rows.withColumn("_pq", F.arrow_udf(run, "list int, codes binary, error double")(F.col(vector)))
+    return coded.withColumns({"list": F.col("_pq.list"), "codes": F.col("_pq.codes"), "error": F.col("_pq.error")}).drop("_pq")
 
 
 def search(index: DataFrame, book: Codebook, query: list[float], k: int, probes: int = 1, refine: int = 4, id: str = "id", vector: str = "vector") -> DataFrame:
     """The ``k`` nearest rows of ``index`` (encoded rows) with ``distance`` and ``score``.
 
-    The ``refine * k`` best by their codes in the ``probes`` nearest lists are ranked again by their vectors. A filter that leaves
-    fewer than ``k`` of them is answered by a scan of all rows that have codes.
+    The ``refine * k`` best by their codes in the ``probes`` nearest lists are ranked by their vectors; their ``k``-th distance bounds the result's. Then
+    every row of these lists that its ``error`` allows to be as near is ranked, however many there are, so that the result is exact within
+    the lists. A filter that leaves fewer than ``k`` of them is answered by a scan of all rows that have codes.
     """
     parts, _, width = book.parts.shape
     near = sorted(range(len(book.lists)), key=lambda i: (math.dist(book.lists[i], query), i))[:probes]
@@ -96,7 +98,11 @@ def search(index: DataFrame, book: Codebook, query: list[float], k: int, probes:
         return pa.array(out)
 
     coded = index.where(F.col("codes").isNotNull())
-    best = coded.where(F.col("list").isin(near)).select(id, F.arrow_udf(estimate, "double")("list", "codes").alias("_e")).orderBy("_e", id).limit(refine * k)
-    ids = [r[0] for r in best.collect()]  # refine * k at most
-    held = coded.where(F.col(id).isin(ids)) if len(ids) >= k else coded
-    return vector_search(held, query, k, id, vector)
+    held = coded.where(F.col("list").isin(near)).withColumn("_e", F.arrow_udf(estimate, "double")("list", "codes"))
+    best = held.select(id, vector, "_e").orderBy("_e", id).limit(max(1, refine) * k)
+    top = vector_search(best, query, k, id, vector).select("distance").collect()  # k at most
+    if len(top) < k:
+        return vector_search(coded, query, k, id, vector)
+    most = max((r[0] for r in top), default=0.0)
+    able = F.sqrt("_e") - F.col("error") <= most + 1e-6 * (1 + most)
+    return vector_search(held.where(able).drop("_e"), query, k, id, vector)

@@ -10,6 +10,7 @@ from kelpline import __main__ as cli
 from kelpline import federation as Fed
 from kelpline.engine import Engine
 from kelpline.operators import quantised as Q
+from kelpline.operators import search as S
 from kelpline.operators.contextual import hashed_vectors
 from kelpline.sources import local
 from kelpline.sources.migrate import converted, migrate
@@ -170,6 +171,18 @@ def test_quantised_search_finds_what_brute_force_does(spark):
     assert Q.encode(rows.limit(0), book).count() == 0 and index.select(F.octet_length("codes")).first()[0] == 8
 
 
+def test_quantised_search_is_exact_within_its_lists(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")).cache()
+    book = Q.train(rows, 64, lists=4, parts=16, codes=64)
+    index = Q.encode(rows, book).cache()
+    for q in rows.where("id % 400 = 0").collect():
+        exact = [r.id for r in S.vector_search(rows, q.vector, 10).collect()]
+        assert [r.id for r in Q.search(index, book, q.vector, 10, probes=4, refine=1).collect()] == exact
+    index.unpersist()
+    rows.unpersist()
+
+
+
 def test_an_index_gives_what_a_scan_does(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/i", hashed_vectors(4), 4)
     rows = [("a", "the tide, the TIDE"), ("b", "a tide of boats"), ("c", "boats"), ("d", "no match")]
