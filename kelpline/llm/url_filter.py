@@ -76,15 +76,20 @@ class DigestArray:
         return out
 
 
+def _key(host: str, path: str) -> str:
+    """The host's length in front tells host and path apart, whatever they hold; a name is a path without a host."""
+    return f"{len(host)}:{host}{path}"
+
+
 def _ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]], names: Iterable[str]) -> tuple[str, list[int]]:
     table: dict[str, int] = {}
     lengths: set[int] = set()
     for verdict, host, path in rules:
-        k, v = f"{host}\n{path}", int(verdict == "block")
+        k, v = _key(host, path), int(verdict == "block")
         if table.setdefault(k, v) != v:
             raise ValueError(f"conflicting rules for {host}{path}")
         lengths.add(len(path))
-    table |= {f"\n{n}": 2 for n in names}
+    table |= {_key("", n): 2 for n in names}
     name = f"url-rules-{uuid.uuid4().hex}"
     for f in DigestArray.write(os.path.join(tempfile.mkdtemp(), name), table.items()):
         spark.sparkContext.addFile(f)
@@ -110,27 +115,27 @@ def _judge(urls: list[str | None], table: DigestArray, lengths: list[int]) -> di
     """host, path, rule and verdict of each url; all candidates of a batch are probed at once."""
     hosts, paths = map(list, zip(*map(split_url, urls))) if urls else ([], [])
     owner: list[int] = []
-    tried: list[str] = []
+    tried: list[tuple[str, str]] = []
     suffixes: dict[str, list[str]] = {}
     for i, (host, path) in enumerate(zip(hosts, paths)):
-        if not host or "\n" in host:
+        if not host:
             continue
         if host not in suffixes:
             labels = host.split(".")
             suffixes[host] = [".".join(labels[j:]) for j in range(len(labels))]
         for n in lengths:
             if n <= len(path):
-                tried += [f"{h}\n{path[:n]}" for h in suffixes[host]]
+                tried += [(h, path[:n]) for h in suffixes[host]]
                 owner += [i] * len(suffixes[host])
-    values = table.find(tried)
+    values = table.find([_key(h, p) for h, p in tried])
     best: list[tuple] = [()] * len(urls)
     for j in np.flatnonzero(values >= 0):
-        host, path = tried[j].split("\n", 1)
+        host, path = tried[j]
         if not host:
             continue
         best[owner[j]] = max(best[owner[j]], (len(host) + len(path), len(host), int(values[j]), host + path))
     distinct = list({lab for h in suffixes for lab in h.split(".")})
-    bad = {lab for lab, v in zip(distinct, table.find([f"\n{lab}" for lab in distinct])) if v == 2}
+    bad = {lab for lab, v in zip(distinct, table.find([_key("", lab) for lab in distinct])) if v == 2}
     verdicts = [("block" if b[2] else "allow") if b else "block" if bad and not bad.isdisjoint(h.split(".")) else "allow" for b, h in zip(best, hosts)]
     return {"host": hosts, "path": paths, "rule": [b[3] if b else None for b in best], "verdict": verdicts}
 

@@ -206,6 +206,17 @@ def test_url_rules(spark):
     assert out[7] == out[8] == ("", "", None, "allow") and out[9][2:] == (None, "allow") and out[10] == ("x.org", "", None, "allow")
 
 
+def test_url_rules_fit_hosts_with_new_lines(spark):
+    urls = ["http://x\n.example.org/es/1", "http://a\nb.org/", "http://\n.x.it/", "http://a\n.spam-farm.it", "http://ex\nample.org/es/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict").orderBy("page_id").collect()
+    assert [r.rule for r in got] == ["example.org/es/", "org/", None, None, "org/"]
+    assert [r.verdict for r in got] == ["block", "allow", "allow", "block", "allow"]
+    c = duckdb.connect()
+    c.register("pages", pages.toPandas())
+    assert [tuple(r) for r in got] == c.sql(f"select page_id, host, path, rule, verdict from ({oracles.url_filter()}) order by page_id").fetchall()
+
+
 def test_digest_collisions_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda s: len(s))
     url_filter.DigestArray.write(f"{tmp_path}/t", [("aa", 1), ("bb", 0), ("c", 1)])
