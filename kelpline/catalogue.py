@@ -127,6 +127,15 @@ def sessions_window(s, d):
     return C.sessions(messages(s, d), 36_000, 180_000)
 
 
+@query(f"""SELECT host, source, container_id, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) AS messages,
+ coalesce(CASE WHEN length(p) > 300 THEN left(p, 300) || '…' ELSE p END, '') AS first_prompt FROM
+ (SELECT *, coalesce(arg_min(text, (timestamp, id)) FILTER (author_id = 'user' AND text <> '') OVER w, arg_min(text, (timestamp, id)) FILTER (text <> '') OVER w) AS p
+  FROM {MESSAGES} WHERE kind = 'message' WINDOW w AS (PARTITION BY host, source, container_id)) GROUP BY host, source, container_id, p""")
+def sessions_first_prompt(s, d):
+    """All sessions of the table, from time 0 on and without an end."""
+    return C.sessions(messages(s, d), 0)
+
+
 @query(f"""SELECT source, count(*) FILTER (status = 'indexed') AS indexed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'processing') AS processing, count(*) AS total
  FROM (SELECT container_id AS source, CASE kind WHEN 'error' THEN 'failed' WHEN 'view' THEN 'processing' ELSE 'indexed' END AS status FROM {EVENTS}) GROUP BY ROLLUP (source)""")
 def raw_status_counts(s, d):

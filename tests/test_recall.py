@@ -38,6 +38,19 @@ def test_catalogue(spark, duck, name):
     assert _rows(map(tuple, df.select(*cols).collect())) == _rows(want)
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_all_sessions_are_listed(spark, sf):
+    table = f"/root/testdata/{sf}/conversations.parquet"
+    want = duckdb.sql(f"select cast(conv_id as varchar), count(*) from '{table}' where role <> 'system' group by conv_id").fetchall()
+    got = catalogue.queries()["sessions_first_prompt"](spark, f"/root/testdata/{sf}").select("container_id", "messages").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    c = duckdb.connect()
+    c.sql(f"create view conversations as select * from '{table}'")
+    names = "host, source, container_id, first_ts, last_ts, messages, first_prompt"
+    want = c.sql(f"select {names} from ({catalogue.oracle_sql()['sessions_first_prompt']})").fetchall()
+    assert _rows(map(tuple, catalogue.queries()["sessions_first_prompt"](spark, f"/root/testdata/{sf}").select(*names.split(", ")).collect())) == _rows(want)
+
+
 def test_hostile_values_match_literally(spark):
     df = spark.createDataFrame([("a\\b'c",), ("s'1",)], "container_id string")
     assert df.where(P.eq_all(container_id="a\\b'c")).count() == 1
