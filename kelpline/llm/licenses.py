@@ -1,9 +1,10 @@
 """License scans: license notices in texts, by exact phrases and by similarity to templates.
 
 Method: exact set-similarity join. Tokens are ordered by their document frequency in the corpus, rarest first. A
-block (``BLOCK`` words, one at every ``STEP``-th word) meets a template if it holds at least ``threshold`` of
+block (any ``BLOCK`` words in a row) meets a template if it holds at least ``threshold`` of
 the template's distinct words; then it holds one of the template's first |T| - ceil(threshold |T|) + 1 tokens,
-so only those are joined. A length and a positional bound come before the exact count.
+so only those are joined. A length and a positional bound on all words that share a block with the token come before the exact
+count, which slides a block over the places around the token.
 
 Native: DataFrame functions only, words are exploded, probed and verified in one fused stage. The templates are a
 constant of this module, so broadcasting their tokens has a fixed bound.
@@ -38,7 +39,7 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-BLOCK, STEP = 64, 32
+BLOCK, STEP = 64, 32  # the operator slides its blocks; STEP is the grid of the SQL, which holds every stretch of up to STEP + 1 words
 
 
 def _templates(docs: DataFrame, threshold: float) -> DataFrame:
@@ -63,22 +64,25 @@ def _templates(docs: DataFrame, threshold: float) -> DataFrame:
 
 
 def blocks_like_templates(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(key, label, template, block, containment): every block of a text that meets a template, by the text's digest."""
+    """(key, label, template, containment): the templates that blocks of a text meet, by the text's digest."""
     prefix = _templates(docs, threshold)
     words = docs.select("text", raw_words(fold(F.col("text"))).alias("folded")).select("text", F.posexplode_outer("folded").alias("pos", "word"))
     hit = words.join(F.broadcast(prefix), "word")
-    block = hit.withColumn("own", raw_words(ascii_lower(F.col("text")))).withColumn(
-        "block", F.explode(F.array_distinct(F.array((F.col("pos") / STEP).cast("int"), F.greatest(F.lit(0), (F.col("pos") / STEP).cast("int") - 1))))
-    )
-    block = block.withColumn("part", F.array_distinct(F.slice("own", F.col("block") * STEP + 1, F.lit(BLOCK))))
+    first = F.greatest(F.lit(0), F.col("pos") - (BLOCK - 1))
+    around = hit.withColumn("near", F.slice(raw_words(ascii_lower(F.col("text"))), first + 1, F.col("pos") - first + BLOCK)).withColumn("part", F.array_distinct("near"))
     rest = F.slice("tokens", F.col("rank") + 1, F.size("tokens"))
     met = (
-        block.where(F.size("part") >= F.col("need"))  # length
+        around.where(F.size("part") >= F.col("need"))  # length
         .where(F.size(F.array_intersect(rest, F.col("part"))) >= F.col("need") - F.col("rank"))  # position
-        .withColumn("shared", F.size(F.array_intersect("tokens", "part")))
-        .where(F.col("shared") >= F.col("need"))
+        .where(F.size(F.array_intersect("tokens", "part")) >= F.col("need"))
+        .select(text_key(F.col("text")).alias("key"), "label", "template", "tokens", "need", (F.col("pos") - first).alias("last"), "near")
+    )
+    # written, so that the slide is planned on the few rows left and never on whole texts
+    met = cut(met, "license-places").withColumn(
+        "shared", F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.size(F.array_intersect("tokens", F.slice("near", s + 1, F.lit(BLOCK))))))
     )
-    return met.select(text_key(F.col("text")).alias("key"), "label", "template", "block", (F.col("shared") / F.size("tokens")).alias("containment")).distinct()
+    met = met.where(F.col("shared") >= F.col("need"))
+    return met.select("key", "label", "template", (F.col("shared") / F.size("tokens")).alias("containment")).distinct()
 
 
 def _spaces(c: Column) -> Column:

@@ -65,6 +65,21 @@ def test_edge_texts_against_sql(spark, name, arg):
     assert rows_of(got, *cols) == sorted(map(repr, c.sql(f"select {', '.join(cols)} from ({sql})").fetchall()))
 
 
+def test_notices_spread_over_a_block_are_found_at_every_offset(spark):
+    words = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files".split()
+    texts = []
+    for width in (34, 40, 52, 64):
+        gaps = [(width - len(words)) * i // (len(words) - 1) for i in range(len(words))]
+        for before in range(64):
+            notice = ["pad"] * width
+            for i, w in enumerate(words):
+                notice[i + gaps[i]] = w
+            texts.append(" ".join(["red"] * before + notice + ["blue"] * 40))
+    far = " ".join(w + " pad pad pad" for w in words)  # 0.9 of its words never share a block
+    got = licenses.scan_licenses(docs_of(spark, [*texts, far])).select("doc_id", "labels", "score").orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [("mit", 1.0)] * len(texts) + [("", 0.0)]
+
+
 def test_empty_tables(spark):
     docs, bench = docs_of(spark, ["a b"]).limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
