@@ -31,18 +31,31 @@ def raw_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
+def own_words(text: Column) -> Column:
+    """Words of a text with A-Z lower-cased; in a text of ASCII alone a faster function does that."""
+    return raw_words(F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(ascii_lower(text)))
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that stand for a text's content; null stays null."""
     return F.unhex(F.md5(text.cast("binary")))
 
 
+def row_key(docs: DataFrame, text: str = "text") -> Column:
+    """``text_key`` for left joins: null texts get a key of eight bytes, by their other columns, that equals no text's and doesn't gather them in one task."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text and f.dataType.typeName() not in ("map", "variant")]
+    return F.coalesce(text_key(F.col(text)), F.unhex(F.lpad(F.hex(F.xxhash64(*plain, F.lit(0))), 16, "0")))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder that all executors share (spark.checkpoint.dir).
 
-    Only where that setting is missing, as in local tests, a folder of this machine is used.
+    Only where that setting is missing and Spark runs in one process, as in local tests, a folder of this machine is used; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "kelpline-shared")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -56,7 +69,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
-    """Python workers get at most so many rows and bytes at a time, so that long texts don't fill their memory."""
+    """Python workers get at most so many rows and bytes at a time, so that long texts don't fill their memory. The setting stays with the session, since plans run later."""
     for key, most in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
         spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
 

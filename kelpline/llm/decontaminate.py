@@ -1,14 +1,16 @@
 """Benchmark decontamination: which words of a document stand inside a benchmark passage.
 
 Method: prefix-filtered set join. A benchmark item is cut into windows of ``window`` consecutive words (an item
-of fewer words is one window). The tokens of a window are its shingles of five words; containment must be total,
-so one token, the rarest in the corpus, is a sufficient prefix. Documents are probed with the prefix tokens
-only, a positional and a length bound must leave room for the window, and the item-sized stretch of the
-document around the token is then compared word by word with the item's windows.
+of fewer words is one window); equal windows of several items are one. The tokens of a window are its shingles of five words. Containment must be total,
+so one token, the rarest in the corpus, is a sufficient prefix. Documents are probed with the prefix tokens only; where one stands, the
+item-sized stretch of words around it goes on, and there a positional and a length bound must leave room for the window before its words are compared.
 
-Native: DataFrame functions only. A document's words are exploded, hashed, probed and verified inside one
-fused stage, so what is shuffled are matches, not words. Matches are keyed by the text's digest: copies share one
-result, and nothing depends on doc_id being unique.
+Native: DataFrame functions only. A document's words are split once, exploded, hashed and probed inside one
+fused stage, so what is shuffled are places with at most ``2 * window`` words each, and the work is linear in a text's length. Places are
+keyed by the text's digest: copies share one result, and nothing depends on doc_id being unique.
+
+What is broadcast are distinct token hashes of eight bytes, at most ``BLOCK_KEYS`` at a time; a larger benchmark is probed in up to ``PASSES`` passes over the
+documents, one larger than that by a shuffle of the documents' tokens. Windows meet places in a join that the planner broadcasts only if they are small.
 
 Defined cases: a null text has no words; a null item_id or an item without words is left out; equal item_ids
 in several rows count once; repeated document rows each get their own result row; an empty benchmark or documents
@@ -17,29 +19,17 @@ table gives no hits; other columns are kept out of the way of internal names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import ascii_lower, cut, fold, fresh, raw_words, text_key
+from kelpline.llm.common import cut, fresh, own_words, raw_words, row_key, text_key
 
 #: Words of a prefix token; a window of fewer words is a token by itself.
 SHINGLE = 5
-#: Anchors of one probing pass. A larger benchmark is probed in several passes over the documents, each of which
-#: broadcasts at most this many rows.
-BLOCK_ROWS = 100_000
-
-
-def _item_rows(benchmark: DataFrame, window: int) -> DataFrame:
-    """(item_id, words, n, length, size): each item's words, window length and token size."""
-    words = raw_words(ascii_lower(F.col("text")))
-    return (
-        benchmark.select(F.col("item_id").cast("string").alias("item_id"), words.alias("words"))
-        .where(F.col("item_id").isNotNull() & (F.size("words") > 0))
-        .distinct()
-        .withColumn("n", F.size("words"))
-        .withColumn("length", F.least(F.col("n"), F.lit(window)))
-        .withColumn("size", F.least(F.col("length"), F.lit(SHINGLE)))
-    )
+#: Distinct tokens that one pass over the documents broadcasts, and passes before the documents' tokens are shuffled instead.
+BLOCK_KEYS, PASSES = 2_000_000, 16
 
 
 def _key(words: Column, at: Column, size: int) -> Column:
@@ -48,102 +38,67 @@ def _key(words: Column, at: Column, size: int) -> Column:
     return F.when(parts[-1].isNotNull(), F.xxhash64(F.lit(size), *parts))
 
 
-def _probe(docs: DataFrame, sizes: list[int], keep: list[str], also: bool = False) -> DataFrame:
-    """One row for each word position and token size of a document: pos, key, and with ``also`` all its folded words. The outer explode keeps Catalyst
-    from computing the words a second time for a size filter."""
-    rows = docs.select(*keep, raw_words(fold(F.col("text"))).alias("lowered"))
-    rows = rows.select(*keep, "lowered", F.posexplode_outer("lowered").alias("pos", "word"))
-    keys = [_key(F.col("lowered"), F.col("pos"), k) for k in sizes]
-    keep = [*keep, "pos", *["lowered"] * also]
-    if len(keys) == 1:
-        return rows.select(*keep, keys[0].alias("key"))
-    return rows.select(*keep, F.explode(F.array(*keys)).alias("key"))
-
-
-def _shingles(items: DataFrame, sizes: list[int]) -> DataFrame:
-    """(item_id, words, n, length, at, key): every token of every item, hashed as the documents' are."""
-    tokens = items.withColumn("lowered", F.transform("words", fold)).withColumn(
-        "at", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size")))
-    )
-    key = F.coalesce(*[F.when(F.col("size") == k, _key(F.col("lowered"), F.col("at"), k)) for k in sizes])
-    return tokens.withColumn("key", key).drop("lowered")
+def _members(benchmark: DataFrame, window: int) -> DataFrame:
+    """(wid, words, item_id): each item's windows; wid is their words' digest."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), own_words(F.col("text")).alias("all")).where(F.col("item_id").isNotNull() & (F.size("all") > 0))
+    length = F.least(F.size("all"), F.lit(window))
+    each = items.select("item_id", "all", length.alias("n"), F.explode(F.sequence(F.lit(0), F.size("all") - length)).alias("start"))
+    words = each.select("item_id", F.slice("all", F.col("start") + 1, F.col("n")).alias("words"))
+    return words.select(text_key(F.array_join("words", " ")).alias("wid"), "words", "item_id").distinct()
+
 
+def _tokens(windows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(wid, words, at, key): every token of every window, hashed as the documents' are."""
+    size = F.least(F.size("words"), F.lit(SHINGLE))
+    each = windows.select("wid", "words", F.explode(F.sequence(F.lit(0), F.size("words") - size)).alias("at"))
+    return each.withColumn("key", F.coalesce(*[F.when(size == k, _key(F.col("words"), F.col("at"), k)) for k in sizes]))
 
-def _anchors(tokens: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item_id, words, length, at, key, low, high, core): for each window its rarest token, leftmost on ties.
 
-    The windows that rest on a token start at ``low`` to ``high``; ``core`` are the folded words that all of them have."""
+def _probe(docs: DataFrame, sizes: list[int], window: int = 0) -> DataFrame:
+    """One row for each word position and token size of a document: its key, and with a ``window`` the text's digest (doc), pos, and from the word ``first`` on the words
+    ``near`` that a window around it may have.
+
+    The digest and the words are made before the explode, so once for each text. The outer explode keeps Catalyst
+    from computing the words a second time for a size filter."""
+    first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+    keep = ["doc", "pos", first.alias("first"), F.slice("all", first + 1, F.lit(2 * window)).alias("near")] if window else []
+    rows = docs.select(text_key(F.col("text")).alias("doc"), own_words(F.col("text")).alias("all"))
+    rows = rows.select("doc", "all", F.posexplode_outer("all").alias("pos", "word"))
+    keys = [_key(F.col("all"), F.col("pos"), k) for k in sizes]
+    return rows.select(*keep, keys[0].alias("key") if len(keys) == 1 else F.explode(F.array(*keys)).alias("key"))
+
+
+def _sieved(rows: DataFrame, keys: DataFrame) -> list[DataFrame]:
+    """``rows`` whose key is among ``keys`` (a written table of distinct ones), in parts."""
+    k = max(1, -(-keys.count() // BLOCK_KEYS))
+    if k > PASSES:
+        return [rows.join(keys.hint("merge"), "key", "left_semi")]
+    return [rows.join(F.broadcast(keys if k == 1 else keys.where(F.pmod("key", F.lit(k)) == i)), "key", "left_semi") for i in range(k)]
+
+
+def _anchors(windows: DataFrame, texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(wid, words, at, key): for each window its rarest token, leftmost on ties."""
+    tokens = _tokens(windows, sizes)
+    parts = _sieved(_probe(texts, sizes), cut(tokens.select("key").distinct(), "decon-tokens"))
+    counts = reduce(DataFrame.unionByName, [p.groupBy("key").agg(F.count("*").alias("df")) for p in parts])
     ranked = tokens.join(counts, "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    windows = ranked.withColumn(
-        "start",
-        F.explode(
-            F.sequence(
-                F.greatest(F.lit(0), F.col("at") + F.col("size") - F.col("length")),
-                F.least(F.col("at"), F.col("n") - F.col("length")),
-            )
-        ),
-    )
-    item = ["item_id", "words", "length"]
-    best = windows.groupBy(*item, "start").agg(F.min(F.struct("df", "at", "key")).alias("b"))
-    # the starts of an anchor's windows are consecutive; all of the windows share the words from the last start to the first end
-    anchors = best.groupBy(*item, F.col("b.at").alias("at"), F.col("b.key").alias("key")).agg(F.min("start").alias("low"), F.max("start").alias("high"))
-    core = F.transform(F.slice("words", F.col("high") + 1, F.col("low") + F.col("length") - F.col("high")), fold)
-    return anchors.withColumn("core", core)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """(key, item_id, spans): for each text with hits its digest, an item, and the [begin, end) word spans of windows found."""
-    spark = docs.sparkSession
-    items = _item_rows(benchmark, window)
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [SHINGLE]  # at most SHINGLE numbers
-    tokens = _shingles(items, sizes)
+    return ranked.groupBy("wid", "words").agg(F.min(F.struct("df", "at", "key")).alias("b")).select("wid", "words", "b.at", "b.key")
+
+
+def places(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(doc, wid, b, e): for each text, by its digest, the [b, e) word spans of windows; and (wid, item_id), the windows' items. Both are written tables."""
+    each = cut(_members(benchmark, window), "decon-windows")
+    windows = each.select("wid", "words").distinct()
+    sizes = sorted(r[0] for r in windows.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()) or [SHINGLE]  # at most SHINGLE numbers
     texts = docs.select("text")
-    need = cut(tokens.select("key").distinct(), "decon-tokens")
-    total = need.count()
-
-    def blocks(df: DataFrame, rows: int) -> list[DataFrame]:
-        k = max(1, -(-rows // BLOCK_ROWS))
-        if k == 1:
-            return [F.broadcast(df)]
-        return [F.broadcast(df.where(F.pmod(F.col("key"), F.lit(k)) == i)) for i in range(k)]
-
-    def union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    counts = union([_probe(texts, sizes, []).join(b, "key").groupBy("key").agg(F.count("*").alias("df")) for b in blocks(need, total)])
-    anchors = cut(_anchors(tokens, counts), "decon-anchors")
-    rows = anchors.count()
-    if not rows:
-        return spark.createDataFrame([], "key binary, item_id string, spans array<struct<b:int,e:int>>")
-
-    found = []
-    for block in blocks(anchors, rows):
-        # No higher-order function may reach this join: it would take the stage out of generated code, and a row with
-        # its text would be made for each word.
-        shift = F.col("pos") - F.col("at")  # where word 0 of the item would stand
-        core = F.slice("lowered", F.greatest(shift + F.col("high"), F.lit(0)) + 1, F.size("core"))
-        hit = _probe(texts, sizes, ["text"], also=True).join(block, "key").where((shift + F.col("high") >= 0) & (core == F.col("core")))
-        # the windows' stretch of the document in the exact form of its words, from the first place that exists
-        first = F.greatest(shift + F.col("low"), F.lit(0))
-        stretch = F.slice(raw_words(ascii_lower(F.col("text"))), first + 1, shift + F.col("high") + F.col("length") - first)
-        starts = F.sequence("low", "high")
-        spans = F.transform(
-            F.array(stretch),  # evaluated once for all starts
-            lambda part: F.transform(
-                F.filter(
-                    starts,
-                    lambda s: (shift + s >= 0)
-                    & (F.slice(part, F.greatest(shift + s - first, F.lit(0)) + 1, F.col("length")) == F.slice("words", s + 1, F.col("length"))),
-                ),
-                lambda s: F.struct((shift + s).alias("b"), (shift + s + F.col("length")).alias("e")),
-            ),
-        )[0]
-        found.append(hit.select(text_key(F.col("text")).alias("key"), "item_id", spans.alias("spans")))
-    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans"))))
-    return union(found).groupBy("key", "item_id").agg(spans.alias("spans")).where(F.size("spans") > 0)
+    anchors = cut(_anchors(windows, texts, sizes), "decon-anchors")
+    probed = _sieved(_probe(texts, sizes, window), cut(anchors.select("key").distinct(), "decon-keys"))
+    hits = reduce(DataFrame.unionByName, probed).distinct()
+    start, n = F.col("pos") - F.col("at"), F.size("words")
+    fits = (start >= 0) & (start - F.col("first") + n <= F.size("near"))  # position and length
+    same = F.slice("near", F.greatest(start - F.col("first"), F.lit(0)) + 1, n) == F.col("words")
+    found = hits.join(anchors, "key").where(fits & same).select("doc", "wid", start.alias("b"), (start + n).alias("e"))
+    return cut(found, "decon-found"), each.select("wid", "item_id")
 
 
 def _covered(spans: Column) -> Column:
@@ -161,18 +116,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     ``docs`` needs a ``text`` column, ``benchmark`` item_id and text. Result columns replace same-named ones.
     """
     (k,) = fresh(docs, "key")
-    per_text = (
-        matches(docs, benchmark, window)
-        .groupBy("key")
-        .agg(
-            F.array_sort(F.collect_set("item_id")).alias("items"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        )
-        .select(F.col("key").alias(k), F.struct("items", "spans").alias(f"{k}v"))
-    )
+    found, members = places(docs, benchmark, window)
+    items = found.select("doc", "wid").distinct().join(members, "wid").select("doc", "item_id").distinct().groupBy("doc").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    spans = found.select("doc", "b", "e").distinct().groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("b", "e"))).alias("spans"))
+    per_text = items.join(spans, "doc").select(F.col("doc").alias(k), F.struct("items", "spans").alias(f"{k}v"))
     # as a written table the texts with hits leave a plain join, of which a digest's many copies can be split
-    counted = docs.withColumns({k: text_key(F.col("text")), "n_words": F.size(raw_words(F.col("text"))).cast("long")})
-    found = counted.join(cut(per_text, "decon-texts"), k, "left")
+    counted = docs.withColumns({k: row_key(docs), "n_words": F.size(raw_words(F.col("text"))).cast("long")})
+    joined = counted.join(cut(per_text, "decon-texts"), k, "left")
     v = F.col(f"{k}v")
     none = F.expr("cast(array() as array<struct<b:int,e:int>>)")
     out = {
@@ -181,11 +131,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
         "spans": F.coalesce(v["spans"], none),
         "contaminated": v.isNotNull(),
     }
-    return found.withColumns(out).drop(k, f"{k}v")
+    return joined.withColumns(out).drop(k, f"{k}v")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, with their own columns."""
     (k,) = fresh(docs, "key")
-    hit = cut(matches(docs, benchmark, window).select(F.col("key").alias(k)).distinct(), "decon-texts")
-    return docs.withColumn(k, text_key(F.coalesce("text", F.lit("")))).join(hit, k, "left_anti").drop(k)
+    found, _ = places(docs, benchmark, window)
+    hit = cut(found.select(F.col("doc").alias(k)).distinct(), "decon-texts")
+    return docs.withColumn(k, row_key(docs)).join(hit, k, "left_anti").drop(k)

@@ -309,3 +309,30 @@ def test_pipeline_stages(spark):
         else:
             assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert pa.__version__ and want
+
+
+def test_a_passage_repeated_in_a_long_text(spark):
+    passage = "red green blue amber violet teal olive mauve coral ochre slate ivory"
+    texts = [" ".join([f"{passage} x{i % 7}" for i in range(8_000)]), passage + " " + passage, "pearl " * 100_000]
+    bench = spark.createDataFrame([("a", passage), ("b", passage), ("c", "pearl " * 12)], "item_id string, text string")
+    windows = {tuple(w[i : i + 10]) for w in (passage.split(), ["pearl"] * 12) for i in range(3)}
+    got = decontaminate.decontaminate(docs_of(spark, texts), bench).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        w = t.split()
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - 9):
+            if tuple(w[i : i + 10]) in windows:
+                hit[i : i + 10] = True
+        assert (r.n_words, r.n_hit, r["items"]) == (len(w), int(hit.sum()), ["c"] if "pearl" in t else ["a", "b"])
+
+
+def test_a_large_benchmark_is_probed_in_passes_or_by_a_shuffle(spark, monkeypatch):
+    docs = docs_of(spark, [*TEXTS, *["red green blue amber violet teal %d olive" % i for i in range(9)]])
+    bench = spark.createDataFrame([(i, "green blue amber violet teal %d" % i) for i in range(6)] + [(9, "one")], "item_id long, text string")
+    rows = lambda: rows_of(decontaminate.decontaminate(docs, bench), "doc_id", "n_words", "n_hit", "items")
+    want = rows()
+    assert sum("['" in r for r in want) == 8
+    monkeypatch.setattr(decontaminate, "BLOCK_KEYS", 4)
+    assert rows() == want
+    monkeypatch.setattr(decontaminate, "PASSES", 1)
+    assert rows() == want
