@@ -1,4 +1,6 @@
-"""Connected components of a distributed edge list, by alternating star contractions with shared-folder checkpoints."""
+"""Connected components of a distributed edge list, by alternating star contractions with shared-folder checkpoints.
+
+A star's centre may have any number of edges: minima are counted before the shuffle, and the edges meet them in ``SALTS`` tasks."""
 
 from __future__ import annotations
 
@@ -8,17 +10,27 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import cut
 
 
+SALTS = 16
+
+
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """``edges`` with ``m`` of their ``a`` in ``least`` (of, m), which is repeated for each salt."""
+    salted = least.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
+    return edges.withColumn("s", salt).join(salted, (F.col("a") == F.col("of")) & (F.col("s") == F.col("t"))).select("a", "b", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("of")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return _beside(both.where(F.col("b") > F.col("a")), least).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """``edges`` point from larger to smaller nodes."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     to = least.select(F.col("a").alias("of"), "m")
-    moved = edges.join(to, F.col("a") == F.col("of")).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = _beside(edges, to).where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

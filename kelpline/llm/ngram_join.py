@@ -1,25 +1,29 @@
 """N-gram Jaccard join: texts whose sets of five-word shingles have a similarity of 0.8 or more.
 
-Method: banded MinHash LSH with exact verification, not the LSH forest. A text's signature is ``trees`` bands of minimum hashes, all of the one
-length that ``prefix_length`` computes before any text is read: the longest of at most ``DEPTH`` at which pairs at the threshold share a band with
-the target recall (1 - 1e-7 by default; 4 values, which miss 5e-8). Nothing is sorted and no text's band is shortened; texts that share a
-band, called a node below, are candidates.
+Method: MinHash LSH forest with exact verification. A text has in each of ``trees`` trees a label of ``depth`` minimum hashes.
 
 1. Equal texts become one node, by digest; copies never meet again.
-2. Nodes with one text, and nodes with the same texts as another tree's node, are dropped on counts alone.
-3. Within a node, split into blocks and block pairs so that no task holds an unbounded group, signatures
+2. The labels of each tree are sorted; texts with a common prefix are neighbours then, and a prefix of a trie is a run of labels. One pass over the
+   sorted labels finds each text's longest matched prefix; trees in which it is shorter than the floor have no partner for the text.
+   The floor is the prefix length at which, taken in all trees, pairs at the threshold meet with the target recall.
+3. Prefixes start at full length and are shortened to the floor, the least crowded tree first, until what a pair at the threshold
+   can still miss is within 1 - recall: a tree whose node is crowded may keep its full length as long as all trees together allow it. Half of what
+   may be missed is each text's own to spend, so that the bound holds for every pair. A text stands at its prefix and at all longer ones.
+4. Within a node, split into blocks and block pairs so that no task holds an unbounded group, signatures
    estimate similarities; pairs more than six deviations below the threshold go. Only spanning edges leave.
-4. Connected texts form families; only their texts are read again. Within a family, again by block pairs, every pair is
+5. Connected texts form families; only their texts are read again. Within a family, again by block pairs, every pair is
    verified on its exact shingles. Numbers of links and spanning edges leave, never the pairs.
-5. Components of the verified links are the classes.
+6. Components of the verified links are the classes.
 
 Defined cases: texts with fewer than five words have one shingle, all their words; texts without words (null, empty) link to
 nothing, each text by itself a class with its exact copies. class_id is the smallest doc_id of the class (null only if all are
-null). n_links counts the other rows that are linked to a row, exact copies included. Repeated rows count each.
+null). n_links counts the other rows that are linked to a row, exact copies included. Repeated rows count each; ``keep_one`` keeps of rows equal in
+id and text the one whose columns have the smallest hash.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -27,28 +31,40 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import WORD_RE, bounded_batches, cut, fresh, text_key
 from kelpline.llm.components import components
 
-SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 32, 8, 1 - 1e-7
-#: Members of a block, and bytes of text in a block, that meet in one task.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 36, 6, 1 - 1e-7
+#: Members of a block, and bytes of text in a block, that meet in one task. A node with more members than a block is crowded.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 MARGIN = 6
 _WORD = re.compile(WORD_RE)
 _LOWER = {i: i + 32 for i in range(65, 91)}
-_CACHE = 200_000
-_hashed: dict[str, int] = {}  # words' hashes, for each worker process
+#: Words whose hashes a worker process remembers, and their largest length: at most 25 MB or so.
+_CACHE, _CACHED_LENGTH = 200_000, 24
+_hashed: dict[str, int] = {}
 
 
-def prefix_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
+def floor_length(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
     """The longest prefix at which a pair of similarity ``threshold`` meets in one of the trees with probability ``recall``."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
 
 
+def spared_trees(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> int:
+    """In how many trees a text may keep its full prefix: half of the trees that a pair can do without, so that those of both its texts together are allowed."""
+    floor = floor_length(threshold, trees, recall, depth)
+    missed = lambda n: math.log(1 - threshold**n) if threshold < 1 else -math.inf
+    if floor == depth or missed(floor) == -math.inf:
+        return 0
+    spare = math.log(1 - recall) - trees * missed(floor)
+    return max(0, int(spare / 2 / (missed(depth) - missed(floor))))
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").translate(_LOWER) if text and not text.isascii() else (text or "").lower())
 
@@ -62,7 +78,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Signer:
     def __init__(self, values: int):
         rng = np.random.default_rng(20240607)
-        self.factors = rng.integers(0, 1 << 63, values, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.factors = rng.integers(0, 1 << 31, values, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.weights = rng.integers(0, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -71,10 +87,12 @@ class Signer:
         known = _hashed
         if len(known) > _CACHE:
             known.clear()
+        long = {}
         for w in words:
             if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        a = np.fromiter([known[w] for w in words], np.uint64, len(words))
+                (known if len(w) <= _CACHED_LENGTH else long)[w] = xxhash.xxh64_intdigest(w)
+        at = known if not long else known | long
+        a = np.fromiter([at[w] for w in words], np.uint64, len(words))
         if not len(a):
             return a
         n = max(1, len(a) - SHINGLE + 1)
@@ -84,7 +102,7 @@ class Signer:
         return _mix(h)
 
     def sign(self, texts: list[str | None]) -> list[bytes | None]:
-        """The low 16 bits of each text's minimum hashes as bytes; None for texts without words. Texts share the passes."""
+        """16 bits of each text's minimum hashes as bytes, in an order that sorts as numbers do; None for texts without words. Texts share the passes."""
         out: list[bytes | None] = [None] * len(texts)
         rows, parts, size = [], [], 0
         for i, t in enumerate(texts):
@@ -101,14 +119,14 @@ class Signer:
         return out
 
     def _sign(self, rows: list[int], parts: list[np.ndarray], out: list[bytes | None]) -> None:
-        h = np.concatenate(parts)
+        h = (np.concatenate(parts) >> np.uint64(32)).astype(np.uint32)
         starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
-        sig = np.empty((len(parts), len(self.factors)), np.uint16)
+        sig = np.empty((len(parts), len(self.factors)), ">u2")
         buf = np.empty_like(h)
         for k, f in enumerate(self.factors):
             np.multiply(h, f, out=buf)
-            np.right_shift(buf, np.uint64(32), out=buf)
-            sig[:, k] = np.minimum.reduceat(buf, starts) & np.uint64(0xFFFF)
+            least = np.minimum.reduceat(buf, starts)
+            sig[:, k] = (least ^ least >> np.uint32(16)) & np.uint32(0xFFFF)
         for i, s in zip(rows, sig):
             out[i] = s.tobytes()
 
@@ -264,23 +282,65 @@ def texts_of(docs: DataFrame, values: int) -> DataFrame:
     return once.withColumn("id", F.monotonically_increasing_id())
 
 
-def families(texts: DataFrame, threshold: float, trees: int, depth: int) -> DataFrame:
+def _matched(floor: int, depth: int):
+    """Of sorted (label, id) those with a neighbour that shares the tree and ``floor`` values or more. A partition's first and last row have a neighbour elsewhere and stay."""
+    width = 1 + 2 * depth
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: pa.RecordBatch | None = None  # the row whose right neighbour isn't known yet
+        before = floor  # prefix that it shares with its left one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+            column = rows.column("label")
+            begin = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+            labels = np.frombuffer(column.buffers()[2], np.uint8, len(column) * width, begin).reshape(-1, width)
+            same = labels[1:] == labels[:-1]
+            values = same[:, 1::2] & same[:, 2::2] & same[:, :1]
+            shared = np.logical_and.accumulate(values, axis=1).sum(1)
+            longest = np.maximum(np.concatenate([[before], shared[:-1]]), shared) if len(shared) else shared
+            keep = np.flatnonzero(longest >= floor)
+            if len(keep):
+                yield rows.take(pa.array(keep))
+            last, before = rows.slice(rows.num_rows - 1), int(shared[-1]) if len(shared) else before
+        if last is not None:
+            yield last
+
+    return run
+
+
+def forest_nodes(signed: DataFrame, trees: int, depth: int, floor: int, spared: int) -> DataFrame:
+    """(node, id, long): the nodes of the tries, by hash, in which a text looks for partners; ``long`` unless the text has looked for partners at a shorter prefix already."""
+    width = 2 * depth
+    labels = [F.concat(F.lit(bytes([t])), F.substring("sig", t * width + 1, width)) for t in range(trees)]
+    places = signed.select(F.explode(F.array(*labels)).alias("label"), "id")
+    order = places.repartitionByRange(_tasks(signed.sparkSession), "label", "id").sortWithinPartitions("label", "id")
+    held = cut(order.mapInArrow(_matched(floor, depth), "label binary, id long").withColumn("node", F.substring("label", 1, 1 + 2 * floor)), "tries")
+    crowds = held.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    known = held.join(cut(crowds, "crowds"), "node", "left")
+    loose = known.where("n IS NULL").select(F.xxhash64("node").alias("node"), "id", F.lit(True).alias("long"))
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "label"))  # a text has a row for each tree at most
+    dense = known.where("n IS NOT NULL").withColumn("long", rank <= spared)
+    at = dense.withColumn("d", F.explode(F.sequence(F.when(F.col("long"), depth).otherwise(floor), F.lit(depth))))
+    return loose.unionByName(at.select(F.xxhash64(F.expr("substring(label, 1, 1 + 2 * d)")).alias("node"), "id", (F.col("long") | (F.col("d") == floor)).alias("long")))
+
+
+def families(texts: DataFrame, threshold: float, trees: int, depth: int, recall: float) -> DataFrame:
     """(id, label): texts that the forest and the signatures connect."""
     signed = texts.where(F.col("sig").isNotNull()).select("id", "sig")
-    width = 2 * depth
-    nodes = [F.xxhash64(F.lit(t), F.substring("sig", t * width + 1, width)) for t in range(trees)]
-    places = signed.select("id", F.explode(F.array(*nodes)).alias("node"))
-    shared = places.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    # of nodes that hold the same texts one is enough
-    held = cut(places.join(shared.select("node"), "node"), "nodes")
+    floor = floor_length(threshold, trees, recall, depth)
+    held = cut(forest_nodes(signed, trees, depth, floor, spared_trees(threshold, trees, recall, depth)), "nodes")
+    # nodes of one text go, and longer ones in which all texts have met at the floor; of nodes that hold the same texts one is enough
     filled = (
         held.groupBy("node")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("id").alias("lo"))
+        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"), F.min("id").alias("lo"), F.max("long").alias("long"))
+        .where((F.col("n") > 1) & F.col("long"))
         .groupBy("n", "x", "y", "lo")
         .agg(F.min("node").alias("node"))
         .select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    members = held.join(cut(filled, "filled"), "node").join(signed, "id")
+    members = held.select("node", "id").join(cut(filled, "filled"), "node").join(signed, "id")
     pairs = _block_pairs(members, "blocks").select("node", "i", "j", "side", "id", "sig")
     dealt = pairs.repartition(_tasks(texts.sparkSession), "node", "i", "j").sortWithinPartitions("node", "i", "j")
     return components(dealt.mapInArrow(_likely(threshold, trees * depth), "a long, b long"))
@@ -297,12 +357,11 @@ def verified_links(docs: DataFrame, texts: DataFrame, family: DataFrame, thresho
     return dealt.mapInArrow(_exact(threshold), "id long, root long, links long")
 
 
-def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
+def classes(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
     """(key, class_id, rep, n_links) for each distinct text: rep is the key of the class's text that holds class_id."""
     bounded_batches(docs.sparkSession)
-    depth = prefix_length(threshold, trees, recall)
     texts = cut(texts_of(docs.select("doc_id", "text"), trees * depth), "texts")
-    family = families(texts, threshold, trees, depth)
+    family = families(texts, threshold, trees, depth, recall)
     links = cut(verified_links(docs, texts, family, threshold), "links")
     label = components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))).select("id", "label")
     count = links.groupBy("id").agg(F.sum("links").alias("links"))
@@ -330,5 +389,6 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     kept = docs.withColumn(k, key).join(found, k).where(F.col("doc_id").eqNullSafe(F.col(v)["class_id"]))
     same = docs.select(key.alias(k), "doc_id").groupBy(k, "doc_id").agg(F.count("*").alias("n"))
     if not same.where(F.col("n") > 1).isEmpty():  # rows equal in id and text: one of them
-        kept = kept.dropDuplicates([k])
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.groupBy(k).agg(F.min_by(row, F.xxhash64(row)).alias(v)).select(f"{v}.*")
     return kept.select(*docs.columns)

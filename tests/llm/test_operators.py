@@ -142,14 +142,50 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     want = brute_classes(texts)
     got = ngram_join.join_near(docs_of(spark, texts))
     assert rows_of(got, "doc_id", "class_id", "n_links") == sorted(map(repr, want))
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)  # several blocks, the same result
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)  # crowded nodes and several blocks, the same result
     assert rows_of(ngram_join.join_near(docs_of(spark, texts)), "doc_id", "class_id", "n_links") == sorted(map(repr, want))
     kept = ngram_join.keep_one(docs_of(spark, texts).unionByName(docs_of(spark, texts)))
     assert rows_of(kept, "doc_id") == sorted(repr((c,)) for c in {c for _, c, _ in want})
 
 
-def test_prefix_is_shortened_to_the_recall():
-    assert ngram_join.prefix_length(0.8, 32, 0.5) > ngram_join.prefix_length(0.8, 32, 0.999999) >= 1
+def test_prefixes_are_shortened_to_the_recall():
+    assert ngram_join.floor_length(0.8, 32, 0.5) > ngram_join.floor_length(0.8, 32, 0.999999) >= 1
+    for trees in (32, 36, 40, 64):
+        floor, spared = ngram_join.floor_length(0.8, trees, 1 - 1e-7, 8), ngram_join.spared_trees(0.8, trees, 1 - 1e-7, 8)
+        missed = (1 - 0.8**8) ** (2 * spared) * (1 - 0.8**floor) ** (trees - 2 * spared)  # both texts of a pair spare other trees
+        assert missed <= 1e-7 and 2 * spared < trees
+
+
+def test_matched_prefixes_of_sorted_labels():
+    rng = random.Random(4)
+    for _ in range(50):
+        rows = sorted(bytes([rng.randrange(2), *rng.choices([0, 0, 1], k=8)]) for _ in range(rng.randrange(1, 60)))
+        common = lambda a, b: next((n for n in range(4) if a[2 * n + 1 : 2 * n + 3] != b[2 * n + 1 : 2 * n + 3]), 4) if a[0] == b[0] else 0
+        want = [i for i, x in enumerate(rows) if i in (0, len(rows) - 1) or max(common(rows[i - 1], x), common(x, rows[i + 1])) >= 3]
+        whole = pa.record_batch({"label": pa.array(rows, pa.binary()), "id": pa.array(range(len(rows)), pa.int64())})
+        parts, at = [], 0
+        while at < len(rows):
+            n = rng.randrange(0, 9)
+            parts.append(whole.slice(at, n))
+            at += n
+        assert [i for b in ngram_join._matched(3, 4)(iter(parts)) for i in b.column("id").to_pylist()] == want
+
+
+def test_near_duplicates_of_a_whole_table(spark):
+    """All pairs of sf0.01's different texts, by an index of their shingles."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets, holders = {}, {}
+    for i, t in rows:
+        w = ngram_join.words_of(t)
+        sets[i] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    both = Counter(p for ids in holders.values() if len(ids) > 1 for p in combinations(sorted(ids), 2))
+    links = Counter(i for (a, b), n in both.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n) for i in (a, b))
+    empty = Counter(t or "" for i, t in rows if not sets[i])
+    got = {r.doc_id: r.n_links for r in ngram_join.join_near(docs).collect()}
+    assert got == {i: links[i] if sets[i] else empty[t or ""] - 1 for i, t in rows} and sum(links.values()) > 50
 
 
 def test_components(spark):
