@@ -1,10 +1,10 @@
 """Toxicity: a weighted finite-state pattern grammar over clauses.
 
-Method: words become symbols (insult, harm, intent, target, negation, report, other); a clause's symbols pass through
-a cascade of small transducers (reported speech, then negation, then target, then threat), each of which rewrites
-the insults and harms in its scope; what leaves the cascade is a list of matched clauses, each with a
-pattern and its strongest word's weight. A document's evidence is the sum over its matches of weight times the
-pattern's factor; score = 1 - 2^(-evidence / threshold).
+Method: words become symbols (insult, harm, intent, target, negation, report, other). Small transducers (reported speech, negation, target,
+intent, threat), each of which rewrites the insults and harms in its scope, are composed into one machine whose states are tuples of theirs.
+Its arcs have weights: one that ends a match has its pattern's factor, all others none. A clause's symbols run through it once; the weight of a match is
+its arc's times its word's, and a clause counts for each pattern by its strongest match. A document's evidence is the sum over its
+clauses; score = 1 - 2^(-evidence / threshold).
 
 Learned from labelled rows: word and word-stem weights (log odds of the share of toxic and of clean documents that
 have them), pattern factors, and the threshold. Learning uses at most ``train_rows`` labelled rows that aren't held
@@ -12,7 +12,8 @@ out, those with the lowest hash of doc_id; this bound is the only sample, scorin
 Held out: crc32 of the doc_id as text, modulo 5, is 0. Labels, lang, source and doc_id are no inputs of a score.
 
 Defined cases: null and empty texts score 0; a null doc_id is scored, not held out and never learned from; without labelled rows the
-seed lexicon and default factors are used; repeated rows are scored each; a label of null is no label.
+seed lexicon and default factors are used; repeated rows are scored each and learned from once (the smallest text of a doc_id, toxic if any label says so); a label of
+null is no label.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import WORD_RE, bounded_batches, fresh
+from kelpline.llm.common import WORD_RE, bounded_batches, cut, fresh
 
 #: Small word classes of the grammar, in the four languages of the corpus.
 SEEDS = ("idiot", "moron", "stupid", "scum", "pathetic", "worthless", "loser", "imbécile", "dummkopf", "estúpido")
@@ -56,16 +57,8 @@ class Transducer:
     arcs: dict[tuple[int, str], tuple[int, str]]
     decays: bool = True
 
-    def run(self, symbols: list[str]) -> list[str]:
-        state, out = 0, []
-        for s in symbols:
-            arc = self.arcs.get((state, s))
-            if arc:
-                state, s = arc
-            elif self.decays and state:
-                state -= 1
-            out.append(s)
-        return out
+    def step(self, state: int, symbol: str) -> tuple[int, str]:
+        return self.arcs.get((state, symbol)) or (state - 1 if self.decays and state else state, symbol)
 
 
 def _scope(opens: str, marked: dict[str, str], reach: int, decays: bool = True) -> Transducer:
@@ -84,9 +77,32 @@ CASCADE = (
     _scope("W", {"H": "h"}, 3),
     Transducer({(s, "h"): (3, "h") for s in range(4)} | {(s, "T"): (0, "x") for s in range(1, 4)}),
 )
+SYMBOLS = "IHWTNR-"
 _PATTERN_OF = {"I": "plain", "t": "targeted", "n": "negated", "i": "reported", "x": "threat"}
 
 
+def compose(cascade: tuple[Transducer, ...]) -> list[dict[str, tuple[int, str]]]:
+    """One machine for all of ``cascade``, each reading what the one before it writes: for each state that can be reached from the start, 0, its arcs."""
+    start = (0,) * len(cascade)
+    number, order, out = {start: 0}, [start], []
+    for state in order:  # grows as states are found
+        arcs = {}
+        for symbol in SYMBOLS:
+            after, s = [], symbol
+            for q, machine in zip(state, cascade):
+                q, s = machine.step(q, s)
+                after.append(q)
+            if (to := tuple(after)) not in number:
+                number[to] = len(order)
+                order.append(to)
+            arcs[symbol] = number[to], s
+        out.append(arcs)
+    return out
+
+
+MACHINE = compose(CASCADE)
+
+
 @dataclass
 class Grammar:
     weights: dict[str, float] = field(default_factory=lambda: dict.fromkeys(SEEDS, SEED_WEIGHT))
@@ -94,6 +110,14 @@ class Grammar:
     factors: dict[str, float] = field(default_factory=lambda: dict(PRIOR))
     threshold: float = 2.0
 
+    def __post_init__(self) -> None:
+        self.weigh(self.factors)
+
+    def weigh(self, factors: dict[str, float]) -> None:
+        """Put the patterns' factors on the arcs that end their matches."""
+        self.factors = factors
+        self.arcs = [{s: (to, (p := _PATTERN_OF.get(o)), factors[p] if p else 0.0) for s, (to, o) in arcs.items()} for arcs in MACHINE]
+
     def weight(self, word: str) -> float:
         w = self.weights.get(word, 0.0)
         for n in STEMS:
@@ -102,7 +126,7 @@ class Grammar:
         return w
 
     def evidence(self, text: str | None) -> dict[str, float]:
-        """Sum of the weights of a text's matched clauses, by pattern."""
+        """Sum of the weights of a text's clauses, by pattern."""
         out = dict.fromkeys(PATTERNS, 0.0)
         if not text:
             return out
@@ -121,12 +145,11 @@ class Grammar:
             symbols = ["I" if w in known else _CLASSES.get(w, "-") for w in words]
             if "I" not in symbols and "H" not in symbols:
                 continue
-            for machine in CASCADE:
-                symbols = machine.run(symbols)
-            best: dict[str, float] = {}
+            state, best = 0, {}
             for s, w in zip(symbols, words):
-                if p := _PATTERN_OF.get(s):
-                    best[p] = max(best.get(p, 0.0), known.get(w, HARM_WEIGHT))
+                state, p, factor = self.arcs[state][s]
+                if p:
+                    best[p] = max(best.get(p, 0.0), factor * known.get(w, HARM_WEIGHT))
             for p, x in best.items():
                 out[p] += x
         return out
@@ -134,11 +157,8 @@ class Grammar:
     def score(self, text: str | None) -> float:
         return self._score(self.evidence(text))
 
-    def total(self, evidence: dict[str, float]) -> float:
-        return sum(self.factors[p] * x for p, x in evidence.items())
-
     def _score(self, evidence: dict[str, float]) -> float:
-        return 1.0 - 2.0 ** (-self.total(evidence) / self.threshold)
+        return 1.0 - 2.0 ** (-sum(evidence.values()) / self.threshold)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -146,14 +166,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _training(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """(text, toxic) of the labelled rows to learn from."""
+    """(text, toxic) of the labelled rows to learn from, ``train_rows`` at most however often an id is repeated."""
     rows = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-        .select(F.col("doc_id").alias("of"), (F.col("toxic") > 0).alias("toxic"))
-        .orderBy(F.xxhash64("of"), "of", "toxic")
+        .groupBy(F.col("doc_id").alias("of"))
+        .agg((F.max("toxic") > 0).alias("toxic"))
+        .orderBy(F.xxhash64("of"), "of")
         .limit(train_rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("of")).select("text", "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), F.col("doc_id") == F.col("of"))
+    return found.groupBy("of").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,8 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, lexicon: i
 
     A word or stem enters with ``least`` toxic documents and log odds of ``odds`` or more. The default bound is the one of 3, 3.5, 4, 4.5 and 5
     with the fewest errors on folds of the training rows that were left out of the fit; rows held out had no part in it."""
+    bounded_batches(docs.sparkSession)
     g = Grammar()
-    train = _training(docs, labels, train_rows)
+    train = cut(_training(docs, labels, train_rows), "toxic-rows")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = sizes.get(True, 0), sizes.get(False, 0)
     if not n_pos or not n_neg:
@@ -188,10 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, lexicon: i
     learned = [(r["kind"], r["f"], min(TOP_WEIGHT, r["w"])) for r in top]
     g.weights |= {f: w for k, f, w in learned if k == 0}
     g.stems = {f: w for k, f, w in learned if k == 1}
+    bare = Grammar(g.weights, g.stems, dict.fromkeys(PATTERNS, 1.0))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [g.evidence(t) for t in b.column(0).to_pylist()]
+            found = [bare.evidence(t) for t in b.column(0).to_pylist()]
             yield pa.record_batch({"toxic": b.column(1)} | {p: pa.array([e[p] for e in found], pa.float64()) for p in PATTERNS})
 
     rows = train.mapInArrow(look, "toxic boolean, " + ", ".join(f"{p} double" for p in PATTERNS)).collect()  # train_rows at most
@@ -202,11 +226,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000, lexicon: i
         return pos + neg, math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1)) if pos + neg else 0.0
 
     _, plain = gain("plain")
+    factors = dict(PRIOR)
     for p in PATTERNS[1:]:
         n, x = gain(p)
         if n >= 20 and plain > 0:
-            g.factors[p] = min(1.5, max(0.1, x / plain))
-    points = sorted((g.total({p: r[p] for p in PATTERNS}), r["toxic"]) for r in rows)
+            factors[p] = min(1.5, max(0.1, x / plain))
+    g.weigh(factors)
+    points = sorted((sum(factors[p] * r[p] for p in PATTERNS), r["toxic"]) for r in rows)
     wrong = n_neg  # below the first point all rows count as toxic
     best = (wrong + 1, 0.0, 0.0)
     for i, (x, toxic) in enumerate(points):

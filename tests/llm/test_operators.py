@@ -372,3 +372,44 @@ def test_a_large_benchmark_is_probed_in_passes_or_by_a_shuffle(spark, monkeypatc
     assert rows() == want
     monkeypatch.setattr(decontaminate, "PASSES", 1)
     assert rows() == want
+
+
+def plain_evidence(g, text):
+    """Toxicity by definition: each symbol is judged by its distance to the ones before it."""
+    out = dict.fromkeys(toxicity.PATTERNS, 0.0)
+    for clause in toxicity._CLAUSE.split((text or "").translate(toxicity._LOWER)):
+        words = ngram_join.words_of(clause)
+        kind = ["I" if g.weight(w) else toxicity._CLASSES.get(w, "-") for w in words]
+        last = lambda i, c: max([j for j in range(i) if kind[j] == c], default=-99)
+        best, meant = {}, -99
+        for i, (s, w) in enumerate(zip(kind, words)):
+            reported, denied = last(i, "R") >= 0, i - last(i, "N") <= 3
+            if s == "I":
+                p = "reported" if reported else "negated" if denied else "targeted" if i - last(i, "T") <= 4 else "plain"
+                best[p] = max(best.get(p, 0.0), g.factors[p] * g.weight(w))
+            if s == "H" and not reported and not denied and i - last(i, "W") <= 3:
+                meant = i
+            if s == "T" and i - meant <= 3:
+                best["threat"], meant = max(best.get("threat", 0.0), g.factors["threat"] * toxicity.HARM_WEIGHT), -99
+        for p, x in best.items():
+            out[p] += x
+    return out
+
+
+def test_toxicity_against_plain_definitions(spark):
+    rng = random.Random(8)
+    g = toxicity.Grammar(weights={"moron": 3.0, "scum": 2.0}, stems={"idio": 1.5}, factors={"plain": 1.0, "targeted": 1.3, "negated": 0.2, "reported": 0.5, "threat": 1.4}, threshold=3.0)
+    some = ["moron", "scum", "Idiots", "kill", "will", "you", "not", "said", "a", "b", "c", ".", "\n"]
+    texts = [*TEXTS, *[" ".join(rng.choices(some, k=rng.randrange(1, 40))) for _ in range(3000)]]
+    got = toxicity.score_toxicity(docs_of(spark, texts).withColumn("v", F.lit(1)), g).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        want = plain_evidence(g, t)
+        assert r.matches == {p: x for p, x in want.items() if x} and r.score == 1 - 2 ** (-sum(want.values()) / 3)
+
+
+def test_toxicity_learns_from_repeated_ids_once(spark):
+    docs = docs_of(spark, ["you moron"] * 6 + ["a fine day"] * 6)
+    labels = spark.createDataFrame([(i, int(i < 6)) for i in range(12)] * 5, "doc_id long, toxic int")
+    train = toxicity._training(docs.unionByName(docs), labels, 100)
+    n = docs.where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert train.count() == n and train.where("toxic <> (text = 'you moron')").count() == 0
