@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,8 +38,9 @@ from kelpline.llm.common import WORD_RE, bounded_batches, cut, fresh, text_key
 from kelpline.llm.components import components
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 36, 6, 1 - 1e-7
-#: Members of a block, and bytes of text in a block, that meet in one task. A node with more members than a block is crowded.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Members of a block, and bytes of text in a block, that meet in one task. Groups of over 64 blocks have larger blocks, of up to ``WIDEST`` times as many members, so
+#: that a text is copied less often. A node with more members than ``BLOCK`` is crowded.
+BLOCK, WIDEST, BLOCK_BYTES = 256, 8, 8 << 20
 MARGIN = 6
 _WORD = re.compile(WORD_RE)
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -253,6 +254,10 @@ def _exact(threshold: float):
     return run
 
 
+def _blocks(n: Column) -> Column:
+    return n / F.least(F.greatest(n / 64, F.lit(BLOCK)), F.lit(BLOCK * WIDEST))
+
+
 def _block_pairs(df: DataFrame, blocks: str) -> DataFrame:
     """Each row once for every pair of blocks that its own block is in: i <= j, and side, its own."""
     own = F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
@@ -338,7 +343,7 @@ def families(texts: DataFrame, threshold: float, trees: int, depth: int, recall:
         .where((F.col("n") > 1) & F.col("long"))
         .groupBy("n", "x", "y", "lo")
         .agg(F.min("node").alias("node"))
-        .select("node", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("node", F.ceil(_blocks(F.col("n"))).cast("int").alias("blocks"))
     )
     members = held.select("node", "id").join(cut(filled, "filled"), "node").join(signed, "id")
     pairs = _block_pairs(members, "blocks").select("node", "i", "j", "side", "id", "sig")
@@ -349,7 +354,7 @@ def families(texts: DataFrame, threshold: float, trees: int, depth: int, recall:
 def verified_links(docs: DataFrame, texts: DataFrame, family: DataFrame, threshold: float) -> DataFrame:
     """(id, root, links): for each text its exact links in a block pair of its family, and a text it is connected with there."""
     known = cut(family.join(texts.select("id", "key", "copies", "size"), "id"), "members")
-    blocks = known.groupBy("label").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = known.groupBy("label").agg(F.ceil(F.greatest(_blocks(F.count("*")), F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     narrow = known.join(cut(blocks, "blocks"), "label").drop("size")
     once = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     pairs = _block_pairs(once.join(narrow, "key"), "blocks").select("label", "i", "j", "side", "id", "copies", "text")
