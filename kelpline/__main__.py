@@ -67,11 +67,18 @@ def session_digest(rows: list[dict]) -> str:
 def arguments() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="kelpline")
     p.add_argument("--stores", default=os.environ.get("KELPLINE_STORES", str(Path.home() / ".config/kelpline/stores")))
+    p.add_argument("--slots", type=int, default=2, help="searches at a time; 0: any number")
+    p.add_argument("--deadline", type=float, default=30.0, help="seconds for a search and the wait before it")
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("init", help="write the stores file")
     c.add_argument("pairs", nargs="+", metavar="NAME=ROOT")
     c.add_argument("--embedder", default="none")
     sub.add_parser("stores", help="list the stores")
+    c = sub.add_parser("poll", help="index raw objects under a root, again and again")
+    c.add_argument("root")
+    c.add_argument("--store", default="")
+    c.add_argument("--interval", type=float, default=30.0)
+    c.add_argument("--rounds", type=int, default=0)
     for name in ("sync", "watch"):
         c = sub.add_parser(name, help="read what local files have grown by")
         c.add_argument("root")
@@ -80,6 +87,7 @@ def arguments() -> argparse.ArgumentParser:
         c.add_argument("--host", default=socket.gethostname())
         c.add_argument("--poll", type=float, default=3.0)
         c.add_argument("--dry-run", action="store_true")
+        c.add_argument("--limit", type=int, default=0)
     for name, limit in (("query", 8), ("container", 50), ("sessions", None)):
         c = sub.add_parser(name)
         c.add_argument("--store", default="")
@@ -107,6 +115,9 @@ def arguments() -> argparse.ArgumentParser:
     c.add_argument("--store", default="")
     for f in ("optimize", "audit-duplicates", "fragment-counts"):
         c.add_argument(f"--{f}", action="store_true")
+    index = c.add_mutually_exclusive_group()
+    for f in ("create-vector-index", "drop-vector-index"):
+        index.add_argument(f"--{f}", action="store_true")
     c.add_argument("--delete-host", default="")
     return p
 
@@ -124,6 +135,10 @@ def maintain(engine: Engine, a: argparse.Namespace) -> int:
         print(f"deleted={engine.delete_host(a.delete_host)}")
     if a.optimize:
         engine.optimize()
+    if a.create_vector_index:
+        engine.create_vector_index()
+    if a.drop_vector_index:
+        engine.drop_vector_index()
     if a.fragment_counts:
         print(json.dumps(engine.fragment_counts()))
     if a.audit_duplicates:
@@ -148,20 +163,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     chosen = Fed.pick(stores, a.store)
     if not chosen:
         raise SystemExit("no stores: run init first")
-    if a.command in ("sync", "watch", "maintain") and len(chosen) != 1:
+    if a.command in ("sync", "watch", "poll", "maintain") and len(chosen) != 1:
         raise SystemExit(f"{a.command} works on one store: pass --store NAME")
     spark = spark or SparkSession.builder.appName("kelpline").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "maintain":
         return maintain(chosen[0].open(spark), a)
+    if a.command == "poll":
+        chosen[0].open(spark).run(a.root, a.interval, a.rounds)
+        return 0
     if a.command in ("sync", "watch"):
         engine = chosen[0].open(spark)
         while True:
-            n = engine.sync(a.root, a.source, a.host, dry_run=a.dry_run)
+            n = engine.sync(a.root, a.source, a.host, dry_run=a.dry_run, limit=a.limit)
             print(" ".join(f"{k}={v}" for k, v in n.items()))
             if a.command == "sync":
                 return 0
             time.sleep(a.poll)
-    fed = Fed.Federation(spark, chosen)
+    fed = Fed.Federation(spark, chosen, Fed.Admission(spark, a.slots, a.deadline))
     if a.command == "query":
         filters = {"container_id": a.container, "project": a.project, "source": a.source, "kind": a.kind}
         emit(fed.search(" ".join(a.text), a.limit, embed=a.embed, **filters), a.json, "results", lambda r: hit_digest(r, False))

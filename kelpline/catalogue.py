@@ -14,7 +14,6 @@ from kelpline.operators import ivf as V
 from kelpline.operators import postings as I
 from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
-from kelpline.operators import units as U
 from kelpline.plans import predicates as P
 from kelpline.sources import migrate as M
 
@@ -37,6 +36,8 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
         F.lit("pi").alias("source"),
         F.col("conv_id").cast("string").alias("container_id"),
         F.col("role").alias("author_id"),
+        F.concat(F.lit("Talk "), F.col("conv_id") % 7).alias("container_title"),
+        F.concat(F.lit("p"), F.col("turn") % 3).alias("project"),
         F.when(F.col("role") == "system", "title").otherwise("message").alias("kind"),
         (F.col("conv_id") * 3600 + F.col("turn") * 60).alias("timestamp"),
         "text",
@@ -56,12 +57,13 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 MESSAGES = """(SELECT concat_ws('/', CAST(conv_id AS VARCHAR), lpad(CAST(turn AS VARCHAR), 6, '0')) AS id, CASE WHEN conv_id % 2 = 0 THEN 'mac' ELSE 'box' END AS host,
- 'pi' AS source, CAST(conv_id AS VARCHAR) AS container_id, role AS author_id, CASE WHEN role = 'system' THEN 'title' ELSE 'message' END AS kind,
+ 'pi' AS source, CAST(conv_id AS VARCHAR) AS container_id, role AS author_id, 'Talk ' || conv_id % 7 AS container_title, 'p' || turn % 3 AS project, CASE WHEN role = 'system' THEN 'title' ELSE 'message' END AS kind,
  conv_id * 3600 + turn * 60 AS timestamp, text FROM conversations)"""
 EVENTS = """(SELECT lpad(CAST(event_id AS VARCHAR), 12, '0') AS id, CAST(user_id AS VARCHAR) AS container_id, event_type AS kind,
  CAST(floor(epoch(ts)) AS BIGINT) AS timestamp, value, event_id FROM events)"""
 TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{Nd}]+'), lambda x: x <> '')"
 T0 = 1_704_499_200
+_KIND = "CASE event_type WHEN 'purchase' THEN 'title' WHEN 'signup' THEN 'todo' WHEN 'view' THEN 'task' WHEN 'click' THEN 'tool' ELSE 'message' END"
 
 _registry: dict[str, tuple[Query, str | None]] = {}
 
@@ -104,9 +106,10 @@ def before_bound(s, d):
     return events(s, d).where(P.before(T0)).select("id")
 
 
-@query(f"SELECT id, kind FROM {EVENTS} WHERE kind IN ('purchase', 'signup')")
+@query(f"SELECT id, kind FROM {EVENTS.replace('event_type AS', _KIND + ' AS')} WHERE kind IN ('title', 'todo', 'task')")
 def include_kinds(s, d):
-    return events(s, d).where(F.col("kind").isin("purchase", "signup")).select("id", "kind")
+    """The rows of a walk that asks for the state."""
+    return events(s, d).withColumn("kind", F.expr(_KIND.replace("event_type", "kind"))).where(P.of_kinds(P.kinds(" State "))).select("id", "kind")
 
 
 @query(f"SELECT id, timestamp, author_id FROM {MESSAGES} WHERE container_id = '3' ORDER BY timestamp, id LIMIT 3")
@@ -120,7 +123,7 @@ def container_walk_page2(s, d):
 
 
 @query(f"""SELECT host, source, container_id, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) AS messages,
- coalesce(CASE WHEN length(p) > 300 THEN left(p, 300) || '…' ELSE p END, '') AS first_prompt FROM
+ coalesce(CASE WHEN length(p) > 300 THEN left(p, 300) || '…' ELSE p END, '') AS first_prompt, arg_min(container_title, (timestamp, id)) AS container_title, arg_min(project, (timestamp, id)) AS project FROM
  (SELECT *, coalesce(arg_min(text, (timestamp, id)) FILTER (author_id = 'user' AND text <> '') OVER w, arg_min(text, (timestamp, id)) FILTER (text <> '') OVER w) AS p
   FROM {MESSAGES} WHERE kind = 'message' AND timestamp >= 36000 AND timestamp < 180000 WINDOW w AS (PARTITION BY host, source, container_id)) GROUP BY host, source, container_id, p""")
 def sessions_window(s, d):
@@ -128,7 +131,7 @@ def sessions_window(s, d):
 
 
 @query(f"""SELECT host, source, container_id, min(timestamp) AS first_ts, max(timestamp) AS last_ts, count(*) AS messages,
- coalesce(CASE WHEN length(p) > 300 THEN left(p, 300) || '…' ELSE p END, '') AS first_prompt FROM
+ coalesce(CASE WHEN length(p) > 300 THEN left(p, 300) || '…' ELSE p END, '') AS first_prompt, arg_min(container_title, (timestamp, id)) AS container_title, arg_min(project, (timestamp, id)) AS project FROM
  (SELECT *, coalesce(arg_min(text, (timestamp, id)) FILTER (author_id = 'user' AND text <> '') OVER w, arg_min(text, (timestamp, id)) FILTER (text <> '') OVER w) AS p
   FROM {MESSAGES} WHERE kind = 'message' WINDOW w AS (PARTITION BY host, source, container_id)) GROUP BY host, source, container_id, p""")
 def sessions_first_prompt(s, d):
@@ -143,10 +146,6 @@ def raw_status_counts(s, d):
     return C.status_counts(events(s, d).select(F.col("container_id").alias("source"), status.alias("status")))
 
 
-@query("SELECT l_orderkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1")
-def audit_duplicates(s, d):
-    return C.duplicates(_table(s, d, "lineitem"), "l_orderkey", "l_partkey")
-
 
 @query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, array_to_string(t, ' ') AS line FROM (SELECT doc_id, {TOKENS} AS t FROM documents)")
 def tokenize(s, d):
@@ -175,7 +174,7 @@ def bm25_topk(s, d):
     return S.bm25(_table(s, d, "documents"), QUERY, "doc_id").orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
-_DIST = f"list_distance(CAST(embedding AS DOUBLE[]), CAST({VECTOR} AS DOUBLE[]))"
+_DIST = f"sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(CAST(embedding[i] - CAST({VECTOR} AS FLOAT[])[i] AS DOUBLE), 2))))"
 
 
 @query(f"SELECT vec_id, round({_DIST}, 6) AS distance FROM embeddings ORDER BY {_DIST}, vec_id LIMIT 20")
@@ -216,12 +215,6 @@ def hybrid_topk(s, d):
     return docs.join(F.broadcast(top), "id").select("id", F.round("score", 9).alias("score"), "text")
 
 
-@query("SELECT doc_id, text FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
-def collapse_message(s, d):
-    docs = _table(s, d, "documents")
-    key = docs.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("r"))
-    return key.select("r.doc_id", "r.text")
-
 
 @query(f"""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY value DESC, event_id) AS rk, event_id, container_id AS u, timestamp AS t FROM {EVENTS} QUALIFY rk <= 60),
  s AS (SELECT CAST(0 AS BIGINT) AS rk, CAST([] AS STRUCT(e BIGINT, u VARCHAR, t BIGINT)[]) AS kept UNION ALL
@@ -233,31 +226,10 @@ def collapse_hits(s, d):
     return S.collapse(hits, 5 * DAY).select(F.col("id").cast("long").alias("event_id"))
 
 
-@query(f"""SELECT id, CASE WHEN length(q) > 80 THEN left(q, 80) || '…' ELSE q END AS question FROM (SELECT id, trim(regexp_replace(last_value(CASE WHEN author_id = 'user' THEN text END IGNORE NULLS)
- OVER (PARTITION BY container_id ORDER BY timestamp, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '\\s+', ' ', 'g')) AS q FROM {MESSAGES})""")
-def question_carry(s, d):
-    return U.carry_question(messages(s, d), 80).select("id", "question")
-
-
-@query(f"""SELECT id, concat_ws(chr(10), CASE WHEN timestamp - lag(timestamp, 2) OVER w <= {DAY} THEN lag(id, 2) OVER w END, CASE WHEN timestamp - lag(timestamp, 1) OVER w <= {DAY} THEN lag(id, 1) OVER w END) AS lead
- FROM {EVENTS} WINDOW w AS (PARTITION BY container_id ORDER BY timestamp, id)""")
-def lead_in_lines(s, d):
-    return U.lead_in(events(s, d).withColumn("text", F.col("id")), DAY).select("id", "lead")
-
-
-_REPLY = f"(SELECT *, CASE WHEN timestamp % 120 = 0 THEN container_id || '/000001' END AS reply_to FROM {MESSAGES})"
 
 
-@query(f"SELECT a.id, CASE WHEN b.timestamp < a.timestamp THEN b.text END AS quoted FROM {_REPLY} a LEFT JOIN {MESSAGES} b ON a.reply_to = b.id")
-def reply_quote(s, d):
-    reply = F.when(F.col("timestamp") % 120 == 0, F.concat("container_id", F.lit("/000001")))
-    return U.quote_parent(messages(s, d).withColumn("reply_to", reply)).select("id", "quoted")
 
 
-@query(f"SELECT id, sha256(author_id || chr(10) || text) AS content_hash FROM {MESSAGES}")
-def session_unit_hash(s, d):
-    return messages(s, d).select("id", X.content_hash(F.concat_ws("\n", "author_id", "text")).alias("content_hash"))
-
 
 @query(r"SELECT doc_id, CASE WHEN length(l) > 60 THEN left(l, 60) || '…' ELSE l END AS line FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS l FROM documents)")
 def clip_line(s, d):
@@ -274,46 +246,11 @@ def indexable_filter(s, d):
     return messages(s, d).where(X.indexable(F.col("author_id"), F.col("text"), ("The",))).select("id")
 
 
-@query(f"SELECT container_id, kind, arg_max(value, id) AS value, min(id) AS id FROM {EVENTS} GROUP BY container_id, kind")
-def last_version_wins(s, d):
-    return events(s, d).groupBy("container_id", "kind").agg(F.max_by("value", "id").alias("value"), F.min("id").alias("id"))
-
-
-@query(f"SELECT id, container_id, kind FROM {EVENTS} QUALIFY row_number() OVER (PARTITION BY container_id, kind ORDER BY timestamp, id) = 1")
-def first_occurrence(s, d):
-    return U.first_of(events(s, d), "container_id", "kind").select("id", "container_id", "kind")
-
-
-@query(f"SELECT a.id, coalesce(t, '') AS container_title FROM {MESSAGES} a LEFT JOIN (SELECT container_id, arg_max(text, (timestamp, id)) AS t FROM {MESSAGES} WHERE kind = 'title' GROUP BY container_id) USING (container_id)")
-def title_backfill(s, d):
-    return U.backfill_title(messages(s, d)).select("id", "container_title")
-
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'new' ELSE 'old' END AS version FROM orders UNION ALL SELECT o_orderkey + 100000000, 'new' FROM orders WHERE o_orderkey % 10 = 0")
-def upsert_merge(s, d):
-    o = _table(s, d, "orders").select("o_orderkey")
-    some = o.where("o_orderkey % 10 = 0")
-    new = some.unionByName(some.select((F.col("o_orderkey") + 100_000_000).alias("o_orderkey"))).withColumn("version", F.lit("new"))
-    return C.upsert(o.withColumn("version", F.lit("old")), new, "o_orderkey")
 
 
-@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey <> 7")
-def delete_host(s, d):
-    return _table(s, d, "customer").select("c_custkey", "c_nationkey").where(F.col("c_nationkey") != 7)
 
 
-@query("SELECT doc_id FROM documents a WHERE NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 3 = 0 AND sha256(a.text) = sha256(b.text))")
-def dedup_anti_join(s, d):
-    units = _table(s, d, "documents").select("doc_id", X.content_hash(F.col("text")).alias("h"))
-    return units.join(units.where("doc_id % 3 = 0").select("h").distinct(), "h", "left_anti").select("doc_id")
-
-
-@query("""SELECT doc_id, CASE WHEN length(text) < 20 THEN 'error' WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 THEN 'skipped' ELSE 'accepted' END AS outcome FROM documents""")
-def ingest_classify(s, d):
-    docs = _table(s, d, "documents").select("doc_id", F.char_length("text").alias("n"), X.content_hash(F.col("text")).alias("h"))
-    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
-    outcome = F.when(F.col("n") < 20, "error").when(F.col("doc_id") > F.col("first"), "skipped").otherwise("accepted")
-    return docs.join(first, "h").select("doc_id", outcome.alias("outcome"))
 
 
 _NOW = T0 + 20 * DAY
@@ -335,23 +272,7 @@ def interleave_stores(s, d):
     return C.interleave([m.where("host = 'mac'"), m.where("host = 'box'")], ["timestamp", "id"], 25).select("store", "rank", "id")
 
 
-@query(f"SELECT CASE WHEN host = 'mac' THEN 'mac' ELSE 'box' END AS store, id FROM {MESSAGES}")
-def union_stores(s, d):
-    m = messages(s, d)
-    parts = [m.where(F.col("host") == h).select(F.lit(h).alias("store"), "id") for h in ("mac", "box")]
-    return parts[0].unionByName(parts[1])
-
-
-@query(f"SELECT a.id FROM {EVENTS} a WHERE kind = 'purchase' AND EXISTS (SELECT 1 FROM {EVENTS} b WHERE b.kind = 'signup' AND b.container_id = a.container_id AND b.timestamp < a.timestamp)")
-def tool_result_semi_join(s, d):
-    e = events(s, d)
-    first = e.where("kind = 'signup'").groupBy("container_id").agg(F.min("timestamp").alias("t"))  # an earlier one exists if the first is earlier
-    return e.where("kind = 'purchase'").join(first, "container_id").where("t < timestamp").select("id")
-
 
-@query("SELECT event_id, strftime(ts, '%Y-%m') AS month FROM events")
-def month_partition(s, d):
-    return _table(s, d, "events").select("event_id", F.date_format("ts", "yyyy-MM").alias("month"))
 
 
 @query(f"SELECT id, strftime(to_timestamp(timestamp) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M') AS minute FROM {EVENTS}")
@@ -363,8 +284,8 @@ def when_format(s, d):
 def bm25_indexed(s, d):
     """Through postings, built here; a store keeps them."""
     docs = _table(s, d, "documents")
-    n, avg = I.stats(docs).first()
-    hits = I.bm25(I.build(docs, "doc_id"), n, avg, QUERY)
+    n, total = I.stats(docs).first()
+    hits = I.bm25(I.build(docs, "doc_id"), n, total / n, QUERY)
     return hits.orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
@@ -383,13 +304,6 @@ def older_identity(s, d):
     return _table(s, d, "events").withColumn("p", F.expr(_OLDER)).select("event_id", id.alias("id"), kind.alias("kind"))
 
 
-@query("SELECT o_orderkey AS key, CAST(o_custkey AS BIGINT) AS size FROM orders WHERE o_custkey % 3 = 0")
-def upload_differences(s, d):
-    """Objects without a remote one of their key and size."""
-    here = _table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").cast("long").alias("size"))
-    there = here.withColumn("size", F.when(F.col("size") % 3 == 0, -1).otherwise(F.col("size")))
-    return here.join(there, ["key", "size"], "left_anti")
-
 
 @query()
 def pq_search(s, d):
@@ -399,10 +313,6 @@ def pq_search(s, d):
     return hits.select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query()
-def chunk_windows(s, d):
-    return U.token_windows(_table(s, d, "documents"), 384, 64, "doc_id")
-
 
 @query()
 def ivf_search(s, d):
@@ -420,8 +330,12 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from kelpline import scenarios  # noqa: F401, its queries register themselves
+
     return {k: f for k, (f, _) in _registry.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from kelpline import scenarios  # noqa: F401
+
     return {k: q for k, (_, q) in _registry.items() if q}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable
 
@@ -14,6 +15,7 @@ from kelpline.functions.text import content_hash
 from kelpline.operators import containers as C
 from kelpline.operators import contextual as U
 from kelpline.operators import postings as I
+from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
 from kelpline.plans import predicates as P
 from kelpline.sources import jsonl, local
@@ -22,16 +24,21 @@ from kelpline.sources.store import Store
 Embedder = Callable[[list[str]], list[list[float]]]
 PARSER_VERSION = "1"
 QUERY_RUNES = 2000
+#: Groups of objects that are tried apart when a poll's job fails, and characters of an error that are kept.
+PARTS, ERROR = 64, 500
+#: Columns that a vector index has beside the vectors, so that filters reach its scan.
+_FILTERS = ("source", "host", "container_id", "container_kind", "project", "author_id", "kind", "message_id")
 _META = ("source", "host", "container_id", "container_kind", "container_title", "project", "author_id", "author_name", "kind", "reply_to", "attrs")
 RECORD = "id string, text string, " + ", ".join(f"{c} string" for c in _META) + ", timestamp long, vector array<float>"
 
 
 class Engine:
-    """``embedder`` gives vectors of ``dims`` numbers; without one, records and queries bring their own."""
+    """``embedder`` gives vectors of ``dims`` numbers; without one, records and queries bring their own. Prefixes go before the texts it is given."""
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, dims: int = 384):
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, dims: int = 384, query_prefix: str = "", doc_prefix: str = ""):
         self.spark, self.store, self.embedder, self.dims = spark, Store(spark, root), embedder, dims
-        self._indexed: tuple[str, object] | None = None  # path of the index's statistics, and they
+        self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
+        self._known: dict[tuple, object] = {}  # one-row tables and counts of versions seen
 
     # Reading
 
@@ -43,29 +50,78 @@ class Engine:
 
     def ready(self) -> bool:
         """Whether a search of one row runs."""
-        return self.store.read("chunks") is not None and len(S.bm25(self._table("chunks"), "ready").limit(1).collect()) <= 1
+        return self.store.read("chunks") is not None and len(self._keywords("ready", F.lit(True), False).limit(1).collect()) <= 1
+
+    def warm(self) -> None:
+        """Read a row and run a search, so that listings and code are there for the first caller."""
+        if self.store.read("chunks") is not None:
+            self._table("chunks").limit(1).collect()
+            self.ready()
+
+    def _only(self, table: str):
+        """The row of a table that has one, or None."""
+        v = self.store.version(table)
+        if v is None:
+            return None
+        if (table, v.n) not in self._known:
+            self._known[table, v.n] = self.store.read(table, v.n).first()
+        return self._known[table, v.n]
+
+    def _since(self, version: int) -> tuple[DataFrame | None, int]:
+        """Chunks written after ``version`` and their number; None if an index of that version can't be brought up to date with them."""
+        now = self.store.version("chunks").n
+        if (version, now) not in self._known:
+            tail = self.store.since("chunks", version)
+            self._known[version, now] = tail, tail.count() if tail is not None and now != version else 0
+        return self._known[version, now]
 
     def _keywords(self, text: str, keep: Column, narrowed: bool) -> DataFrame:
-        """BM25 scores of the chunks that ``keep`` holds for: by the index if it is of these chunks, else by a scan."""
-        stats, chunks = self.store.version("index_stats"), self._table("chunks")
-        if stats and (self._indexed is None or self._indexed[0] != stats[1]):
-            self._indexed = stats[1], self.spark.read.parquet(stats[1]).first()  # its only row
-        if not stats or self._indexed[1].chunks != self.store.version("chunks")[1]:
+        """BM25 scores of the chunks that ``keep`` holds for, by the index and the chunks written since; without an index by a scan."""
+        chunks, made = self._table("chunks"), self._only("index_stats")
+        tail, added = self._since(made.chunks) if made else (None, 0)
+        if tail is None:
             return S.bm25(chunks, text, keep=keep)
-        hits = I.bm25(self.spark.read.parquet(self._indexed[1].postings), self._indexed[1].n, self._indexed[1].avg, text)
+        n, total, postings = made.n, made.total, self.store.read("postings", made.postings)
+        if added:
+            ids = tail.select("id")
+            key = ("tokens", made.chunks, self.store.version("chunks").n)
+            if key not in self._known:
+                old = I.stats(self.store.read("chunks", made.chunks).join(ids, "id", "left_semi")).first()
+                new = I.stats(tail).first()
+                self._known[key] = new.n - old.n, new.total - old.total
+            more = self._known[key]
+            n, total = n + more[0], total + more[1]
+            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail))
+        hits = I.bm25(postings, n, total / max(n, 1), text)
         return hits.join(chunks.where(keep).select("id"), "id", "left_semi") if narrowed else hits
 
-    def search(self, text: str = "", vector: list[float] | None = None, limit: int = 5, embed: bool | None = None, **filters: str) -> DataFrame:
+    def _near(self, vector: list[float], k: int, exact: bool, probes: int, refine: int, **filters: str) -> DataFrame:
+        """(id, distance, score) of the nearest chunks: by the vector index, if there is one, and the chunks written since, else by a scan."""
+        keep, made = P.eq_all(**filters), None if exact else self._only("vector_index")
+        tail, added = self._since(made.chunks) if made else (None, 0)
+        if tail is None:
+            return S.vector_search(self._table("chunks").where(keep).select("id", "vector"), vector, k).select("id", "distance", "score")
+        index = self.store.read("vector_codes", made.codes).where(keep)
+        if added:
+            index = index.join(tail.select("id"), "id", "left_anti")
+        near = Q.search(index, Q.Codebook.of(made.lists, made.parts), vector, k, probes, refine).select("id", "distance", "score")
+        if not added:
+            return near
+        late = S.vector_search(tail.where(keep).select("id", "vector"), vector, k).select("id", "distance", "score")
+        return near.unionByName(late).orderBy("distance", "id").limit(k)
+
+    def search(self, text: str = "", vector: list[float] | None = None, limit: int = 5, embed: bool | None = None, exact: bool = False, probes: int = 1, refine: int = 4, **filters: str) -> DataFrame:
         """(rank, id, score, matched_chunk_id, text, ...) of at most ``limit`` messages.
 
         With a text and a vector, or with ``embed``, both lists are fused; ``embed=False`` drops the vector. A vector of
-        another length is replaced by one of the text where there is an embedder, else it is an error.
+        another length is replaced by one of the text where there is an embedder, else it is an error. Indexes are used where the store has them;
+        ``exact`` passes the vector index by, ``probes`` and ``refine`` are its own.
         """
         text, limit = text.strip(), limit if limit > 0 else 5
         vector = None if embed is False else vector
         stale = embed is None and vector and len(vector) != self.dims
         if text and self.embedder and (embed or stale):
-            vector = self.embedder([text if len(text) <= QUERY_RUNES else text[:QUERY_RUNES] + "…"])[0]
+            vector = self.embedder([self.query_prefix + (text if len(text) <= QUERY_RUNES else text[:QUERY_RUNES] + "…")])[0]
         if not vector and not text:
             raise ValueError("a query needs a text or a vector")
         if vector and len(vector) != self.dims:
@@ -74,8 +130,7 @@ class Engine:
         rows = self._table("chunks").where(keep)
         lists = []
         if vector:
-            near = S.vector_search(rows.select("id", "vector"), vector, k)
-            lists.append(S.ranked(near.select("id", "distance", "score"), "distance", "id"))
+            lists.append(S.ranked(self._near(vector, k, exact, probes, refine, **filters), "distance", "id"))
         if text:
             lists.append(S.ranked(self._keywords(text, keep, any(filters.values())).orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id"))
         hits = lists[0].select("id", "score", "rank")
@@ -88,9 +143,36 @@ class Engine:
         wide = rows.withColumnRenamed("id", "matched_chunk_id").drop("vector")
         return wide.join(F.broadcast(kept), "matched_chunk_id").join(F.broadcast(scores), "rank").withColumn("id", F.col("message_id")).orderBy("rank")
 
-    def walk(self, container_id: str, after_ts: int = 0, after_id: str = "", include: str = "", limit: int = 50, **filters: str) -> DataFrame:
-        """A page of a container; ``include`` names the kinds of rows: messages unless titles, todos, tasks or state."""
-        return C.walk(self._table("messages"), container_id, after_ts, after_id, P.kinds(include), limit, **filters)
+    def walk(self, container_id: str, after_ts: int = 0, after_id: str = "", include: str = "", limit: int = 50, raw: str = "", **filters: str) -> DataFrame:
+        """A page of a container; ``include`` names the kinds of rows: messages unless titles, todos, tasks or state.
+
+        With ``raw``, the root of the raw objects, rows come from those that hold the container, and from the table only if none has any.
+        """
+        if not container_id.strip():
+            raise ValueError("container_id required")
+        kinds, limit = P.kinds(include), limit if limit > 0 else 50
+        if raw:
+            objects = self.raw_objects(raw, container_id.strip(), **filters)
+            found = jsonl.parse(objects, kinds != {"message"}, jsonl.sources_of(objects)).select(*jsonl.COLUMNS)
+            page = C.walk(found, container_id.strip(), after_ts, after_id, kinds, limit, **filters)
+            if rows := page.collect():  # ``limit`` rows
+                return self.spark.createDataFrame(rows, page.schema)
+        return C.walk(self._table("messages"), container_id.strip(), after_ts, after_id, kinds, limit, **filters)
+
+    def raw_objects(self, root: str, container_id: str, host: str = "", source: str = "", **_: str) -> DataFrame:
+        """The raw objects that hold a container: those that the registry has indexed with it, else those whose key has the container's id, or a topic's chat, in it."""
+        registry = self.store.read("registry")
+        if registry is not None:
+            mine = jsonl.identify(registry.drop("source")).where(P.eq_all(host=host, source=source))
+            keys = [r.key for r in mine.where((F.col("status") == "indexed") & F.array_contains("container_ids", container_id)).select("key").collect()]  # a container's files
+            if keys:
+                return jsonl.listed(self.spark, root, keys)
+        all = jsonl.listed(self.spark, root)
+        return jsonl.identify(all).where(P.eq_all(host=host, source=source) & F.col("key").contains(container_id.split(":")[0])).drop("host", "source")
+
+    def scan(self, limit: int = 10, **filters: str) -> DataFrame:
+        """The first chunks that fit the filters, without a search."""
+        return C.scan(self._table("chunks"), limit, **filters)
 
     def sessions(self, since: int, until: int = 0, **filters: str) -> DataFrame:
         if since <= 0:
@@ -113,7 +195,7 @@ class Engine:
             if n:
                 chunks = U.chunks(new)
                 if self.embedder:
-                    chunks = U.embed(chunks, self.embedder, self.dims)
+                    chunks = U.embed(chunks, self.embedder, self.dims, prefix=self.doc_prefix)
                 self.store.flush(new.select(*jsonl.COLUMNS), chunks.drop(*jsonl.PLACE), new.select("dedup_key", "content_hash"))
             return n
         finally:
@@ -121,7 +203,7 @@ class Engine:
 
     def ingest_objects(self, objects: DataFrame) -> int:
         """Parse, contextualise and store raw objects (key, content); what was seen with the same unit is left out."""
-        return self._write(U.units(jsonl.parse(objects)), "|unit")
+        return self._write(U.units(jsonl.parse(objects, sources=jsonl.sources_of(objects))), "|unit")
 
     def poll(self, objects: DataFrame, now: int | None = None) -> dict[str, int]:
         """Ingest the objects (key, etag, size, content) that are due, and keep their registry."""
@@ -136,34 +218,84 @@ class Engine:
         if not started.take(1):
             return {"due": 0, "written": 0}
         self.store.upsert("registry", started, "key")
-        running = self._table("registry").where((F.col("status") == "processing") & (F.col("updated_at") == now))
-        todo = listed.join(running.select("key"), "key", "left_semi").select("key", "content")
-        rows = jsonl.parse(todo).persist(StorageLevel.MEMORY_AND_DISK)
-        written = self._write(U.units(rows), "|unit")
-        failed = jsonl.failures(todo)
-        containers = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.nullif("container_id", F.lit("")))).alias("container_ids"))
-        done = running.drop("error", "container_ids").join(failed, "key", "left").join(containers, "key", "left").withColumns({
-            "status": F.when(F.col("error").isNull(), "indexed").otherwise("failed"), "error": F.coalesce("error", F.lit("")), "container_ids": F.coalesce("container_ids", F.array().cast("array<string>")),
-        })
-        n = running.count()
-        self.store.upsert("registry", done, "key")
-        rows.unpersist()
-        return {"due": n, "written": written}
-
-    def sync(self, root: str, source: str, host: str, dry_run: bool = False) -> dict[str, int]:
+        running = self._table("registry").where((F.col("status") == "processing") & (F.col("updated_at") == now)).persist(StorageLevel.MEMORY_AND_DISK)
+        todo = listed.join(running.select("key"), "key", "left_semi").select("key", "size", "content")
+        rows = jsonl.parse(todo, sources=jsonl.sources_of(running)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = running.count()
+            written, bad = self._index_rows(rows)
+            failed = jsonl.failures(todo)
+            if bad:
+                told = self.spark.createDataFrame(list(bad.items()), "part long, error string").join(running.select("key", self._part().alias("part")), "part")
+                failed = failed.unionByName(told.select("key", "error")).groupBy("key").agg(F.min("error").alias("error"))
+            containers = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.nullif("container_id", F.lit("")))).alias("container_ids"))
+            done = running.drop("error", "container_ids").join(failed, "key", "left").join(containers, "key", "left").withColumns({
+                "status": F.when(F.col("error").isNull(), "indexed").otherwise("failed"), "error": F.coalesce("error", F.lit("")), "container_ids": F.coalesce("container_ids", F.array().cast("array<string>")),
+            })
+            self.store.upsert("registry", done, "key")
+            return {"due": n, "written": written}
+        finally:
+            rows.unpersist()
+            running.unpersist()
+
+    @staticmethod
+    def _part() -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(PARTS))
+
+    def _index_rows(self, rows: DataFrame) -> tuple[int, dict[int, str]]:
+        """Store the rows of objects in one job; if it fails, in up to ``PARTS`` parts: rows written, and the errors of the parts that failed again."""
+        try:
+            return self._write(U.units(rows), "|unit"), {}
+        except Exception as e:
+            first = str(e)
+        parts = [r[0] for r in rows.select(self._part()).distinct().collect()]  # PARTS at most
+        if len(parts) == 1:
+            return 0, {parts[0]: first[:ERROR]}
+        written, bad = 0, {}
+        for i in parts:
+            try:
+                written += self._write(U.units(rows.where(self._part() == i)), "|unit")
+            except Exception as e:
+                bad[i] = str(e)[:ERROR]
+        return written, bad
+
+    def run(self, root: str, interval: float = 30.0, rounds: int = 0) -> None:
+        """Poll the raw objects under ``root`` again and again, ``rounds`` times or for good. A poll that fails is told and tried again."""
+        done = 0
+        while True:
+            try:
+                self.poll(jsonl.listed(self.spark, root))
+            except Exception as e:
+                print(f"poll: {e}", file=sys.stderr)
+            done += 1
+            if done == rounds:
+                return
+            time.sleep(interval)
+
+    def sync(self, root: str, source: str, host: str, dry_run: bool = False, limit: int = 0) -> dict[str, int]:
         """Ingest files under ``root`` that have grown since their cursors, up to their last complete line.
 
         An object is parsed whole, since its rows depend on the lines before; what the store has seen is not written or embedded again.
-        Cursors move after the rows are stored, so a crash in between only repeats work.
+        Cursors move after the rows are stored, so a crash in between only repeats work. With a ``limit``, at most so many rows are taken, in the order of the
+        files, and the cursor of a file that is cut short stays.
         """
         new = local.grown(local.files(self.spark, root), self.store.read("cursor")).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n = new.count()
             if not n or dry_run:
                 return {"files": n, "accepted": 0}
-            objects = new.select(F.concat_ws("/", F.lit(host), F.lit(source), "rel").alias("key"), "content")
-            accepted = self.ingest_objects(objects)
-            self.store.upsert("cursor", new.select("path", "offset"), "path")
+            key = F.concat_ws("/", F.lit(host), F.lit(source), "rel")
+            rows = U.units(jsonl.parse(new.select(key.alias("key"), "content")))
+            whole = new
+            if limit > 0:
+                rows = U.pending(rows, self.store.read("dedup")).drop("dedup_key").persist(StorageLevel.MEMORY_AND_DISK)
+                some = rows.orderBy(*jsonl.PLACE).limit(limit)
+                cut = rows.groupBy("key").agg(F.count("*").alias("all")).join(some.groupBy("key").agg(F.count("*").alias("n")), "key", "left").where("n IS NULL OR n < all")
+                whole = new.withColumn("key", key).join(cut.select("key"), "key", "left_anti")
+                whole = self.spark.createDataFrame(whole.select("path", "offset").collect(), local.CURSOR)  # before the rows are stored
+                rows = some
+            accepted = self._write(rows, "|unit")
+            self.store.upsert("cursor", whole.select("path", "offset"), "path")
             return {"files": n, "accepted": accepted}
         finally:
             new.unpersist()
@@ -171,9 +303,11 @@ class Engine:
     def ingest(self, records: DataFrame) -> tuple[dict[str, int], DataFrame]:
         """Store records (``RECORD``'s columns; absent ones count as empty): counts, and (id, error) of those refused.
 
-        A record with a vector is one chunk as it stands; one without is embedded as a unit where there is an embedder.
+        A record with a vector is one chunk as it stands; one without is embedded as a unit where there is an embedder. A column that records don't have is an error.
         """
         names = {f.split()[0]: f.split()[1] for f in RECORD.split(", ")}
+        if unknown := sorted(set(records.columns) - set(names)):
+            raise ValueError(f"unknown fields: {', '.join(unknown)}")
         full = records.select(*[(F.col(c) if c in records.columns else F.lit(None)).cast(t).alias(c) for c, t in names.items()])
         full = full.fillna("", [c for c, t in names.items() if t == "string"]).withColumn("kind", F.when(F.col("kind") == "", "message").otherwise(F.col("kind")))
         given = F.coalesce(F.size("vector"), F.lit(0))
@@ -213,28 +347,49 @@ class Engine:
     # Maintenance
 
     def optimize(self, files: int = 8, threshold: int = 0, prune: bool = False) -> bool:
-        """Rewrite each table in ``files`` files and index the chunks, if a table has more than ``threshold`` files; whether that was so.
+        """Merge each table into ``files`` files and index it, if a table has more than ``threshold`` files; whether that was so. Messages are ordered by their container and chunks
+        by id, so that reading one skips most files. A table that someone writes meanwhile raises ``Conflict``.
 
         With ``prune``, older snapshots are deleted; no one may be reading them then.
         """
         if max(self.fragment_counts().values(), default=0) <= threshold:
             return False
-        for t in ("messages", "chunks"):
+        self.store.optimize("messages", files, "container_id", "timestamp", "id")
+        self.store.optimize("chunks", files, "id")
+        for t in ("dedup", "registry", "cursor"):
             self.store.optimize(t, files)
         self.build_index()
+        if self._only("vector_index"):
+            self.create_vector_index()
         if prune:
-            for t in ("messages", "chunks", "dedup", "registry", "cursor", "postings", "index_stats"):
+            for t in ("messages", "chunks", "dedup", "registry", "cursor", "postings", "index_stats", "vector_codes", "vector_index"):
                 self.store.prune(t)
         return True
 
     def build_index(self) -> None:
-        """Index the chunks' words; a search uses that until the chunks change. The statistics name the snapshots they are of and come last."""
-        chunks = self._table("chunks")
-        of = self.store.version("chunks")[1]
-        self.store.write("postings", I.build(chunks))
-        made = self.store.version("postings")[1]
+        """Index the chunks' words. Searches use it from then on, beside the chunks written since. The statistics name the versions they are of and come last."""
+        of = self.store.version("chunks").n
+        chunks = self.store.read("chunks", of)
+        made = self.store.write("postings", I.build(chunks))
         self.store.write("index_stats", I.stats(chunks).withColumns({"chunks": F.lit(of), "postings": F.lit(made)}))
 
+    def create_vector_index(self, lists: int | None = None, parts: int | None = None, codes: int = 256) -> None:
+        """Build the quantised index of the chunks' vectors, or build it anew with the settings it had: one list and up to 96 parts unless told otherwise."""
+        had = self._only("vector_index")
+        lists = lists or (len(had.lists) if had else 1)
+        parts = parts or (len(had.parts) if had else max(p for p in range(1, min(96, self.dims) + 1) if self.dims % p == 0))
+        of = self.store.version("chunks").n
+        chunks = self.store.read("chunks", of)
+        book = Q.train(chunks, self.dims, lists, parts, codes)
+        made = self.store.write("vector_codes", Q.encode(chunks.select("id", "vector", *_FILTERS), book).repartitionByRange("list", "id"))
+        row = [(book.lists.tolist(), book.parts.tolist(), of, made)]
+        self.store.write("vector_index", self.spark.createDataFrame(row, "lists array<array<double>>, parts array<array<array<double>>>, chunks int, codes int"))
+
+    def drop_vector_index(self) -> None:
+        """Vector searches scan from then on. Without an index nothing happens."""
+        self.store.drop("vector_index", "vector_codes")
+        self._known = {k: v for k, v in self._known.items() if k[0] != "vector_index"}
+
     def audit_duplicates(self) -> DataFrame:
         """(table, id, copies) of ids that stand more than once."""
         parts = [C.duplicates(self._table(t).select(F.lit(t).alias("table"), "id"), "table", "id") for t in ("messages", "chunks")]
@@ -244,9 +399,9 @@ class Engine:
         """Drop a host's rows and state; how many messages and chunks there were."""
         gone = self.store.delete_host(host, "messages", "chunks")
         for t, key in (("dedup", "dedup_key"), ("registry", "key")):
-            rows = self.store.read(t)
+            v, rows = self.store.version(t), self.store.read(t)
             if rows is not None:
-                self.store.write(t, rows.where(~F.col(key).startswith(host + "/")))
+                self.store.write(t, rows.where(~F.col(key).startswith(host + "/")), key, v)
         return gone
 
     def fragment_counts(self) -> dict[str, int]:

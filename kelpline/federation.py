@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import errno
+import ipaddress
+import socket
 import threading
 import time
 import uuid
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.engine import Engine
+from kelpline.operators.containers import interleave
 from kelpline.operators.contextual import hashed_vectors
 
 T = TypeVar("T")
@@ -77,8 +81,9 @@ def pick(stores: list[Named], name: str = "") -> list[Named]:
 class Federation:
     """Calls to several stores at once; one that fails is reported and the others answer, and only if all fail is it an error."""
 
-    def __init__(self, spark: SparkSession, stores: list[Named]):
-        self.spark, self.stores = spark, stores
+    def __init__(self, spark: SparkSession, stores: list[Named], admission: Admission | None = None):
+        """With ``admission``, searches and walks wait for one of its slots."""
+        self.spark, self.stores, self.admission = spark, stores, admission
 
     def _each(self, call: Callable[[Engine], T]) -> tuple[list[tuple[int, T]], dict[str, str]]:
         def one(s: Named) -> Any:
@@ -104,14 +109,14 @@ class Federation:
             df = call(e)
             return df.collect(), df.schema  # a page of hits
 
-        found, errors = self._each(run)
+        found, errors = self.admission.run(lambda: self._each(run)) if self.admission else self._each(run)
         return [self._label(self.spark.createDataFrame(rows, schema), i) for i, (rows, schema) in found], errors
 
     def search(self, text: str = "", limit: int = 8, **more: Any) -> tuple[DataFrame, dict[str, str]]:
         """Hits taken in turn by rank, since scores of different stores don't compare; and the stores' errors."""
         parts, errors = self._bounded(lambda e: e.search(text, limit=limit, **more))
-        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        return both.orderBy("rank", "_store").limit(limit).drop("_store"), errors
+        names = [p.first().store if not p.isEmpty() else "" for p in parts]
+        return interleave([p.drop("store", "_store") for p in parts], ["rank"], limit, names), errors
 
     def walk(self, container_id: str, **more: Any) -> tuple[DataFrame, dict[str, str]]:
         """Each store's page, one after the other."""
@@ -160,3 +165,20 @@ class Admission:
         if "error" in result:
             raise result["error"]
         return result["value"]
+
+
+def from_this_host(address: str) -> bool:
+    """Whether a caller's ``host:port`` is this machine's, so that a service in front of the engine can refuse its records. What can't be read or tried counts as its own."""
+    host, colon, port = address.rpartition(":")
+    try:
+        ip = ipaddress.ip_address(host[1:-1] if host.startswith("[") and host.endswith("]") else host)
+    except ValueError:
+        return True
+    if not colon or not port.isdigit() or ip.is_loopback:
+        return True
+    try:
+        with socket.socket(socket.AF_INET6 if ip.version == 6 else socket.AF_INET, socket.SOCK_DGRAM) as s:
+            s.bind((str(ip), 0))  # only an own address can be bound
+        return True
+    except OSError as e:
+        return e.errno != errno.EADDRNOTAVAIL

@@ -20,6 +20,11 @@ def clip_runes(c: Column, n: int) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit("…"))).otherwise(c)
 
 
+def clip_chars(c: Column, n: int) -> Column:
+    """At most ``n`` code points, without an ellipsis; all of them if ``n`` is not positive."""
+    return F.left(c, F.lit(n)) if n > 0 else c
+
+
 def clip_line(c: Column, n: int) -> Column:
     """One line: white space runs become one space, then ``clip_runes``."""
     return clip_runes(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")), n)
@@ -74,3 +79,25 @@ def raw_timestamp(value: Column) -> Column:
 def when_format(seconds: Column) -> Column:
     """UTC minute of a Unix time; the session's time zone is expected to be UTC."""
     return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm")
+
+
+def month_format(seconds: Column) -> Column:
+    """UTC month of a Unix time, by which exports of chats are filed."""
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM")
+
+
+def guess_container(path: Column, source: Column) -> Column:
+    """A session's id from its file's name: for pi what follows the last underscore, else the last five of five or more parts between hyphens, else all."""
+    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.jsonl$", "")
+    parts = F.split(base, "-")
+    last = F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, -5, 5), "-")).otherwise(base)
+    return F.when((source == "pi") & base.contains("_"), F.substring_index(base, "_", -1)).otherwise(last)
+
+
+def object_store_url(url: str) -> tuple[str, str]:
+    """(bucket, prefix) of an ``s3://bucket/prefix`` address."""
+    scheme, _, rest = url.partition("://")
+    bucket, _, prefix = rest.split("?")[0].split("#")[0].partition("/")
+    if scheme.lower() != "s3" or not bucket:
+        raise ValueError(f"invalid s3 url {url!r}")
+    return bucket, prefix

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpline.functions.text import clip_line, content_hash, trim_space
+from kelpline.functions.text import clip_chars, clip_line, content_hash, trim_space
 from kelpline.sources.jsonl import CHATS
 
 LEAD_GAP, LEAD_LINES, LINE_RUNES, QUESTION_RUNES = 600, 2, 200, 300
@@ -24,6 +25,8 @@ X_KINDS = {"dm": "DM", "group": "group"}
 TELEGRAM_KINDS = {"dm": "direct chat", "group": "group", "channel": "channel", "topic": "group topic"}
 
 _PLACE = ("at", "sub", "line_no")
+#: Control characters with a letter of their own, all others by number.
+ESCAPES = [(chr(i), "\\" + name) for i, name in zip(range(7, 14), "abtnvfr")] + [(chr(i), f"\\x{i:02x}") for i in (*range(7), *range(14, 32), 127)]
 
 
 def _named(c: Column, names: dict[str, str], other: Column | str) -> Column:
@@ -32,8 +35,8 @@ def _named(c: Column, names: dict[str, str], other: Column | str) -> Column:
 
 
 def quoted(c: Column) -> Column:
-    """In double quotes, with backslashes, quotes, new lines, returns and tabs escaped."""
-    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    """In double quotes, with backslashes, quotes and control characters escaped."""
+    for raw, escaped in (("\\", "\\\\"), ('"', '\\"'), *ESCAPES):
         c = F.replace(c, F.lit(raw), F.lit(escaped))
     return F.concat(F.lit('"'), c, F.lit('"'))
 
@@ -95,11 +98,30 @@ def units(rows: DataFrame) -> DataFrame:
 
 
 def pending(units: DataFrame, state: DataFrame | None, suffix: str = "|unit") -> DataFrame:
-    """Units whose key (id and ``suffix``) and hash are not in the deduplication state (dedup_key, content_hash)."""
+    """Units whose key (id and ``suffix``) and hash are not in the deduplication state (dedup_key, content_hash); an empty id or hash is never in it."""
     mine = units.withColumn("dedup_key", F.concat("id", F.lit(suffix)))
     if state is None:
         return mine
-    return mine.join(state.select("dedup_key", "content_hash").distinct(), ["dedup_key", "content_hash"], "left_anti")
+    known = state.where("dedup_key <> '' AND content_hash <> ''").select("dedup_key", "content_hash")
+    return mine.join(known, ["dedup_key", "content_hash"], "left_anti")
+
+
+class Tokenizer(Protocol):
+    """What clips queries by tokens and counts them."""
+
+    def tokenize(self, text: str) -> list[int]: ...
+
+    def detokenize(self, ids: list[int]) -> str: ...
+
+
+def counter(tokenizer: Tokenizer) -> Callable[[str], int]:
+    return lambda text: len(tokenizer.tokenize(text))
+
+
+def clip_tokens(text: str, most: int, tokenizer: Tokenizer) -> str:
+    """The text of its first ``most`` tokens; a text that has no more is as it was."""
+    ids = tokenizer.tokenize(text)
+    return text if len(ids) <= most else tokenizer.detokenize(ids[:most])
 
 
 def words(text: str) -> int:
@@ -175,8 +197,8 @@ def hashed_vectors(dims: int = 384) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dims: int = 384, batch: int = 32, prefix: str = "", text: str = "text") -> DataFrame:
-    """``rows`` with ``vector``, from ``embedder`` in batches of ``batch``; a vector of another length is an error."""
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dims: int = 384, batch: int = 32, prefix: str = "", text: str = "text", clip: int = 0) -> DataFrame:
+    """``rows`` with ``vector``, from ``embedder`` in batches of ``batch``; a vector of another length is an error. ``clip``: at most so many characters of a text are embedded."""
 
     def run(column: pa.Array) -> pa.Array:
         texts = [prefix + (t or "") for t in column.to_pylist()]
@@ -188,4 +210,4 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], d
             found += part
         return pa.array(found, pa.list_(pa.float32()))
 
-    return rows.withColumn("vector", F.arrow_udf(run, "array<float>")(F.col(text)))
+    return rows.withColumn("vector", F.arrow_udf(run, "array<float>")(clip_chars(F.col(text), clip)))

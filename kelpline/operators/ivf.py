@@ -6,9 +6,6 @@ one batch of rows, and what it returns grows with the queries only.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.operators.quantised import _means, _nearest
+from kelpline.sources.store import scratch
 
 BLOCK, BATCH, PAIRS = 500, 8192, 100_000
 
@@ -56,8 +54,7 @@ def build(rows: DataFrame, dims: int, lists: int = 16, sample_rows: int = 20_000
     def near(column: pa.Array) -> pa.Array:
         return pa.array(_nearest(_matrix(column, dims), centres).astype(np.int32))
 
-    base = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "kelpline-shared")
-    folder = f"{base.rstrip('/')}/ivf-{uuid.uuid4().hex}"
+    folder = scratch(rows.sparkSession, "ivf")
     rows.withColumn("list", F.arrow_udf(near, "int")(F.col("vector"))).write.partitionBy("list").parquet(folder)
     return Index(folder, centres)
 

@@ -22,8 +22,8 @@ def build(rows: DataFrame, id: str = "id", text: str = "text", files: int | None
 
 
 def stats(rows: DataFrame, text: str = "text") -> DataFrame:
-    """One row (n, avg): rows and their mean number of tokens, a null text having none."""
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))), F.lit(0.0)).alias("avg"))
+    """One row (n, total): rows and their number of tokens, a null text having none."""
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long")), F.lit(0).cast("long")).alias("total"))
 
 
 def bm25(postings: DataFrame, n: int, avg: float, query: str) -> DataFrame:

@@ -20,6 +20,10 @@ class Codebook:
     lists: np.ndarray
     parts: np.ndarray
 
+    @classmethod
+    def of(cls, lists: list, parts: list) -> Codebook:
+        return cls(np.array(lists, dtype=np.float64), np.array(parts, dtype=np.float64))
+
 
 def _means(points: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
     """k-means centres; one that loses all its points stays where it was."""

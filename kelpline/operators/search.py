@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpline.functions.text import tokens
+
 RRF_K, K1, B = 60, 1.2, 0.75
 
 
@@ -16,7 +16,8 @@ def fetch_size(limit: int) -> int:
 
 
 def query_terms(query: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in query.lower()).split()
+    """A query's tokens, by the classes of ``functions.text.tokens``: letters and decimal digits."""
+    return "".join(c if c.isalpha() or c.isdecimal() else " " for c in query.lower()).split()
 
 
 def term_frequency(text: Column, term: str) -> Column:
@@ -27,7 +28,7 @@ def term_frequency(text: Column, term: str) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(r"[\p{L}\p{Nd}]+"))
+    return F.size(tokens(F.coalesce(text, F.lit(""))))
 
 
 def keyword_score(text: Column, query: str) -> Column:
@@ -69,9 +70,10 @@ def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text", keep:
 
 
 def l2(vector: Column, query: list[float]) -> Column:
-    q = F.array(*[F.lit(float(x)) for x in query])
-    squares = F.zip_with(vector, q, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0))))
+    """Distance of two vectors: differences of single precision, squared and summed in double; the longer vector's rest is left out."""
+    q = F.array(*[F.lit(float(x)).cast("float") for x in query])
+    gaps = F.zip_with(vector, q, lambda a, b: (a.cast("float") - b).cast("double"))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
 
 
 def vector_search(rows: DataFrame, query: list[float], k: int, id: str = "id", vector: str = "vector") -> DataFrame:
@@ -100,10 +102,11 @@ def best_of_message(hits: DataFrame, key: str, *order: Column | str) -> DataFram
 def collapse(hits: DataFrame, gap: int = 600, limit: int = 10**9) -> DataFrame:
     """Greedy collapse of at most a few hundred ranked hits (rank, id, message_id, content_hash, chat, container_id, timestamp).
 
-    In rank order a hit goes if a kept one has its message or its non-empty hash, or, for chats, is of the same container and within ``gap`` seconds.
+    An empty message_id stands for the row's own id. In rank order a hit goes if a kept one has its message or its non-empty hash, or, for chats, is of the same container and within ``gap`` seconds.
     """
     fields = ["rank", "id", "message_id", "content_hash", "chat", "container_id", "timestamp"]
-    one = hits.select(F.struct(*fields).alias("h")).agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    own = hits.withColumn("message_id", F.coalesce(F.nullif("message_id", F.lit("")), "id"))
+    one = own.select(F.struct(*fields).alias("h")).agg(F.array_sort(F.collect_list("h")).alias("hs"))
 
     def step(kept: Column, h: Column) -> Column:
         same = F.exists(
@@ -116,17 +119,3 @@ def collapse(hits: DataFrame, gap: int = 600, limit: int = 10**9) -> DataFrame:
 
     start = F.slice("hs", 1, 0)
     return one.select(F.inline(F.aggregate("hs", start, step)))
-
-
-def ivf_assign(rows: DataFrame, centroids: list[list[float]], vector: str = "vector") -> DataFrame:
-    """``list``: number of the nearest centroid."""
-    best = F.array_min(F.array(*[F.struct(l2(F.col(vector), c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centroids)]))
-    return rows.withColumn("list", best["i"])
-
-
-def ivf_search(rows: DataFrame, centroids: list[list[float]], query: list[float], k: int, probes: int = 4, id: str = "id", vector: str = "vector") -> DataFrame:
-    """Search the ``probes`` nearest lists; if they hold fewer than ``k`` rows, all of them."""
-    near = sorted(range(len(centroids)), key=lambda i: (math.dist(centroids[i], query), i))[:probes]
-    held = rows.where(F.col("list").isin(near))
-    found = vector_search(held, query, k, id, vector)
-    return found if found.count() >= k else vector_search(rows, query, k, id, vector)

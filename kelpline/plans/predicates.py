@@ -44,3 +44,7 @@ def kinds(include: str) -> set[str]:
     if name in ("state", "important"):
         return {"title", "todo", "task"}
     return {STATE_KINDS.get(name, "message")}
+
+
+def of_kinds(names: set[str]) -> Column:
+    return F.col("kind").isin(*sorted(names))

@@ -6,7 +6,7 @@ Running state (session, project, pending titles) is a window over one object's l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -36,10 +36,36 @@ def identify(objects: DataFrame, key: str = "key") -> DataFrame:
     return objects.where(ok).withColumns({"host": parts[0], "source": parts[1]})
 
 
+def object_key(root: str, path: str = "path") -> Column:
+    """What follows ``root`` in a file's path."""
+    return F.element_at(F.split(path, r"\Q" + root.split("://")[-1].strip("/") + r"/\E", 2), -1)
+
+
+def listed(spark: SparkSession, root: str, keys: list[str] | None = None) -> DataFrame:
+    """(key, etag, size, content) of the recognised objects under ``root``, or of those named, sorted by key; content is read only where it is used.
+
+    The etag is made of a file's time and size. Objects that are too large have null content and are never read. A missing root has none.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    empty = spark.createDataFrame([], "key string, etag string, size long, content binary")
+    if keys is not None and not keys or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return empty
+    files = spark.read.format("binaryFile")
+    if keys is None:
+        files = files.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").load(root)
+    else:
+        special = str.maketrans({c: "\\" + c for c in "\\{}[]*?^"})
+        files = files.load([f"{root.rstrip('/')}/{k.translate(special)}" for k in keys])
+    named = files.select(object_key(root).alias("key"), F.concat_ws("-", F.unix_millis("modificationTime"), "length").alias("etag"), F.col("length").alias("size"), "content")
+    fit = named.where(F.col("size") <= LARGEST).unionByName(named.where(F.col("size") > LARGEST).withColumn("content", F.lit(None).cast("binary"))) if keys is None else named
+    return identify(fit).drop("host", "source").orderBy("key")
+
+
 def failures(objects: DataFrame) -> DataFrame:
     """(key, error) of recognised objects that are too large or have a line that is too long."""
     long_line = F.exists(F.split(F.col("content").cast("string"), "\n"), lambda t: F.octet_length(t) > LONGEST_LINE)
-    error = F.when(F.octet_length("content") > LARGEST, "object too large").when(long_line, "line too long")
+    size = F.col("size") if "size" in objects.columns else F.octet_length("content")
+    error = F.when(size > LARGEST, "object too large").when(long_line, "line too long")
     return identify(objects).select("key", error.alias("error")).where(F.col("error").isNotNull())
 
 
@@ -231,12 +257,24 @@ def drop_restating(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_skip", F.coalesce(F.first(F.when(user, opens), ignorenulls=True).over(w), F.lit(False))).where("NOT _skip").drop("_skip")
 
 
-def parse(objects: DataFrame, state: bool = True) -> DataFrame:
-    """Message rows of all recognised objects (key, content), with their place; without titles, todos, tasks and tools unless ``state``."""
+def sources_of(objects: DataFrame) -> list[str]:
+    """The sources that the objects are of; ``parse`` then plans no others."""
+    return [r.source for r in identify(objects).select("source").distinct().collect()]  # eight at most
+
+
+def parse(objects: DataFrame, state: bool = True, sources: list[str] | None = None) -> DataFrame:
+    """Message rows of all recognised objects (key, content), with their place; without titles, todos, tasks and tools unless ``state``.
+
+    Objects of other than ``sources`` are passed over. Each parser that is needed reads the objects once.
+    """
     rows = lines(identify(objects))
-    of = lambda *names: rows.where(F.col("source").isin(*names))
-    sessions = parse_pi(of("pi", "omp", "grokbot"))
-    for f, name in ((parse_claude, "claude"), (parse_codex, "codex"), (parse_grok, "grok")):
-        sessions = sessions.unionByName(f(of(name)))
-    out = drop_restating(sessions).unionByName(parse_chat(of(*CHATS)))
+    want = SOURCES if sources is None else sources
+    parsers = ((parse_pi, ("pi", "omp", "grokbot")), (parse_claude, ("claude",)), (parse_codex, ("codex",)), (parse_grok, ("grok",)), (parse_chat, CHATS))
+    out = None
+    for f, names in parsers:
+        if mine := [n for n in names if n in want]:
+            part = f(rows.where(F.col("source").isin(*mine)))
+            part = part if f is parse_chat else drop_restating(part)
+            out = part if out is None else out.unionByName(part)
+    out = parse_chat(rows.limit(0)) if out is None else out
     return out if state else out.where("kind = 'message'")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.sources.jsonl import CHATS, SOURCES
+from kelpline.sources.jsonl import CHATS, SOURCES, object_key
 
 CURSOR = "path string, offset long"
 
@@ -21,8 +21,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "path string, rel string, size long, content binary")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root)
-    base = root.split("://")[-1].strip("/") + "/"
-    return found.select("path", F.element_at(F.split("path", r"\Q" + base + r"\E", 2), -1).alias("rel"), F.col("length").alias("size"), "content")
+    return found.select("path", object_key(root).alias("rel"), F.col("length").alias("size"), "content")
 
 
 def grown(found: DataFrame, cursor: DataFrame | None) -> DataFrame:
@@ -94,16 +93,27 @@ def local_objects(trees: list[Tree], host: str) -> list[tuple[str, str, int]]:
 def upload(spark: SparkSession, trees: list[Tree], host: str, target: str) -> dict[str, int]:
     """Copy files whose size in ``target`` differs, exactly as many bytes as were listed: scanned, uploaded, skipped.
 
-    The files are this machine's, so the driver copies them.
+    The target is listed once. The files are this machine's, so the driver copies them.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    jvm, conf, target = spark._jvm, spark._jsc.hadoopConfiguration(), target.rstrip("/")
     objects = local_objects(trees, host)
-    done = 0
-    for key, path, size in objects:
-        to = jvm.org.apache.hadoop.fs.Path(f"{target.rstrip('/')}/{key}")
-        fs = to.getFileSystem(conf)
-        if fs.exists(to) and fs.getFileStatus(to).getLen() == size:
-            continue
-        jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.io.FileInputStream(path), fs.create(to, True), size, True)
-        done += 1
-    return {"scanned": len(objects), "uploaded": done, "skipped": len(objects) - done}
+    paths = {key: path for key, path, _ in objects}
+    there = listing(spark, f"{target}/{host}", target)
+    todo = differences(spark.createDataFrame([(k, n) for k, _, n in objects], "key string, size long"), there).orderBy("key").collect()  # this machine's files
+    for key, size in todo:
+        to = jvm.org.apache.hadoop.fs.Path(f"{target}/{key}")
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(jvm.java.io.FileInputStream(paths[key]), to.getFileSystem(conf).create(to, True), size, True)
+    return {"scanned": len(objects), "uploaded": len(todo), "skipped": len(objects) - len(todo)}
+
+
+def listing(spark: SparkSession, root: str, base: str) -> DataFrame:
+    """(key, size) of the files under ``root``, named from ``base`` on; their content isn't read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "key string, size long")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(object_key(base).alias("key"), F.col("length").alias("size"))
+
+
+def differences(here: DataFrame, there: DataFrame) -> DataFrame:
+    """The (key, size) of ``here`` that ``there`` doesn't have."""
+    return here.join(there, ["key", "size"], "left_anti")

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kelpline.engine import Engine
+from kelpline.sources.jsonl import object_key
 
 
 def raw_objects(spark: SparkSession, root: str) -> DataFrame:
     """(key, content) of the objects under ``root``, as a stream of files."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_replace("path", "^.*?" + root.split("://")[-1].strip("/") + "/", "").alias("key"), "content")
+    return files.select(object_key(root).alias("key"), "content")
 
 
 def start(spark: SparkSession, root: str, engine: Engine, checkpoint: str) -> StreamingQuery:

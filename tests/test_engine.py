@@ -176,3 +176,76 @@ def test_stream_and_delete(spark, tmp_path):
     ingest.start(spark, f"file://{tmp_path}/raw", e, f"file://{tmp_path}/ck").awaitTermination()
     assert e.store.read("messages").where(F.col("source") != "telegram").count() == 13 and e.fragment_counts()["messages"] > 0
     assert e.delete_host("hh") == 0 and e.delete_host("h") > 0 and e.store.read("dedup").count() == 0
+
+
+def test_walks_of_the_raw_objects(spark, tmp_path):
+    root = tmp_path / "raw (a+b)"
+    for key, body in OBJECTS.items():
+        path = root / key
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("\n".join(map(json.dumps, body)) + "\n")
+    e = Engine(spark, f"file://{tmp_path}/s", U.hashed_vectors(4), 4)
+    listed = jsonl.listed(spark, f"file://{root}")
+    assert [r.key for r in listed.collect()] == sorted(k for k in OBJECTS if not k.startswith(("h/notes", "pi/")))
+    e.run(f"file://{root}", rounds=1)
+    assert e.raw_status().where("source IS NULL").first().indexed == 7
+    raw = f"file://{root}"
+    assert [r.id for r in e.walk("s1", raw=raw).collect()] == [r.id for r in e.walk("s1").collect()] == ["h/pi/s1/v", "h/pi/s1/u1", "h/pi/s1/line-4"]
+    assert [r.id for r in e.walk("s1", raw=raw, include="todos").collect()] == ["h/pi/s1/todo/td"]
+    e.store.drop("registry")
+    assert [r.id for r in e.walk("s", raw=raw, source="claude").collect()] == ["h/claude/s/a1", "h/claude/s/u1"]  # by the key
+    assert [r.id for r in e.walk("c1", raw=raw, limit=0).collect()] == ["h/codex/c1/line-1"]  # from the table: no key has it
+    for blank in ("", " "):
+        with pytest.raises(ValueError):
+            e.walk(blank)
+
+
+def test_an_object_that_fails_is_marked_and_waits(spark, tmp_path):
+    good = U.hashed_vectors(4)
+
+    def picky(texts):
+        if any("tide" in t for t in texts):
+            raise RuntimeError("no vectors for tides")
+        return good(texts)
+
+    e = Engine(spark, f"file://{tmp_path}/s", picky, 4)
+    state = lambda: {r.key: r for r in e.store.read("registry").collect()}
+    assert e.poll(_objects(spark), now=NOON)["due"] == 7
+    bad = next(k for k in OBJECTS if k.startswith("h/grok"))
+    assert "no vectors for tides" in state()[bad].error and state()[bad].status == "failed" and state()[bad].attempts == 1
+    assert sum(r.status == "indexed" for r in state().values()) >= 5
+    assert e.poll(_objects(spark), now=NOON + 20) == {"due": 0, "written": 0}  # it waits 30 seconds
+    e.embedder = good
+    assert e.poll(_objects(spark), now=NOON + 31)["due"] >= 1
+    assert state()[bad].status == "indexed" and state()[bad].error == "" and e.search("tide").count() == 1
+
+
+def test_unknown_fields_are_refused(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s", None, 4)
+    with pytest.raises(ValueError, match="unknown fields: colour"):
+        e.ingest(spark.createDataFrame([("a", "b")], "id string, colour string"))
+
+
+def test_prefixes_and_clips(spark, tmp_path):
+    class Letters:
+        def tokenize(self, text):
+            return list(map(ord, text))
+
+        def detokenize(self, ids):
+            return "".join(map(chr, ids))
+
+    assert U.clip_tokens("abcdef", 3, Letters()) == "abc" and U.clip_tokens("ab", 3, Letters()) == "ab" and U.counter(Letters())("abc") == 3
+    told = []
+
+    def heard(texts):
+        told.extend(texts)
+        return U.hashed_vectors(4)(texts)
+
+    e = Engine(spark, f"file://{tmp_path}/s", U.hashed_vectors(4), 4, query_prefix="find: ")
+    e.ingest(spark.createDataFrame([("a", "boats", "crm", "c", 5)], "id string, text string, source string, container_id string, timestamp long"))
+    e.embedder = heard
+    e.search("boats", embed=True).collect()
+    assert told == ["find: boats"]
+    df = spark.createDataFrame([("a b c d",)], "text string")
+    assert U.embed(df, U.hashed_vectors(4), 4, clip=3).first().vector == U.embed(spark.createDataFrame([("a b",)], "text string"), U.hashed_vectors(4), 4).first().vector
+    assert df.select(U.quoted(F.lit('a"\x01\x0b\n'))).first()[0] == '"a\\"\\x01\\v\\n"'

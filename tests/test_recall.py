@@ -1,4 +1,3 @@
-import math
 from pathlib import Path
 
 import duckdb
@@ -12,7 +11,6 @@ from kelpline.functions import text as X
 from kelpline.operators import containers as C
 from kelpline.operators import ivf as V
 from kelpline.operators import search as S
-from kelpline.operators import units as U
 from kelpline.plans import predicates as P
 
 SF = "/root/testdata/sf0.001"
@@ -46,7 +44,7 @@ def test_all_sessions_are_listed(spark, sf):
     assert sorted(map(tuple, got)) == sorted(want)
     c = duckdb.connect()
     c.sql(f"create view conversations as select * from '{table}'")
-    names = "host, source, container_id, first_ts, last_ts, messages, first_prompt"
+    names = "host, source, container_id, first_ts, last_ts, messages, first_prompt, container_title, project"
     want = c.sql(f"select {names} from ({catalogue.oracle_sql()['sessions_first_prompt']})").fetchall()
     assert _rows(map(tuple, catalogue.queries()["sessions_first_prompt"](spark, f"/root/testdata/{sf}").select(*names.split(", ")).collect())) == _rows(want)
 
@@ -78,17 +76,17 @@ def test_fusion_and_collapse(spark):
     a = spark.createDataFrame([("x", 1), ("y", 2)], "id string, rank int")
     b = spark.createDataFrame([("y", 1), ("z", 2)], "id string, rank int")
     assert S.fuse(a, b).orderBy(F.desc("score"), "id").first().id == "y"
-    hits = [(1, "m2", 1060, "c"), (2, "m1", 1120, "c"), (3, "x1", 1100, "d"), (4, "m9", 1700, "c")]
-    df = spark.createDataFrame([(r, i, i, "", True, c, t) for r, i, t, c in hits], "rank int, id string, message_id string, content_hash string, chat boolean, container_id string, timestamp long")
-    assert [r.id for r in S.collapse(df).collect()] == ["m2", "x1", "m9"]
+    # near the first; another container; near the second only, which is gone; without a message of their own; the same message; the same words
+    hits = [(1, "p", "p", "h1", 5000, "k"), (2, "q", "q", "h2", 4500, "k"), (3, "r", "r", "h3", 4500, "l"), (4, "s", "s", "h4", 4000, "k"), (5, "t", "", "", 9000, "k"), (6, "u", "", "", 20000, "k"), (7, "v", "r", "h7", 50000, "l"), (8, "w", "w", "h1", 90000, "k")]
+    df = spark.createDataFrame([(n, i, m, h, True, c, t) for n, i, m, h, t, c in hits], "rank int, id string, message_id string, content_hash string, chat boolean, container_id string, timestamp long")
+    assert [r.id for r in S.collapse(df).collect()] == ["p", "r", "s", "t", "u"]
+    assert [r.id for r in S.collapse(df, limit=2).collect()] == ["p", "r"]
 
 
-def test_windows_cover_and_overlap(spark):
-    text = " ".join(f"w{i}" for i in range(900))
-    out = U.token_windows(spark.createDataFrame([("m", text), ("e", None)], "id string, text string"), 384, 64).orderBy("message_id", "chunk_index").collect()
-    parts = [r.text.split() for r in out if r.message_id == "m"]
-    assert all(len(p) <= 384 for p in parts) and parts[0][-64:] == parts[1][:64] and parts[-1][-1] == "w899"
-    assert [r.text for r in out if r.message_id == "e"] == [""]
+def test_query_terms_are_those_of_texts(spark):
+    text = "Ab²c Ⅷx é１ ٣_z"
+    df = spark.createDataFrame([(text,)], "t string").select(X.tokens(F.col("t")).alias("t"))
+    assert S.query_terms(text) == df.first().t
 
 
 def test_timestamps_and_trims(spark):
@@ -97,12 +95,6 @@ def test_timestamps_and_trims(spark):
     assert spark.createDataFrame([("  a\n",)], "v string").select(X.trim_space(F.col("v"))).first()[0] == "a"
 
 
-def test_ivf_falls_back_to_the_flat_scan(spark):
-    rows = S.ivf_assign(spark.createDataFrame([(i, [float(i), 0.0]) for i in range(5)], "id int, vector array<float>"), [[0.0, 0.0], [4.0, 0.0]])
-    got = S.ivf_search(rows, [[0.0, 0.0], [4.0, 0.0]], [0.0, 0.0], 5, 1)
-    assert [r.id for r in got.collect()] == [0, 1, 2, 3, 4] and math.isclose(got.first().score, 1)
-
-
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
 def test_ivf_recall_against_brute_force(spark, sf):
     table = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")

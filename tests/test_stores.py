@@ -14,7 +14,7 @@ from kelpline.operators import search as S
 from kelpline.operators.contextual import hashed_vectors
 from kelpline.sources import local
 from kelpline.sources.migrate import converted, migrate
-from kelpline.sources.store import Store
+from kelpline.sources.store import Conflict, Store
 
 ROW = "id string, text string, source string, container_id string, host string, timestamp long"
 
@@ -192,14 +192,87 @@ def test_an_index_gives_what_a_scan_does(spark, tmp_path):
     assert len(scanned) == 3 and [i for i, _ in narrowed] == ["c"]
     assert e.optimize(2) and not e.optimize(2, threshold=20)
     assert e.store.version("index_stats") and found() == scanned and found(host="g") == narrowed
-    e.ingest(spark.createDataFrame([("z", "tide", "crm", "cz", "h", 6)], ROW))  # the index is stale now
-    assert len(found()) == 4
-    assert e.optimize(2, prune=True) and len(found()) == 4 and e.store.prune("chunks") == 0
+    e.ingest(spark.createDataFrame([("z", "tide", "crm", "cz", "h", 6), ("b", "no more of it", "crm", "cb", "h", 7)], ROW))  # after the index
+    late = found()
+    e.store.drop("index_stats", "postings")
+    assert [i for i, _ in late] == ["z", "a", "c"] and late == [(i, x) for i, x in found()]
+    assert e.optimize(2, prune=True) and found() == late and e.store.prune("chunks") == 0
 
 
 def test_an_index_of_empty_and_null_texts(spark):
     from kelpline.operators import postings as I
 
     rows = spark.createDataFrame([("a", None), ("b", "")], "id string, text string")
-    assert I.build(rows).count() == 0 and tuple(I.stats(rows).first()) == (2, 0.0) and tuple(I.stats(rows.limit(0)).first()) == (0, 0.0)
+    assert I.build(rows).count() == 0 and tuple(I.stats(rows).first()) == (2, 0) and tuple(I.stats(rows.limit(0)).first()) == (0, 0)
     assert I.bm25(I.build(rows), 2, 0.0, "x").count() == 0
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/w")
+    rows = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "id string, v string")
+    assert store.write("t", rows("a")) == 1
+    old = store.version("t")
+    assert store.upsert("t", rows("b")) == 2
+    with pytest.raises(Conflict):
+        store.write("t", rows("c"), after=old)
+    commit, stolen = store._commit, []
+
+    def late(table, v):
+        if not stolen:
+            stolen.append(commit(table, type(v)(v.n, v.base, (*v.deltas[:-1], store._put("t", rows("d"))), v.key)))
+        return commit(table, v)
+
+    store._commit = late
+    assert store.upsert("t", rows("e")) == 4 and stolen == [3]
+    assert {r.id for r in store.read("t").collect()} == {"a", "b", "d", "e"}
+
+
+def test_an_upsert_writes_its_own_rows_only(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/w")
+    store.write("t", spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit(0).alias("v")))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "w/t").rglob("*.parquet")}
+    for i in range(1, 21):
+        store.upsert("t", spark.createDataFrame([("7", i), (f"new{i}", i), (f"new{i}", i)], "id string, v int"))
+    assert {p: p.stat().st_mtime_ns for p in before} == before and len(store.version("t").deltas) <= 8
+    got = {r.id: r.v for r in store.read("t").collect()}
+    assert len(got) == 1020 == store.read("t").count() and got["7"] == 20 and got["new3"] == 3 and got["8"] == 0
+    assert store.read("t", 2).count() == 1001 and store.read("t", 99) is None and store.since("t", 1).count() == 21
+    store.optimize("t", 2, "id")
+    assert store.version("t").deltas == () and store.read("t").count() == 1020 and store.since("t", 1) is None
+    assert store.prune("t") == 21 and store.read("t", 1) is None and store.read("t").count() == 1020
+    store.drop("t", "none")
+    assert store.read("t") is None
+
+
+def test_vector_index_is_built_used_and_dropped(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/v", hashed_vectors(8), 8)
+    rows = [(f"i{i}", f"boat {i % 7} tide {i}", "crm", f"c{i % 5}", "h", i + 1) for i in range(200)]
+    e.ingest(spark.createDataFrame(rows, ROW))
+    found = lambda **k: [(r.id, round(r.score, 6)) for r in e.search("boat 3", embed=True, limit=9, **k).collect()]
+    exact, few = found(), found(container_id="c1")
+    e.create_vector_index(codes=16)
+    assert found() == exact == found(exact=True) and found(container_id="c1") == few
+    e.create_vector_index()
+    assert len(e._only("vector_index").parts) == 8
+    e.ingest(spark.createDataFrame([("late", "boat 3", "crm", "c9", "h", 999)], ROW))
+    assert found()[0][0] == "late" and found() == found(exact=True)
+    assert e.optimize(2) and found() == found(exact=True)
+    e.drop_vector_index()
+    e.drop_vector_index()
+    assert e._only("vector_index") is None and found()[0][0] == "late"
+    e.warm()
+
+
+def test_callers_of_this_host():
+    assert Fed.from_this_host("127.0.0.1:80") and Fed.from_this_host("[::1]:80") and Fed.from_this_host("nowhere") and Fed.from_this_host("8.8.8.8")
+    assert not Fed.from_this_host("192.0.2.77:80")
+
+
+def test_a_limit_of_a_sync_leaves_cut_files(spark, tmp_path):
+    for name, ids in (("a", (1, 2)), ("b", (3, 4))):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/{name}.jsonl").write_text("".join(map(_line, ids)))
+    e = Engine(spark, f"file://{tmp_path}/st", hashed_vectors(4), 4)
+    sync = lambda n: e.sync(f"file://{tmp_path}/in", "pi", "h", limit=n)["accepted"]
+    assert sync(3) == 3 and {r.path.rsplit("/", 1)[1] for r in e.store.read("cursor").collect()} == {"a.jsonl"}
+    assert sync(3) == 1 and e.store.read("cursor").count() == 2 and e.store.read("messages").count() == 4
