@@ -44,6 +44,10 @@ def _objects(spark: SparkSession, d: str, folder: str, name: str, line: Column,
     return whole.select(key.alias("key"), F.lit("a").alias("etag"), F.octet_length(body).cast("long").alias("size"), F.encode(body, "UTF-8").alias("content"))
 
 
+def _parse(objects: DataFrame, state: bool = True) -> DataFrame:
+    return jsonl.parse(objects, state, jsonl.sources_of(objects))
+
+
 def _pi(spark: SparkSession, d: str) -> DataFrame:
     """A header, a title in even conversations, messages with a thought before each text, and the system's turns as to-do lists."""
     spoken = F.to_json(F.struct(F.lit("message").alias("type"), _str("m", "turn").alias("id"), _ts().alias("timestamp"), F.struct(
@@ -66,12 +70,12 @@ _FIELDS = ("id", "text", "container_id", "project", "author_id", "kind", "timest
 
 @query(f"SELECT {', '.join(_FIELDS)}, sha256(text) AS content_hash FROM {PI}")
 def raw_pi(s, d):
-    return jsonl.parse(_pi(s, d)).select(*_FIELDS, "content_hash")
+    return _parse(_pi(s, d)).select(*_FIELDS, "content_hash")
 
 
 @query(f"SELECT id, text FROM {PI} WHERE kind = 'message'")
 def raw_messages_only(s, d):
-    return jsonl.parse(_pi(s, d), state=False).select("id", "text")
+    return _parse(_pi(s, d), state=False).select("id", "text")
 
 
 def _claude(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +102,7 @@ def _claude(spark: SparkSession, d: str) -> DataFrame:
  SELECT base || 'tool/b' || turn, 'Ran: List ' || turn || chr(10) || '$ ls ' || turn, 'tool', role, greatest(ts, 1) FROM c WHERE role = 'assistant' UNION ALL
  SELECT a.base || 'task/t' || b.turn, 'TOOL task RESULT:' || chr(10) || 'done by ' || a.turn, 'task', 'toolResult', greatest(a.ts, 1) FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND b.role = 'assistant' WHERE a.role = 'user'""")
 def raw_claude(s, d):
-    return jsonl.parse(_claude(s, d)).select("id", "text", "kind", "author_id", "timestamp")
+    return _parse(_claude(s, d)).select("id", "text", "kind", "author_id", "timestamp")
 
 
 def _codex(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +117,7 @@ def _codex(spark: SparkSession, d: str) -> DataFrame:
  FROM (SELECT *, {TEXT} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE {SAID}
  QUALIFY row_number() OVER (PARTITION BY conv_id, CASE WHEN turn % 2 = 0 THEN 'i' || turn ELSE 'legacy-' || left(sha256(t), 16) END ORDER BY turn) = 1""")
 def raw_codex(s, d):
-    return jsonl.parse(_codex(s, d)).select("id", "text", "author_id", "timestamp")
+    return _parse(_codex(s, d)).select("id", "text", "author_id", "timestamp")
 
 
 def _grok(spark: SparkSession, d: str) -> DataFrame:
@@ -125,7 +129,7 @@ def _grok(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT 'h/grok/g' || conv_id || '/e' || turn AS id, {TEXT} AS text, 'sea+side' AS project, {TS} + {ERA} AS timestamp FROM conversations WHERE {SAID}")
 def raw_grok(s, d):
-    return jsonl.parse(_grok(s, d)).select("id", "text", "project", "timestamp")
+    return _parse(_grok(s, d)).select("id", "text", "project", "timestamp")
 
 
 def _chat(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +152,7 @@ _CHAT_FIELDS = ("id", "text", "container_id", "container_title", "author_id", "a
 
 @query(f"SELECT {', '.join(_CHAT_FIELDS)} FROM {CHAT}")
 def raw_chat(s, d):
-    return jsonl.parse(_chat(s, d)).select(*_CHAT_FIELDS)
+    return _parse(_chat(s, d)).select(*_CHAT_FIELDS)
 
 
 @query("SELECT DISTINCT 'h/' || k || conv_id || CASE WHEN k LIKE 'grok%' THEN '/updates.jsonl' ELSE '.jsonl' END AS key, split_part(k, '/', 1) AS source FROM conversations, (VALUES ('pi/a/'), ('codex/a/'), ('claude/p/s'), ('grok/%2Fw%2Fsea+side/'), ('telegram/c/')) v(k)")
@@ -177,12 +181,12 @@ _PI_UNIT = f"""(SELECT *, 'Pi session' || CASE WHEN container_title <> '' THEN '
 
 
 def _pi_units(s, d) -> DataFrame:
-    return U.units(jsonl.parse(_pi(s, d)))
+    return U.units(_parse(_pi(s, d)))
 
 
 @query(f"SELECT id, header FROM {_PI_UNIT} UNION ALL SELECT id, 'Telegram group \"' || container_title || '\"' FROM {CHAT}")
 def context_header(s, d):
-    return U.units(jsonl.parse(_pi(s, d).unionByName(_chat(s, d)))).select("id", "header")
+    return U.units(_parse(_pi(s, d).unionByName(_chat(s, d)))).select("id", "header")
 
 
 @query(f"SELECT id, container_title FROM {_PI_UNIT}")
@@ -209,12 +213,12 @@ _CHAT_UNIT = f"""(WITH m AS (SELECT *, CASE WHEN author_name <> '' THEN author_n
 
 @query(f"SELECT id, concat_ws(chr(10), lead2, lead1, line) AS body FROM {_CHAT_UNIT} WHERE reply_to = ''")
 def lead_in_lines(s, d):
-    return U.units(jsonl.parse(_chat(s, d))).where("reply_to = ''").select("id", "body")
+    return U.units(_parse(_chat(s, d))).where("reply_to = ''").select("id", "body")
 
 
 @query(f"SELECT id, concat_ws(chr(10), parent, lead2, lead1, line) AS body FROM {_CHAT_UNIT} WHERE reply_to <> ''")
 def reply_quote(s, d):
-    return U.units(jsonl.parse(_chat(s, d))).where("reply_to <> ''").select("id", "body")
+    return U.units(_parse(_chat(s, d))).where("reply_to <> ''").select("id", "body")
 
 
 @query(f"SELECT id FROM {_PI_UNIT} WHERE substr(container_id, 2)::BIGINT % 3 <> 0 OR kind = 'title'")
@@ -376,12 +380,12 @@ def engine_vectors_filtered(s, d):
     return _vector_engine(s, d).search(vector=VECTOR, limit=40, container_id="3").select("id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH some AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
- t AS (SELECT doc_id, text, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(QUERY.split()))}, len(t) AS len FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') AS t FROM some)),
+@query(f"""WITH both_ AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
+ t AS (SELECT doc_id, text, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(QUERY.split()))}, len(t) AS len FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') AS t FROM both_)),
  b AS (SELECT doc_id, {" + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / a))" for i in range(3))} AS s FROM t, (SELECT count(*) AS n, avg(len) AS a, {", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(3))} FROM t)),
- l AS (SELECT doc_id, row_number() OVER (ORDER BY {_DIST}, doc_id) AS rank FROM some QUALIFY rank <= 50 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM b WHERE s > 0 QUALIFY rank <= 50),
+ l AS (SELECT doc_id, row_number() OVER (ORDER BY {_DIST}, doc_id) AS rank FROM both_ QUALIFY rank <= 50 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY s DESC, doc_id) AS rank FROM b WHERE s > 0 QUALIFY rank <= 50),
  f AS (SELECT doc_id, sum(1.0 / (60 + rank)) AS score, row_number() OVER (ORDER BY sum(1.0 / (60 + rank)) DESC, doc_id) AS rank FROM l GROUP BY doc_id)
- SELECT {_ID} AS id, round(score, 9) AS score FROM f JOIN some USING (doc_id) QUALIFY row_number() OVER (PARTITION BY text ORDER BY rank) = 1 ORDER BY rank LIMIT 5""")
+ SELECT {_ID} AS id, round(score, 9) AS score FROM f JOIN both_ USING (doc_id) QUALIFY row_number() OVER (PARTITION BY text ORDER BY rank) = 1 ORDER BY rank LIMIT 5""")
 def engine_hybrid(s, d):
     e = Engine(s, scratch(s, "engine"), dims=64)
     e.store.upsert("chunks", _chunks(_table(s, d, "documents"), _table(s, d, "embeddings")))
