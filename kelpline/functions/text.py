@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ BOILERPLATE = ("# AGENTS.md", "<permissions instructions>", "<INSTRUCTIONS>")
 RESTATING = ('Summarize the relationship with "',)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that stands in the plan, and is worked out, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_space(c: Column) -> Column:
     """Unicode white space off both ends, new lines and no-break spaces included."""
     return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
@@ -49,11 +56,15 @@ def record_id(*parts: Column) -> Column:
 
 def indexable(role: Column, text: Column, prefixes: tuple[str, ...] = BOILERPLATE) -> Column:
     """User and assistant messages of eight bytes or more; a user's must not begin with a boilerplate prefix."""
-    body = F.regexp_replace(text, r"^[ \t\r\n]+", "")
-    starts = F.lit(False)
-    for p in prefixes:
-        starts = starts | body.startswith(p)
-    return role.isin("user", "assistant") & (F.octet_length(text) >= 8) & ~((role == "user") & starts)
+
+    def fits(t: Column) -> Column:
+        body = F.regexp_replace(t, r"^[ \t\r\n]+", "")
+        starts = F.lit(False)
+        for p in prefixes:
+            starts = starts | body.startswith(p)
+        return (F.octet_length(t) >= 8) & ~((role == "user") & starts)
+
+    return role.isin("user", "assistant") & let(text, fits)
 
 
 def project_from_cwd(cwd: Column) -> Column:
