@@ -6,10 +6,12 @@ elementary packets, and lists time stamps and random-access points. Both directi
 
 Layout written: PID 0 association, PID 0x1000 map, PID 0x100 payload (private data, stream type 0x06); a PES packet
 holds ``PES_BYTES`` of payload and starts with a transport packet that has the random-access flag; its PTS
-is its first byte's position at ``RATE`` samples a second on the 90 kHz clock, modulo 2^33.
+is its first byte's position at ``RATE`` samples a second on the 90 kHz clock, modulo 2^33. The map table's entry of the payload has a private descriptor
+with the payload's length, by which a stream that ends early at an elementary packet's start is told from a whole one.
 
 Defined cases: null and empty texts are a payload of 64 zero bytes; equal payloads give equal streams; a stream with
-a lost, repeated or foreign packet, a wrong table CRC or a cut end raises ``ValueError``.
+a lost, repeated or foreign packet, a wrong table CRC or a cut end raises ``ValueError``; null packets (PID 0x1FFF) may stand anywhere and are passed over. Streams of other writers have
+no length in their table and are read without that check.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import hashlib
 import struct
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,8 @@ from pyspark.sql import types as T
 from kelpline.llm.common import bounded_batches, fresh
 
 PACKET, SYNC = 188, 0x47
-PID_PAT, PID_PMT, PID_DATA, STREAM_TYPE, STREAM_ID = 0, 0x1000, 0x100, 0x06, 0xBD
+PID_PAT, PID_PMT, PID_DATA, PID_NULL, STREAM_TYPE, STREAM_ID = 0, 0x1000, 0x100, 0x1FFF, 0x06, 0xBD
+LENGTH_TAG = 0xA0  # user private descriptor
 PES_BYTES = 16 * 1024
 RATE, CLOCK = 8000, 90000
 ALIGN = 64
@@ -65,9 +69,25 @@ def _table_packet(pid: int, section: bytes) -> bytes:
     return p + b"\xff" * (PACKET - len(p))
 
 
-TABLES = _table_packet(PID_PAT, _section(0, 1, struct.pack(">HH", 1, 0xE000 | PID_PMT))) + _table_packet(
-    PID_PMT, _section(2, 1, struct.pack(">HHBHH", 0xE000 | PID_DATA, 0xF000, STREAM_TYPE, 0xE000 | PID_DATA, 0xF000))
-)
+_ASSOCIATION = _table_packet(PID_PAT, _section(0, 1, struct.pack(">HH", 1, 0xE000 | PID_PMT)))
+
+
+@lru_cache(maxsize=4096)
+def _tables(size: int) -> bytes:
+    """The two table packets of a stream with ``size`` bytes of payload."""
+    length = struct.pack(">BBQ", LENGTH_TAG, 8, size)
+    body = struct.pack(">HHBHH", 0xE000 | PID_DATA, 0xF000, STREAM_TYPE, 0xE000 | PID_DATA, 0xF000 | len(length)) + length
+    return _ASSOCIATION + _table_packet(PID_PMT, _section(2, 1, body))
+
+
+def _length_in(descriptors: bytes) -> int | None:
+    at = 0
+    while at + 2 <= len(descriptors):
+        tag, size = descriptors[at], descriptors[at + 1]
+        if tag == LENGTH_TAG and size == 8:
+            return struct.unpack_from(">Q", descriptors, at + 2)[0]
+        at += 2 + size
+    return None
 
 
 def _pts_bytes(t: int) -> bytes:
@@ -81,7 +101,7 @@ def _pts_of(b: bytes) -> int:
 
 def mux(payload: bytes) -> bytes:
     """A transport stream that holds ``payload``."""
-    packets = [np.frombuffer(TABLES, np.uint8).reshape(-1, PACKET)]
+    packets = [np.frombuffer(_tables(len(payload)), np.uint8).reshape(-1, PACKET)]
     counter = 0
     for at in range(0, len(payload), PES_BYTES):
         part = payload[at : at + PES_BYTES]
@@ -139,6 +159,8 @@ def demux(stream: bytes) -> Stream:
     if (p[:, 0] != SYNC).any():
         raise ValueError("lost sync")
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
+    used = np.flatnonzero(pid != PID_NULL)
+    whole, p, pid = len(p), p[used], pid[used]
     pats = np.flatnonzero(pid == PID_PAT)
     if not len(pats):
         raise ValueError("no association table")
@@ -148,7 +170,8 @@ def demux(stream: bytes) -> Stream:
         raise ValueError("no map table")
     body = _read_section(p[maps[0]], 2)
     skip = 4 + (struct.unpack_from(">H", body, 2)[0] & 0xFFF)
-    data_pid = struct.unpack_from(">H", body, skip + 1)[0] & 0x1FFF
+    data_pid, info = (x & 0x1FFF for x in struct.unpack_from(">HH", body, skip + 1))
+    length = _length_in(body[skip + 5 : skip + 5 + (info & 0xFFF)])
     own = np.flatnonzero(pid == data_pid)
     if len(own) + len(pats) + len(maps) != len(p):
         raise ValueError("packets of an unknown stream")
@@ -171,7 +194,10 @@ def demux(stream: bytes) -> Stream:
             raise ValueError("broken elementary packet")
         stamps.append(_pts_of(pes[9:14]))
         out.append(pes[9 + pes[8] :])
-    return Stream(b"".join(out), stamps, own[(flags & 0x40) > 0].tolist(), len(p))
+    payload = b"".join(out)
+    if length is not None and length != len(payload):
+        raise ValueError("cut end")
+    return Stream(payload, stamps, used[own[(flags & 0x40) > 0]].tolist(), whole)
 
 
 def pad(text: str | None) -> tuple[bytes, int]:
