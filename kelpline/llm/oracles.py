@@ -64,10 +64,11 @@ FROM page LEFT JOIN fit USING (page_id)"""
 
 
 def line_dedup() -> str:
+    """A document is a row, as in the operator: rows that repeat a doc_id count each."""
     blanks = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
     return f"""
-WITH line AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+WITH line AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
 keyed AS (SELECT *, translate(trim(line, {blanks}), '{UPPER}', '{LOWER}') AS key FROM line),
-common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
-SELECT doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
-FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY doc_id"""
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(c.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (c.key IS NULL), '')) AS kept_sha256
+FROM keyed LEFT JOIN common c ON keyed.key = c.key GROUP BY r"""
