@@ -4,7 +4,8 @@ Method: the rules' 64-bit xxhash keys lie sorted in a file that executors memory
 into its candidate keys (each suffix of the host at a label's edge, with each path prefix of a length
 that a rule has), all probed by one vectorised binary search; every hit is confirmed on the stored full strings.
 The files go to the executors with ``SparkContext.addFile``; they are mapped, not loaded, so pages in use, not the
-list's size, take memory.
+list's size, take memory. They are named by what they hold: a session ships a list once, however often it is used, and the folder that the driver
+serves them from is deleted when it ends. The rules are a parameter and are sorted on the driver, which holds them anyway.
 
 Verdict: the longest fitting rule's. Where none fits, the method's own: block if a label of the host is one of
 the names in the block list (kept in the same digest array), else allow.
@@ -16,9 +17,11 @@ one host and path raise an error. Other columns stay.
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -90,9 +93,14 @@ def _ship(spark: SparkSession, rules: Iterable[tuple[str, str, str]], names: Ite
             raise ValueError(f"conflicting rules for {host}{path}")
         lengths.add(len(path))
     table |= {_key("", n): 2 for n in names}
-    name = f"url-rules-{uuid.uuid4().hex}"
-    for f in DigestArray.write(os.path.join(tempfile.mkdtemp(), name), table.items()):
-        spark.sparkContext.addFile(f)
+    content = repr(sorted(table.items())).encode("utf-8", "surrogatepass")
+    name = f"url-rules-{hashlib.sha256(content).hexdigest()[:24]}"
+    known = {f.rsplit("/", 1)[1] for f in spark.sparkContext.listFiles}
+    if f"{name}.{DigestArray.PARTS[-1]}.npy" not in known:
+        folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        for f in DigestArray.write(os.path.join(folder, name), table.items()):
+            spark.sparkContext.addFile(f)
     return name, sorted(lengths)
 
 
