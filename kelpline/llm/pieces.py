@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import bounded_batches, fresh
 
 MARK = "▁"
-#: Entries of a memory's younger half; when it is full it becomes the older half, and what is asked for again moves over.
-CACHE, PAIRS = 150_000, 300_000
+#: Entries of a memory's younger half; when it is full it becomes the older half, and what is asked for again moves over. Longer parts than ``CACHED_LENGTH`` aren't
+#: remembered, so a half has at most 40 MB or so.
+CACHE, PAIRS, CACHED_LENGTH = 150_000, 300_000, 32
 
 
 class PieceModel:
@@ -191,7 +192,9 @@ class PieceModel:
                     if head:
                         ids = plain.get(head)
                         if ids is None:
-                            ids = plain[head] = self._pack(self.part_ids(head))
+                            ids = self._pack(self.part_ids(head))
+                            if len(head) <= CACHED_LENGTH:
+                                plain[head] = ids
                         out.append(ids)
                     chunks = chunks[1:]
                 else:
@@ -204,7 +207,9 @@ class PieceModel:
                     ids = after.get(w)
                     if ids is None:
                         ids = self.old_after.get(w)
-                        ids = after[w] = self._pack(self.part_ids(MARK + w)) if ids is None else ids
+                        ids = self._pack(self.part_ids(MARK + w)) if ids is None else ids
+                        if len(w) <= CACHED_LENGTH:
+                            after[w] = ids
                     if run:
                         if ids.startswith(self.mark_bytes):
                             out += [self._marks(run + 1), ids[4:]]
