@@ -4,11 +4,11 @@ Method: every n-gram of the trusted texts up to ``ORDER`` is counted (tasks coun
 counts, discounts come from the counts of counts, and probabilities are built order by order by joining the
 count tables on n-gram digests. The model is written as digest-sharded, sorted tables to the shared folder; a scoring
 task joins a batch's n-grams with one group of shards at a time, and a group has ``KEEP_BYTES`` at most, so a task's memory
-is bounded. A document is rejected if its perplexity is above a quantile of the
-trusted texts' own perplexities in its language.
+is bounded. A document is rejected if its perplexity is above a quantile of the perplexities of trusted texts in its language; these are a tenth of the
+trusted documents, by hash of their id, that the model has not learned from, since texts it knows would set the bound too low.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a language without trusted text, or null, is held against the quantile
-over all languages; without any trusted text nothing is rejected but empty texts. Repeated rows are scored each.
+over all languages; if no trusted text is left out, all of them are both learned from and held against; without any trusted text nothing is rejected but empty texts. Repeated rows are scored each.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 import pyarrow.parquet
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpline.llm.common import bounded_batches, cut, fresh, shared_dir
@@ -302,7 +302,12 @@ def with_perplexity(docs: DataFrame, model: tuple[str, int], name: str = "perple
 
 def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text) of the documents that the labels call good. Labels grow with the corpus, so neither side is broadcast."""
-    return docs.select("doc_id", "text").hint("merge").join(_good(labels), "doc_id", "left_semi").select("text")
+    return docs.select("doc_id", "text").hint("merge").join(labels, "doc_id", "left_semi").select("text")
+
+
+def _left_out() -> Column:
+    """Whether a trusted document serves for the quantiles."""
+    return F.pmod(F.xxhash64("doc_id", F.lit("quantiles")), F.lit(10)) == 0
 
 
 def _good(labels: DataFrame) -> DataFrame:
@@ -314,13 +319,18 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = 0.99, drop: t
 
     ``labels`` (doc_id, quality) name the trusted documents: quality 1. The scored rows are written once, for the quantiles and the result.
     """
-    model = train(trusted_text(docs, labels))
+    bounded_batches(docs.sparkSession)
+    good = _good(labels)
+    model = train(trusted_text(docs, good.where(~_left_out())))
+    measured = good.where(_left_out())
+    if model is None or docs.join(measured, "doc_id", "left_semi").where(F.length("text") > 0).isEmpty():
+        model, measured = train(trusted_text(docs, good)), good
     if model is None:
         none = F.lit(None).cast("double")
         return docs.withColumns({"perplexity": none, "max_perplexity": none, "keep": F.coalesce(F.length("text") > 0, F.lit(False))}).drop(*drop)
     lang, high = fresh(docs, "lang", "high")
     scored = cut(with_perplexity(docs, model).drop(*drop), "scored")
-    own = scored.join(_good(labels), "doc_id", "left_semi").where(F.col("perplexity").isNotNull())
+    own = scored.join(measured, "doc_id", "left_semi").where(F.col("perplexity").isNotNull())
     bounds = cut(own.rollup("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("hi"), F.grouping("lang").alias("whole")), "bounds")
     whole = bounds.where("whole = 1").first()["hi"]
     by_lang = bounds.where("whole = 0 and lang is not null").select(F.col("lang").alias(lang), F.col("hi").alias(high))
