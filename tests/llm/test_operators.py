@@ -413,3 +413,57 @@ def test_toxicity_learns_from_repeated_ids_once(spark):
     train = toxicity._training(docs.unionByName(docs), labels, 100)
     n = docs.where(~toxicity.held_out(F.col("doc_id"))).count()
     assert train.count() == n and train.where("toxic <> (text = 'you moron')").count() == 0
+
+
+def test_streams_with_null_packets_and_cut_at_a_packet(spark):
+    payload = random.Random(3).randbytes(64 * 700)
+    m = transport_stream.mux(payload)
+    null = b"\x47\x1f\xff\x10" + b"\xff" * 184
+    padded = null + m[: 188 * 5] + null * 2 + m[188 * 5 :] + null
+    got, plain = transport_stream.demux(padded), transport_stream.demux(m)
+    assert got.payload == payload and got.stamps == plain.stamps and got.packets == plain.packets + 4
+    assert [padded[188 * i : 188 * i + 188] for i in got.points] == [m[188 * i : 188 * i + 188] for i in plain.points]
+    with pytest.raises(ValueError, match="cut end"):
+        transport_stream.demux(m[: 188 * plain.points[2]])  # before the third elementary packet
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(7, "shared\nown %d" % i) for i in range(10)] + [(8, "alone")], "doc_id long, text string")
+    got = line_dedup.split_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    cols = sorted(got.columns)
+    assert rows_of(got, *cols) == sorted(map(repr, c.sql(f"select {', '.join(cols)} from ({oracles.line_dedup()})").fetchall())) and got.agg(F.sum("n_dropped")).first()[0] == 10
+
+
+def test_rules_are_shipped_once(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/")], "page_id long, url string")
+    url_filter.filter_urls(pages).collect()
+    before = len(spark.sparkContext.listFiles)
+    assert url_filter.filter_urls(pages).first().rule == "org/" and len(spark.sparkContext.listFiles) == before
+
+
+def test_quality_bounds_come_from_texts_left_out(spark):
+    """The classifier's bound and verdict from its own perplexities, by definition."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs.withColumn("keep", F.lit("old")), labels, quantile=0.9).select("doc_id", "lang", "perplexity", "max_perplexity", "keep").collect()
+    left = {r.doc_id for r in labels.where("quality = 1").where(quality._left_out()).collect()}
+    by_lang = {}
+    for r in rows:
+        if r.doc_id in left and r.perplexity is not None:
+            by_lang.setdefault(r.lang, []).append(r.perplexity)
+    assert len(by_lang) == 4
+    for r in rows:
+        own = sorted(by_lang[r.lang])
+        assert own[max(0, int(np.ceil(0.9 * len(own))) - 2)] <= r.max_perplexity <= own[min(len(own) - 1, int(np.ceil(0.9 * len(own))))]
+        assert r.keep == (r.perplexity is not None and r.perplexity <= r.max_perplexity)
+
+
+def test_long_parts_are_not_remembered():
+    m = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    text = "日本" * 5_000 + " word " + "x" * 4_000
+    assert np.frombuffer(m.encode(text), "<u4").tolist() == m.library.encode(text, add_bos=True, add_eos=True)
+    assert list(m.after_mark) == ["word"] and not m.plain
+    ngram_join._hashed.clear()
+    ngram_join.Signer(4).sign(["long" * 50 + " word"])
+    assert list(ngram_join._hashed) == ["word"]
