@@ -1,21 +1,21 @@
 """Token-ID output: Arrow stream files of equal-length sequences and masks.
 
-Documents are dealt out by ranges of doc_id and sorted, each range writes one Arrow stream file: batches of
-``ROWS`` fixed-size lists of ``length`` ids (unsigned 16 bits, or 32 for larger vocabularies) and of a mask that is 0 where the
-last sequence is padded. The ids of a range's documents follow each other without gaps, so sequence i of a mapped
+Documents are dealt out by ranges of (doc_id, hash of the text) and sorted, each range writes Arrow stream files of at most ``FILE_IDS`` ids, whole documents each: batches of
+``ROWS`` fixed-size lists of ``length`` ids (unsigned 16 bits, or 32 for larger vocabularies) and of a mask, a bit for each id, that is 0 where the
+last sequence is padded. The ids of a file's documents follow each other without gaps, so sequence i of a mapped
 file starts at a known address. Beside it lies a stream of the documents' places (doc_id, start, n_tokens).
 
 Files go to the shared folder by ``pyarrow.fs``; every attempt of a task writes under its own name, and only the names that
 the finished job reports are ever read, so a lost executor leaves no half file in use. What the driver gathers is one
-row for each range.
+row for each file. Reading goes through a file batch by batch, and holds one.
 
-Tokenizing: parts of a text are encoded one by one, since no token crosses a white space; texts of plain Latin letters are
+Tokenizing: parts of a text are encoded one by one, since no token crosses a white space; words of texts of plain Latin letters are
 parted as the tokenizer itself does after lower-casing. Each distinct part of a batch that isn't in the worker's
-cache goes through the library, all of them in one call with the end-of-text token as a fence. Texts with a
+memory goes through the library, all of them in one call with the end-of-text token as a fence. Long parts aren't remembered. Texts with a
 special token's own string are encoded whole.
 
 Defined cases: a null text is empty, and a document without ids has its end id alone; documents with a null doc_id come first;
-equal ids keep one order within a file; an empty table writes no sequences.
+rows that repeat a doc_id follow each other by their texts' hashes, in every run; an empty table writes no files.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from kelpline.llm.common import bounded_batches, shared_dir
 
-LENGTH, ROWS = 1024, 256
-CACHE = 700_000
+LENGTH, ROWS, FILE_IDS = 1024, 256, 1 << 28
+#: Entries of each of a worker's memories, and the longest part that is remembered.
+CACHE, CACHED_LENGTH = 350_000, 32
 _PART = re.compile("[^ \n]+")
 #: In texts of these characters alone, the tokenizer's own parts: letters, single digits, other characters in a row.
 _PLAIN = re.compile("[\x20-\x26\x28-\x7e\nÀ-ÖØ-öø-ÿ]*")
@@ -55,19 +56,13 @@ class PartTokenizer:
         self.fence_id = self.t.token_to_id(fence)
         self.wide = self.t.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
-        self.cache: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # lower-cased words of plain texts, of several parts each
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as bytes of ``kind``."""
-        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.added)}
-        split = [[] if i in whole else _FINE.findall(t.lower()) if _PLAIN.fullmatch(t) else _PART.findall(t) for i, t in enumerate(texts)]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        cache = self.cache
-        new = list({p for parts in split for p in parts if p not in cache})
+    def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             ids = np.array(self.t.encode(self.fence.join(some), add_special_tokens=False).ids, self.kind)
@@ -75,9 +70,29 @@ class PartTokenizer:
             width = ids.itemsize
             begins, stops = [0, *((fences + 1) * width).tolist()], [*(fences * width).tolist(), len(ids) * width]
             data = ids.tobytes()
-            cache.update(zip(some, [data[a:b] for a, b in zip(begins, stops)]))
-        out = [b"".join([cache[p] for p in parts]) for parts in split]
-        for i, b in zip(sorted(whole), self._library([texts[i] for i in sorted(whole)])):
+            self.parts.update(zip(some, [data[a:b] for a, b in zip(begins, stops)]))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as bytes of ``kind``."""
+        parts, words = self.parts, self.words
+        for known in (parts, words):
+            if len(known) > CACHE:
+                known.clear()
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        split = [(words, t.lower().split()) if _PLAIN.fullmatch(t) else (parts, _PART.findall(t)) for t in texts]
+        for i in whole:
+            split[i] = (parts, [])
+        fresh = {w: _FINE.findall(w) for known, own in split if known is words for w in own if w not in words}
+        new = {p for fine in fresh.values() for p in fine if p not in parts}
+        new.update(p for known, own in split if known is parts for p in own if p not in parts)
+        self._learn(list(new))
+        words.update((w, b"".join([parts[p] for p in fine])) for w, fine in fresh.items())
+        out = [b"".join([known[p] for p in own]) for known, own in split]
+        for known, mine in ((parts, new), (words, fresh)):
+            for p in mine:
+                if len(p) > CACHED_LENGTH:
+                    del known[p]
+        for i, b in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = b
         return out
 
@@ -140,54 +155,71 @@ class _Writer:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, out: str | None = None, end_id: int | None = 2, length: int = LENGTH, files: int | None = None) -> list[tuple[int, str, int]]:
-    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; (range, path without suffix, ids) of each file, in order."""
+    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order, in ``files`` ranges; (number, path without suffix, ids) of each file, in order."""
     spark = docs.sparkSession
     bounded_batches(spark)
     base = out or shared_dir(spark, "tokens")
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, writer, path = tokenizer_of(tokenizer), None, ""
+        tok, writer, path, k = tokenizer_of(tokenizer), None, "", 0
         part = TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], tok.kind).tobytes()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                fs, root = _open(base)
-                fs.create_dir(root, recursive=True)
-                path = f"part-{part:06d}-{uuid.uuid4().hex}"
-                writer = _Writer(fs, f"{root}/{path}", length, tok.kind)
             for at in range(0, batch.num_rows, 500):
+                if writer is None:
+                    fs, root = _open(base)
+                    fs.create_dir(root, recursive=True)
+                    path = f"part-{part:06d}-{k:06d}-{uuid.uuid4().hex}"
+                    writer = _Writer(fs, f"{root}/{path}", length, tok.kind)
                 some = batch.slice(at, 500)
                 writer.add(some.column("doc_id").to_pylist(), [b + end for b in tok.encode([t or "" for t in some.column("text").to_pylist()])])
+                if writer.n >= FILE_IDS:
+                    yield pa.record_batch({"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "path": [f"{base}/{path}"], "n": pa.array([writer.close()], pa.int64())})
+                    writer, k = None, k + 1
         if writer is not None:
-            yield pa.record_batch({"part": pa.array([part], pa.int32()), "path": [f"{base}/{path}"], "n": pa.array([writer.close()], pa.int64())})
+            yield pa.record_batch({"part": pa.array([part], pa.int32()), "k": pa.array([k], pa.int32()), "path": [f"{base}/{path}"], "n": pa.array([writer.close()], pa.int64())})
 
-    done = dealt.mapInArrow(write, "part int, path string, n long").collect()  # one row for each file
-    return sorted(map(tuple, done))
+    done = sorted(map(tuple, dealt.mapInArrow(write, "part int, k int, path string, n long").collect()))  # one row for each file
+    return [(i, path, ids) for i, (_, _, path, ids) in enumerate(done)]
 
 
-def open_ids(path: str) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """(ids [n, length], mask [n, length], documents) of one file; a local file is mapped and its ids aren't copied."""
-    fs, root = _open(path)
-    local = isinstance(fs, pa.fs.LocalFileSystem)
-    with (pa.memory_map(f"{root}.ids.arrows") if local else fs.open_input_file(f"{root}.ids.arrows")) as f:
-        reader = pa.ipc.open_stream(f)
-        length = int(reader.schema.metadata[b"length"])
-        batches = list(reader)
-    with fs.open_input_file(f"{root}.docs.arrows") as f:
-        places = pa.ipc.open_stream(f).read_all()
-    ids = [b.column(0).flatten().to_numpy().reshape(-1, length) for b in batches]
-    mask = [b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for b in batches]
-    return ids, mask, places
+def _input(fs: pa.fs.FileSystem, path: str) -> pa.NativeFile:
+    return pa.memory_map(path) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(path)
+
+
+class TokenFile:
+    """Random access to the sequences of one file. A local file is mapped: ids and masks are views of it."""
+
+    def __init__(self, path: str):
+        fs, root = _open(path)
+        with _input(fs, f"{root}.ids.arrows") as f:
+            reader = pa.ipc.open_stream(f)
+            self.length = int(reader.schema.metadata[b"length"])
+            self.batches = list(reader)
+        self.rows = sum(b.num_rows for b in self.batches)
+
+    def _at(self, i: int, column: int) -> pa.Array:
+        """All batches but the last have the first one's number of rows."""
+        if not 0 <= i < self.rows:
+            raise IndexError(i)
+        batch, row = divmod(i, self.batches[0].num_rows)
+        return self.batches[batch].column(column).values.slice(row * self.length, self.length)
+
+    def ids(self, i: int) -> np.ndarray:
+        return self._at(i, 0).to_numpy()
+
+    def mask(self, i: int) -> pa.BooleanArray:
+        """Bits of the mapped file; as a numpy array they would be a copy."""
+        return self._at(i, 1)
 
 
 def read_tokens(spark, written: list[tuple[int, str, int]]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids): the documents of ``write_tokens``'s files, read back from them."""
+    """(doc_id, start, n_tokens, ids_crc32): the documents of ``write_tokens``'s files, read back from them; no files, no rows."""
     starts = np.concatenate([[0], np.cumsum([n for _, _, n in written])]).tolist()
-    rows = [(p, s) for (_, p, _), s in zip(written, starts)]
+    rows = [(p, int(s)) for (_, p, _), s in zip(written, starts)]
     files = spark.createDataFrame(rows, "path string, first long").repartition(max(1, len(rows)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,21 +230,27 @@ def read_tokens(spark, written: list[tuple[int, str, int]]) -> DataFrame:
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _documents(path: str, first: int, crc: Callable[[bytes], int] = zlib.crc32) -> Iterator[pa.RecordBatch]:
-    ids, mask, places = open_ids(path)
-    flat = [a[m] for a, m in zip(ids, mask)]  # without padding
-    edges = np.concatenate([[0], np.cumsum([len(a) for a in flat])])
-
-    def between(lo: int, hi: int) -> bytes:
-        j = int(np.searchsorted(edges, lo, "right")) - 1
-        parts = []
-        while lo < hi:
-            stop = min(hi, int(edges[j + 1]))
-            parts.append(flat[j][lo - edges[j] : stop - edges[j]].astype("<u4").tobytes())
-            lo, j = stop, j + 1
-        return b"".join(parts)
-
-    for b in places.to_batches(max_chunksize=5000):
-        start, n = b.column("start").to_numpy(), b.column("n_tokens").to_numpy()
-        sums = [crc(between(s, s + k)) for s, k in zip(start.tolist(), n.tolist())]
-        yield pa.record_batch({"doc_id": b.column("doc_id"), "start": pa.array(start + first), "n_tokens": pa.array(n), "ids_crc32": pa.array(sums, pa.int64())})
+def _valid(reader: pa.RecordBatchReader) -> Iterator[memoryview]:
+    """Each batch's ids without padding, as bytes of little-endian unsigned 32-bit integers."""
+    for b in reader:
+        ids, mask = b.column(0).flatten().to_numpy(), b.column(1).flatten()
+        n = mask.true_count  # the padding is at the end
+        yield memoryview(ids[:n].astype("<u4")).cast("B")
+
+
+def _documents(path: str, first: int) -> Iterator[pa.RecordBatch]:
+    fs, root = _open(path)
+    with _input(fs, f"{root}.ids.arrows") as ids, _input(fs, f"{root}.docs.arrows") as docs:
+        blocks, block, at = _valid(pa.ipc.open_stream(ids)), memoryview(b""), 0
+        for b in pa.ipc.open_stream(docs):
+            n, sums = b.column("n_tokens").to_numpy(), []
+            for left in (n * 4).tolist():
+                crc = 0
+                while left:
+                    if at == len(block):
+                        block, at = next(blocks), 0
+                    k = min(left, len(block) - at)
+                    crc = zlib.crc32(block[at : at + k], crc)
+                    left, at = left - k, at + k
+                sums.append(crc)
+            yield pa.record_batch({"doc_id": b.column("doc_id"), "start": pa.array(b.column("start").to_numpy() + first), "n_tokens": pa.array(n), "ids_crc32": pa.array(sums, pa.int64())})

@@ -288,8 +288,44 @@ def test_token_files_round_trip(spark):
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert rows_of(token_files.read_tokens(spark, written), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(map(repr, want))
-    ids, mask, places = token_files.open_ids(written[0][1])
-    assert all(a.shape[1] == 16 for a in ids) and sum(int(m.sum()) for m in mask) == written[0][2] == sum(places.column("n_tokens").to_pylist())
+    flat = [i for x in texts for i in (*t.encode(x or "", add_special_tokens=False).ids, 2)]
+    for _, file, n in written:
+        f = token_files.TokenFile(file)
+        got = [f.ids(i) for i in range(f.rows)]
+        assert f.rows == -(-n // 16) and sum(f.mask(i).true_count for i in range(f.rows)) == n and not got[0].flags.owndata
+        assert np.concatenate(got)[:n].tolist() == flat[:n]
+        flat = flat[n:]
+    with pytest.raises(IndexError):
+        f.ids(f.rows)
+    assert not flat and token_files.read_tokens(spark, []).count() == 0
+
+
+def test_token_files_are_bounded_and_ties_have_an_order(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"word {i} of it" for i in range(40)]
+    docs = spark.createDataFrame([(5, t, "x") for t in texts] + [(None, "first", "x")], "doc_id long, text string, length string")
+    rows = lambda: [(r.doc_id, r.start, r.ids_crc32) for r in token_files.read_tokens(spark, token_files.write_tokens(docs, path, files=2, length=8)).orderBy("start").collect()]
+    once = rows()
+    assert len(once) == 41 and once[0][:2] == (None, 0) and rows() == once
+    docs = docs.repartition(7)
+    assert rows() == once
+    monkeypatch.setattr(token_files, "FILE_IDS", 1)
+    docs = spark.createDataFrame([(i, "a b", "x") for i in range(1200)], "doc_id long, text string, length string")
+    written = token_files.write_tokens(docs, path, files=1)
+    assert len(written) == 3 and token_files.read_tokens(spark, written).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(n for _, _, n in written)
+
+
+def test_words_of_plain_texts_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, t, rng = token_files.PartTokenizer(path), Tokenizer.from_file(path), random.Random(6)
+    some = "The the ÉCOLE é3 4a5 ...x! ¿ ' it's ß Ö 日本 \t \n x" .split(" ")
+    texts = ["".join(rng.choices([*some, " ", " "], k=rng.randrange(30))) for _ in range(1500)] + ["a" * 5000, "é" * 50]
+    for _ in range(2):  # the second time from memory
+        got = tok.encode(texts)
+        assert [np.frombuffer(b, tok.kind).tolist() for b in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert max(map(len, [*tok.parts, *tok.words])) <= token_files.CACHED_LENGTH
 
 
 def test_pieces_equal_the_library(spark):
