@@ -1,13 +1,13 @@
 """License scans: license notices in texts, by exact phrases and by similarity to templates.
 
 Method: exact set-similarity join. Tokens are ordered by their document frequency in the corpus, rarest first. A
-block (any ``BLOCK`` words in a row) meets a template if it holds at least ``threshold`` of
+block (any stretch of a template's ``block`` words, twice its own number and ``BLOCK`` at least) meets the template if it holds at least ``threshold`` of
 the template's distinct words; then it holds one of the template's first |T| - ceil(threshold |T|) + 1 tokens,
-so only those are joined. A length and a positional bound on all words that share a block with the token come before the exact
-count, which slides a block over the places around the token.
+so only those are joined. Where one stands, the words of all blocks that hold it go on; a length and a positional bound on them come before the exact
+count, which slides a block over them.
 
-Native: DataFrame functions only, words are exploded, probed and verified in one fused stage. The templates are a
-constant of this module, so broadcasting their tokens has a fixed bound.
+Native: DataFrame functions only; a text's words are split once, exploded and probed in one fused stage, so the work is linear in its length. The templates, whole
+licences and the notices that name them, are a constant of this package, so broadcasting their tokens has a fixed bound.
 
 Defined cases: null and empty texts have no words, no labels, score 0; null first and last words where no phrase
 stands; results are keyed by the text's digest, so repeated rows and ids do no harm; an empty table gives an empty result.
@@ -16,16 +16,18 @@ stands; results are keyed by the text's digest, so repeated rows and ids do no h
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kelpline.llm.common import ascii_lower, cut, fold, fresh, raw_words, text_key
+from kelpline.llm.common import WORD_RE, cut, fold, fresh, own_words, raw_words, row_key, text_key
+from kelpline.llm.license_texts import TEXTS
 
 #: Phrases that count wherever their words stand together.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices and grants that common licenses open with, as words; none has more than STEP.
-TEMPLATES = (
+#: Notices and grants that common licenses open with, as words.
+NOTICES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache", "licensed under the apache license version 2 0"),
@@ -39,50 +41,57 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
-BLOCK, STEP = 64, 32  # the operator slides its blocks; STEP is the grid of the SQL, which holds every stretch of up to STEP + 1 words
+#: Words of a block for short templates; longer ones have blocks of twice their own number.
+BLOCK = 64
+
+
+def _words(text: str) -> list[str]:
+    return re.findall(WORD_RE, text.lower())
+
+
+#: (label, number of words, distinct words) of each template.
+TEMPLATES = [(label, len(_words(t)), sorted(set(_words(t)))) for label, t in (*NOTICES, *TEXTS)]
+
+
+def block_of(words: int) -> int:
+    return max(BLOCK, 2 * words)
 
 
 def _templates(docs: DataFrame, threshold: float) -> DataFrame:
-    """(label, tokens, need, rank, word): a row for each prefix token of each template, tokens in global order."""
+    """(label, template, tokens, need, block): the templates by number, tokens in global order."""
     spark = docs.sparkSession
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
-    present = F.array_intersect(raw_words(fold(F.col("text"))), F.lit(vocabulary))
+    vocabulary = sorted({w for _, _, words in TEMPLATES for w in words})
+    present = F.array_intersect(own_words(F.col("text")), F.lit(vocabulary))
     counts = docs.select(F.explode_outer(present).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    rows = [(label, t, w, math.ceil(threshold * len(set(t.split())))) for label, t in TEMPLATES for w in sorted(set(t.split()))]
-    table = spark.createDataFrame(rows, "label string, template string, word string, need int")
-    ordered = (
-        table.join(counts, "word", "left")
-        .groupBy("label", "template", "need")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
-    )
-    tokens = F.transform("o", lambda x: x["word"])
-    return (
-        ordered.select("label", "template", "need", tokens.alias("tokens"))
-        .select("label", "template", "need", "tokens", F.posexplode("tokens").alias("rank", "word"))
-        .where(F.col("rank") <= F.size("tokens") - F.col("need"))
-    )
+    rows = [(label, i, w, math.ceil(threshold * len(words)), block_of(n)) for i, (label, n, words) in enumerate(TEMPLATES) for w in words]
+    table = spark.createDataFrame(rows, "label string, template int, word string, need int, block int")
+    ordered = table.join(counts, "word", "left").groupBy("label", "template", "need", "block").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "word"))).alias("o"))
+    return ordered.select("label", "template", "need", "block", F.transform("o", lambda x: x["word"]).alias("tokens"))
 
 
 def blocks_like_templates(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(key, label, template, containment): the templates that blocks of a text meet, by the text's digest."""
-    prefix = _templates(docs, threshold)
-    words = docs.select("text", raw_words(fold(F.col("text"))).alias("folded")).select("text", F.posexplode_outer("folded").alias("pos", "word"))
-    hit = words.join(F.broadcast(prefix), "word")
-    first = F.greatest(F.lit(0), F.col("pos") - (BLOCK - 1))
-    around = hit.withColumn("near", F.slice(raw_words(ascii_lower(F.col("text"))), first + 1, F.col("pos") - first + BLOCK)).withColumn("part", F.array_distinct("near"))
+    """(key, label, containment): the templates that blocks of a text meet, by the text's digest."""
+    templates = cut(_templates(docs, threshold), "license-templates")
+    prefix = templates.select("template", "need", "block", F.size("tokens").alias("n"), F.posexplode("tokens").alias("rank", "word")).where(F.col("rank") <= F.col("n") - F.col("need"))
+    texts = docs.select(text_key(F.col("text")).alias("key"), own_words(F.col("text")).alias("all"))
+    words = texts.select("key", "all", F.posexplode_outer("all").alias("pos", "word"))
+    first = F.greatest(F.lit(0), F.col("pos") - (F.col("block") - 1))
+    near = F.slice("all", first + 1, F.col("pos") - first + F.col("block"))
+    hit = words.join(F.broadcast(prefix), "word").select("key", "template", "rank", (F.col("pos") - first).alias("last"), near.alias("near"))
+    hit = hit.where(F.size("near") > 0).distinct().join(F.broadcast(templates), "template").withColumn("part", F.array_distinct("near"))
     rest = F.slice("tokens", F.col("rank") + 1, F.size("tokens"))
     met = (
-        around.where(F.size("part") >= F.col("need"))  # length
+        hit.where(F.size("part") >= F.col("need"))  # length
         .where(F.size(F.array_intersect(rest, F.col("part"))) >= F.col("need") - F.col("rank"))  # position
         .where(F.size(F.array_intersect("tokens", "part")) >= F.col("need"))
-        .select(text_key(F.col("text")).alias("key"), "label", "template", "tokens", "need", (F.col("pos") - first).alias("last"), "near")
+        .select("key", "label", "tokens", "need", "block", "last", "near")
     )
-    # written, so that the slide is planned on the few rows left and never on whole texts
+    # written, so that the slide is planned on the few rows left
     met = cut(met, "license-places").withColumn(
-        "shared", F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.size(F.array_intersect("tokens", F.slice("near", s + 1, F.lit(BLOCK))))))
+        "shared", F.array_max(F.transform(F.sequence(F.lit(0), F.col("last")), lambda s: F.size(F.array_intersect("tokens", F.slice("near", s + 1, F.col("block"))))))
     )
     met = met.where(F.col("shared") >= F.col("need"))
-    return met.select("key", "label", "template", (F.col("shared") / F.size("tokens")).alias("containment")).distinct()
+    return met.select("key", "label", (F.col("shared") / F.size("tokens")).alias("containment")).distinct()
 
 
 def _spaces(c: Column) -> Column:
@@ -91,7 +100,7 @@ def _spaces(c: Column) -> Column:
 
 def phrase_places(docs: DataFrame) -> DataFrame:
     """(key, n_base, first_word, last_word, base): the texts in which a base phrase stands."""
-    own = raw_words(ascii_lower(F.col("text")))
+    own = own_words(F.col("text"))
     line = F.concat(F.lit(" "), F.array_join("own", " "), F.lit(" "))
     texts = docs.where(fold(F.col("text")).contains("license")).select("text", own.alias("own")).select("text", line.alias("line"))
     places = []
@@ -138,5 +147,5 @@ def scan_licenses(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
         "labels": F.array_join(F.array_sort(F.array_union(base, more)), ","),
         "score": F.when(F.size(base) > 0, F.lit(1.0)).otherwise(F.coalesce(F.col(v)["best"], F.lit(0.0))),
     }
-    counted = docs.withColumns({k: text_key(F.col("text")), "n_words": F.size(raw_words(F.col("text"))).cast("long")})
+    counted = docs.withColumns({k: row_key(docs), "n_words": F.size(raw_words(F.col("text"))).cast("long")})
     return counted.join(cut(both, "license-texts"), k, "left").withColumns(out).drop(k, v)

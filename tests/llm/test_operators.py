@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kelpline.llm import components, decontaminate, licenses, line_dedup, ngram_join, oracles, pieces, quality, queries, token_files, toxicity, transport_stream, url_filter
+from kelpline.llm import components, decontaminate, license_texts, licenses, line_dedup, ngram_join, oracles, pieces, quality, queries, token_files, toxicity, transport_stream, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,6 +80,24 @@ def test_notices_spread_over_a_block_are_found_at_every_offset(spark):
     assert [(r.labels, r.score) for r in got] == [("mit", 1.0)] * len(texts) + [("", 0.0)]
 
 
+def test_whole_licences_are_found_spread_and_without_their_opening(spark):
+    texts, want = [], []
+    for (label, text), (_, n, _) in zip(license_texts.TEXTS, licenses.TEMPLATES[-len(license_texts.TEXTS) :]):
+        words = licenses._words(text)
+        assert len(words) == n
+        spread = [x for i, w in enumerate(words) for x in ((w, "pad") if i % 3 == 0 else (w,))]
+        late = words[len(words) // 20 :]  # without its first words
+        for body in (words, spread, late):
+            texts.append(" ".join(["red"] * 50 + body + ["blue"] * 300))
+            want.append(label)
+    texts.append(" ".join(w + " pad" * 3 for w in licenses._words(license_texts.TEXTS[0][1])))  # no block holds it
+    want.append("")
+    texts.append("permission software notice " * 20_000)  # many prefix tokens in one text
+    want.append("")
+    got = licenses.scan_licenses(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels if w not in r.labels.split(",") else w for r, w in zip(got, want)] == want
+
+
 def test_empty_tables(spark):
     docs, bench = docs_of(spark, ["a b"]).limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
