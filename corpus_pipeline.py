@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from kelpline.llm import decontaminate, line_dedup, ngram_join, pieces, toxicity
 from kelpline.llm.common import cut
 
+#: Fixed value: the model's file, found by the installed vocabularies' own path.
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
