@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,9 @@ from pyspark.sql import functions as F
 from kelpline.llm import decontaminate, licenses, line_dedup, ngram_join, pieces, quality, token_files, toxicity, transport_stream, url_filter
 from kelpline.llm import oracles
 
+#: Files of the tokenizers that the queries are asked to use.
+WORD_MODEL, PIECE_MODEL = "word_bpe_49k.json", "piece_bpe_32k.model"
+
 
 def _read(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names]
@@ -54,7 +56,7 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = _read(spark, sf_dir, "documents")
-    written = token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    written = token_files.write_tokens(docs, public_tokenizers.path(WORD_MODEL), end_id=2)
     return token_files.read_tokens(spark, written)
 
 
@@ -73,13 +75,13 @@ def op9_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = _read(spark, sf_dir, "documents")
-    found = pieces.encode_pieces(docs.select("doc_id", "text"), public_tokenizers.path(corpus_pipeline.PIECE_MODEL))
+    found = pieces.encode_pieces(docs.select("doc_id", "text"), public_tokenizers.path(PIECE_MODEL))
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_decontaminate, op2_quality, op3_toxicity, op4_ngram_join, op5_licenses, op6_url_filter, op7_token_files, op8_line_dedup, op9_transport_stream, op10_pieces)
-    return {f.__name__: f for f in ops} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
