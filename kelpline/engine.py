@@ -63,17 +63,18 @@ class Engine:
         v = self.store.version(table)
         if v is None:
             return None
-        if (table, v.n) not in self._known:
-            self._known[table, v.n] = self.store.read(table, v.n).first()
-        return self._known[table, v.n]
+        if (table, v.base) not in self._known:
+            self._known[table, v.base] = self.store.read(table, v.n).first()
+        return self._known[table, v.base]
 
     def _since(self, version: int) -> tuple[DataFrame | None, int]:
         """Chunks written after ``version`` and their number; None if an index of that version can't be brought up to date with them."""
-        now = self.store.version("chunks").n
-        if (version, now) not in self._known:
+        now = self.store.version("chunks")
+        key = ("since", version, now)
+        if key not in self._known:
             tail = self.store.since("chunks", version)
-            self._known[version, now] = tail, tail.count() if tail is not None and now != version else 0
-        return self._known[version, now]
+            self._known[key] = tail, tail.count() if tail is not None and now.n != version else 0
+        return self._known[key]
 
     def _keywords(self, text: str, keep: Column, narrowed: bool) -> DataFrame:
         """BM25 scores of the chunks that ``keep`` holds for, by the index and the chunks written since; without an index by a scan."""
@@ -84,7 +85,7 @@ class Engine:
         n, total, postings = made.n, made.total, self.store.read("postings", made.postings)
         if added:
             ids = tail.select("id")
-            key = ("tokens", made.chunks, self.store.version("chunks").n)
+            key = ("tokens", made.chunks, self.store.version("chunks"))
             if key not in self._known:
                 old = I.stats(self.store.read("chunks", made.chunks).join(ids, "id", "left_semi")).first()
                 new = I.stats(tail).first()
@@ -136,12 +137,12 @@ class Engine:
         hits = lists[0].select("id", "score", "rank")
         if len(lists) == 2:
             hits = S.ranked(S.fuse(*lists).orderBy(F.desc("score"), "id").limit(2 * k), F.desc("score"), "id")
-        narrow = rows.select("id", "message_id", "content_hash", "source", F.concat_ws("/", "source", "container_id").alias("container_id"), "timestamp")
-        known = narrow.join(F.broadcast(hits), "id").withColumn("chat", F.col("source").isin(*jsonl.CHATS))  # a few hundred hits
-        kept = S.collapse(known, U.LEAD_GAP, limit).select("rank", F.col("id").alias("matched_chunk_id"))
-        scores = hits.select("rank", "score")
-        wide = rows.withColumnRenamed("id", "matched_chunk_id").drop("vector")
-        return wide.join(F.broadcast(kept), "matched_chunk_id").join(F.broadcast(scores), "rank").withColumn("id", F.col("message_id")).orderBy("rank")
+        best = hits.select("id", "score", "rank").collect()  # twice ``k`` at most; their ids reach the scan of the wide rows
+        hits = F.broadcast(self.spark.createDataFrame(best, "id string, score double, rank int"))
+        found = rows.where(F.col("id").isin([r.id for r in best])).drop("vector").join(hits, "id")
+        narrow = found.select("rank", "id", "message_id", "content_hash", F.concat_ws("/", "source", "container_id").alias("container_id"), "timestamp", F.col("source").isin(*jsonl.CHATS).alias("chat"))
+        kept = S.collapse(narrow, U.LEAD_GAP, limit).select("rank")
+        return found.withColumnRenamed("id", "matched_chunk_id").join(F.broadcast(kept), "rank").withColumn("id", F.coalesce(F.nullif("message_id", F.lit("")), "matched_chunk_id")).orderBy("rank")
 
     def walk(self, container_id: str, after_ts: int = 0, after_id: str = "", include: str = "", limit: int = 50, raw: str = "", **filters: str) -> DataFrame:
         """A page of a container; ``include`` names the kinds of rows: messages unless titles, todos, tasks or state.
@@ -388,7 +389,6 @@ class Engine:
     def drop_vector_index(self) -> None:
         """Vector searches scan from then on. Without an index nothing happens."""
         self.store.drop("vector_index", "vector_codes")
-        self._known = {k: v for k, v in self._known.items() if k[0] != "vector_index"}
 
     def audit_duplicates(self) -> DataFrame:
         """(table, id, copies) of ids that stand more than once."""

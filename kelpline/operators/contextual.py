@@ -5,7 +5,7 @@ Rows come from ``sources.jsonl.parse``: placed by (key, at, sub, line_no). All c
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 from typing import Protocol
 
@@ -161,21 +161,20 @@ def split_tokens(text: str, most: int, count: Callable[[str], int] = words, over
 def chunks(units: DataFrame, count: Callable[[str], int] = words, most: int = CHUNK_TOKENS) -> DataFrame:
     """One row for each chunk of a unit: its header and a window of its body; content_hash is the window's."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):  # a text's chunks at a time, so that long texts don't add up
-                id, head, body = (b.column(c)[i].as_py() for c in range(3))
-                budget = max(most - count(head) - 1, 2 * OVERLAP) if head else most
-                parts = split_tokens(body or "", budget, count)
-                yield pa.record_batch([[id] * len(parts), list(range(len(parts))), [len(parts)] * len(parts), parts], names=["message_id", "chunk_index", "chunk_count", "window"])
-
-    split = units.select("id", "header", "body").mapInArrow(cut, "message_id string, chunk_index long, chunk_count long, window string")
-    wide = [c for c in units.columns if c not in ("text", "header", "body", "content_hash", "dedup_key")]
-    meta = units.select(F.col("id").alias("message_id"), "header", *[c for c in wide if c != "id"])
-    return split.join(meta, "message_id").select(
-        F.concat_ws("#", "message_id", F.col("chunk_index").cast("string")).alias("id"), "message_id", "chunk_index", "chunk_count",
+    def cut(heads: pa.Array, bodies: pa.Array) -> pa.Array:
+        out = []
+        for head, body in zip(heads.to_pylist(), bodies.to_pylist()):
+            budget = max(most - count(head) - 1, 2 * OVERLAP) if head else most
+            out.append(split_tokens(body or "", budget, count))
+        return pa.array(out, pa.list_(pa.string()))
+
+    wide = [c for c in units.columns if c not in ("id", "text", "header", "body", "content_hash", "dedup_key", "chunk_index", "chunk_count")]
+    parts = units.select("*", F.arrow_udf(cut, "array<string>")("header", "body").alias("_parts"))
+    each = parts.select(F.col("id").alias("message_id"), "header", *wide, F.size("_parts").cast("long").alias("chunk_count"), F.posexplode("_parts").alias("_i", "window"))
+    return each.select(
+        F.concat_ws("#", "message_id", F.col("_i").cast("string")).alias("id"), "message_id", F.col("_i").cast("long").alias("chunk_index"), "chunk_count",
         F.when(F.col("header") == "", F.col("window")).otherwise(F.concat_ws("\n", "header", "window")).alias("text"),
-        content_hash(F.col("window")).alias("content_hash"), *[c for c in wide if c not in ("id", "chunk_index", "chunk_count")],
+        content_hash(F.col("window")).alias("content_hash"), *wide,
     )
 
 

@@ -120,6 +120,14 @@ def raw_codex(s, d):
     return _parse(_codex(s, d)).select("id", "text", "author_id", "timestamp")
 
 
+@query(f"""SELECT id, text, author_id, project, timestamp FROM {PI} WHERE kind = 'message' UNION ALL
+ SELECT 'h/codex/x' || conv_id || '/' || CASE WHEN turn % 2 = 0 THEN 'i' || turn ELSE left(sha256(t), 16) END, t, role, 'y', {TS} + {ERA} FROM (SELECT *, {TEXT} AS t FROM conversations) WHERE {SAID}
+ QUALIFY row_number() OVER (PARTITION BY conv_id, CASE WHEN turn % 2 = 0 THEN 'i' || turn ELSE left(sha256(t), 16) END ORDER BY turn) = 1""")
+def raw_turns(s, d):
+    both = _pi(s, d).unionByName(_codex(s, d))
+    return jsonl.parse_turns(jsonl.lines(jsonl.identify(both))).select("id", "text", "author_id", "project", "timestamp")
+
+
 def _grok(spark: SparkSession, d: str) -> DataFrame:
     what = F.when(F.col("role") == "user", "user_message_chunk").when(F.col("role") == "assistant", "agent_message_chunk").otherwise("plan")
     meta = F.struct(_str("e", "turn").alias("eventId"), ((_ts() + ERA) * 1000 + 999).alias("agentTimestampMs"))

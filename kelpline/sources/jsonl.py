@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from kelpline.functions import variants as V
-from kelpline.functions.text import RESTATING, content_hash, indexable, project_from_cwd, record_id, trim_space
+from kelpline.functions.text import RESTATING, content_hash, guess_container, indexable, project_from_cwd, record_id, trim_space
 
 SOURCES = ("pi", "codex", "omp", "claude", "grok", "grokbot", "telegram", "x")
 CHATS = ("telegram", "x")
@@ -198,6 +198,27 @@ def parse_codex(rows: DataFrame) -> DataFrame:
     return _emit(e, F.array(record)).drop("ref")
 
 
+def parse_turns(rows: DataFrame) -> DataFrame:
+    """Messages of pi, omp and codex as the older local sync read them: the session is guessed from the file's name until a header names it, the project stays where a header has none,
+    a message of pi without an id is left out, and one of codex without an id has the start of its text's hash for one."""
+    e, v = entries(rows), F.col("v")
+    codex, own, kind = F.col("source") == "codex", V.string(v, "$.id"), F.col("type")
+    head = F.when(codex, kind == "session_meta").otherwise(kind == "session")
+    field = lambda name: F.when(codex, V.string(v, f"$.payload.{name}")).otherwise(V.string(v, f"$.{name}"))
+    cwd = F.when(head, F.nullif(field("cwd"), F.lit("")))
+    e = _state(e, _latest(F.when(head, F.nullif(field("id"), F.lit(""))), guess_container(F.col("key"), F.col("source"))), _latest(F.when(cwd.isNotNull(), project_from_cwd(cwd)), "unknown"), F.lit(False))
+    voice = (kind == "custom_message") & (V.string(v, "$.customType") == "live-delegation")
+    said = F.when(codex, (kind == "response_item") & (V.string(v, "$.payload.type") == "message")).otherwise(voice | (kind == "message"))
+    role = F.when(codex, V.string(v, "$.payload.role")).when(voice, "user").otherwise(V.string(v, "$.message.role"))
+    text = F.when(codex, V.spoken(v, "$.payload.content")).when(voice, V.spoken(v, "$.content")).otherwise(V.spoken(v, "$.message.content"))
+    e = e.withColumns({"role": role, "said": F.when(said, text), "when": F.when(codex | voice, V.moment(v, "$.timestamp")).otherwise(V.moment(v, "$.timestamp", "$.message.timestamp"))})
+    named = F.nullif(trim_space(V.string(v, "$.payload.id")), F.lit(""))
+    turn = F.when(codex, F.coalesce(named, F.left(content_hash(F.col("said")), F.lit(16)))).otherwise(F.nullif(own, F.lit("")))
+    e = e.where(indexable(F.col("role"), F.col("said"))).withColumn("turn", turn).where("turn IS NOT NULL")
+    e = e.withColumn("once", ~codex | (F.row_number().over(W.partitionBy("key", "turn").orderBy("line_no")) == 1))
+    return _emit(e.where("once"), F.array(_record("message", F.col("turn"), F.col("role"), F.col("said"), F.col("when")))).drop("ref")
+
+
 def parse_grok(rows: DataFrame) -> DataFrame:
     """Session updates; the project is in the path, the session in the updates that are kept."""
     u, m = "$.params.update", "$.params._meta"

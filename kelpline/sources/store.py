@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 #: Deltas that a table may have; the next upsert merges them into one. ``optimize`` merges them into the base.
 MOST_DELTAS = 8
-TRIES = 20
+#: Tries of an upsert that others get ahead of, and versions whose plans are remembered.
+TRIES, KNOWN = 20, 64
 
 
 class Conflict(RuntimeError):
@@ -53,6 +54,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._frames: dict[tuple, DataFrame] = {}  # versions never change, so their files are listed once
 
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -121,11 +123,14 @@ class Store:
         if not found or version is not None and version not in found:
             return None
         v = self._entry(table, found[-1] if version is None else version)
-        base = self._part(table, v.base)
-        if not v.deltas:
-            return base
-        new = self._latest(table, v)
-        return base.join(new.select(v.key), v.key, "left_anti").unionByName(new, allowMissingColumns=True)
+        known = (table, v.base, v.deltas)
+        if known not in self._frames:
+            base = self._part(table, v.base)
+            new = self._latest(table, v) if v.deltas else None
+            if len(self._frames) >= KNOWN:
+                self._frames.clear()
+            self._frames[known] = base if new is None else base.join(new.select(v.key), v.key, "left_anti").unionByName(new, allowMissingColumns=True)
+        return self._frames[known]
 
     def since(self, table: str, version: int) -> DataFrame | None:
         """The rows written after ``version``, newest of each key; None if the table has been rewritten since, or the version is gone."""
