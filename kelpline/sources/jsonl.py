@@ -74,7 +74,7 @@ def lines(objects: DataFrame) -> DataFrame:
 
     Objects named by ``failures`` give no lines.
     """
-    split = F.split(F.col("content").cast("string"), "\n")
+    split = F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")  # what is no UTF-8 becomes U+FFFD
     fit = objects.where(F.octet_length("content") <= LARGEST).where(~F.exists(split, lambda t: F.octet_length(t) > LONGEST_LINE))
     each = fit.select("key", "host", "source", F.posexplode(split).alias("n", "raw"))
     return each.select("key", "host", "source", (F.col("n") + 1).alias("line_no"), trim_space(F.col("raw")).alias("line")).where(F.col("line") != "")

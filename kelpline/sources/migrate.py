@@ -51,11 +51,11 @@ def converted(rows: DataFrame, messages: DataFrame, chunk: bool) -> DataFrame:
 def migrate(store: Store, messages: DataFrame, chunks: DataFrame) -> dict[str, int]:
     """Upsert both older tables, messages first and with their deduplication state; rows expected of each.
 
-    Each table is one snapshot, and the ``migration`` table names those that are done: a run that was cut short starts at the table
-    that was not. Two rows that map to one id are an error, found before anything is written.
+    Each table is one version, and the ``migration`` table names those that are done: a run that was cut short starts at the table
+    that was not. Two rows that map to one id are an error, found before anything is written; so is a table that holds fewer rows than expected afterwards.
     """
     done = store.read("migration")
-    state = {r.name: r for r in done.collect()} if done is not None else {}  # two rows at most
+    state = {r.name: r for r in done.where("expected IS NOT NULL").collect()} if done is not None else {}  # two rows at most
     out = {}
     for name, rows in (("messages", messages), ("chunks", chunks)):
         if name in state:
@@ -68,6 +68,21 @@ def migrate(store: Store, messages: DataFrame, chunks: DataFrame) -> dict[str, i
         store.upsert(name, new)
         if name == "messages":
             store.upsert("dedup", new.select(F.concat("id", F.lit("|unit")).alias("dedup_key"), "content_hash").where("content_hash <> ''"), "dedup_key")
+        if (held := store.read(name).count()) < n:
+            raise ValueError(f"{name} holds {held} rows, expected {n} or more")
         store.upsert("migration", store.spark.createDataFrame([(name, n)], "name string, expected long"), "name")
         out[name] = n
     return out
+
+
+def migrate_store(store: Store, older: Store) -> dict[str, int]:
+    """``migrate`` from a store that may still be written: its tables are read at the versions of the first run, which later runs keep to."""
+    done = store.read("migration")
+    pins = {r.name: r.version for r in done.where("name LIKE 'older/%'").collect()} if done is not None else {}
+    if not pins:
+        pins = {f"older/{t}": older.version(t).n for t in ("messages", "chunks")}
+        store.upsert("migration", store.spark.createDataFrame([(k, None, n) for k, n in pins.items()], "name string, expected long, version int"), "name")
+    tables = [older.read(t, pins[f"older/{t}"]) for t in ("messages", "chunks")]
+    if any(t is None for t in tables):
+        raise LookupError(f"the older store no longer has the versions {pins}")
+    return migrate(store, *tables)

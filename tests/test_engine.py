@@ -84,6 +84,12 @@ def test_parsers_take_empty_objects(spark):
     assert jsonl.parse(empty).count() == 0 and jsonl.parse(empty.limit(0)).count() == 0
 
 
+def test_bytes_that_are_no_text_are_replaced(spark):
+    line = b'{"type":"message","id":"m","timestamp":5,"message":{"role":"user","content":"a broken \xff byte"}}\n'
+    rows = jsonl.parse(spark.createDataFrame([("h/pi/a/x.jsonl", bytearray(line))], "key string, content binary"), sources=["pi"]).collect()
+    assert [r.text for r in rows] == ["a broken \ufffd byte"]
+
+
 def test_units(spark):
     units = {r.id: r for r in U.units(jsonl.parse(_objects(spark))).collect()}
     assert units["h/pi/s1/line-4"].header == 'Pi session "Early" in boat' and units["h/pi/s1/line-4"].body == "Re: please mend the boat\nthe boat is mended"

@@ -13,7 +13,7 @@ from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
 from kelpline.operators.contextual import hashed_vectors
 from kelpline.sources import local
-from kelpline.sources.migrate import converted, migrate
+from kelpline.sources.migrate import converted, migrate, migrate_store
 from kelpline.sources.store import Conflict, Store
 
 ROW = "id string, text string, source string, container_id string, host string, timestamp long"
@@ -151,6 +151,19 @@ def test_migration(spark, tmp_path):
         migrate(Store(spark, f"file://{tmp_path}/n"), _old(spark, [("1", "h/a/b"), ("2", "h/a/b")]), old)
 
 
+def test_migration_keeps_to_the_versions_it_began_with(spark, tmp_path):
+    older, store = Store(spark, f"file://{tmp_path}/old"), Store(spark, f"file://{tmp_path}/new")
+    for t in ("messages", "chunks"):
+        older.write(t, _old(spark, [("1", "h/pi/s/t1")]), "file_path")
+    first = older.version("messages").n
+    assert migrate_store(store, older) == {"messages": 1, "chunks": 1}
+    older.upsert("messages", _old(spark, [("2", "h/pi/s/t2")]), "file_path")
+    assert migrate_store(store, older) == {"messages": 1, "chunks": 1} and store.read("messages").count() == 1
+    assert store.read("migration").where("name = 'older/messages'").first().version == first
+    store.drop("migration")
+    assert migrate_store(store, older)["messages"] == 2
+
+
 def test_quantised_search_finds_what_brute_force_does(spark):
     rng = np.random.default_rng(3)
     points = (rng.normal(size=(20, 1, 32)) * 2 + rng.normal(size=(20, 100, 32))).reshape(-1, 32).astype(np.float32)
