@@ -402,13 +402,13 @@ def engine_hybrid(s, d):
     return e.search(QUERY, VECTOR).select("id", F.round("score", 9).alias("score"))
 
 
-@query("SELECT l_orderkey || '-' || l_partkey AS id, count(*) AS copies, t AS \"table\" FROM lineitem, (VALUES ('messages'), ('chunks')) v(t) GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT l_orderkey || '-' || l_partkey AS id, count(*) AS copies, t AS name FROM lineitem, (VALUES ('messages'), ('chunks')) v(t) GROUP BY ALL HAVING count(*) > 1")
 def audit_duplicates(s, d):
     e = Engine(s, scratch(s, "engine"))
     rows = _table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("id"))
     e.store.write("messages", rows)
     e.store.write("chunks", rows)
-    return e.audit_duplicates()
+    return e.audit_duplicates().withColumnRenamed("table", "name")
 
 
 def _two_stores(s: SparkSession, d: str) -> Fed.Federation:

@@ -208,7 +208,7 @@ def test_an_index_gives_what_a_scan_does(spark, tmp_path):
     e.ingest(spark.createDataFrame([("z", "tide", "crm", "cz", "h", 6), ("b", "no more of it", "crm", "cb", "h", 7)], ROW))  # after the index
     late = found()
     e.store.drop("index_stats", "postings")
-    assert [i for i, _ in late] == ["z", "a", "c"] and late == [(i, x) for i, x in found()]
+    assert sorted(i for i, _ in late) == ["a", "c", "z"] and late == found()
     assert e.optimize(2, prune=True) and found() == late and e.store.prune("chunks") == 0
 
 
