@@ -38,9 +38,9 @@ from kelpline.llm.common import WORD_RE, bounded_batches, cut, fresh, text_key
 from kelpline.llm.components import components
 
 SHINGLE, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 36, 6, 1 - 1e-7
-#: Members of a block, and bytes of text in a block, that meet in one task. Groups of over 64 blocks have larger blocks, of up to ``WIDEST`` times as many members, so
-#: that a text is copied less often. A node with more members than ``BLOCK`` is crowded.
-BLOCK, WIDEST, BLOCK_BYTES = 256, 8, 8 << 20
+#: A node with more members than ``CROWD`` is crowded. A group is cut into blocks of ``SMALLEST`` members or more: as many blocks as let their pairs fill all tasks about
+#: twice, so that a text isn't copied more often than that, and beyond as many as keep a block within ``LARGEST`` members and ``BLOCK_BYTES`` of text.
+CROWD, SMALLEST, LARGEST, BLOCK_BYTES = 256, 64, 2048, 8 << 20
 MARGIN = 6
 _WORD = re.compile(WORD_RE)
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -254,8 +254,8 @@ def _exact(threshold: float):
     return run
 
 
-def _blocks(n: Column) -> Column:
-    return n / F.least(F.greatest(n / 64, F.lit(BLOCK)), F.lit(BLOCK * WIDEST))
+def _blocks(n: Column, tasks: int) -> Column:
+    return F.greatest(n / LARGEST, F.least(n / SMALLEST, F.lit(2 * tasks**0.5)))
 
 
 def _block_pairs(df: DataFrame, blocks: str) -> DataFrame:
@@ -322,7 +322,7 @@ def forest_nodes(signed: DataFrame, trees: int, depth: int, floor: int, spared:
     places = signed.select(F.explode(F.array(*labels)).alias("label"), "id")
     order = places.repartitionByRange(_tasks(signed.sparkSession), "label", "id").sortWithinPartitions("label", "id")
     held = cut(order.mapInArrow(_matched(floor, depth), "label binary, id long").withColumn("node", F.substring("label", 1, 1 + 2 * floor)), "tries")
-    crowds = held.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    crowds = held.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
     known = held.join(cut(crowds, "crowds"), "node", "left")
     loose = known.where("n IS NULL").select(F.xxhash64("node").alias("node"), "id", F.lit(True).alias("long"))
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "label"))  # a text has a row for each tree at most
@@ -343,7 +343,7 @@ def families(texts: DataFrame, threshold: float, trees: int, depth: int, recall:
         .where((F.col("n") > 1) & F.col("long"))
         .groupBy("n", "x", "y", "lo")
         .agg(F.min("node").alias("node"))
-        .select("node", F.ceil(_blocks(F.col("n"))).cast("int").alias("blocks"))
+        .select("node", F.ceil(_blocks(F.col("n"), _tasks(texts.sparkSession))).cast("int").alias("blocks"))
     )
     members = held.select("node", "id").join(cut(filled, "filled"), "node").join(signed, "id")
     pairs = _block_pairs(members, "blocks").select("node", "i", "j", "side", "id", "sig")
@@ -354,7 +354,7 @@ def families(texts: DataFrame, threshold: float, trees: int, depth: int, recall:
 def verified_links(docs: DataFrame, texts: DataFrame, family: DataFrame, threshold: float) -> DataFrame:
     """(id, root, links): for each text its exact links in a block pair of its family, and a text it is connected with there."""
     known = cut(family.join(texts.select("id", "key", "copies", "size"), "id"), "members")
-    blocks = known.groupBy("label").agg(F.ceil(F.greatest(_blocks(F.count("*")), F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    blocks = known.groupBy("label").agg(F.ceil(F.greatest(_blocks(F.count("*"), _tasks(docs.sparkSession)), F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks"))
     narrow = known.join(cut(blocks, "blocks"), "label").drop("size")
     once = docs.select(text_key(F.coalesce("text", F.lit(""))).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     pairs = _block_pairs(once.join(narrow, "key"), "blocks").select("label", "i", "j", "side", "id", "copies", "text")

@@ -160,7 +160,8 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     want = brute_classes(texts)
     got = ngram_join.join_near(docs_of(spark, texts))
     assert rows_of(got, "doc_id", "class_id", "n_links") == sorted(map(repr, want))
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)  # crowded nodes and several blocks, the same result
+    for name, n in (("CROWD", 5), ("SMALLEST", 2), ("LARGEST", 5)):  # crowded nodes and several blocks, the same result
+        monkeypatch.setattr(ngram_join, name, n)
     assert rows_of(ngram_join.join_near(docs_of(spark, texts)), "doc_id", "class_id", "n_links") == sorted(map(repr, want))
     kept = ngram_join.keep_one(docs_of(spark, texts).unionByName(docs_of(spark, texts)))
     assert rows_of(kept, "doc_id") == sorted(repr((c,)) for c in {c for _, c, _ in want})
@@ -333,7 +334,7 @@ def test_token_files_are_bounded_and_ties_have_an_order(spark, monkeypatch):
     assert len(written) == 3 and token_files.read_tokens(spark, written).agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(n for _, _, n in written)
 
 
-def test_words_of_plain_texts_are_encoded_as_the_library_does():
+def test_parts_of_texts_are_encoded_as_the_library_does():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -343,7 +344,7 @@ def test_words_of_plain_texts_are_encoded_as_the_library_does():
     for _ in range(2):  # the second time from memory
         got = tok.encode(texts)
         assert [np.frombuffer(b, tok.kind).tolist() for b in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert max(map(len, [*tok.parts, *tok.words])) <= token_files.CACHED_LENGTH
+    assert max(map(len, tok.cache)) <= token_files.CACHED_LENGTH
 
 
 def test_pieces_equal_the_library(spark):
