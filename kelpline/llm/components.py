@@ -14,8 +14,8 @@ SALTS = 16
 
 
 def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
-    """``edges`` with ``m`` of their ``a`` in ``least`` (of, m), which is repeated for each salt."""
-    salted = least.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``edges`` with ``m`` of their ``a`` in ``least`` (of, m), which is repeated for each salt; so often repeated it is never broadcast, however small it looks before."""
+    salted = least.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
     return edges.withColumn("s", salt).join(salted, (F.col("a") == F.col("of")) & (F.col("s") == F.col("t"))).select("a", "b", "m")
 
