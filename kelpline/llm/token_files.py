@@ -9,7 +9,7 @@ Files go to the shared folder by ``pyarrow.fs``; every attempt of a task writes
 the finished job reports are ever read, so a lost executor leaves no half file in use. What the driver gathers is one
 row for each file. Reading goes through a file batch by batch, and holds one.
 
-Tokenizing: parts of a text are encoded one by one, since no token crosses a white space; words of texts of plain Latin letters are
+Tokenizing: parts of a text are encoded one by one, since no token crosses a white space; texts of plain Latin letters are
 parted as the tokenizer itself does after lower-casing. Each distinct part of a batch that isn't in the worker's
 memory goes through the library, all of them in one call with the end-of-text token as a fence. Long parts aren't remembered. Texts with a
 special token's own string are encoded whole.
@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import bounded_batches, shared_dir
 
 LENGTH, ROWS, FILE_IDS = 1024, 256, 1 << 28
-#: Entries of each of a worker's memories, and the longest part that is remembered.
-CACHE, CACHED_LENGTH = 350_000, 32
+#: Entries of a worker's memory, and the longest part that is remembered: at most 150 MB or so.
+CACHE, CACHED_LENGTH = 700_000, 48
 _PART = re.compile("[^ \n]+")
 #: In texts of these characters alone, the tokenizer's own parts: letters, single digits, other characters in a row.
 _PLAIN = re.compile("[\x20-\x26\x28-\x7e\nÀ-ÖØ-öø-ÿ]*")
@@ -56,8 +56,7 @@ class PartTokenizer:
         self.fence_id = self.t.token_to_id(fence)
         self.wide = self.t.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # lower-cased words of plain texts, of several parts each
+        self.cache: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
@@ -65,34 +64,27 @@ class PartTokenizer:
     def _learn(self, new: list[str]) -> None:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
-            ids = np.array(self.t.encode(self.fence.join(some), add_special_tokens=False).ids, self.kind)
+            ids = np.array(self.t.encode_batch_fast([self.fence.join(some)], add_special_tokens=False)[0].ids, self.kind)
             fences = np.flatnonzero(ids == self.fence_id)
             width = ids.itemsize
             begins, stops = [0, *((fences + 1) * width).tolist()], [*(fences * width).tolist(), len(ids) * width]
             data = ids.tobytes()
-            self.parts.update(zip(some, [data[a:b] for a, b in zip(begins, stops)]))
+            self.cache.update(zip(some, [data[a:b] for a, b in zip(begins, stops)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes of ``kind``."""
-        parts, words = self.parts, self.words
-        for known in (parts, words):
-            if len(known) > CACHE:
-                known.clear()
-        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
-        split = [(words, t.lower().split()) if _PLAIN.fullmatch(t) else (parts, _PART.findall(t)) for t in texts]
-        for i in whole:
-            split[i] = (parts, [])
-        fresh = {w: _FINE.findall(w) for known, own in split if known is words for w in own if w not in words}
-        new = {p for fine in fresh.values() for p in fine if p not in parts}
-        new.update(p for known, own in split if known is parts for p in own if p not in parts)
-        self._learn(list(new))
-        words.update((w, b"".join([parts[p] for p in fine])) for w, fine in fresh.items())
-        out = [b"".join([known[p] for p in own]) for known, own in split]
-        for known, mine in ((parts, new), (words, fresh)):
-            for p in mine:
-                if len(p) > CACHED_LENGTH:
-                    del known[p]
-        for i, b in zip(whole, self._library([texts[i] for i in whole])):
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.added)}
+        split = [[] if i in whole else _FINE.findall(t.lower()) if _PLAIN.fullmatch(t) else _PART.findall(t) for i, t in enumerate(texts)]
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        new = [p for p in set().union(*split) if p not in cache]
+        self._learn(new)
+        out = [b"".join(map(cache.__getitem__, parts)) for parts in split]
+        for p in new:
+            if len(p) > CACHED_LENGTH:
+                del cache[p]
+        for i, b in zip(sorted(whole), self._library([texts[i] for i in sorted(whole)])):
             out[i] = b
         return out
 
