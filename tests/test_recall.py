@@ -28,7 +28,11 @@ def _rows(rows):
     return sorted(repr([round(x, 6) if isinstance(x, float) else x for x in r]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
+#: Two or more polls each; tests/test_engine.py polls too.
+SLOW = {"poll_messages", "poll_registry"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
 def test_catalogue(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     cols = sorted(df.columns)
