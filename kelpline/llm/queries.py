@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.llm import decontaminate, licenses, line_dedup, ngram_join, pieces, quality, token_files, toxicity, transport_stream, url_filter
+from kelpline.llm import class_model, decontaminate, filter_audit, licenses, line_dedup, ngram_join, pieces, quality, resample, token_files, toxicity, transport_stream, url_filter
 from kelpline.llm import oracles
 
 #: Files of the tokenizers that the queries are asked to use.
@@ -79,11 +79,29 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = _read(spark, sf_dir, "documents")
+    found = class_model.score_texts(docs.select("doc_id", "text"), class_model.learned_from(F.col("doc_id")), drop=("text",))
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents", "labels")
+    return filter_audit.audit_filters(docs.select("doc_id", "text", "source"), labels)
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _read(spark, sf_dir, "documents", "benchmark")
+    return resample.resample(docs.select("doc_id", "text"), benchmark).select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_decontaminate, op2_quality, op3_toxicity, op4_ngram_join, op5_licenses, op6_url_filter, op7_token_files, op8_line_dedup, op9_transport_stream, op10_pieces)
+    ops += (op11_class_model, op12_filter_audit, op13_resample)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express the result."""
-    return {"op1_decontaminate": oracles.decontaminate(), "op5_licenses": oracles.licenses(), "op6_url_filter": oracles.url_filter(), "op8_line_dedup": oracles.line_dedup()}
+    sql = {"op1_decontaminate": oracles.decontaminate(), "op5_licenses": oracles.licenses(), "op6_url_filter": oracles.url_filter(), "op8_line_dedup": oracles.line_dedup()}
+    return sql | {"op12_filter_audit": oracles.filter_audit(), "op13_resample": oracles.resample()}
