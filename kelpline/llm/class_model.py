@@ -3,7 +3,8 @@
 Method: texts are encoded once, batch by batch, as numbers of a batch's own words. Words meet by a shuffle of (word, batch) rows, which brings each word its count and
 how often it follows each context; a context is the word before, told by itself if short and by its ending if long. Exchange clustering starts from each word's most
 telling context, and in every round each word moves to the class in which the likelihood of classes after contexts is highest, its own counts being
-taken out of its present class first; a round reads the words' counts, not the corpus, and needs the contexts' counts by class, a matrix of fixed size. The classes go back to the
+taken out of its present class first; a round reads the words' counts, not the corpus, and needs the contexts' counts by class, a matrix of fixed size, in which a task keeps its
+own moves. A round that doesn't raise the likelihood is dropped. The classes go back to the
 batches by a join, class bigrams are counted over all learned texts, and a text's score adds log10 of P(class | class before) P(word | class).
 
 Smoothing: a class's words give up d = n1 / (n1 + 2 n2) of a count each, which is the class's share of unknown words, so the probabilities of all V known words and one unknown add up
@@ -81,12 +82,22 @@ def _unpack(data: bytes, n: int) -> np.ndarray:
 
 
 _PIECES = "batch long, row long, learned boolean, size int, ids binary"
-_WORDS = "word binary, at int, n long, ctx array<int>, totals array<long>"
+_WORDS = "word binary, at int, n long, ctx array<int>, totals array<array<long>>"
 
 
-def _lists(starts: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+def _lists(starts: np.ndarray, values: np.ndarray | pa.Array, kind: pa.DataType) -> pa.Array:
     """Lists that begin at ``starts``."""
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values, kind))
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+
+
+_TOTALS = pa.list_(pa.list_(pa.int64()))
+
+
+def _totals(matrix: np.ndarray) -> pa.Array:
+    """One row that holds a matrix."""
+    rows, columns = matrix.shape
+    return _lists(np.zeros(1, np.int64), _lists(np.arange(rows) * columns, matrix.ravel().astype(np.int64), pa.int64()), _TOTALS.value_type)
 
 
 def encode(docs: DataFrame, learn: Column, drop: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
@@ -98,7 +109,7 @@ def encode(docs: DataFrame, learn: Column, drop: tuple[str, ...] = ()) -> tuple[
     )
     schema = T._parse_datatype_string(f"{_PIECES}, {_WORDS}").add("rest", read.schema["rest"].dataType, True)
     arrow = pa.schema([("batch", pa.int64()), ("row", pa.int64()), ("learned", pa.bool_()), ("size", pa.int32()), ("ids", pa.binary())])
-    arrow_words = [("word", pa.binary()), ("at", pa.int32()), ("n", pa.int64()), ("ctx", pa.list_(pa.int32())), ("totals", pa.list_(pa.int64()))]
+    arrow_words = [("word", pa.binary()), ("at", pa.int32()), ("n", pa.int64()), ("ctx", pa.list_(pa.int32())), ("totals", _TOTALS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ordinal, tokens = _Numbers(), TaskContext.get().partitionId() << 32, 0
@@ -130,7 +141,7 @@ def encode(docs: DataFrame, learn: Column, drop: tuple[str, ...] = ()) -> tuple[
             key = key[first]
             starts = np.searchsorted(key >> BITS, np.arange(len(words)))
             n = np.bincount(ids[at], minlength=len(words))
-            yield record(1, batch=pa.array([ordinal]), totals=_lists(np.zeros(1, np.int64), np.bincount(key & (CONTEXTS - 1), times, CONTEXTS).astype(np.int64), pa.int64()))
+            yield record(1, batch=pa.array([ordinal]), totals=_totals(np.bincount(key & (CONTEXTS - 1), times, CONTEXTS).reshape(-1, 32)))
             lists = _lists(starts, times << BITS | key & (CONTEXTS - 1), pa.int32())
             for lo in range(0, len(words), 50_000):
                 hi = min(len(words), lo + 50_000)
@@ -193,7 +204,7 @@ def _merged(table: pa.Table) -> pa.Table:
     return pa.table({"word": words.take(pa.array(starts)), "n": np.add.reduceat(table.column("n").to_numpy(), starts), "ctx": lists})
 
 
-_STATE = "word binary, n long, ctx array<long>, cls int, totals array<long>"
+_STATE = "word binary, n long, ctx array<long>, cls int, totals array<array<long>>"
 
 
 class _Clusters:
@@ -214,12 +225,12 @@ class _Clusters:
         _, sizes, context, times = self._parts(table)
         self.totals += np.bincount(context * (self.classes + 1) + np.repeat(classes, sizes), times, self.totals.size).astype(np.int64).reshape(self.totals.shape)
         columns = [table.column(c).combine_chunks() for c in ("word", "n", "ctx")]
-        return pa.record_batch([*columns, pa.array(classes, pa.int32()), pa.nulls(table.num_rows, pa.list_(pa.int64()))], names=["word", "n", "ctx", "cls", "totals"])
+        return pa.record_batch([*columns, pa.array(classes, pa.int32()), pa.nulls(table.num_rows, _TOTALS)], names=["word", "n", "ctx", "cls", "totals"])
 
     def last(self) -> pa.RecordBatch:
         """A row with what this task has counted."""
         empty = [pa.nulls(1, k) for k in (pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32())]
-        return pa.record_batch([*empty, _lists(np.zeros(1, np.int64), self.totals.ravel(), pa.int64())], names=["word", "n", "ctx", "cls", "totals"])
+        return pa.record_batch([*empty, _totals(self.totals)], names=["word", "n", "ctx", "cls", "totals"])
 
     def first_classes(self, table: pa.Table, shares: np.ndarray) -> np.ndarray:
         """By the context that is most frequent for the word, measured by the root of the context's own count."""
@@ -229,11 +240,12 @@ class _Clusters:
         order = np.lexsort((value, word))
         return context[order[starts + sizes - 1]] % self.classes
 
-    def exchanged(self, table: pa.Table, by: np.ndarray, gains: np.ndarray) -> np.ndarray:
-        """Each word's best class, were it alone to move."""
+    def exchanged(self, table: pa.Table, by: np.ndarray) -> np.ndarray:
+        """Each word's best class, were it alone to move; ``by`` then has these moves, so that the words after them see them."""
         starts, sizes, context, times = self._parts(table)
         now, n = table.column("cls").to_numpy(), table.column("n").to_numpy().astype(float)
         value = np.empty((len(context), self.classes))
+        gains = np.stack([_xlogx(by[:, : self.classes] + k) - _xlogx(by[:, : self.classes]) for k in range(1, 9)])
         few = times <= len(gains)
         value[few] = gains[times[few] - 1, context[few]]
         rows, more = by[context[~few], : self.classes], times[~few, None]
@@ -246,25 +258,34 @@ class _Clusters:
         own = np.add.reduceat(_xlogx(cell) - _xlogx(cell - times), starts)[mine]
         whole = total[now[mine]]
         gain[mine, now[mine]] = own - (_xlogx(whole) - _xlogx(whole - n[mine]))
-        return gain.argmax(axis=1)
+        best = np.where(now < self.classes, gain.argmax(axis=1), now)
+        for classes, sign in ((now, -1), (best, 1)):
+            np.add.at(by, (context, np.repeat(classes, sizes)), sign * times)
+        return best
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def _sum_totals(df: DataFrame, size: int) -> np.ndarray:
-    """The sum of all ``totals``, which have ``size`` numbers each."""
-    out = np.zeros(size, np.int64)
-    for r in df.where(F.col("totals").isNotNull()).select(F.posexplode("totals").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).collect():
-        out[r["i"]] = r["n"]
+def _likelihood(by: np.ndarray) -> float:
+    """Of the classes after their contexts and of the words in their classes, but for what no move changes."""
+    return float(_xlogx(by.astype(float)).sum() - _xlogx(by.sum(axis=0).astype(float)).sum())
+
+
+def _sum_totals(df: DataFrame, rows: int, columns: int) -> np.ndarray:
+    """The sum of the matrices in ``totals``; a matrix becomes a row for each of its own rows."""
+    out = np.zeros((rows, columns), np.int64)
+    each = df.where(F.col("totals").isNotNull()).select(F.posexplode("totals").alias("i", "x"))
+    for r in each.groupBy("i").agg(*[F.sum(F.col("x")[j]).alias(f"n{j}") for j in range(columns)]).collect():
+        out[r[0]] = r[1:]
     return out
 
 
 def cluster(encoded: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
     """(word, n, cls) of all words that are learned, by exchange."""
     spark = encoded.sparkSession
-    shares = spark.sparkContext.broadcast(_sum_totals(encoded, CONTEXTS))
+    shares = spark.sparkContext.broadcast(_sum_totals(encoded, CONTEXTS // 32, 32).ravel())
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         clusters, carried = _Clusters(classes), []
@@ -281,19 +302,25 @@ def cluster(encoded: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) ->
 
     met = encoded.where("n > 0").select("word", "n", "ctx").repartition("word").sortWithinPartitions("word")
     state = cut(met.mapInArrow(begin, _STATE), "classes")
+    by = _sum_totals(state, CONTEXTS, classes + 1)
     for _ in range(rounds):
-        by = _sum_totals(state, CONTEXTS * (classes + 1)).reshape(CONTEXTS, classes + 1)
         matrix = spark.sparkContext.broadcast(by)
 
         def move(batches: Iterator[pa.RecordBatch], matrix=matrix) -> Iterator[pa.RecordBatch]:
-            clusters, by = _Clusters(classes), matrix.value.astype(float)
-            rows = by[:, :classes]
-            gains = np.stack([_xlogx(rows + k) - _xlogx(rows) for k in range(1, 9)])
+            clusters, by, size = _Clusters(classes), matrix.value.astype(float), 16
             for table in _tables(batches, 5_000):
-                yield clusters.emit(table, clusters.exchanged(table, by, gains))
+                at = 0
+                while at < table.num_rows:
+                    some = table.slice(at, size).combine_chunks()
+                    yield clusters.emit(some, clusters.exchanged(some, by))
+                    at, size = at + size, min(5_000, 2 * size)
             yield clusters.last()
 
-        state = cut(state.where("word is not null").select("word", "n", "ctx", "cls").mapInArrow(move, _STATE), "classes")
+        moved = cut(state.where("word is not null").select("word", "n", "ctx", "cls").mapInArrow(move, _STATE), "classes")
+        after = _sum_totals(moved, CONTEXTS, classes + 1)
+        if _likelihood(after) <= _likelihood(by):  # tasks that move words at once may go too far; then the classes stay
+            break
+        state, by = moved, after
     return state.where("word is not null").select("word", "n", "cls")
 
 
@@ -334,7 +361,7 @@ def score_texts(docs: DataFrame, learn: Column, classes: int = CLASSES, rounds:
     known, distinct = int(n.sum()), int(v.sum())
     model = Smoothed(n, v, once / (once + 2 * twice) if once else 0.5)
     sums = "n_tokens long, n_known long, plus_one double, emitted double"
-    schema = T._parse_datatype_string(f"row long, learned boolean, {sums}, classes binary, totals array<long>").add("rest", encoded.schema["rest"].dataType, True)
+    schema = T._parse_datatype_string(f"row long, learned boolean, {sums}, classes binary, totals array<array<long>>").add("rest", encoded.schema["rest"].dataType, True)
 
     def classed(pieces: pa.Table, own: pa.Table) -> pa.Table:
         """A batch's pieces with the classes of their words, and its class bigrams."""
@@ -357,14 +384,14 @@ def score_texts(docs: DataFrame, learn: Column, classes: int = CLASSES, rounds:
         names = ["row", "learned", "n_tokens", "n_known", "plus_one", "emitted", "classes"]
         one = [pa.nulls(1, c.type) for c in columns]
         columns = [pa.chunked_array([c, o]) for c, o in zip(columns, one)]
-        totals = pa.chunked_array([pa.nulls(len(out), pa.list_(pa.int64())), _lists(np.zeros(1, np.int64), counts, pa.int64())])
+        totals = pa.chunked_array([pa.nulls(len(out), _TOTALS), _totals(counts.reshape(width, width))])
         other = pieces.column("rest")
         return pa.table([*columns, totals, pa.chunked_array([*other.chunks, pa.nulls(1, other.type)])], names=[*names, "totals", "rest"])
 
     ours = encoded.where("word is not null").select(F.col("batch").alias("of"), "at", "word").join(words, "word", "left").select("of", "at", "n", "cls")
     pieces = encoded.where("row is not null").select("batch", "row", "learned", "size", "ids", "rest")
     parts = cut(pieces.groupBy("batch").cogroup(ours.groupBy("of")).applyInArrow(classed, schema), "classed")
-    counts = _sum_totals(parts, width * width).reshape(width, width)
+    counts = _sum_totals(parts, width, width)
     with np.errstate(divide="ignore"):
         table = spark.sparkContext.broadcast(np.log10(model.transitions(counts[:, : classes + 1])))
 

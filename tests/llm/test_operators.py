@@ -343,7 +343,7 @@ def test_words_of_plain_texts_are_encoded_as_the_library_does():
     for _ in range(2):  # the second time from memory
         got = tok.encode(texts)
         assert [np.frombuffer(b, tok.kind).tolist() for b in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
-    assert max(map(len, [*tok.parts, *tok.words])) <= token_files.CACHED_LENGTH
+    assert max(map(len, tok.cache)) <= token_files.CACHED_LENGTH and len(tok.cache) <= token_files.CACHE
 
 
 def test_pieces_equal_the_library(spark):
