@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import sys
 import time
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ from kelpline.operators import postings as I
 from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
 from kelpline.plans import predicates as P
-from kelpline.sources import jsonl, local
+from kelpline.sources import jsonl, local, resume
 from kelpline.sources.store import Store
 
 Embedder = Callable[[list[str]], list[list[float]]]
@@ -273,33 +275,68 @@ class Engine:
                 return
             time.sleep(interval)
 
+    def _written(self, df: DataFrame, folder: str) -> DataFrame:
+        """``df`` written below ``folder`` and read again, so that the plans that use it several times stay small."""
+        path = f"{folder}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _grown(self, found: DataFrame, new: DataFrame, source: str, part: str) -> tuple[DataFrame, DataFrame]:
+        """(units, state by path) of what sessions have grown by, parsed from their new lines. An object whose state isn't known is parsed whole, and one with a new title, since that is in the header of all
+        its units. What is made on the way is written below ``part``."""
+        progress = self.store.read("progress")
+        state = progress if progress is not None else self.spark.createDataFrame([], f"path string, offset long, {resume.STATE}")
+        known = new.where("start > 0").select("path", "key", F.col("start").alias("offset")).join(state, ["path", "offset"])
+        tails = new.join(known.select("path"), "path", "left_semi").unionByName(new.where("start = 0"))
+        objects = self._written(resume.continued(tails, known.drop("path", "offset")), part)
+        rows = self._written(resume.rows(objects, [source]), part)
+        retitled = rows.where("kind = 'title'").join(known, "key", "left_semi").select("key").distinct()
+        again = new.join(tails.select("path"), "path", "left_anti").unionByName(new.join(retitled, "key", "left_semi")).select("path", "key", "offset")
+        again = self._written(again, part)
+        parts = [(objects.join(again, "key", "left_anti"), rows.join(again, "key", "left_anti"))]
+        if not again.isEmpty():
+            texts = local.whole(found, again).join(again.select("path", "key"), "path")
+            complete = self._written(resume.continued(texts, None), part)
+            parts.append((complete, self._written(resume.rows(complete, [source]), part)))
+        units, states = [resume.units(*p) for p in parts], [resume.state(*p) for p in parts]
+        return reduce(DataFrame.unionByName, units), reduce(DataFrame.unionByName, states).join(new.select("path", "key", "offset"), "key").select("path", "offset", *resume.FIELDS)
+
     def sync(self, root: str, source: str, host: str, dry_run: bool = False, limit: int = 0) -> dict[str, int]:
         """Ingest files under ``root`` that have grown since their cursors, up to their last complete line.
 
-        An object is parsed whole, since its rows depend on the lines before; what the store has seen is not written or embedded again.
-        Cursors move after the rows are stored, so a crash in between only repeats work. With a ``limit``, at most so many rows are taken, in the order of the
+        Of sessions only the new bytes are read and parsed, with the state that the last sync has left; exports of chats are parsed whole, since a line may edit an earlier one. What the store has seen is not
+        written or embedded again. Cursors move after the rows are stored, so a crash in between only repeats work. With a ``limit``, at most so many rows are taken, in the order of the
         files, and the cursor of a file that is cut short stays.
         """
-        new = local.grown(local.files(self.spark, root), self.store.read("cursor")).persist(StorageLevel.MEMORY_AND_DISK)
+        found, key = local.files(self.spark, root), F.concat_ws("/", F.lit(host), F.lit(source), "rel")
+        new = local.grown(found, self.store.read("cursor")).withColumn("key", key).persist(StorageLevel.MEMORY_AND_DISK)
+        part = f"{self.store.root}/_sync-{uuid.uuid4().hex}"
         try:
             n = new.count()
             if not n or dry_run:
                 return {"files": n, "accepted": 0}
-            key = F.concat_ws("/", F.lit(host), F.lit(source), "rel")
-            rows = U.units(jsonl.parse(new.select(key.alias("key"), "content")))
-            whole = new
+            state = None
+            if source in resume.GROWING:
+                rows, state = self._grown(found, new, source, part)
+                rows, state = self._written(rows, part), self._written(state, part)
+            else:
+                rows = U.units(jsonl.parse(local.whole(found, new).withColumn("key", key).select("key", "content"), sources=[source]))
+            done = new
             if limit > 0:
                 rows = U.pending(rows, self.store.read("dedup")).drop("dedup_key").persist(StorageLevel.MEMORY_AND_DISK)
                 some = rows.orderBy(*jsonl.PLACE).limit(limit)
                 cut = rows.groupBy("key").agg(F.count("*").alias("all")).join(some.groupBy("key").agg(F.count("*").alias("n")), "key", "left").where("n IS NULL OR n < all")
-                whole = new.withColumn("key", key).join(cut.select("key"), "key", "left_anti")
-                whole = self.spark.createDataFrame(whole.select("path", "offset").collect(), local.CURSOR)  # before the rows are stored
+                done = new.join(cut.select("key"), "key", "left_anti")
+                done = self.spark.createDataFrame(done.select("path", "offset").collect(), local.CURSOR)  # before the rows are stored
                 rows = some
             accepted = self._write(rows, "|unit")
-            self.store.upsert("cursor", whole.select("path", "offset"), "path")
+            if state is not None:
+                self.store.upsert("progress", state.join(done.select("path"), "path", "left_semi"), "path")
+            self.store.upsert("cursor", done.select("path", "offset"), "path")
             return {"files": n, "accepted": accepted}
         finally:
             new.unpersist()
+            self.store.drop(part.rsplit("/", 1)[1])
 
     def ingest(self, records: DataFrame) -> tuple[dict[str, int], DataFrame]:
         """Store records (``RECORD``'s columns; absent ones count as empty): counts, and (id, error) of those refused.
@@ -357,13 +394,13 @@ class Engine:
             return False
         self.store.optimize("messages", files, "container_id", "timestamp", "id")
         self.store.optimize("chunks", files, "id")
-        for t in ("dedup", "registry", "cursor"):
+        for t in ("dedup", "registry", "cursor", "progress"):
             self.store.optimize(t, files)
         self.build_index()
         if self._only("vector_index"):
             self.create_vector_index()
         if prune:
-            for t in ("messages", "chunks", "dedup", "registry", "cursor", "postings", "index_stats", "vector_codes", "vector_index"):
+            for t in ("messages", "chunks", "dedup", "registry", "cursor", "progress", "postings", "index_stats", "vector_codes", "vector_index"):
                 self.store.prune(t)
         return True
 

@@ -67,8 +67,26 @@ def plain_title(text: Column) -> Column:
     return trim_space(F.regexp_replace(text, r"(?s)^TITLE .*?: ", ""))
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """``rows`` with header, body and the unit's content_hash; container_title is filled from the last title of the container."""
+def carried(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(key, container_id, title, asked): what units of rows that come later take from these, or from what was carried ``before`` them: the last title and the user's last question."""
+    place = F.struct(*_PLACE)
+    asks = (F.col("kind") == "message") & ~F.col("source").isin(*CHATS) & (F.col("author_id") == "user")
+    pick = lambda what, value: F.max_by(F.when(what, value), F.when(what, place))
+    last = rows.groupBy("key", "container_id").agg(pick(F.col("kind") == "title", plain_title(F.col("text"))).alias("title"), pick(asks, clip_line(F.col("text"), QUESTION_RUNES)).alias("asked"))
+    if before is None:
+        return last
+    both = last.withColumn("_at", F.lit(1)).unionByName(before.select("key", "container_id", "title", "asked").withColumn("_at", F.lit(0)))
+    return both.groupBy("key", "container_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in ("title", "asked")])
+
+
+def units(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """``rows`` with header, body and the unit's content_hash; container_title is filled from the last title of the container.
+
+    Where ``rows`` continue sessions, ``before`` is what ``carried`` gave for the rows before them.
+    """
+    if before is not None:
+        told = before.select("key", "container_id", F.col("title").alias("_title"), F.col("asked").alias("_before"))
+        return units(rows.join(told, ["key", "container_id"], "left")).drop("_title", "_before")
     chat, order = F.col("source").isin(*CHATS), list(_PLACE)
     container = W.partitionBy("key", "container_id").orderBy(*order)
     titles = F.last(F.when(F.col("kind") == "title", plain_title(F.col("text"))), ignorenulls=True).over(container.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -76,6 +94,8 @@ def units(rows: DataFrame) -> DataFrame:
     asked = F.last(F.when(told & (F.col("author_id") == "user"), clip_line(F.col("text"), QUESTION_RUNES)), ignorenulls=True).over(container.rowsBetween(W.unboundedPreceding, -1))
     author = F.when(F.col("author_name") != "", F.col("author_name")).otherwise(F.col("author_id"))
     line = F.when(chat & (author != ""), F.concat(author, F.lit(": "), F.col("text"))).otherwise(F.col("text"))
+    if "_title" in rows.columns:
+        titles, asked = F.coalesce(titles, "_title"), F.coalesce(asked, "_before")
     r = rows.withColumns({
         "container_title": F.when(F.col("container_title") != "", F.col("container_title")).otherwise(F.coalesce(titles, F.lit(""))),
         "_line": line, "_asked": F.when(told & (F.col("author_id") == "assistant"), F.nullif(asked, F.lit(""))),

@@ -12,7 +12,7 @@ from kelpline.functions import text as X
 from kelpline.operators import containers as C
 from kelpline.operators import contextual as U
 from kelpline.operators import search as S
-from kelpline.sources import jsonl, local
+from kelpline.sources import jsonl, local, resume
 from kelpline.sources import migrate as M
 from kelpline.sources.store import Store, scratch
 
@@ -73,6 +73,17 @@ def raw_pi(s, d):
     return _parse(_pi(s, d)).select(*_FIELDS, "content_hash")
 
 
+@query(f"SELECT {', '.join(_FIELDS)}, sha256(text) AS content_hash FROM {PI}")
+def raw_resumed(s, d):
+    """Each object in two parts, the second parsed with the state that the first has left."""
+    body, n = F.split(F.decode("content", "UTF-8"), "\n"), F.octet_length("key") % 4 + 1
+    part = lambda first, size: _pi(s, d).select("key", F.encode(F.concat(F.array_join(F.slice(body, first, size), "\n"), F.lit("\n")), "UTF-8").alias("content"))
+    begun = resume.continued(part(F.lit(1), n), None)
+    rows = resume.rows(begun, ["pi"])
+    grown = resume.continued(part(n + 1, F.size(body)), resume.state(begun, rows))
+    return rows.unionByName(resume.rows(grown, ["pi"])).select(*_FIELDS, "content_hash")
+
+
 @query(f"SELECT id, text FROM {PI} WHERE kind = 'message'")
 def raw_messages_only(s, d):
     return _parse(_pi(s, d), state=False).select("id", "text")

@@ -72,17 +72,22 @@ def failures(objects: DataFrame) -> DataFrame:
 def lines(objects: DataFrame) -> DataFrame:
     """(key, host, source, line_no, line): non-blank lines of each object's ``content``, numbered from 1 as they stand.
 
+    Where ``content`` is what an object has grown by, ``old`` says what held before it and ``pending`` has earlier lines that still wait (see ``sources.resume``).
     Objects named by ``failures`` give no lines.
     """
     split = F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")  # what is no UTF-8 becomes U+FFFD
     fit = objects.where(F.octet_length("content") <= LARGEST).where(~F.exists(split, lambda t: F.octet_length(t) > LONGEST_LINE))
-    each = fit.select("key", "host", "source", F.posexplode(split).alias("n", "raw"))
-    return each.select("key", "host", "source", (F.col("n") + 1).alias("line_no"), trim_space(F.col("raw")).alias("line")).where(F.col("line") != "")
+    old = [c for c in ("old",) if c in objects.columns]
+    each = fit.select("key", "host", "source", *old, F.posexplode(split).alias("n", "raw"))
+    passed = F.coalesce("old.lines", F.lit(0).cast("long")) if old else F.lit(0)
+    own = each.select("key", "host", "source", *old, (F.col("n") + 1 + passed).cast("int").alias("line_no"), trim_space(F.col("raw")).alias("line")).where(F.col("line") != "")
+    return own.withColumn("then", F.lit(None).cast("long")).unionByName(fit.select("key", "host", "source", *old, F.inline("pending"))) if old else own
 
 
 def entries(rows: DataFrame) -> DataFrame:
     """Lines that hold a JSON object, as ``v`` with its ``type``."""
-    read = rows.select("key", "host", "source", "line_no", F.try_parse_json("line").alias("v"))
+    more = [c for c in ("old", "line", "then") if "old" in rows.columns]
+    read = rows.select("key", "host", "source", "line_no", *more, F.try_parse_json("line").alias("v"))
     return read.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("type", V.string(F.col("v"), "$.type"))
 
 
@@ -90,6 +95,18 @@ def _stem() -> Column:
     return F.regexp_replace(F.element_at(F.split("key", "/"), -1), r"\.[^.]*$", "")
 
 
+def _old(rows: DataFrame, field: str, default: Column) -> Column:
+    """What held before the first of these lines."""
+    return F.coalesce(F.col("old")[field], default) if "old" in rows.columns else default
+
+
+def _told(rows: DataFrame, seen: DataFrame | None, mark: Column) -> DataFrame:
+    """``rows`` with ``told``: whether an earlier part of the object has ``mark``, one of ``seen`` (key, mark)."""
+    if seen is None:
+        return rows.withColumn("told", F.lit(False))
+    return rows.withColumn("mark", mark).join(seen.withColumn("told", F.lit(True)), ["key", "mark"], "left").withColumn("told", F.coalesce("told", F.lit(False))).drop("mark")
+
+
 def _latest(value: Column, default: Column | str) -> Column:
     return F.coalesce(F.last(value, ignorenulls=True).over(_so_far()), F.lit(default) if isinstance(default, str) else default)
 
@@ -129,7 +146,7 @@ def parse_pi(rows: DataFrame) -> DataFrame:
     """Sessions of pi, omp and grokbot: a ``session`` line sets container and project of what follows."""
     e, v = entries(rows), F.col("v")
     head, own, kind = F.col("type") == "session", V.string(v, "$.id"), F.col("type")
-    e = _state(e, _latest(F.when(head, F.nullif(own, F.lit(""))), _stem()), _latest(F.when(head, project_from_cwd(V.string(v, "$.cwd"))), "unknown"), head)
+    e = _state(e, _latest(F.when(head, F.nullif(own, F.lit(""))), _old(e, "session", _stem())), _latest(F.when(head, project_from_cwd(V.string(v, "$.cwd"))), _old(e, "project", F.lit("unknown"))), head)
     turn = F.when(own != "", own).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))
     named, changed, sent = V.moment(v, "$.updatedAt", "$.timestamp"), V.moment(v, "$.timestamp"), V.moment(v, "$.timestamp", "$.message.timestamp")
     role, tool, text, voice = V.string(v, "$.message.role"), V.string(v, "$.message.toolName"), V.spoken(v, "$.message.content"), V.spoken(v, "$.content")
@@ -146,15 +163,42 @@ def parse_pi(rows: DataFrame) -> DataFrame:
     return _emit(e, F.array(record)).drop("ref")
 
 
-def parse_claude(rows: DataFrame) -> DataFrame:
+def clock(e: DataFrame) -> Column:
+    """The last time told so far; a line that still waits brings the one of its place."""
+    now = F.nullif(V.moment(F.col("v"), "$.timestamp"), F.lit(0).cast("long"))
+    if "old" not in e.columns:
+        return _latest(now, F.lit(0).cast("long"))
+    earlier = F.col("line_no") <= F.coalesce("old.lines", F.lit(0))
+    return F.when(earlier, F.coalesce("then", F.lit(0).cast("long"))).otherwise(_latest(F.when(~earlier, now), F.coalesce("old.clock", F.lit(0).cast("long"))))
+
+
+def title_mark(title: Column) -> Column:
+    return F.concat(F.lit("t:"), content_hash(title))
+
+
+def call_mark(ref: Column) -> Column:
+    return F.concat(F.lit("c:"), ref)
+
+
+def is_call(p: Column) -> Column:
+    """Whether a part of a message starts a task."""
+    return (V.string(p, "$.type") == "tool_use") & V.string(p, "$.name").isin("Agent", "Task")
+
+
+def parts_of(v: Column) -> Column:
+    return F.coalesce(F.try_variant_get(v, "$.message.content", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def parse_claude(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Sessions named by their file; the project is the first known working directory; tool calls are rows of their own."""
     e, v = entries(rows), F.col("v")
     cwd, kind, text = V.string(v, "$.cwd"), F.col("type"), V.spoken(v, "$.message.content")
-    project = F.coalesce(F.first(F.nullif(project_from_cwd(cwd), F.lit("unknown")), ignorenulls=True).over(_so_far()), F.lit("unknown"))
+    project = F.coalesce(F.nullif(_old(e, "project", F.lit(None)), F.lit("unknown")), F.first(F.nullif(project_from_cwd(cwd), F.lit("unknown")), ignorenulls=True).over(_so_far()), F.lit("unknown"))
     now = V.moment(v, "$.timestamp")
-    e = _state(e, _stem(), project, cwd != "").withColumn("clock", _latest(F.nullif(now, F.lit(0).cast("long")), F.lit(0).cast("long")))
+    e = _state(e, _stem(), project, cwd != "").withColumn("clock", clock(e))
     e = e.withColumn("title", F.when(kind.isin("ai-title", "custom-title", "summary"), F.nullif(V.title(v, kind), F.lit(""))))
-    e = e.withColumn("once", F.row_number().over(W.partitionBy("key", "title").orderBy("line_no")) == 1)
+    e = _told(e, seen, title_mark(F.col("title")))
+    e = e.withColumn("once", (F.row_number().over(W.partitionBy("key", "title").orderBy("line_no")) == 1) & ~(F.col("told") & (F.col("line_no") > _old(e, "lines", F.lit(0)))))
     role, uuid = V.string(v, "$.message.role"), V.string(v, "$.uuid")
     title = F.when(
         F.col("title").isNotNull() & F.col("once"),
@@ -168,29 +212,41 @@ def parse_claude(rows: DataFrame) -> DataFrame:
         use = what == "tool_use"
         return (
             F.when(use & (name == "TodoWrite"), _record("todo", own, role, V.todo(p, "TodoWrite", "$.input"), now, i + 1))
-            .when(use & name.isin("Agent", "Task"), _record("call", own, role, F.lit("call"), now, i + 1, ref=own))
+            .when(is_call(p), _record("call", own, role, F.lit("call"), now, i + 1, ref=own))
             .when(use & (name == "Bash"), _record("tool", own, role, V.command(p, "$.input"), now, i + 1))
             .when((what == "tool_result") & ~async_start, _record("task", answers, "toolResult", V.tool_result(p, "task"), now, i + 1, ref=answers))
         )
 
-    parts = F.transform(F.coalesce(F.try_variant_get(v, "$.message.content", "array<variant>"), F.array().cast("array<variant>")), part)
+    parts = F.transform(parts_of(v), part)
     said = kind.isin("user", "assistant") & ~V.is_true(v, "$.isMeta")
     out = _emit(e, F.when(said, F.concat(parts, F.array(message))).otherwise(F.array(title)))
     called = F.min(F.when(F.col("kind") == "call", F.struct("at", "sub"))).over(W.partitionBy("key", "ref"))
-    out = out.withColumn("called", called)
-    return out.where((F.col("kind") != "call") & ((F.col("kind") != "task") | (F.col("called") < F.struct("at", "sub")))).drop("called", "ref")
+    out = _told(out.withColumn("called", called), seen, call_mark(F.col("ref")))
+    known = F.col("told") | F.coalesce(F.col("called") < F.struct("at", "sub"), F.lit(False))
+    return out.where((F.col("kind") != "call") & ((F.col("kind") != "task") | known)).drop("called", "ref", "told")
+
 
+def codex_said(v: Column) -> Column:
+    """What tells a message of codex from others, null for lines that are none."""
+    own, role, text = trim_space(V.string(v, "$.payload.id")), V.string(v, "$.payload.role"), V.spoken(v, "$.payload.content")
+    said = (V.string(v, "$.type") == "response_item") & (V.string(v, "$.payload.type") == "message") & indexable(role, text)
+    return F.when(said, F.when(own != "", own).otherwise(F.concat(F.lit("legacy-"), F.left(content_hash(text), F.lit(16)))))
 
-def parse_codex(rows: DataFrame) -> DataFrame:
+
+def said_mark(same: Column) -> Column:
+    return F.concat(F.lit("k:"), same)
+
+
+def parse_codex(rows: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Sessions with a ``session_meta`` line; messages are told apart by their id, or by their text where they have none."""
     e, v = entries(rows), F.col("v")
     head, own = F.col("type") == "session_meta", trim_space(V.string(v, "$.payload.id"))
     named = V.string(v, "$.payload.id")
-    e = _state(e, _latest(F.when(head, F.nullif(named, F.lit(""))), _stem()), _latest(F.when(head, project_from_cwd(V.string(v, "$.payload.cwd"))), "unknown"), head)
+    session = _latest(F.when(head, F.nullif(named, F.lit(""))), _old(e, "session", _stem()))
+    e = _state(e, session, _latest(F.when(head, project_from_cwd(V.string(v, "$.payload.cwd"))), _old(e, "project", F.lit("unknown"))), head)
     role, text, now = V.string(v, "$.payload.role"), V.spoken(v, "$.payload.content"), V.moment(v, "$.timestamp")
-    said = (F.col("type") == "response_item") & (V.string(v, "$.payload.type") == "message") & indexable(role, text)
-    same = F.when(said, F.when(own != "", own).otherwise(F.concat(F.lit("legacy-"), F.left(content_hash(text), F.lit(16)))))
-    e = e.withColumn("same", same).withColumn("once", F.row_number().over(W.partitionBy("key", "same").orderBy("line_no")) == 1)
+    e = _told(e.withColumn("same", codex_said(v)), seen, said_mark(F.col("same")))
+    e = e.withColumn("once", (F.row_number().over(W.partitionBy("key", "same").orderBy("line_no")) == 1) & ~F.col("told"))
     turn = F.when(own != "", own).otherwise(F.concat(F.lit("line-"), (F.col("line_no") - 1).cast("string")))
     record = F.when(head, _record("title", F.concat(named, F.lit("-session")), "system", V.title(v, "session", "$.payload"), now)).when(
         F.col("same").isNotNull() & F.col("once"), _record("message", turn, role, text, now)
@@ -219,16 +275,23 @@ def parse_turns(rows: DataFrame) -> DataFrame:
     return _emit(e.where("once"), F.array(_record("message", F.col("turn"), F.col("role"), F.col("said"), F.col("when")))).drop("ref")
 
 
+def grok_said(v: Column) -> tuple[Column, Column, Column]:
+    """(whether an update is kept, its role, its text)."""
+    u = "$.params.update"
+    what, text = V.string(v, f"{u}.sessionUpdate"), trim_space(V.string(v, f"{u}.content.text"))
+    role = F.when(what == "user_message_chunk", "user").when(what == "agent_message_chunk", "assistant").otherwise("")
+    return (V.string(v, "$.method") == "session/update") & ~text.startswith("<runtime_info>") & indexable(role, text), role, text
+
+
 def parse_grok(rows: DataFrame) -> DataFrame:
     """Session updates; the project is in the path, the session in the updates that are kept."""
-    u, m = "$.params.update", "$.params._meta"
+    m = "$.params._meta"
     e, v = entries(rows), F.col("v")
-    what, text = V.string(v, f"{u}.sessionUpdate"), trim_space(V.string(v, f"{u}.content.text"))
-    role = F.when(what == "user_message_chunk", "user").when(what == "agent_message_chunk", "assistant").otherwise("")
-    e = e.where((V.string(v, "$.method") == "session/update") & ~text.startswith("<runtime_info>") & indexable(role, text))
+    kept, role, text = grok_said(v)
+    e = e.where(kept)
     folder = F.coalesce(F.try_element_at(F.split("key", "/"), F.lit(-3)), F.lit(""))
     project = F.coalesce(project_from_cwd(F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))), F.lit("unknown"))
-    e = _state(e, _latest(F.nullif(V.string(v, "$.params.sessionId"), F.lit("")), _stem()), project, F.lit(False))
+    e = _state(e, _latest(F.nullif(V.string(v, "$.params.sessionId"), F.lit("")), _old(e, "session", _stem())), project, F.lit(False))
     event = V.string(v, f"{m}.eventId")
     turn = F.when(event != "", event).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))
     return _emit(e, F.array(_record("message", turn, role, text, V.moment(v, f"{m}.agentTimestampMs", "$.timestamp")))).drop("ref")
@@ -268,12 +331,17 @@ def parse_chat(rows: DataFrame) -> DataFrame:
     )
 
 
-def drop_restating(rows: DataFrame) -> DataFrame:
-    """Without the objects whose first user message opens with a restating prompt."""
-    user = (F.col("kind") == "message") & (F.col("author_id") == "user")
+def restates() -> tuple[Column, Column]:
+    """(whether a row is a user's message, whether it opens with a restating prompt)."""
     opens = F.lit(False)
     for p in RESTATING:
         opens = opens | trim_space(F.col("text")).startswith(p)
+    return (F.col("kind") == "message") & (F.col("author_id") == "user"), opens
+
+
+def drop_restating(rows: DataFrame) -> DataFrame:
+    """Without the objects whose first user message opens with a restating prompt."""
+    user, opens = restates()
     w = W.partitionBy("key").orderBy("at", "sub", "line_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     return rows.withColumn("_skip", F.coalesce(F.first(F.when(user, opens), ignorenulls=True).over(w), F.lit(False))).where("NOT _skip").drop("_skip")
 
@@ -283,10 +351,11 @@ def sources_of(objects: DataFrame) -> list[str]:
     return [r.source for r in identify(objects).select("source").distinct().collect()]  # eight at most
 
 
-def parse(objects: DataFrame, state: bool = True, sources: list[str] | None = None) -> DataFrame:
+def parse(objects: DataFrame, state: bool = True, sources: list[str] | None = None, seen: DataFrame | None = None, restating: bool = False) -> DataFrame:
     """Message rows of all recognised objects (key, content), with their place; without titles, todos, tasks and tools unless ``state``.
 
-    Objects of other than ``sources`` are passed over. Each parser that is needed reads the objects once.
+    Objects of other than ``sources`` are passed over. Each parser that is needed reads the objects once. With ``restating``, objects that open with a restating prompt stay.
+    ``seen`` (key, mark) is what earlier parts of the objects have had.
     """
     rows = lines(identify(objects))
     want = SOURCES if sources is None else sources
@@ -294,8 +363,9 @@ def parse(objects: DataFrame, state: bool = True, sources: list[str] | None = No
     out = None
     for f, names in parsers:
         if mine := [n for n in names if n in want]:
-            part = f(rows.where(F.col("source").isin(*mine)))
-            part = part if f is parse_chat else drop_restating(part)
+            own = rows.where(F.col("source").isin(*mine))
+            part = f(own, seen) if f in (parse_claude, parse_codex) else f(own)
+            part = part if f is parse_chat or restating else drop_restating(part)
             out = part if out is None else out.unionByName(part)
     out = parse_chat(rows.limit(0)) if out is None else out
     return out if state else out.where("kind = 'message'")

@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpline.sources.jsonl import CHATS, SOURCES, object_key
+from kelpline.sources.jsonl import CHATS, LARGEST, SOURCES, object_key
 
 CURSOR = "path string, offset long"
 
@@ -24,26 +25,50 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return found.select("path", object_key(root).alias("rel"), F.col("length").alias("size"), "content")
 
 
-def grown(found: DataFrame, cursor: DataFrame | None) -> DataFrame:
-    """Files whose size is not their cursor's offset: (path, rel, content, tail, offset).
+def _complete(path: str, rel: str, start: int, body: bytes) -> Iterator[pa.RecordBatch]:
+    end = body.rfind(b"\n") + 1
+    if end:
+        yield pa.record_batch([[path], [rel], [body[:end]], [start], [start + end]], names=["path", "rel", "content", "start", "offset"])
 
-    ``content`` is all complete lines, ``tail`` those after the old offset (all of them if the file shrank), and ``offset`` the new one, just
-    after the last new line. A last line without its end waits; a file without a new complete line gives no row.
+
+def grown(found: DataFrame, cursor: DataFrame | None, most: int = LARGEST, ranged: bool | None = None) -> DataFrame:
+    """Files whose size is not their cursor's offset: (path, rel, content, start, offset).
+
+    ``content`` is the complete lines from ``start`` on, which is the old offset or, if the file shrank, 0; ``offset`` is just after the last of them. At most ``most`` bytes are taken, the rest
+    waits for the next call, as does a last line without its end; a file without a new complete line gives no row, nor does one whose next line is longer than ``most``.
+    Of files on a file system of the executors' own only these bytes are read (``ranged``, else told by the path); others come whole through Spark's reader.
     """
     known = cursor if cursor is not None else found.sparkSession.createDataFrame([], CURSOR)
     moved = found.join(known.select("path", F.col("offset").alias("old")), "path", "left").withColumn("old", F.coalesce("old", F.lit(0)))
+    start = F.when(F.col("old") <= F.col("size"), F.col("old")).otherwise(0).cast("long").alias("start")
+    due = moved.where(F.col("size") != F.col("old"))
+    here = F.col("path").startswith("file:") if ranged is None else F.lit(ranged)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, rel, size, start in zip(*(c.to_pylist() for c in b.columns)):
+                with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+                    f.seek(start)
+                    yield from _complete(path, rel, start, f.read(min(size - start, most)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):  # an object at a time
-                path, rel, body, old = (b.column(c)[i].as_py() for c in range(4))
-                end = (body or b"").rfind(b"\n") + 1
-                start = old if old <= len(body or b"") else 0
-                if end > start:
-                    yield pa.record_batch([[path], [rel], [body[:end]], [body[start:end]], [end]], names=["path", "rel", "content", "tail", "offset"])
-
-    due = moved.where(F.col("size") != F.col("old")).select("path", "rel", "content", "old")
-    return due.mapInArrow(cut, "path string, rel string, content binary, tail binary, offset long")
+                path, rel, start, body = (b.column(c)[i].as_py() for c in range(4))
+                yield from _complete(path, rel, start, body or b"")
+
+    kind = "path string, rel string, content binary, start long, offset long"
+    parts = []
+    if ranged is not False:
+        parts.append(due.where(here).select("path", "rel", "size", start).mapInArrow(read, kind))
+    if ranged is not True:
+        parts.append(due.where(~here).select("path", "rel", start, F.substring("content", start.cast("int") + 1, F.lit(most)).alias("content")).mapInArrow(cut, kind))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def whole(found: DataFrame, upto: DataFrame) -> DataFrame:
+    """The files of ``upto`` (path, offset) from their beginning to their offset: (path, rel, content)."""
+    return found.join(upto.select("path", "offset"), "path").select("path", "rel", F.substring(F.col("content"), F.lit(1), F.col("offset").cast("int")).alias("content"))
 
 
 @dataclass(frozen=True)

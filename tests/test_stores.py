@@ -109,7 +109,7 @@ def test_sync_reads_what_is_complete(spark, tmp_path):
     assert sync(dry_run=True) == {"files": 1, "accepted": 0} and sync() == {"files": 1, "accepted": 1}
     assert e.store.read("cursor").first().offset == len(_line(1))
     path.write_text(_line(1) + _line(2))
-    tail = local.grown(local.files(spark, f"file://{tmp_path}/in"), e.store.read("cursor")).first().tail
+    tail = local.grown(local.files(spark, f"file://{tmp_path}/in"), e.store.read("cursor")).first().content
     assert bytes(tail).decode() == _line(2)
     assert sync() == {"files": 1, "accepted": 1} and sync() == {"files": 0, "accepted": 0}
     path.write_text(_line(3))  # shorter than the cursor
