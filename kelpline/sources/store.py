@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Deltas that a table may have; the next upsert merges them into one. ``optimize`` merges them into the base.
-MOST_DELTAS = 8
+MERGED = 8
 #: Tries of an upsert that others get ahead of, and versions whose plans are remembered.
 TRIES, KNOWN = 20, 64
 
@@ -40,12 +40,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 @dataclass(frozen=True)
 class Version:
-    """Number, folder of the base, folders of the deltas from old to new, and the column that tells rows apart."""
+    """Number, folder of the base, folders of the deltas from old to new, the column that tells rows apart, and how many upserts each delta holds."""
 
     n: int
     base: str
     deltas: tuple[str, ...] = ()
     key: str = "id"
+    counts: tuple[int, ...] = ()
+
+    def __post_init__(self):
+        if len(self.counts) != len(self.deltas):  # deltas that aren't merged, or an older log entry
+            object.__setattr__(self, "counts", (1,) * len(self.deltas))
+
+    def tail(self) -> int:
+        """How many of the last deltas are of one tier: hold a number of upserts between the same powers of ``MERGED``."""
+        tier = lambda n: 0 if n < MERGED else 1 + tier(n // MERGED)
+        same = 0
+        for c in reversed(self.counts):
+            if tier(c) != tier(self.counts[-1]):
+                break
+            same += 1
+        return same
 
 
 class Store:
@@ -74,7 +89,7 @@ class Store:
             v = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
         finally:
             f.close()
-        return Version(n, v["base"], tuple(v["deltas"]), v["key"])
+        return Version(n, v["base"], tuple(v["deltas"]), v["key"], tuple(v.get("counts", ())))
 
     def version(self, table: str) -> Version | None:
         """The newest version."""
@@ -82,7 +97,7 @@ class Store:
         return self._entry(table, found[-1]) if found else None
 
     def _commit(self, table: str, v: Version) -> int:
-        body = json.dumps({"base": v.base, "deltas": v.deltas, "key": v.key})
+        body = json.dumps({"base": v.base, "deltas": v.deltas, "key": v.key, "counts": v.counts})
         to, part = self._path(f"{self._log(table)}/{v.n:012d}"), self._path(f"{self._log(table)}/.{uuid.uuid4().hex}")
         self._fs.mkdirs(to.getParent())
         out = self._fs.create(part, False)
@@ -133,11 +148,14 @@ class Store:
         return self._frames[known]
 
     def since(self, table: str, version: int) -> DataFrame | None:
-        """The rows written after ``version``, newest of each key; None if the table has been rewritten since, or the version is gone."""
+        """The rows written after ``version``, newest of each key; None if the table has been rewritten since, or the version is gone.
+
+        Where a delta has been merged with older ones, rows of these come too, as they are now."""
         old, now = self._entry(table, version) if version in self._numbers(table) else None, self.version(table)
-        if old is None or now.base != old.base or now.deltas[: len(old.deltas)] != old.deltas:
+        if old is None or now.base != old.base:
             return None
-        added = now.deltas[len(old.deltas) :]
+        ends = [sum(now.counts[: i + 1]) for i in range(len(now.deltas))]
+        added = tuple(d for d, end in zip(now.deltas, ends) if end > sum(old.counts))
         return self._latest(table, Version(now.n, now.base, added, now.key)) if added else self._part(table, now.base).limit(0)
 
     def write(self, table: str, rows: DataFrame, key: str = "id", after: Version | None = None) -> int:
@@ -146,13 +164,14 @@ class Store:
         return self._commit(table, Version(before.n + 1 if before else 1, self._put(table, rows), (), key))
 
     def upsert(self, table: str, rows: DataFrame, key: str = "id") -> int:
-        """Put ``rows`` in place of those with their keys; of rows that repeat a key one is kept. Only they are written."""
-        name = self._put(table, rows if self._numbers(table) else rows.dropDuplicates([key]))
+        """Put ``rows`` in place of those with their keys; of rows that repeat a key one is kept. Only they are written, and once for each tier of deltas when ``MERGED`` of a tier are merged."""
+        name = self._put(table, rows.dropDuplicates([key]))
         for _ in range(TRIES):
             v = self.version(table)
-            new = Version(1, name, (), key) if v is None else Version(v.n + 1, v.base, (*v.deltas, name), key)
-            if len(new.deltas) > MOST_DELTAS:
-                new = Version(new.n, new.base, (self._put(table, self._latest(table, new)),), key)
+            new = Version(1, name, (), key) if v is None else Version(v.n + 1, v.base, (*v.deltas, name), key, (*v.counts, 1))
+            while (k := new.tail()) >= MERGED:
+                some = Version(new.n, new.base, new.deltas[-k:], key, new.counts[-k:])
+                new = Version(new.n, new.base, (*new.deltas[:-k], self._put(table, self._latest(table, some))), key, (*new.counts[:-k], sum(some.counts)))
             try:
                 return self._commit(table, new)
             except Conflict:

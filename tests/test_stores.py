@@ -3,6 +3,7 @@ import threading
 import time
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,6 +258,19 @@ def test_an_upsert_writes_its_own_rows_only(spark, tmp_path):
     assert store.read("t") is None
 
 
+def test_upserts_are_merged_by_tiers(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/w")
+    put = lambda i: store.upsert("t", spark.createDataFrame([(f"{i}-{j}", i) for j in range(10)] + [("same", i), ("same", i)], "id string, v int").coalesce(1))
+    at = [put(i) for i in range(1, 41)]
+    written = sum(pq.read_metadata(p).num_rows for p in (tmp_path / "w/t").rglob("*.parquet"))
+    assert written <= 2 * 40 * 11 and store.version("t").counts == (8, 8, 8, 8, 1, 1, 1, 1, 1, 1, 1)
+    assert store.read("t").count() == 401 and store.read("t").where("id = 'same'").collect() == [("same", 40)]
+    for n in (at[0], at[5], at[20], at[38]):  # at least what came after, as it is now
+        rows = {r.id: r.v for r in store.since("t", n).collect()}
+        assert {f"{i}-{j}" for i in range(n + 1, 41) for j in range(10)} <= set(rows) and rows["same"] == 40
+    assert store.since("t", at[39]).count() == 0
+
+
 def test_vector_index_is_built_used_and_dropped(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/v", hashed_vectors(8), 8)
     rows = [(f"i{i}", f"boat {i % 7} tide {i}", "crm", f"c{i % 5}", "h", i + 1) for i in range(200)]
