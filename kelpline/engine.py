@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions.text import content_hash
+from kelpline.operators import batch as M
 from kelpline.operators import containers as C
 from kelpline.operators import contextual as U
 from kelpline.operators import postings as I
@@ -80,10 +81,19 @@ class Engine:
 
     def _keywords(self, text: str, keep: Column, narrowed: bool) -> DataFrame:
         """BM25 scores of the chunks that ``keep`` holds for, by the index and the chunks written since; without an index by a scan."""
-        chunks, made = self._table("chunks"), self._only("index_stats")
+        found = self._postings()
+        if found is None:
+            return S.bm25(self._table("chunks"), text, keep=keep)
+        postings, n, total = found
+        hits = I.bm25(postings, n, total / max(n, 1), text)
+        return hits.join(self._table("chunks").where(keep).select("id"), "id", "left_semi") if narrowed else hits
+
+    def _postings(self) -> tuple[DataFrame, int, int] | None:
+        """The index's postings with those of the chunks written since, and the numbers of chunks and of their tokens; None without an index."""
+        made = self._only("index_stats")
         tail, added = self._since(made.chunks) if made else (None, 0)
         if tail is None:
-            return S.bm25(chunks, text, keep=keep)
+            return None
         n, total, postings = made.n, made.total, self.store.read("postings", made.postings)
         if added:
             ids = tail.select("id")
@@ -95,8 +105,7 @@ class Engine:
             more = self._known[key]
             n, total = n + more[0], total + more[1]
             postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail))
-        hits = I.bm25(postings, n, total / max(n, 1), text)
-        return hits.join(chunks.where(keep).select("id"), "id", "left_semi") if narrowed else hits
+        return postings, n, total
 
     def _near(self, vector: list[float], k: int, exact: bool, probes: int, refine: int, **filters: str) -> DataFrame:
         """(id, distance, score) of the nearest chunks: by the vector index, if there is one, and the chunks written since, else by a scan."""
@@ -146,6 +155,28 @@ class Engine:
         kept = S.collapse(narrow, U.LEAD_GAP, limit).select("rank")
         return found.withColumnRenamed("id", "matched_chunk_id").join(F.broadcast(kept), "rank").withColumn("id", F.coalesce(F.nullif("message_id", F.lit("")), "matched_chunk_id")).orderBy("rank")
 
+    def search_many(self, queries: DataFrame, limit: int = 5, **filters: str) -> DataFrame:
+        """``search`` for a table of queries (query_id, text, vector) in one job, over all vectors: (query_id, rank, id, score, matched_chunk_id, text, ...), at most ``limit`` messages for each.
+
+        A query with a text and a vector has both lists fused, one with neither finds nothing; vectors have to be of the engine's length.
+        """
+        chunks, keep, k = self._table("chunks"), P.eq_all(**filters), S.fetch_size(limit)
+        rows, found = chunks.where(keep), self._postings()
+        if found is None:
+            total = I.stats(chunks).first()
+            found = I.build(chunks), total.n, total.total
+        postings, n, tokens = found
+        words = M.bm25(postings, n, tokens / max(n, 1), queries, k, rows.select("id") if any(filters.values()) else None)
+        near = M.nearest(rows.select("id", "vector"), queries, k, self.dims).withColumn("score", 1 / (1 + F.col("distance")))
+        both = queries.where((F.size("vector") > 0) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("query_id")
+        fields = ("query_id", "id", "score", "rank")
+        alone = words.select(*fields).unionByName(near.select(*fields)).join(both, "query_id", "left_anti")
+        hits = alone.unionByName(M.fuse(2 * k, words.join(both, "query_id", "left_semi"), near.join(both, "query_id", "left_semi")).select(*fields))
+        found = rows.drop("vector").join(hits, "id")
+        narrow = found.select("query_id", "rank", "id", "message_id", "content_hash", F.concat_ws("/", "source", "container_id").alias("container_id"), "timestamp", F.col("source").isin(*jsonl.CHATS).alias("chat"))
+        kept = M.collapse(narrow, U.LEAD_GAP, limit).select("query_id", "rank")
+        return found.withColumnRenamed("id", "matched_chunk_id").join(kept, ["query_id", "rank"]).withColumn("id", F.coalesce(F.nullif("message_id", F.lit("")), "matched_chunk_id"))
+
     def walk(self, container_id: str, after_ts: int = 0, after_id: str = "", include: str = "", limit: int = 50, raw: str = "", **filters: str) -> DataFrame:
         """A page of a container; ``include`` names the kinds of rows: messages unless titles, todos, tasks or state.
 

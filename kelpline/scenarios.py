@@ -413,6 +413,30 @@ def engine_hybrid(s, d):
     return e.search(QUERY, VECTOR).select("id", F.round("score", 9).alias("score"))
 
 
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')"
+
+
+@query(rf"""WITH q AS (SELECT conv_id AS query_id, text, embedding FROM conversations JOIN embeddings ON vec_id = conv_id WHERE turn = 1),
+ c AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
+ tf AS (SELECT doc_id, t, count(*) AS f FROM (SELECT doc_id, unnest({_WORDS}) AS t FROM c) GROUP BY ALL), size AS (SELECT doc_id, len({_WORDS}) AS l FROM c),
+ whole AS (SELECT count(*) AS n, avg(l) AS a FROM size), df AS (SELECT t, count(*) AS d FROM tf GROUP BY t), qt AS (SELECT DISTINCT query_id, unnest({_WORDS}) AS t FROM q),
+ s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a))), 10) AS s FROM qt JOIN tf USING (t) JOIN df USING (t) JOIN size USING (doc_id), whole GROUP BY ALL),
+ v AS (SELECT query_id, doc_id, list_distance(q.embedding, c.embedding) AS x FROM q, c),
+ l AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM s QUALIFY rank <= 50 UNION ALL
+       SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY x, doc_id) AS rank FROM v QUALIFY rank <= 50),
+ f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 15) AS score FROM l GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f),
+ o AS (SELECT query_id, rank, doc_id, score FROM r JOIN c USING (doc_id) QUALIFY row_number() OVER (PARTITION BY query_id, text ORDER BY rank) = 1)
+ SELECT query_id, CAST(rank AS INTEGER) AS rank, {_ID} AS id, round(score, 9) AS score FROM o QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 5""")
+def batch_hybrid(s, d):
+    """One job for the first turns of all conversations, each with a vector."""
+    e, v = Engine(s, scratch(s, "engine"), dims=64), _table(s, d, "embeddings")
+    e.store.upsert("chunks", _chunks(_table(s, d, "documents"), v))
+    e.build_index()
+    asked = _table(s, d, "conversations").where("turn = 1").join(v, F.col("conv_id") == F.col("vec_id")).select(F.col("conv_id").alias("query_id"), "text", F.col("embedding").alias("vector"))
+    return e.search_many(asked).select("query_id", "rank", "id", F.round("score", 9).alias("score"))
+
+
 @query("SELECT l_orderkey || '-' || l_partkey AS id, count(*) AS copies, t AS name FROM lineitem, (VALUES ('messages'), ('chunks')) v(t) GROUP BY ALL HAVING count(*) > 1")
 def audit_duplicates(s, d):
     e = Engine(s, scratch(s, "engine"))
