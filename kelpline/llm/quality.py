@@ -3,8 +3,8 @@
 Method: every n-gram of the trusted texts up to ``ORDER`` is counted (tasks count before the shuffle), lower orders get continuation
 counts, discounts come from the counts of counts, and probabilities are built order by order by joining the
 count tables on n-gram digests. The model is written as digest-sharded, sorted tables to the shared folder; a scoring
-task joins a batch's n-grams with one group of shards at a time, and a group has ``KEEP_BYTES`` at most, so a task's memory
-is bounded. A document is rejected if its perplexity is above a quantile of the perplexities of trusted texts in its language; these are a tenth of the
+task joins a batch's n-grams of all orders with one group of shards after another, each read once for a batch, and there are as many shards as keep a group within
+``KEEP_BYTES``, so a task's memory is bounded. A document is rejected if its perplexity is above a quantile of the perplexities of trusted texts in its language; these are a tenth of the
 trusted documents, by hash of their id, that the model has not learned from, since texts it knows would set the bound too low.
 
 Defined cases: a null or empty text has no perplexity and is rejected; a language without trusted text, or null, is held against the quantile
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from kelpline.llm.common import bounded_batches, cut, fresh, shared_dir
 
 ORDER, SHARDS, KEEP_BYTES = 5, 16, 128 << 20
+#: Bytes of a model's row in memory, at most: a key, a value and a mark in tables that are a quarter full at least.
+ROW_BYTES = 4 * 13
 START = 1  # code of the padding before a text
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -131,8 +133,8 @@ def _bloom_filter(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def train(trusted: DataFrame) -> tuple[str, int] | None:
-    """Learn from ``trusted`` (text); (folder of the model, number of characters known), or None if there is no text.
+def train(trusted: DataFrame) -> tuple[str, int, int] | None:
+    """Learn from ``trusted`` (text); (folder of the model, number of characters known, number of its shards), or None if there is no text.
 
     Model rows: shard, kind (n for the log probability of a seen n-gram, ORDER + n for the log back-off weight of a context of n), g, v.
     """
@@ -171,9 +173,11 @@ def train(trusted: DataFrame) -> tuple[str, int] | None:
     model = parts[0]
     for p in parts[1:]:
         model = model.unionByName(p)
-    shard = F.pmod("g", F.lit(SHARDS)).cast("int")
-    model.select(shard.alias("shard"), F.col("kind").cast("byte").alias("kind"), "g", F.col("v").cast("float").alias("v")).repartition(SHARDS, "shard").sortWithinPartitions("shard", "kind", "g").write.partitionBy("shard").parquet(out)
-    return out, known
+    # a row for each n-gram and for each context, of which there are no more; shards are even, as digests are
+    shards = max(SHARDS, 3 * ROW_BYTES * sum(x["all"] for x in of.values()) // KEEP_BYTES)
+    shard = F.pmod("g", F.lit(shards)).cast("int")
+    model.select(shard.alias("shard"), F.col("kind").cast("byte").alias("kind"), "g", F.col("v").cast("float").alias("v")).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "g").write.partitionBy("shard").parquet(out)
+    return out, known, shards
 
 
 class _Table:
@@ -218,16 +222,18 @@ class _Table:
 class Model:
     """Looks n-grams up, one group of shards at a time; a model within ``KEEP_BYTES`` is one group and stays in memory."""
 
-    def __init__(self, folder: str, known: int):
+    def __init__(self, folder: str, known: int, shards: int = SHARDS):
         self.fs, self.root = pa.fs.FileSystem.from_uri(folder)
-        self.known = known
+        self.known, self.shards, self.loads = known, shards, 0
         found = self.fs.get_file_info(pa.fs.FileSelector(self.root, recursive=True))
-        files = [(int(f.path.rsplit("/shard=", 1)[1].split("/")[0]), f.path, f.size) for f in found if f.path.endswith(".parquet")]
-        self.groups = min(SHARDS, max(1, -(-sum(n for _, _, n in files) * 3 // KEEP_BYTES)))
-        self.files = [[p for i, p, _ in files if i % self.groups == k] for k in range(self.groups)]
+        files = [(int(f.path.rsplit("/shard=", 1)[1].split("/")[0]), f.path) for f in found if f.path.endswith(".parquet")]
+        rows = sum(pa.parquet.read_metadata(p, filesystem=self.fs).num_rows for _, p in files)
+        self.groups = -(-shards // min(shards, max(1, KEEP_BYTES * shards // max(1, rows * ROW_BYTES))))
+        self.files = [[p for i, p in files if i % self.groups == k] for k in range(self.groups)]
         self.resident = self._load(0) if self.groups == 1 else None
 
     def _load(self, group: int) -> dict[int, _Table]:
+        self.loads += 1
         tables = [pa.parquet.read_table(f, filesystem=self.fs, columns=["kind", "g", "v"], partitioning=None) for f in self.files[group]]
         if not tables:
             return {}
@@ -236,14 +242,22 @@ class Model:
         return {k: _Table(g[kind == k], v[kind == k]) for k in np.unique(kind).tolist()}
 
     def find(self, kind: int, g: np.ndarray) -> np.ndarray:
-        """Values of digests, NaN where there is none."""
-        signed = g.view(np.int64)
+        """Values of digests, NaN where there is none, of a model that is in memory."""
         out = np.full(len(g), np.nan, np.float32)
+        if kind in self.resident:
+            self.resident[kind].find(g.view(np.int64), out)
+        return out
+
+    def find_all(self, wanted: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+        """Values of digests of several kinds, NaN where there is none; each group of shards is read once."""
+        out = [np.full(len(g), np.nan, np.float32) for _, g in wanted]
         for i in range(self.groups):
-            at = None if self.groups == 1 else np.flatnonzero(signed % SHARDS % self.groups == i)
-            table = (self.resident or self._load(i)).get(kind)
-            if table is not None:
-                table.find(signed if at is None else signed[at], out, at)
+            tables = self._load(i)
+            for (kind, g), values in zip(wanted, out):
+                signed = g.view(np.int64)
+                at = np.flatnonzero(signed % self.shards % self.groups == i)
+                if kind in tables:
+                    tables[kind].find(signed[at], values, at)
         return out
 
     def log_probability(self, texts: list[str | None]) -> list[float | None]:
@@ -257,16 +271,22 @@ class Model:
             return np.concatenate(parts) if parts else np.array([], np.uint64)
 
         total = sum(sizes)
+        if not total:
+            return [None] * len(texts)
+        every: list[np.ndarray] = []
+        if self.resident is None:
+            levels = [(kind, level(size, shift)) for n in range(ORDER, 0, -1) for kind, size, shift in ((n, n, 0), (ORDER + n - 1, n - 1, 1))]
+            every = self.find_all(levels)
         score, weight = np.zeros(total), np.zeros(total)
         open_ = np.arange(total)  # characters whose probability isn't known yet
         for n in range(ORDER, 0, -1):
-            p = self.find(n, level(n, 0)[open_])
+            p = every[2 * (ORDER - n)][open_] if every else self.find(n, level(n, 0)[open_])
             got = ~np.isnan(p)
             score[open_[got]] = p[got]
             open_ = open_[~got]
             if not len(open_):
                 break
-            w = self.find(ORDER + n - 1, level(n - 1, 1)[open_])
+            w = every[2 * (ORDER - n) + 1][open_] if every else self.find(ORDER + n - 1, level(n - 1, 1)[open_])
             weight[open_] += np.where(np.isnan(w), 0.0, w)
         if len(open_):
             score[open_] = -np.log(self.known)

@@ -226,8 +226,7 @@ def test_toxicity_patterns_and_held_out_accuracy(spark):
 
 def test_quality_against_plain_kneser_ney(spark):
     texts = ["the cat sat on the mat", "a cat and a dog", "the dog sat", "on a mat a cat", "das Haus am See"] * 3
-    folder, known = quality.train(docs_of(spark, texts).select("text"))
-    model = quality.Model(folder, known)
+    model = quality.Model(*quality.train(docs_of(spark, texts).select("text")))
     n = quality.ORDER
     pad = ["\1" * (n - 1) + t for t in texts]
     grams = {k: Counter(p[i - k + 1 : i + 1] for p in pad for i in range(n - 1, len(p))) for k in range(1, n + 1)}
@@ -262,8 +261,7 @@ def test_quality_against_plain_kneser_ney(spark):
 
 
 def test_quality_tells_fifth_characters_by_four_before(spark):
-    folder, known = quality.train(docs_of(spark, ["abcde", "xbcdf"] * 20).select("text"))
-    seen, mixed = quality.Model(folder, known).log_probability(["abcde", "abcdf"])
+    seen, mixed = quality.Model(*quality.train(docs_of(spark, ["abcde", "xbcdf"] * 20).select("text"))).log_probability(["abcde", "abcdf"])
     assert seen > mixed + 1  # after bcd alone, e and f are as likely
 
 
@@ -521,3 +519,19 @@ def test_long_parts_are_not_remembered():
     ngram_join._hashed.clear()
     ngram_join.Signer(4).sign(["long" * 50 + " word"])
     assert list(ngram_join._hashed) == ["word"]
+
+
+def test_a_large_model_is_read_once_for_a_batch(spark, monkeypatch):
+    """Far above what a task may keep: as many shards as it takes, each group within the bound, and the same scores."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choices("abcdefghijklmnop é", k=200)) for _ in range(40)]
+    held = quality.Model(*quality.train(docs_of(spark, texts).select("text")))
+    monkeypatch.setattr(quality, "KEEP_BYTES", 60_000)
+    model = quality.Model(*quality.train(docs_of(spark, texts).select("text")))
+    assert held.groups == 1 and model.shards > quality.SHARDS and model.groups > 40
+    asked = [*texts[:5], "never seen", None, "", "a" * 50]
+    got, want = model.log_probability(asked), held.log_probability(asked)
+    assert model.loads == model.groups and model.log_probability([None, ""]) == [None, None] and model.loads == model.groups
+    assert [x is None for x in got] == [x is None for x in want] and np.allclose([x for x in got if x is not None], [x for x in want if x is not None])
+    size = lambda t: t.keys.nbytes + t.values.nbytes + t.used.nbytes
+    assert max(sum(map(size, model._load(i).values())) for i in range(model.groups)) <= 2 * quality.KEEP_BYTES  # tables of a few rows have room for sixteen
