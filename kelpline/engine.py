@@ -110,24 +110,25 @@ class Engine:
     def _near(self, vector: list[float], k: int, exact: bool, probes: int, refine: int, **filters: str) -> DataFrame:
         """(id, distance, score) of the nearest chunks: by the vector index, if there is one, and the chunks written since, else by a scan."""
         keep, made = P.eq_all(**filters), None if exact else self._only("vector_index")
+        made = made if made and "measures" in made else None  # an index of an older kind waits for its rebuild
         tail, added = self._since(made.chunks) if made else (None, 0)
         if tail is None:
             return S.vector_search(self._table("chunks").where(keep).select("id", "vector"), vector, k).select("id", "distance", "score")
         index = self.store.read("vector_codes", made.codes).where(keep)
         if added:
             index = index.join(tail.select("id"), "id", "left_anti")
-        near = Q.search(index, Q.Codebook.of(made.lists, made.parts), vector, k, probes, refine).select("id", "distance", "score")
+        near = Q.search(index, Q.Codebook.of(made.lists, made.parts, made.measures), vector, k, probes, refine).select("id", "distance", "score")
         if not added:
             return near
         late = S.vector_search(tail.where(keep).select("id", "vector"), vector, k).select("id", "distance", "score")
         return near.unionByName(late).orderBy("distance", "id").limit(k)
 
-    def search(self, text: str = "", vector: list[float] | None = None, limit: int = 5, embed: bool | None = None, exact: bool = False, probes: int = 1, refine: int = 4, **filters: str) -> DataFrame:
+    def search(self, text: str = "", vector: list[float] | None = None, limit: int = 5, embed: bool | None = None, exact: bool = False, probes: int = 0, refine: int = 4, **filters: str) -> DataFrame:
         """(rank, id, score, matched_chunk_id, text, ...) of at most ``limit`` messages.
 
         With a text and a vector, or with ``embed``, both lists are fused; ``embed=False`` drops the vector. A vector of
         another length is replaced by one of the text where there is an embedder, else it is an error. Indexes are used where the store has them;
-        ``exact`` passes the vector index by, ``probes`` and ``refine`` are its own.
+        ``exact`` passes the vector index by, ``probes`` and ``refine`` are its own; with no ``probes`` all its lists are searched that can hold a result.
         """
         text, limit = text.strip(), limit if limit > 0 else 5
         vector = None if embed is False else vector
@@ -443,16 +444,19 @@ class Engine:
         self.store.write("index_stats", I.stats(chunks).withColumns({"chunks": F.lit(of), "postings": F.lit(made)}))
 
     def create_vector_index(self, lists: int | None = None, parts: int | None = None, codes: int = 256) -> None:
-        """Build the quantised index of the chunks' vectors, or build it anew with the settings it had: one list and up to 96 parts unless told otherwise."""
+        """Build the quantised index of the chunks' vectors, or build it anew with the settings it had: unless told otherwise a list for each 1,000 chunks, 256 at most, and up to 96 parts."""
         had = self._only("vector_index")
-        lists = lists or (len(had.lists) if had else 1)
         parts = parts or (len(had.parts) if had else max(p for p in range(1, min(96, self.dims) + 1) if self.dims % p == 0))
         of = self.store.version("chunks").n
         chunks = self.store.read("chunks", of)
+        lists = lists or (len(had.lists) if had else min(256, 1 + chunks.count() // 1000))
         book = Q.train(chunks, self.dims, lists, parts, codes)
-        made = self.store.write("vector_codes", Q.encode(chunks.select("id", "vector", *_FILTERS), book).repartitionByRange("list", "id"))
-        row = [(book.lists.tolist(), book.parts.tolist(), of, made)]
-        self.store.write("vector_index", self.spark.createDataFrame(row, "lists array<array<double>>, parts array<array<array<double>>>, chunks int, codes int"))
+        coded = Q.encode(chunks.select("id", "vector", *_FILTERS), book)
+        made = self.store.write("vector_codes", coded.repartitionByRange("list", "radius", "id").sortWithinPartitions("list", "radius", "id"))
+        book = book.measured(self.store.read("vector_codes", made))
+        row = [(book.lists.tolist(), book.parts.tolist(), book.measures.tolist(), of, made)]
+        kind = "lists array<array<double>>, parts array<array<array<double>>>, measures array<array<double>>, chunks int, codes int"
+        self.store.write("vector_index", self.spark.createDataFrame(row, kind))
 
     def drop_vector_index(self) -> None:
         """Vector searches scan from then on. Without an index nothing happens."""

@@ -196,6 +196,29 @@ def test_quantised_search_is_exact_within_its_lists(spark):
     rows.unpersist()
 
 
+def test_bounds_spare_most_rows_of_clustered_vectors(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    points = (rng.normal(size=(40, 1, 32)) * 4 + rng.normal(size=(40, 250, 32))).reshape(-1, 32).astype(np.float32)
+    points[50:70] = points[50]  # copies are told apart by id
+    rows = spark.createDataFrame([(i, p.tolist(), i % 100) for i, p in enumerate(points)] + [(-1, None, 0), (-2, [float("nan")] * 32, 0)], "id long, vector array<float>, label int")
+    book = Q.train(rows, 32, lists=40, parts=16, codes=32)
+    Q.encode(rows, book).repartitionByRange(4, "list", "radius").sortWithinPartitions("list", "radius").write.parquet(str(tmp_path / "i"))
+    index, ranked = spark.read.parquet(str(tmp_path / "i")), []
+    book = book.measured(index)
+    assert book.measures[:, 0].sum() == 10_000
+    for q in [points[50], *(points[[700, 3333, 9001]] + 0.2), np.zeros(32, np.float32)]:
+        d = np.sqrt(((points - q).astype(np.float64) ** 2).sum(1))
+        exact = np.lexsort((np.arange(len(d)), d))
+        assert [r.id for r in Q.search(index, book, q.tolist(), 10, probes=0).collect()] == exact[:10].tolist()
+        ranked.append(Q.candidates(index, book, q.tolist(), 10, probes=0).count())
+        some = [i for i in exact if i % 100 == 7][:60]  # a filter: the near lists hold too few
+        assert [r.id for r in Q.search(index.where("label = 7"), book, q.tolist(), 60, probes=0).collect()] == some
+    assert max(ranked[:4]) < 0.2 * len(points), ranked
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    plan = Q.candidates(index, book, points[700].tolist(), 10, probes=0)._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(radius" in plan.split("PushedFilters")[1]  # row groups are skipped by it
+
 
 def test_an_index_gives_what_a_scan_does(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/i", hashed_vectors(4), 4)
