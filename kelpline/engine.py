@@ -27,8 +27,6 @@ from kelpline.sources.store import Store
 Embedder = Callable[[list[str]], list[list[float]]]
 PARSER_VERSION = "1"
 QUERY_RUNES = 2000
-#: Groups of objects that are tried apart when a poll's job fails, and characters of an error that are kept.
-PARTS, ERROR = 64, 500
 #: Columns that a vector index has beside the vectors, so that filters reach its scan.
 _FILTERS = ("source", "host", "container_id", "container_kind", "project", "author_id", "kind", "message_id")
 _META = ("source", "host", "container_id", "container_kind", "container_title", "project", "author_id", "author_name", "kind", "reply_to", "attrs")
@@ -219,29 +217,52 @@ class Engine:
 
     # Writing
 
-    def _write(self, units: DataFrame, key: str) -> int:
-        """Embed and store units not seen before; how many there were. Repeated ids keep their last place."""
-        state = self.store.read("dedup")
+    def _fresh(self, units: DataFrame, key: str) -> DataFrame:
+        """Units not seen before. Repeated ids keep their last place."""
         place = [F.desc(c) for c in jsonl.PLACE]
         one = units.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(*place))).where("_n = 1").drop("_n")
-        new = U.pending(one, state, key).persist(StorageLevel.MEMORY_AND_DISK)
+        return U.pending(one, self.store.read("dedup"), key)
+
+    def _flush(self, new: DataFrame, chunks: DataFrame) -> None:
+        self.store.flush(new.select(*jsonl.COLUMNS), chunks.drop(*jsonl.PLACE), new.select("dedup_key", "content_hash"))
+
+    def _write(self, units: DataFrame, key: str) -> int:
+        """Embed and store units not seen before; how many there were."""
+        new = self._fresh(units, key).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n = new.count()
             if n:
                 chunks = U.chunks(new)
                 if self.embedder:
                     chunks = U.embed(chunks, self.embedder, self.dims, prefix=self.doc_prefix)
-                self.store.flush(new.select(*jsonl.COLUMNS), chunks.drop(*jsonl.PLACE), new.select("dedup_key", "content_hash"))
+                self._flush(new, chunks)
             return n
         finally:
             new.unpersist()
 
+    def _write_apart(self, units: DataFrame, part: str) -> tuple[int, DataFrame]:
+        """Like ``_write``, but an object with a text that can't be embedded is left out whole: units stored, and (key, error) of such objects.
+
+        What was embedded is written below ``part`` before anything is stored, so that a lost executor can't turn a vector into an error.
+        """
+        new = self._written(self._fresh(units, "|unit"), part)
+        chunks = U.chunks(new)
+        chunks = U.embed_apart(chunks, self.embedder, self.dims, prefix=self.doc_prefix) if self.embedder else chunks.withColumn("error", F.lit(None).cast("string"))
+        chunks = self._written(chunks, part)
+        failed = self._written(chunks.where("error IS NOT NULL").groupBy("key").agg(F.min("error").alias("error")), part)
+        if not failed.isEmpty():
+            new, chunks = (x.join(failed.select("key"), "key", "left_anti") for x in (new, chunks))
+        n = new.count()
+        if n:
+            self._flush(new, chunks.drop("error"))
+        return n, failed
+
     def ingest_objects(self, objects: DataFrame) -> int:
         """Parse, contextualise and store raw objects (key, content); what was seen with the same unit is left out."""
         return self._write(U.units(jsonl.parse(objects, sources=jsonl.sources_of(objects))), "|unit")
 
     def poll(self, objects: DataFrame, now: int | None = None) -> dict[str, int]:
-        """Ingest the objects (key, etag, size, content) that are due, and keep their registry."""
+        """Ingest the objects (key, etag, size, content) that are due, and keep their registry. An object with a text that can't be embedded fails alone, and waits."""
         now = int(time.time()) if now is None else now
         registry = self.store.read("registry")
         if registry is None:
@@ -256,43 +277,24 @@ class Engine:
         running = self._table("registry").where((F.col("status") == "processing") & (F.col("updated_at") == now)).persist(StorageLevel.MEMORY_AND_DISK)
         todo = listed.join(running.select("key"), "key", "left_semi").select("key", "size", "content")
         rows = jsonl.parse(todo, sources=jsonl.sources_of(running)).persist(StorageLevel.MEMORY_AND_DISK)
+        part = f"{self.store.root}/_poll-{uuid.uuid4().hex}"
         try:
             n = running.count()
-            written, bad = self._index_rows(rows)
-            failed = jsonl.failures(todo)
-            if bad:
-                told = self.spark.createDataFrame(list(bad.items()), "part long, error string").join(running.select("key", self._part().alias("part")), "part")
-                failed = failed.unionByName(told.select("key", "error")).groupBy("key").agg(F.min("error").alias("error"))
+            written, left_out = self._write_apart(U.units(rows), part)
+            failed = jsonl.failures(todo).unionByName(left_out).groupBy("key").agg(F.min("error").alias("error"))
             containers = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.nullif("container_id", F.lit("")))).alias("container_ids"))
             done = running.drop("error", "container_ids").join(failed, "key", "left").join(containers, "key", "left").withColumns({
                 "status": F.when(F.col("error").isNull(), "indexed").otherwise("failed"), "error": F.coalesce("error", F.lit("")), "container_ids": F.coalesce("container_ids", F.array().cast("array<string>")),
             })
             self.store.upsert("registry", done, "key")
             return {"due": n, "written": written}
+        except Exception as e:  # of the job, not of one object: all wait as failed ones do
+            self.store.upsert("registry", running.withColumns({"status": F.lit("failed"), "error": F.lit(str(e)[: U.ERROR])}), "key")
+            raise
         finally:
             rows.unpersist()
             running.unpersist()
-
-    @staticmethod
-    def _part() -> Column:
-        return F.pmod(F.xxhash64("key"), F.lit(PARTS))
-
-    def _index_rows(self, rows: DataFrame) -> tuple[int, dict[int, str]]:
-        """Store the rows of objects in one job; if it fails, in up to ``PARTS`` parts: rows written, and the errors of the parts that failed again."""
-        try:
-            return self._write(U.units(rows), "|unit"), {}
-        except Exception as e:
-            first = str(e)
-        parts = [r[0] for r in rows.select(self._part()).distinct().collect()]  # PARTS at most
-        if len(parts) == 1:
-            return 0, {parts[0]: first[:ERROR]}
-        written, bad = 0, {}
-        for i in parts:
-            try:
-                written += self._write(U.units(rows.where(self._part() == i)), "|unit")
-            except Exception as e:
-                bad[i] = str(e)[:ERROR]
-        return written, bad
+            self.store.drop(part.rsplit("/", 1)[1])
 
     def run(self, root: str, interval: float = 30.0, rounds: int = 0) -> None:
         """Poll the raw objects under ``root`` again and again, ``rounds`` times or for good. A poll that fails is told and tried again."""

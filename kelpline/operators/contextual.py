@@ -24,6 +24,8 @@ HARNESSES = {"claude": "Claude Code", "codex": "Codex", "pi": "Pi", "omp": "OMP"
 X_KINDS = {"dm": "DM", "group": "group"}
 TELEGRAM_KINDS = {"dm": "direct chat", "group": "group", "channel": "channel", "topic": "group topic"}
 
+#: Characters of an error that are kept.
+ERROR = 500
 _PLACE = ("at", "sub", "line_no")
 #: Control characters with a letter of their own, all others by number.
 ESCAPES = [(chr(i), "\\" + name) for i, name in zip(range(7, 14), "abtnvfr")] + [(chr(i), f"\\x{i:02x}") for i in (*range(7), *range(14, 32), 127)]
@@ -221,12 +223,34 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], d
 
     def run(column: pa.Array) -> pa.Array:
         texts = [prefix + (t or "") for t in column.to_pylist()]
-        found: list[list[float]] = []
-        for i in range(0, len(texts), batch):
-            part = embedder(texts[i : i + batch])
-            if len(part) != len(texts[i : i + batch]) or any(len(v) != dims for v in part):
-                raise ValueError(f"the embedder must give one vector of {dims} numbers for each text")
-            found += part
-        return pa.array(found, pa.list_(pa.float32()))
+        return pa.array([v for i in range(0, len(texts), batch) for v in _embedded(texts[i : i + batch], embedder, dims)], pa.list_(pa.float32()))
 
     return rows.withColumn("vector", F.arrow_udf(run, "array<float>")(clip_chars(F.col(text), clip)))
+
+
+def embed_apart(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dims: int = 384, batch: int = 32, prefix: str = "", text: str = "text", clip: int = 0) -> DataFrame:
+    """``embed``, but a text that can't be embedded fails alone: ``vector`` is null then and ``error``, null else, says why. A batch that fails is halved until the texts to blame are found."""
+
+    def each(texts: list[str]) -> list[dict]:
+        try:
+            return [{"vector": v, "error": None} for v in _embedded(texts, embedder, dims)]
+        except Exception as e:
+            if len(texts) == 1:
+                return [{"vector": None, "error": str(e)[:ERROR] or type(e).__name__}]
+        half = len(texts) // 2
+        return each(texts[:half]) + each(texts[half:])
+
+    def run(column: pa.Array) -> pa.Array:
+        texts = [prefix + (t or "") for t in column.to_pylist()]
+        found = [v for i in range(0, len(texts), batch) for v in each(texts[i : i + batch])]
+        return pa.array(found, pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())]))
+
+    made = rows.withColumn("_v", F.arrow_udf(run, "vector array<float>, error string")(clip_chars(F.col(text), clip)))
+    return made.withColumns({"vector": F.col("_v.vector"), "error": F.col("_v.error")}).drop("_v")
+
+
+def _embedded(texts: list[str], embedder: Callable[[list[str]], list[list[float]]], dims: int) -> list[list[float]]:
+    found = embedder(texts)
+    if len(found) != len(texts) or any(len(v) != dims for v in found):
+        raise ValueError(f"the embedder must give one vector of {dims} numbers for each text")
+    return found

@@ -44,13 +44,13 @@ def object_key(root: str, path: str = "path") -> Column:
 def listed(spark: SparkSession, root: str, keys: list[str] | None = None) -> DataFrame:
     """(key, etag, size, content) of the recognised objects under ``root``, or of those named, sorted by key; content is read only where it is used.
 
-    The etag is made of a file's time and size. Objects that are too large have null content and are never read. A missing root has none.
+    The etag is made of a file's time and size. Objects that are too large have null content and are never read. A missing root has none, and one that goes after the listing is passed over.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     empty = spark.createDataFrame([], "key string, etag string, size long, content binary")
     if keys is not None and not keys or not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return empty
-    files = spark.read.format("binaryFile")
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
     if keys is None:
         files = files.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[jJ][sS][oO][nN][lL]").load(root)
     else:

@@ -227,6 +227,42 @@ def test_an_object_that_fails_is_marked_and_waits(spark, tmp_path):
     assert state()[bad].status == "indexed" and state()[bad].error == "" and e.search("tide").count() == 1
 
 
+def test_one_bad_object_among_a_thousand_fails_alone(spark, tmp_path):
+    bodies = {f"h/pi/{i}.jsonl": [{"type": "session", "id": f"s{i}"}, _said("user", f"boats {i} of the harbour", type="message", id="u")] for i in range(1000)}
+    bad = "h/pi/417.jsonl"
+    bodies[bad].append(_said("user", "a poisoned text stands here", type="message", id="w"))
+    calls, good = spark.sparkContext.accumulator(0), U.hashed_vectors(4)
+
+    def picky(texts):
+        calls.add(1)
+        if any("poisoned" in t for t in texts):
+            raise RuntimeError("no vector")
+        return good(texts)
+
+    e = Engine(spark, f"file://{tmp_path}/s", picky, 4)
+    assert e.poll(_objects(spark, bodies), now=NOON) == {"due": 1000, "written": 999}
+    state = {r.key: r for r in e.store.read("registry").collect()}
+    assert [k for k, r in state.items() if r.status != "indexed"] == [bad] and state[bad].error == "no vector"
+    assert e.store.read("chunks").where("vector IS NULL OR size(vector) <> 4").isEmpty() and e.store.read("chunks").where("container_id = 's417'").isEmpty()  # not the object's good text either
+    assert calls.value < 200  # batches, not texts
+    rows = spark.createDataFrame([("a",), (None,), ("poisoned",)], "text string")
+    got = [(r.vector is None, r.error) for r in U.embed_apart(rows.coalesce(1), picky, 4, batch=3).collect()]
+    assert got == [(False, None), (False, None), (True, "no vector")] and U.embed_apart(rows, good, 5).where("error LIKE '%vector of 5 numbers%'").count() == 3
+
+
+def test_a_job_that_fails_marks_its_objects(spark, tmp_path, monkeypatch):
+    e = Engine(spark, f"file://{tmp_path}/s", U.hashed_vectors(4), 4)
+    some = _objects(spark, {k: v for k, v in OBJECTS.items() if k.startswith("h/codex")})
+    with monkeypatch.context() as m:
+        m.setattr(e.store, "flush", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            e.poll(some, now=NOON)
+    row = e.store.read("registry").first()
+    assert (row.status, row.error, row.attempts) == ("failed", "division by zero", 1)
+    assert e.poll(some, now=NOON + 20)["due"] == 0 and e.poll(some, now=NOON + 31) == {"due": 1, "written": 1}
+    assert not [p for p in (tmp_path / "s").iterdir() if p.name.startswith("_poll")]
+
+
 def test_unknown_fields_are_refused(spark, tmp_path):
     e = Engine(spark, f"file://{tmp_path}/s", None, 4)
     with pytest.raises(ValueError, match="unknown fields: colour"):
