@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.functions import stems
 from kelpline.functions import text as X
 from kelpline.operators import containers as C
 from kelpline.operators import ivf as V
@@ -290,6 +291,35 @@ def bm25_indexed(s, d):
     return hits.orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
+def _stem_sql(word: str, source: str) -> str:
+    """``source`` with ``word`` stemmed: a subquery for each step of the rules."""
+    sql = f"SELECT *, regexp_replace({word}, '([aeiouy])y', '\\1Y', 'g') AS w_ FROM {source}"
+    for rules in stems.STEPS:
+        cases = " ".join(f"WHEN regexp_matches(w_, '{find}') THEN CASE WHEN {' AND '.join(f"regexp_matches(w_, '{h}')" for h in holds) or 'true'} THEN regexp_replace(w_, '{cut}', '{to}') ELSE w_ END" for find, holds, cut, to in rules)
+        sql = f"SELECT * REPLACE (CASE {cases} ELSE w_ END AS w_) FROM ({sql})"
+    fixed = " ".join(f"WHEN {word} = '{w}' THEN '{t}'" for w, t in stems.FIXED.items())
+    return f"SELECT * EXCLUDE (w_) REPLACE (CASE WHEN length({word}) < 3 THEN {word} {fixed} ELSE lower(w_) END AS {word}) FROM ({sql})"
+
+
+ENGLISH = "the standing of letters written"
+_ENGLISH_TERMS = f"(SELECT doc_id, list_filter(t, lambda x: x NOT IN {stems.STOP}) AS t FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
+_ENGLISH_TF = f"(SELECT doc_id, len, term, count(*) AS tf FROM ({_stem_sql('term', f'(SELECT doc_id, len(t) AS len, unnest(t) AS term FROM {_ENGLISH_TERMS})')}) GROUP BY ALL)"
+
+
+@query(f"""WITH p AS MATERIALIZED (SELECT * FROM {_ENGLISH_TF} WHERE term IN ('stand', 'letter', 'written')), d AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {_ENGLISH_TERMS})
+ SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM p JOIN d USING (term), s GROUP BY doc_id""")
+def bm25_english(s, d):
+    """All matches by stems, stop words aside."""
+    docs = _table(s, d, "documents")
+    n, total = I.stats(docs, english=True).first()
+    return I.bm25(I.build(docs, "doc_id", english=True), n, total / n, ENGLISH, english=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM {_ENGLISH_TF} GROUP BY term")
+def stems_counts(s, d):
+    return I.build(_table(s, d, "documents"), "doc_id", english=True).groupBy("term").agg(F.sum("tf").alias("n"))
+
+
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def postings_counts(s, d):
     return I.build(_table(s, d, "documents"), "doc_id").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))

@@ -34,9 +34,13 @@ RECORD = "id string, text string, " + ", ".join(f"{c} string" for c in _META) +
 
 
 class Engine:
-    """``embedder`` gives vectors of ``dims`` numbers; without one, records and queries bring their own. Prefixes go before the texts it is given."""
+    """``embedder`` gives vectors of ``dims`` numbers; without one, records and queries bring their own. Prefixes go before the texts it is given.
 
-    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, dims: int = 384, query_prefix: str = "", doc_prefix: str = ""):
+    ``english``: words are stems and stop words don't count, in the keyword index and in queries; an index that was made otherwise isn't used.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, embedder: Embedder | None = None, dims: int = 384, query_prefix: str = "", doc_prefix: str = "", english: bool = False):
+        self.english = english
         self.spark, self.store, self.embedder, self.dims = spark, Store(spark, root), embedder, dims
         self.query_prefix, self.doc_prefix = query_prefix, doc_prefix
         self._known: dict[tuple, object] = {}  # one-row tables and counts of versions seen
@@ -80,15 +84,22 @@ class Engine:
     def _keywords(self, text: str, keep: Column, narrowed: bool) -> DataFrame:
         """BM25 scores of the chunks that ``keep`` holds for, by the index and the chunks written since; without an index by a scan."""
         found = self._postings()
-        if found is None:
+        if found is None and not self.english:
             return S.bm25(self._table("chunks"), text, keep=keep)
-        postings, n, total = found
-        hits = I.bm25(postings, n, total / max(n, 1), text)
+        postings, n, total = found or self._unindexed()
+        hits = I.bm25(postings, n, total / max(n, 1), text, self.english)
         return hits.join(self._table("chunks").where(keep).select("id"), "id", "left_semi") if narrowed else hits
 
+    def _unindexed(self) -> tuple[DataFrame, int, int]:
+        chunks = self._table("chunks")
+        total = I.stats(chunks, english=self.english).first()
+        return I.build(chunks, english=self.english), total.n, total.total
+
     def _postings(self) -> tuple[DataFrame, int, int] | None:
         """The index's postings with those of the chunks written since, and the numbers of chunks and of their tokens; None without an index."""
         made = self._only("index_stats")
+        if made and ("english" in made and made.english) != self.english:
+            return None
         tail, added = self._since(made.chunks) if made else (None, 0)
         if tail is None:
             return None
@@ -97,12 +108,12 @@ class Engine:
             ids = tail.select("id")
             key = ("tokens", made.chunks, self.store.version("chunks"))
             if key not in self._known:
-                old = I.stats(self.store.read("chunks", made.chunks).join(ids, "id", "left_semi")).first()
-                new = I.stats(tail).first()
+                old = I.stats(self.store.read("chunks", made.chunks).join(ids, "id", "left_semi"), english=self.english).first()
+                new = I.stats(tail, english=self.english).first()
                 self._known[key] = new.n - old.n, new.total - old.total
             more = self._known[key]
             n, total = n + more[0], total + more[1]
-            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail))
+            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail, english=self.english))
         return postings, n, total
 
     def _near(self, vector: list[float], k: int, exact: bool, probes: int, refine: int, **filters: str) -> DataFrame:
@@ -160,12 +171,9 @@ class Engine:
         A query with a text and a vector has both lists fused, one with neither finds nothing; vectors have to be of the engine's length.
         """
         chunks, keep, k = self._table("chunks"), P.eq_all(**filters), S.fetch_size(limit)
-        rows, found = chunks.where(keep), self._postings()
-        if found is None:
-            total = I.stats(chunks).first()
-            found = I.build(chunks), total.n, total.total
-        postings, n, tokens = found
-        words = M.bm25(postings, n, tokens / max(n, 1), queries, k, rows.select("id") if any(filters.values()) else None)
+        rows = chunks.where(keep)
+        postings, n, tokens = self._postings() or self._unindexed()
+        words = M.bm25(postings, n, tokens / max(n, 1), queries, k, rows.select("id") if any(filters.values()) else None, self.english)
         near = M.nearest(rows.select("id", "vector"), queries, k, self.dims).withColumn("score", 1 / (1 + F.col("distance")))
         both = queries.where((F.size("vector") > 0) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("query_id")
         fields = ("query_id", "id", "score", "rank")
@@ -442,8 +450,8 @@ class Engine:
         """Index the chunks' words. Searches use it from then on, beside the chunks written since. The statistics name the versions they are of and come last."""
         of = self.store.version("chunks").n
         chunks = self.store.read("chunks", of)
-        made = self.store.write("postings", I.build(chunks))
-        self.store.write("index_stats", I.stats(chunks).withColumns({"chunks": F.lit(of), "postings": F.lit(made)}))
+        made = self.store.write("postings", I.build(chunks, english=self.english))
+        self.store.write("index_stats", I.stats(chunks, english=self.english).withColumns({"chunks": F.lit(of), "postings": F.lit(made), "english": F.lit(self.english)}))
 
     def create_vector_index(self, lists: int | None = None, parts: int | None = None, codes: int = 256) -> None:
         """Build the quantised index of the chunks' vectors, or build it anew with the settings it had: unless told otherwise a list for each 1,000 chunks, 256 at most, and up to 96 parts."""

@@ -2,33 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kelpline.functions import stems
 from kelpline.functions.text import tokens
 from kelpline.operators.search import B, K1, query_terms
 
 
-def build(rows: DataFrame, id: str = "id", text: str = "text", files: int | None = None) -> DataFrame:
+def words(text: Column, english: bool = False) -> Column:
+    """A text's tokens, without stop words for ``english``; a null text has none."""
+    found = tokens(F.coalesce(text, F.lit("")))
+    return F.filter(found, lambda t: ~t.isin(*stems.STOP)) if english else found
+
+
+def terms_of(spark: SparkSession, query: str, english: bool = False) -> list[str]:
+    """A query's distinct terms, by the rules of the postings'."""
+    terms = sorted(set(query_terms(query)))
+    if not english:
+        return terms
+    left = spark.createDataFrame([(t,) for t in terms if t not in stems.STOP], "term string")
+    return sorted({r.term for r in left.select(stems.stem(F.col("term")).alias("term")).collect()})  # a query's words
+
+
+def build(rows: DataFrame, id: str = "id", text: str = "text", files: int | None = None, english: bool = False) -> DataFrame:
     """(term, id, tf, len), sorted within each partition. Ranges cut a frequent term's postings by id, so no task holds it whole.
 
-    Null texts have no terms; rows that repeat an id count as one text.
+    Null texts have no terms; rows that repeat an id count as one text. For ``english``, terms are stems and stop words are left out, of the lengths too.
     """
-    each = rows.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    each = rows.select(F.col(id).alias("id"), words(F.col(text), english).alias("t"))
     terms = each.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    terms = terms.withColumn("term", stems.stem(F.col("term"))) if english else terms
     counted = terms.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
     ranged = counted.repartitionByRange(files, "term", "id") if files else counted.repartitionByRange("term", "id")
     return ranged.sortWithinPartitions("term", "id")
 
 
-def stats(rows: DataFrame, text: str = "text") -> DataFrame:
+def stats(rows: DataFrame, text: str = "text", english: bool = False) -> DataFrame:
     """One row (n, total): rows and their number of tokens, a null text having none."""
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).cast("long")), F.lit(0).cast("long")).alias("total"))
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(words(F.col(text), english)).cast("long")), F.lit(0).cast("long")).alias("total"))
 
 
-def bm25(postings: DataFrame, n: int, avg: float, query: str) -> DataFrame:
-    """(id, score) of the rows that hold a term of the query; scores are those of a scan of all rows."""
-    terms = sorted(set(query_terms(query)))
+def bm25(postings: DataFrame, n: int, avg: float, query: str, english: bool = False) -> DataFrame:
+    """(id, score) of the rows that hold a term of the query; scores are those of a scan of all rows. ``english`` as in ``build``."""
+    terms = terms_of(postings.sparkSession, query, english)
     mine = postings.where(F.col("term").isin(terms))
     counts = mine.groupBy("term").agg(F.count("*").alias("df"))  # a row for each query term
     idf, tf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.col("tf").cast("double")

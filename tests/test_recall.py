@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from kelpline import catalogue
+from kelpline.functions import stems
 from kelpline.functions import text as X
 from kelpline.operators import containers as C
 from kelpline.operators import ivf as V
+from kelpline.operators import postings as I
 from kelpline.operators import search as S
 from kelpline.plans import predicates as P
 
@@ -93,6 +95,24 @@ def test_query_terms_are_those_of_texts(spark):
     assert S.query_terms(text) == df.first().t
 
 
+#: Published pairs of the stemmer's description and sample vocabulary.
+STEMS = """consign consign consigned consign consigning consign consignment consign consist consist consisted consist consistency consist consistent consist consistently consist consisting consist consists consist
+consolation consol consolations consol consolatory consolatori console consol consoled consol consoles consol consolidate consolid consolidated consolid consolidating consolid consoling consol consolingly consol
+consonant conson consort consort consorted consort conspicuous conspicu conspicuously conspicu conspiracy conspiraci conspirator conspir conspirators conspir constable constabl constancy constanc constant constant
+knack knack knackeries knackeri knavish knavish kneaded knead kneading knead knee knee kneel kneel kneeled kneel kneeling kneel knew knew knick knick knif knif knife knife knight knight knightly knight knights knight
+knit knit knits knit knitted knit knitting knit knives knive knob knob knobs knob knock knock knocked knock knocker knocker knockers knocker knocking knock knopp knopp knots knot
+caresses caress ponies poni ties tie cries cri gas gas this this gaps gap kiwis kiwi luxuriated luxuri hopping hop hoping hope cry cri by by say say dying die news news inning inning proceed proceed
+generate generat general general communism communism arsenal arsenal rational ration adoption adopt controlling control beautiful beauti yes yes rate rate sky sky agreed agre feed feed""".split()
+
+
+def test_stems_are_the_published_ones(spark):
+    want = dict(zip(STEMS[::2], STEMS[1::2]))
+    rows = spark.createDataFrame([(w,) for w in want], "word string")
+    got = dict(map(tuple, rows.select("word", stems.stem(F.col("word"))).collect()))
+    assert {w: s for w, s in got.items() if s != want[w]} == {}
+    assert I.terms_of(spark, "The standing of ships, and THE ship", True) == ["ship", "stand"] and I.terms_of(spark, "of the", True) == []
+
+
 def test_timestamps_and_trims(spark):
     df = spark.createDataFrame([("1700000000000",), ("1700000000",), ("2023-11-14T22:13:20Z",), ("2023-11-14",), (None,)], "v string")
     assert [r[0] for r in df.select(X.raw_timestamp(F.col("v"))).collect()] == [1700000000, 1700000000, 1700000000, 0, 0]

@@ -315,6 +315,23 @@ def test_vector_index_is_built_used_and_dropped(spark, tmp_path):
     e.warm()
 
 
+def test_english_words_are_found_by_their_stems(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/v", hashed_vectors(8), 8, english=True)
+    rows = [("a", "the ships were sailing", "crm", "c1", "h", 1), ("b", "a sailor of the shipment", "crm", "c2", "h", 2), ("c", "of the and", "crm", "c3", "h", 3)]
+    e.ingest(spark.createDataFrame(rows, ROW))
+    found = lambda q: [(r.id, round(r.score, 6)) for r in e.search(q, embed=False).collect()]
+    scan = found("The sails of a ship"), found("of the")
+    assert [i for i, _ in scan[0]] == ["a"] and scan[1] == []
+    e.build_index()
+    assert (found("The sails of a ship"), found("of the")) == scan
+    asked = spark.createDataFrame([("q", "The sails of a ship", None)], "query_id string, text string, vector array<float>")
+    assert [(r.id, round(r.score, 6)) for r in e.search_many(asked).collect()] == scan[0]
+    e.ingest(spark.createDataFrame([("late", "shipping sails", "crm", "c9", "h", 9)], ROW))
+    assert {i for i, _ in found("ship")} == {"a", "late"}
+    plain = Engine(spark, f"file://{tmp_path}/v", None, 8)  # does not use that index
+    assert [r.id for r in plain.search("ship", embed=False).collect()] == [] and {r.id for r in plain.search("of", embed=False).collect()} >= {"b", "c"}
+
+
 def test_callers_of_this_host():
     assert Fed.from_this_host("127.0.0.1:80") and Fed.from_this_host("[::1]:80") and Fed.from_this_host("nowhere") and Fed.from_this_host("8.8.8.8")
     assert not Fed.from_this_host("192.0.2.77:80")
