@@ -29,9 +29,8 @@ FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN ids USING (doc_id)"""
 
 
 def licenses(threshold: float = 0.9) -> str:
-    """Blocks stand on a grid of half their length, which holds every stretch of up to half a block."""
+    """Blocks begin at every word of the texts that hold enough of a template's words at all."""
     rows = ", ".join(f"('{label}', {words}, {math.ceil(threshold * len(words))}, {block_of(n)})" for label, n, words in TEMPLATES)
-    blocks = ", ".join(f"({b})" for b in sorted({block_of(n) for _, n, _ in TEMPLATES}))
     phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in PHRASES.items())
     return f"""
 WITH doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
@@ -40,9 +39,9 @@ phrase AS (SELECT * FROM (VALUES {phrases}) v(label, p)),
 place AS (SELECT doc_id, label, s FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM doc WHERE list_contains(w, 'license')), phrase
           WHERE w[s:s + len(p) - 1] = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(s) - 1 AS first_word, max(s) - 1 AS last_word FROM place GROUP BY doc_id),
-block AS (SELECT doc_id, size, list_distinct(w[b + 1:b + size]) AS b
-          FROM (SELECT doc_id, w, size, unnest(range(0, len(w), size // 2)) AS b FROM doc, (VALUES {blocks}) v(size) WHERE len(w) > 0)),
-met AS (SELECT doc_id, label, len(list_intersect(t, b)) / len(t) AS c FROM block JOIN template USING (size) WHERE len(list_intersect(t, b)) >= need),
+held AS (SELECT doc_id, w, label, t, need, size FROM (SELECT doc_id, w, list_distinct(w) AS own FROM doc) JOIN template ON len(own) >= need AND len(list_intersect(t, own)) >= need),
+block AS (SELECT doc_id, label, t, need, len(list_intersect(t, w[b + 1:b + size])) AS n FROM (SELECT *, unnest(range(0, len(w))) AS b FROM held)),
+met AS (SELECT doc_id, label, n / len(t) AS c FROM block WHERE n >= need),
 label AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) FILTER (base) AS base_labels FROM (SELECT DISTINCT doc_id, label, true AS base FROM place) GROUP BY doc_id),
 every AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM place UNION SELECT doc_id, label FROM met) GROUP BY doc_id),
 best AS (SELECT doc_id, max(c) AS c FROM met GROUP BY doc_id)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -381,8 +382,15 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.toPandas(), out.schema)
         after = docs.toPandas().sort_values("doc_id")
         ids, kept = before.doc_id.tolist(), set(after.doc_id)
+        if name == "toxicity":
+            texts = dict(zip(ids, before.text))
+            assert all(texts[i] == t for i, t in zip(after.doc_id, after.text))
         if name == "line_dedup":
             assert kept == set(ids)
+            cut = [(t or "").split("\n") for t in before.text]
+            key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\f\r"))
+            shared = Counter(k for lines in cut for k in {key(x) for x in lines})
+            assert after.text.tolist() == ["\n".join(x for x in lines if not key(x) or shared[key(x)] < 10) for lines in cut]
         if name == "near_duplicates":
             want = {ids[c] for _, c, _ in brute_classes(before.text.tolist())}
             assert kept == want
@@ -399,6 +407,33 @@ def test_pipeline_stages(spark):
     assert pa.__version__ and want
 
 
+def test_the_toxicity_stage_by_the_labels(spark):
+    """A floor only. Measured on these thousand documents: 33 of 51 toxic ones found, no clean one of 348 lost; so few labels teach the grammar too little (README)."""
+    sf = SF.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas().set_index("doc_id").toxic
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, docs, sf).select("doc_id").collect()}
+    toxic, clean = ([i for i in labels.index if labels[i] == v] for v in (1, 0))
+    found, lost = sum(i not in kept for i in toxic), sum(i not in kept for i in clean)
+    assert found > 0.5 * len(toxic) and lost <= 0.05 * len(clean), (found, len(toxic), lost, len(clean))
+
+
+def test_the_sql_finds_a_notice_at_every_offset(spark):
+    label, _, words = min(license_texts_by_length(), key=lambda t: t[1])
+    step = 52 // (len(words) - 1)
+    spread = " ".join(w + " filler" * (step - 1) for w in words)
+    docs = docs_of(spark, ["pad " * n + spread + " tail" * 90 for n in range(0, 70, 5)])
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    duck = duckdb.connect()
+    duck.register("documents", docs.toPandas())
+    want = dict(duck.sql(f"SELECT doc_id, labels FROM ({oracles.licenses()})").fetchall())
+    assert got == want and all(label in v.split(",") for v in got.values())
+
+
+def license_texts_by_length():
+    return [t for t in licenses.TEMPLATES if len(t[2]) > 1]
+
+
 def test_a_passage_repeated_in_a_long_text(spark):
     passage = "red green blue amber violet teal olive mauve coral ochre slate ivory"
     texts = [" ".join([f"{passage} x{i % 7}" for i in range(8_000)]), passage + " " + passage, "pearl " * 100_000]
