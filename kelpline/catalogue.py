@@ -301,12 +301,12 @@ def _stem_sql(word: str, source: str) -> str:
     return f"SELECT * EXCLUDE (w_) REPLACE (CASE WHEN length({word}) < 3 THEN {word} {fixed} ELSE lower(w_) END AS {word}) FROM ({sql})"
 
 
-ENGLISH = "the standing of letters written"
+ENGLISH = "the things of ering from"
 _ENGLISH_TERMS = f"(SELECT doc_id, list_filter(t, lambda x: x NOT IN {stems.STOP}) AS t FROM (SELECT doc_id, {TOKENS} AS t FROM documents))"
 _ENGLISH_TF = f"(SELECT doc_id, len, term, count(*) AS tf FROM ({_stem_sql('term', f'(SELECT doc_id, len(t) AS len, unnest(t) AS term FROM {_ENGLISH_TERMS})')}) GROUP BY ALL)"
 
 
-@query(f"""WITH p AS MATERIALIZED (SELECT * FROM {_ENGLISH_TF} WHERE term IN ('stand', 'letter', 'written')), d AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {_ENGLISH_TERMS})
+@query(f"""WITH p AS MATERIALIZED (SELECT * FROM {_ENGLISH_TF} WHERE term IN ('thing', 'ere', 'from')), d AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {_ENGLISH_TERMS})
  SELECT doc_id AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / a))), 6) AS score FROM p JOIN d USING (term), s GROUP BY doc_id""")
 def bm25_english(s, d):
     """All matches by stems, stop words aside."""
