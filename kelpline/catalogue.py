@@ -291,6 +291,18 @@ def bm25_indexed(s, d):
     return hits.orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
+@query(f"SELECT doc_id AS id, round(score, 6) AS score FROM {_BM25} WHERE score > 0 ORDER BY score DESC, id LIMIT 20")
+def bm25_blocks(s, d):
+    """The best by bounds of blocks, from written postings."""
+    docs, folder = _table(s, d, "documents"), scratch(s, "blocks")
+    n, total = I.stats(docs).first()
+    I.build(docs, "doc_id", blocks=I.shares(n)).write.parquet(f"{folder}/postings")
+    postings = s.read.parquet(f"{folder}/postings")
+    I.peaks(postings).write.parquet(f"{folder}/peaks")
+    hits = I.top(postings, s.read.parquet(f"{folder}/peaks"), n, total / n, QUERY, 20, direct=0).hits
+    return hits.withColumn("score", F.round("score", 6))
+
+
 def _stem_sql(word: str, source: str) -> str:
     """``source`` with ``word`` stemmed: a subquery for each step of the rules."""
     sql = f"SELECT *, regexp_replace({word}, '([aeiouy])y', '\\1Y', 'g') AS w_ FROM {source}"

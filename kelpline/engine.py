@@ -55,7 +55,7 @@ class Engine:
 
     def ready(self) -> bool:
         """Whether a search of one row runs."""
-        return self.store.read("chunks") is not None and len(self._keywords("ready", F.lit(True), False).limit(1).collect()) <= 1
+        return self.store.read("chunks") is not None and len(self._keywords("ready", F.lit(True), False, 1).collect()) <= 1
 
     def warm(self) -> None:
         """Read a row and run a search, so that listings and code are there for the first caller."""
@@ -81,14 +81,17 @@ class Engine:
             self._known[key] = tail, tail.count() if tail is not None and now.n != version else 0
         return self._known[key]
 
-    def _keywords(self, text: str, keep: Column, narrowed: bool) -> DataFrame:
-        """BM25 scores of the chunks that ``keep`` holds for, by the index and the chunks written since; without an index by a scan."""
+    def _keywords(self, text: str, keep: Column, narrowed: bool, k: int) -> DataFrame:
+        """The ``k`` best BM25 scores of the chunks that ``keep`` holds for, by the index and the chunks written since; without an index by a scan."""
         found = self._postings()
         if found is None and not self.english:
-            return S.bm25(self._table("chunks"), text, keep=keep)
+            return S.bm25(self._table("chunks"), text, keep=keep).orderBy(F.desc("score"), "id").limit(k)
         postings, n, total = found or self._unindexed()
+        kept, peaks = self._table("chunks").where(keep).select("id") if narrowed else None, self._peaks() if found else None
+        if peaks is not None:
+            return I.top(postings, peaks, n, total / max(n, 1), text, k, kept, self.english).hits
         hits = I.bm25(postings, n, total / max(n, 1), text, self.english)
-        return hits.join(self._table("chunks").where(keep).select("id"), "id", "left_semi") if narrowed else hits
+        return (hits.join(kept, "id", "left_semi") if narrowed else hits).orderBy(F.desc("score"), "id").limit(k)
 
     def _unindexed(self) -> tuple[DataFrame, int, int]:
         chunks = self._table("chunks")
@@ -113,9 +116,21 @@ class Engine:
                 self._known[key] = new.n - old.n, new.total - old.total
             more = self._known[key]
             n, total = n + more[0], total + more[1]
-            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail, english=self.english))
+            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail, english=self.english, blocks=made.shares if "shares" in made else None))
         return postings, n, total
 
+    def _peaks(self) -> DataFrame | None:
+        """The index's peaks with those of the chunks written since, less those of the chunks that these replace; None for an index without any."""
+        made = self._only("index_stats")
+        if "peaks" not in made:
+            return None
+        peaks, (tail, added) = self.store.read("peaks", made.peaks), self._since(made.chunks)
+        if added:
+            replaced = self.store.read("chunks", made.chunks).join(tail.select("id"), "id", "left_semi")
+            late, gone = (I.peaks(I.build(rows, english=self.english, blocks=made.shares), rare=0) for rows in (tail, replaced))
+            peaks = peaks.unionByName(late).unionByName(gone.withColumn("n", -F.col("n")))
+        return peaks
+
     def _near(self, vector: list[float], k: int, exact: bool, probes: int, refine: int, **filters: str) -> DataFrame:
         """(id, distance, score) of the nearest chunks: by the vector index, if there is one, and the chunks written since, else by a scan."""
         keep, made = P.eq_all(**filters), None if exact else self._only("vector_index")
@@ -154,7 +169,7 @@ class Engine:
         if vector:
             lists.append(S.ranked(self._near(vector, k, exact, probes, refine, **filters), "distance", "id"))
         if text:
-            lists.append(S.ranked(self._keywords(text, keep, any(filters.values())).orderBy(F.desc("score"), "id").limit(k), F.desc("score"), "id"))
+            lists.append(S.ranked(self._keywords(text, keep, any(filters.values()), k), F.desc("score"), "id"))
         hits = lists[0].select("id", "score", "rank")
         if len(lists) == 2:
             hits = S.ranked(S.fuse(*lists).orderBy(F.desc("score"), "id").limit(2 * k), F.desc("score"), "id")
@@ -442,7 +457,7 @@ class Engine:
         if self._only("vector_index"):
             self.create_vector_index()
         if prune:
-            for t in ("messages", "chunks", "dedup", "registry", "cursor", "progress", "postings", "index_stats", "vector_codes", "vector_index"):
+            for t in ("messages", "chunks", "dedup", "registry", "cursor", "progress", "postings", "peaks", "index_stats", "vector_codes", "vector_index"):
                 self.store.prune(t)
         return True
 
@@ -450,8 +465,11 @@ class Engine:
         """Index the chunks' words. Searches use it from then on, beside the chunks written since. The statistics name the versions they are of and come last."""
         of = self.store.version("chunks").n
         chunks = self.store.read("chunks", of)
-        made = self.store.write("postings", I.build(chunks, english=self.english))
-        self.store.write("index_stats", I.stats(chunks, english=self.english).withColumns({"chunks": F.lit(of), "postings": F.lit(made), "english": F.lit(self.english)}))
+        shares = I.shares(chunks.count())
+        made = self.store.write("postings", I.build(chunks, english=self.english, blocks=shares))
+        peaks = self.store.write("peaks", I.peaks(self.store.read("postings", made)))
+        about = {"chunks": of, "postings": made, "peaks": peaks, "shares": shares, "english": self.english}
+        self.store.write("index_stats", I.stats(chunks, english=self.english).withColumns({k: F.lit(v) for k, v in about.items()}))
 
     def create_vector_index(self, lists: int | None = None, parts: int | None = None, codes: int = 256) -> None:
         """Build the quantised index of the chunks' vectors, or build it anew with the settings it had: unless told otherwise a list for each 1,000 chunks, 256 at most, and up to 96 parts."""

@@ -1,4 +1,5 @@
 import json
+import random
 import threading
 import time
 
@@ -236,6 +237,51 @@ def test_an_index_gives_what_a_scan_does(spark, tmp_path):
     assert e.optimize(2, prune=True) and found() == late and e.store.prune("chunks") == 0
 
 
+@pytest.mark.parametrize("rare", [3, 10**6])
+def test_blocks_give_the_best_of_all_postings(spark, tmp_path, rare, monkeypatch):
+    from kelpline.operators import postings as I
+
+    monkeypatch.setattr(I, "FIRST", 4)
+    rng, words = random.Random(rare), [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, [1 / (i + 1) for i in range(60)], k=rng.choice([3, 3, 20, 300]))) for _ in range(1500)]
+    texts[:40] = ["w0 w1"] * 40  # ties
+    rows = spark.createDataFrame([*enumerate(texts), (1500, None), (1501, "")], "id long, text string")
+    n, total = I.stats(rows).first()
+    I.build(rows, blocks=I.shares(n)).write.parquet(f"{tmp_path}/p")
+    postings = spark.read.parquet(f"{tmp_path}/p")
+    I.peaks(postings, rare).write.parquet(f"{tmp_path}/k")
+    peaks, skipped = spark.read.parquet(f"{tmp_path}/k"), 0
+    dfs = {r.term: r.df for r in postings.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    assert {r.term: r.df for r in peaks.groupBy("term").agg(F.sum("n").alias("df")).collect()} == dfs
+    for query, k, even in [("w0", 10, False), ("w0 w1", 45, False), ("w3 w59 w3", 10, True), ("w40 w50", 2000, False), ("none w20", 5, True), ("none", 5, False), ("", 5, False)]:
+        keep = rows.where("id % 2 = 0").select("id") if even else None
+        full = I.bm25(postings, n, total / n, query).where("id % 2 = 0" if even else "true").orderBy(F.desc("score"), "id").limit(k)
+        want = [(r.id, round(r.score, 9)) for r in full.collect()]
+        found = I.top(postings, peaks, n, total / n, query, k, keep, direct=0)
+        assert [(r.id, round(r.score, 9)) for r in found.hits.collect()] == want, query
+        assert found.read <= found.blocks
+        skipped += found.read < found.blocks
+        assert [(r.id, round(r.score, 9)) for r in I.top(postings, peaks, n, total / n, query, k, keep).hits.collect()] == want
+    assert skipped >= 2
+
+
+def test_blocks_of_a_store_with_later_chunks(spark, tmp_path, monkeypatch):
+    from kelpline.operators import postings as I
+
+    monkeypatch.setattr(I, "DIRECT", 0)
+    monkeypatch.setattr(I, "RARE", 2)
+    e = Engine(spark, f"file://{tmp_path}/b", hashed_vectors(4), 4)
+    put = lambda rows: e.ingest(spark.createDataFrame([(i, t, "crm", f"c{i}", "h", 5) for i, t in rows], ROW))
+    put([("a", "the tide, the TIDE"), ("b", "a tide of boats"), ("c", "boats"), ("d", "no match"), ("e", "lone tide")])
+    e.build_index()
+    put([("z", "tide and new boats"), ("b", "no boat of it"), ("e", "lone"), ("y", "lone new")])
+    found = lambda q: [(r.id, round(r.score, 9)) for r in e.search(q, embed=False).collect()]
+    asked = ["tide boats", "new", "lone tide", "of", "unheard"]
+    late = [found(q) for q in asked]
+    e.store.drop("index_stats", "postings", "peaks")
+    assert late == [found(q) for q in asked] and [i for i, _ in late[1]] == ["y", "z"]
+
+
 def test_an_index_of_empty_and_null_texts(spark):
     from kelpline.operators import postings as I
 
