@@ -287,7 +287,7 @@ def bm25_indexed(s, d):
     """Through postings, built here; a store keeps them."""
     docs = _table(s, d, "documents")
     n, total = I.stats(docs).first()
-    hits = I.bm25(I.build(docs, "doc_id"), n, total / n, QUERY)
+    hits = I.bm25(I.build(docs, "doc_id", n=n), n, total / n, QUERY)
     return hits.orderBy(F.desc("score"), "id").limit(20).withColumn("score", F.round("score", 6))
 
 
@@ -296,7 +296,7 @@ def bm25_blocks(s, d):
     """The best by bounds of blocks, from written postings."""
     docs, folder = _table(s, d, "documents"), scratch(s, "blocks")
     n, total = I.stats(docs).first()
-    I.build(docs, "doc_id", blocks=I.shares(n)).write.parquet(f"{folder}/postings")
+    I.build(docs, "doc_id", blocks=I.shares(n), n=n).write.parquet(f"{folder}/postings")
     postings = s.read.parquet(f"{folder}/postings")
     I.peaks(postings).write.parquet(f"{folder}/peaks")
     hits = I.top(postings, s.read.parquet(f"{folder}/peaks"), n, total / n, QUERY, 20, direct=0).hits
@@ -324,7 +324,7 @@ def bm25_english(s, d):
     """All matches by stems, stop words aside."""
     docs = _table(s, d, "documents")
     n, total = I.stats(docs, english=True).first()
-    return I.bm25(I.build(docs, "doc_id", english=True), n, total / n, ENGLISH, english=True).withColumn("score", F.round("score", 6))
+    return I.bm25(I.build(docs, "doc_id", english=True, n=n), n, total / n, ENGLISH, english=True).withColumn("score", F.round("score", 6))
 
 
 @query(f"SELECT term, CAST(sum(tf) AS BIGINT) AS n FROM {_ENGLISH_TF} GROUP BY term")

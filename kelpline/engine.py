@@ -96,7 +96,7 @@ class Engine:
     def _unindexed(self) -> tuple[DataFrame, int, int]:
         chunks = self._table("chunks")
         total = I.stats(chunks, english=self.english).first()
-        return I.build(chunks, english=self.english), total.n, total.total
+        return I.build(chunks, english=self.english, n=total.n), total.n, total.total
 
     def _postings(self) -> tuple[DataFrame, int, int] | None:
         """The index's postings with those of the chunks written since, and the numbers of chunks and of their tokens; None without an index."""
@@ -116,7 +116,7 @@ class Engine:
                 self._known[key] = new.n - old.n, new.total - old.total
             more = self._known[key]
             n, total = n + more[0], total + more[1]
-            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail, english=self.english, blocks=made.shares if "shares" in made else None))
+            postings = postings.join(ids, "id", "left_anti").unionByName(I.build(tail, english=self.english, blocks=made.shares if "shares" in made else None, n=added))
         return postings, n, total
 
     def _peaks(self) -> DataFrame | None:
@@ -127,7 +127,7 @@ class Engine:
         peaks, (tail, added) = self.store.read("peaks", made.peaks), self._since(made.chunks)
         if added:
             replaced = self.store.read("chunks", made.chunks).join(tail.select("id"), "id", "left_semi")
-            late, gone = (I.peaks(I.build(rows, english=self.english, blocks=made.shares), rare=0) for rows in (tail, replaced))
+            late, gone = (I.peaks(I.build(rows, english=self.english, blocks=made.shares, n=added), rare=0) for rows in (tail, replaced))
             peaks = peaks.unionByName(late).unionByName(gone.withColumn("n", -F.col("n")))
         return peaks
 
@@ -465,8 +465,9 @@ class Engine:
         """Index the chunks' words. Searches use it from then on, beside the chunks written since. The statistics name the versions they are of and come last."""
         of = self.store.version("chunks").n
         chunks = self.store.read("chunks", of)
-        shares = I.shares(chunks.count())
-        made = self.store.write("postings", I.build(chunks, english=self.english, blocks=shares))
+        n = chunks.count()
+        shares = I.shares(n)
+        made = self.store.write("postings", I.build(chunks, english=self.english, blocks=shares, n=n))
         peaks = self.store.write("peaks", I.peaks(self.store.read("postings", made)))
         about = {"chunks": of, "postings": made, "peaks": peaks, "shares": shares, "english": self.english}
         self.store.write("index_stats", I.stats(chunks, english=self.english).withColumns({k: F.lit(v) for k, v in about.items()}))

@@ -5,8 +5,11 @@ A step is a list of rules (which words, which of them it changes, what is cut, w
 
 from __future__ import annotations
 
-from functools import partial
+import re
+from functools import cache, partial
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +73,48 @@ def stem(word: Column) -> Column:
     for w, s in FIXED.items():
         kept = kept.when(word == w, F.lit(s))
     return kept.otherwise(F.lower(out))
+
+
+#: Words whose stems a worker process remembers; words of a text, without stop words, are letters and digits alone, so a space parts them.
+_CACHE = 400_000
+_stems: dict[str, str] = {}
+
+
+@cache
+def _compiled() -> list[tuple]:
+    """Of each step a pattern of the words that one of its rules decides, and the rules."""
+    rule = lambda find, holds, cut, to: (re.compile(find), None if holds == _NEVER else [re.compile(h) for h in holds], re.compile(cut), to)
+    return [(re.compile("|".join(f"(?:{r[0]})" for r in rules)), [rule(*r) for r in rules]) for rules in STEPS]
+
+
+def stem_of(word: str) -> str:
+    """``stem`` of one word, by the same rules."""
+    if len(word) < 3 or word in FIXED:
+        return FIXED.get(word, word)
+    w = re.sub("([aeiouy])y", r"\1Y", word)
+    for some, rules in _compiled():
+        for find, holds, cut, to in rules if some.search(w) else ():
+            if find.search(w):
+                if holds is not None and all(h.search(w) for h in holds):
+                    w = cut.sub(to, w)
+                break
+    return w.lower()
+
+
+def stemmed(tokens: Column) -> Column:
+    """The stems of an array of words in one string, parted by spaces. A worker works out a word's stem once while it remembers it, where ``stem`` does for each place that the word stands in."""
+
+    def run(column: pa.Array) -> pa.Array:
+        coded = column.flatten().dictionary_encode()
+        if len(_stems) > _CACHE:
+            _stems.clear()
+        each = []
+        for w in coded.dictionary.to_pylist():
+            if (s := _stems.get(w)) is None:
+                s = _stems[w] = stem_of(w)
+            each.append(s)
+        flat = pa.array(each, pa.string()).take(coded.indices)
+        ends = pc.cumulative_sum(pc.cast(pc.list_value_length(column), pa.int32())) if len(column) else pa.array([], pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), flat), " ")
+
+    return F.arrow_udf(run, "string")(tokens)

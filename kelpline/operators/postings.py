@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions import stems
+from kelpline.functions.batches import bounded_batches
 from kelpline.functions.text import tokens
 from kelpline.operators.search import B, K1, query_terms
 
@@ -22,6 +23,8 @@ BLOCK, MOST = 64, 2048
 FIRST, LISTED = 256, 1000
 #: Texts from which on a term has peaks, and postings up to which a query's are read whole: fewer are read faster than bounds are found.
 RARE, DIRECT = 1024, 4_000_000
+#: Texts that a task counts the words of, about: few enough for its memory, however large the files are.
+DEALT = 1000
 
 
 def words(text: Column, english: bool = False) -> Column:
@@ -44,15 +47,21 @@ def shares(n: int) -> int:
     return min(MOST, 1 + n // (8 * BLOCK))
 
 
-def build(rows: DataFrame, id: str = "id", text: str = "text", files: int | None = None, english: bool = False, blocks: int | None = None) -> DataFrame:
+def build(rows: DataFrame, id: str = "id", text: str = "text", files: int | None = None, english: bool = False, blocks: int | None = None, n: int | None = None) -> DataFrame:
     """(term, id, tf, len), sorted within each partition. Ranges cut a frequent term's postings by id, so no task holds it whole.
 
     Null texts have no terms; rows that repeat an id count as one text. For ``english``, terms are stems and stop words are left out, of the lengths too.
-    With ``blocks``, the number of shares, rows have their text's ``block`` too and are ordered by it before the id; ids have to be distinct then.
+    With ``blocks``, the number of shares, rows have their text's ``block`` too and are ordered by it before the id; ids have to be distinct then. ``n`` is the number of rows, where it is known.
+
+    Texts, which are smaller than their postings, are dealt by id and their words counted where they lie; only the order of ranges moves postings.
     """
-    each = rows.select(F.col(id).alias("id"), words(F.col(text), english).alias("t"))
-    terms = each.select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
-    terms = terms.withColumn("term", stems.stem(F.col("term"))) if english else terms
+    body = F.coalesce(F.col(text), F.lit(""))
+    if english:
+        bounded_batches(rows.sparkSession)
+        body = stems.stemmed(words(F.col(text), True))
+    dealt = rows.select(F.col(id).alias("id"), body.alias("t")).repartition(1 + (rows.count() if n is None else n) // DEALT, "id")
+    each = dealt.select("id", (F.array_remove(F.split("t", " "), "") if english else words(F.col("t"))).alias("t"))
+    terms = each.select("id", F.size("t").alias("len"), F.explode_outer("t").alias("term")).where("term IS NOT NULL")  # for a plain explode Spark splits each text once more, to look for empty ones
     counted = terms.groupBy("term", "id").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
     order = ("term", "id")
     if blocks:
