@@ -9,7 +9,6 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpline.functions import stems
@@ -78,10 +77,16 @@ def peaks(postings: DataFrame, rare: int | None = None) -> DataFrame:
     Terms of fewer than ``rare`` texts, or RARE, have one row, whose block, tf and len are null. Tables of parts of the texts add up by union, if all but one have none of these rows; texts that went are taken
     off by rows whose ``n`` is negative.
     """
-    each = postings.groupBy("term", "block", "tf").agg(F.min("len").alias("len"), F.count("*").alias("n"))
-    few = F.sum("n").over(W.partitionBy("term")) < (RARE if rare is None else rare)  # a term has few rows for each of its blocks
-    told = each.withColumn("few", few).select("term", *[F.when(~F.col("few"), F.col(c)).alias(c) for c in ("block", "tf", "len")], "n")
-    all = told.groupBy("term", "block", "tf").agg(F.min("len").alias("len"), F.sum("n").alias("n"))
+    rare = RARE if rare is None else rare
+    found = postings
+    if rare > 0:
+        counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+        often = counts.where(F.col("n") >= rare).select("term")  # of ``rare`` postings one term at most
+        found = postings.join(F.broadcast(often), "term", "left_semi")
+    all = found.groupBy("term", "block", "tf").agg(F.min("len").alias("len"), F.count("*").alias("n"))
+    if rare > 0:
+        few = counts.where(F.col("n") < rare).select("term", *[F.lit(None).cast(all.schema[c].dataType).alias(c) for c in ("block", "tf", "len")], "n")
+        all = all.unionByName(few)
     return all.repartitionByRange("term", "block").sortWithinPartitions("term", "block")
 
 

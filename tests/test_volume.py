@@ -1,8 +1,11 @@
 """What is shuffled, sent to Python or told by a task stays in proportion to the input."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from kelpline.functions import stems
+from kelpline.functions.text import tokens
 from kelpline.operators import postings as I
 
 
@@ -23,3 +26,22 @@ def test_english_postings_are_stemmed_by_the_word(spark):
     made = I.build(docs, english=True)
     assert "rlike" not in plan(made).lower()
     assert sorted(map(tuple, made.collect())) == [("generous", 1, 1, 2), ("run", 1, 2, 3), ("sky", 1, 1, 3), ("thing", 1, 1, 2)]
+
+
+def test_postings_move_once(spark):
+    docs = spark.range(3000).select("id", F.concat(F.lit("a b"), F.col("id") % 7, F.lit(" a c"), "id").alias("text"))
+    made = I.build(docs, blocks=2)
+    assert "hashpartitioning(term" not in plan(made) and "rangepartitioning(term" in plan(made)
+    got = made.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    want = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.countDistinct("id").alias("df"), F.count("*").alias("tf"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_peaks_gather_no_term_in_one_task(spark):
+    rows = [("often", i % 3, i, 1 + i % 2, 5 + i) for i in range(9)] + [("rare", 1, 1, 4, 5), ("rare", 2, 2, 4, 9)]
+    made = I.peaks(spark.createDataFrame(rows, "term string, block int, id long, tf long, len int"), rare=3)
+    assert "Window" not in plan(made)
+    want = [("rare", None, None, None, 2)]
+    for (block, tf), n in Counter((r[1], r[3]) for r in rows[:9]).items():
+        want.append(("often", block, tf, min(r[4] for r in rows[:9] if (r[1], r[3]) == (block, tf)), n))
+    assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
