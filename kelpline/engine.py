@@ -22,7 +22,7 @@ from kelpline.operators import quantised as Q
 from kelpline.operators import search as S
 from kelpline.plans import predicates as P
 from kelpline.sources import jsonl, local, resume
-from kelpline.sources.store import Store
+from kelpline.sources.store import Store, scratch
 
 Embedder = Callable[[list[str]], list[list[float]]]
 PARSER_VERSION = "1"
@@ -190,14 +190,15 @@ class Engine:
         postings, n, tokens = self._postings() or self._unindexed()
         words = M.bm25(postings, n, tokens / max(n, 1), queries, k, rows.select("id") if any(filters.values()) else None, self.english)
         near = M.nearest(rows.select("id", "vector"), queries, k, self.dims).withColumn("score", 1 / (1 + F.col("distance")))
+        words, near = (self._written(x, scratch(self.spark, "many")) for x in (words, near))  # ``k`` rows for each query, used twice
         both = queries.where((F.size("vector") > 0) & (F.trim(F.coalesce("text", F.lit(""))) != "")).select("query_id")
         fields = ("query_id", "id", "score", "rank")
         alone = words.select(*fields).unionByName(near.select(*fields)).join(both, "query_id", "left_anti")
         hits = alone.unionByName(M.fuse(2 * k, words.join(both, "query_id", "left_semi"), near.join(both, "query_id", "left_semi")).select(*fields))
-        found = rows.drop("vector").join(hits, "id")
-        narrow = found.select("query_id", "rank", "id", "message_id", "content_hash", F.concat_ws("/", "source", "container_id").alias("container_id"), "timestamp", F.col("source").isin(*jsonl.CHATS).alias("chat"))
-        kept = M.collapse(narrow, U.LEAD_GAP, limit).select("query_id", "rank")
-        return found.withColumnRenamed("id", "matched_chunk_id").join(kept, ["query_id", "rank"]).withColumn("id", F.coalesce(F.nullif("message_id", F.lit("")), "matched_chunk_id"))
+        narrow = rows.join(hits, "id").select("query_id", "rank", "id", "message_id", "content_hash", F.concat_ws("/", "source", "container_id").alias("container_id"), "timestamp", F.col("source").isin(*jsonl.CHATS).alias("chat"))
+        kept = M.collapse(narrow, U.LEAD_GAP, limit).select("query_id", "rank", "id").join(hits.select("query_id", "id", "score"), ["query_id", "id"])
+        found = rows.drop("vector").join(kept, "id")  # texts meet the hits that are left
+        return found.withColumnRenamed("id", "matched_chunk_id").withColumn("id", F.coalesce(F.nullif("message_id", F.lit("")), "matched_chunk_id"))
 
     def walk(self, container_id: str, after_ts: int = 0, after_id: str = "", include: str = "", limit: int = 50, raw: str = "", **filters: str) -> DataFrame:
         """A page of a container; ``include`` names the kinds of rows: messages unless titles, todos, tasks or state.

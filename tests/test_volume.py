@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kelpline.functions import stems
 from kelpline.functions.text import tokens
+from kelpline.operators import batch
 from kelpline.operators import postings as I
 
 
@@ -45,3 +46,20 @@ def test_peaks_gather_no_term_in_one_task(spark):
     for (block, tf), n in Counter((r[1], r[3]) for r in rows[:9]).items():
         want.append(("often", block, tf, min(r[4] for r in rows[:9] if (r[1], r[3]) == (block, tf)), n))
     assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
+
+
+def test_pairs_of_queries_and_texts_are_no_rows(spark, monkeypatch):
+    """A word that all queries and texts hold: each pass tells its best alone, equal scores by id."""
+    monkeypatch.setattr(batch, "ASKED", 3), monkeypatch.setattr(batch, "TEXTS", 16), monkeypatch.setattr(batch, "HELD", 50)
+    texts = spark.range(300).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("id"), F.concat(F.lit("all w"), F.col("id") % 30, F.when(F.col("id") % 4 == 0, " w3").otherwise("")).alias("text"))
+    queries = spark.range(8).select(F.col("id").alias("query_id"), F.concat(F.lit("All all w"), "id").alias("text"))
+    n, total = I.stats(texts).first()
+    for keep in (None, texts.where("id % 2 = 0").select("id")):
+        got = batch.bm25(I.build(texts), n, total / n, queries, 5, keep)
+        assert "hashpartitioning(query_id#" in plan(got) and "id#" not in plan(got).split("hashpartitioning(query_id#")[1].split(")")[0]
+        want = []
+        for q in range(8):
+            hits = I.bm25(I.build(texts), n, total / n, f"all w{q}").withColumn("score", F.round("score", 10))
+            hits = hits if keep is None else hits.join(keep, "id", "left_semi")
+            want += [(q, r.id, r.score, i) for i, r in enumerate(hits.orderBy(F.desc("score"), "id").limit(5).collect(), 1)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
