@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpline.functions.batches import bounded_batches
 from kelpline.functions.text import clip_chars, clip_line, content_hash, trim_space
 from kelpline.sources.jsonl import CHATS
 
@@ -26,6 +27,8 @@ TELEGRAM_KINDS = {"dm": "direct chat", "group": "group", "channel": "channel", "
 
 #: Characters of an error that are kept.
 ERROR = 500
+#: Rows and bytes that a Python worker is given at once: what it makes of them is several times as large.
+ROWS, BYTES = 200, "4m"
 _PLACE = ("at", "sub", "line_no")
 #: Control characters with a letter of their own, all others by number.
 ESCAPES = [(chr(i), "\\" + name) for i, name in zip(range(7, 14), "abtnvfr")] + [(chr(i), f"\\x{i:02x}") for i in (*range(7), *range(14, 32), 127)]
@@ -182,6 +185,7 @@ def split_tokens(text: str, most: int, count: Callable[[str], int] = words, over
 
 def chunks(units: DataFrame, count: Callable[[str], int] = words, most: int = CHUNK_TOKENS) -> DataFrame:
     """One row for each chunk of a unit: its header and a window of its body; content_hash is the window's."""
+    bounded_batches(units.sparkSession, ROWS, BYTES)
 
     def cut(heads: pa.Array, bodies: pa.Array) -> pa.Array:
         out = []
@@ -220,6 +224,7 @@ def hashed_vectors(dims: int = 384) -> Callable[[list[str]], list[list[float]]]:
 
 def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dims: int = 384, batch: int = 32, prefix: str = "", text: str = "text", clip: int = 0) -> DataFrame:
     """``rows`` with ``vector``, from ``embedder`` in batches of ``batch``; a vector of another length is an error. ``clip``: at most so many characters of a text are embedded."""
+    bounded_batches(rows.sparkSession, ROWS, BYTES)
 
     def run(column: pa.Array) -> pa.Array:
         texts = [prefix + (t or "") for t in column.to_pylist()]
@@ -230,6 +235,7 @@ def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], d
 
 def embed_apart(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]], dims: int = 384, batch: int = 32, prefix: str = "", text: str = "text", clip: int = 0) -> DataFrame:
     """``embed``, but a text that can't be embedded fails alone: ``vector`` is null then and ``error``, null else, says why. A batch that fails is halved until the texts to blame are found."""
+    bounded_batches(rows.sparkSession, ROWS, BYTES)
 
     def each(texts: list[str]) -> list[dict]:
         try:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kelpline.functions import stems
 from kelpline.functions.text import tokens
 from kelpline.operators import batch
+from kelpline.operators import contextual as U
 from kelpline.operators import postings as I
 
 
@@ -48,6 +49,16 @@ def test_peaks_gather_no_term_in_one_task(spark):
     assert sorted(map(repr, map(tuple, made.collect()))) == sorted(map(repr, want))
 
 
+def test_chunks_and_vectors_are_made_in_small_batches(spark):
+    def sizes() -> tuple[int, str]:
+        return int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    docs = spark.createDataFrame([("a", "", "x y", "x y", "")], "id string, header string, body string, text string, content_hash string")
+    for make in (U.chunks, lambda d: U.embed(d, U.hashed_vectors(4), 4), lambda d: U.embed_apart(d, U.hashed_vectors(4), 4)):
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch"), spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert make(docs).count() == 1 and sizes() == (U.ROWS, U.BYTES)
+
+
 def test_pairs_of_queries_and_texts_are_no_rows(spark, monkeypatch):
     """A word that all queries and texts hold: each pass tells its best alone, equal scores by id."""
     monkeypatch.setattr(batch, "ASKED", 3), monkeypatch.setattr(batch, "TEXTS", 16), monkeypatch.setattr(batch, "HELD", 50)
