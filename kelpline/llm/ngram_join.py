@@ -10,7 +10,8 @@ Method: MinHash LSH forest with exact verification. A text has in each of ``tree
    can still miss is within 1 - recall: a tree whose node is crowded may keep its full length as long as all trees together allow it. Half of what
    may be missed is each text's own to spend, so that the bound holds for every pair. A text stands at its prefix and at all longer ones.
 4. Within a node, split into blocks and block pairs so that no task holds an unbounded group, signatures
-   estimate similarities; pairs more than six deviations below the threshold go. Only spanning edges leave.
+   estimate similarities; pairs more than six deviations below the threshold go. Only spanning edges leave: of two blocks one for each of their
+   own components that meet, since what connects a block's texts leaves its pair with itself.
 5. Connected texts form families; only their texts are read again. Within a family, again by block pairs, every pair is
    verified on its exact shingles. Numbers of links and spanning edges leave, never the pairs.
 6. Components of the verified links are the classes.
@@ -191,10 +192,11 @@ def _likely(threshold: float, values: int):
                 same += sig[:, k, None] == sig[None, :, k]
             near = same >= least * values
             across = _paired(*(t.column(c).to_numpy() for c in ("i", "j", "side")))
+            own = None
             if across is not None:
-                near &= across
+                own = roots(near & ~across)  # what each block's pair with itself connects; its edges aren't told again
             for x, r in enumerate(roots(near)):
-                if x != r:
+                if x != r and (own is None or own[x] == x):
                     a.append(ids[x])
                     b.append(ids[r])
             if len(a) > 20_000:
