@@ -244,7 +244,7 @@ class Engine:
     def _fresh(self, units: DataFrame, key: str) -> DataFrame:
         """Units not seen before. Repeated ids keep their last place."""
         place = [F.desc(c) for c in jsonl.PLACE]
-        one = units.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy(*place))).where("_n = 1").drop("_n")
+        one = U.keyed(units, key).withColumn("_n", F.row_number().over(W.partitionBy("dedup_key").orderBy(*place))).where("_n = 1").drop("_n")
         return U.pending(one, self.store.read("dedup"), key)
 
     def _flush(self, new: DataFrame, chunks: DataFrame) -> None:
@@ -283,7 +283,8 @@ class Engine:
 
     def ingest_objects(self, objects: DataFrame) -> int:
         """Parse, contextualise and store raw objects (key, content); what was seen with the same unit is left out."""
-        return self._write(U.units(jsonl.parse(objects, sources=jsonl.sources_of(objects))), "|unit")
+        sources = jsonl.sources_of(objects)
+        return self._write(U.units(jsonl.parse(objects, sources=sources), sources=sources), "|unit")
 
     def poll(self, objects: DataFrame, now: int | None = None) -> dict[str, int]:
         """Ingest the objects (key, etag, size, content) that are due, and keep their registry. An object with a text that can't be embedded fails alone, and waits."""
@@ -300,11 +301,12 @@ class Engine:
         self.store.upsert("registry", started, "key")
         running = self._table("registry").where((F.col("status") == "processing") & (F.col("updated_at") == now)).persist(StorageLevel.MEMORY_AND_DISK)
         todo = listed.join(running.select("key"), "key", "left_semi").select("key", "size", "content")
-        rows = jsonl.parse(todo, sources=jsonl.sources_of(running)).persist(StorageLevel.MEMORY_AND_DISK)
+        sources = jsonl.sources_of(running)
+        rows = jsonl.parse(todo, sources=sources).persist(StorageLevel.MEMORY_AND_DISK)
         part = f"{self.store.root}/_poll-{uuid.uuid4().hex}"
         try:
             n = running.count()
-            written, left_out = self._write_apart(U.units(rows), part)
+            written, left_out = self._write_apart(U.units(rows, sources=sources), part)
             failed = jsonl.failures(todo).unionByName(left_out).groupBy("key").agg(F.min("error").alias("error"))
             containers = rows.groupBy("key").agg(F.array_sort(F.collect_set(F.nullif("container_id", F.lit("")))).alias("container_ids"))
             done = running.drop("error", "container_ids").join(failed, "key", "left").join(containers, "key", "left").withColumns({

@@ -18,8 +18,8 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def trim_space(c: Column) -> Column:
-    """Unicode white space off both ends, new lines and no-break spaces included."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    """Unicode white space off both ends, new lines and no-break spaces included. A pattern for the end alone would be tried at each place of a text."""
+    return F.regexp_extract(c, r"(?sU)^\s*+(.*\S)", 1)
 
 
 def clip_runes(c: Column, n: int) -> Column:
@@ -57,14 +57,20 @@ def record_id(*parts: Column) -> Column:
 def indexable(role: Column, text: Column, prefixes: tuple[str, ...] = BOILERPLATE) -> Column:
     """User and assistant messages of eight bytes or more; a user's must not begin with a boilerplate prefix."""
 
-    def fits(t: Column) -> Column:
-        body = F.regexp_replace(t, r"^[ \t\r\n]+", "")
-        starts = F.lit(False)
-        for p in prefixes:
-            starts = starts | body.startswith(p)
-        return (F.octet_length(t) >= 8) & ~((role == "user") & starts)
+    return role.isin("user", "assistant") & let(text, lambda t: _fits(role, t, prefixes))
 
-    return role.isin("user", "assistant") & let(text, fits)
+
+def indexed(role: Column, text: Column, prefixes: tuple[str, ...] = BOILERPLATE) -> Column:
+    """``text`` where it is ``indexable``, else null; it is worked out once."""
+    return F.when(role.isin("user", "assistant"), let(text, lambda t: F.when(_fits(role, t, prefixes), t)))
+
+
+def _fits(role: Column, text: Column, prefixes: tuple[str, ...]) -> Column:
+    body = F.regexp_replace(text, r"^[ \t\r\n]+", "")
+    starts = F.lit(False)
+    for p in prefixes:
+        starts = starts | body.startswith(p)
+    return (F.octet_length(text) >= 8) & ~((role == "user") & starts)
 
 
 def project_from_cwd(cwd: Column) -> Column:

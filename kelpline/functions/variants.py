@@ -55,8 +55,8 @@ def moment(v: Column, *paths: str) -> Column:
 
 def spoken(v: Column, path: str) -> Column:
     """A string's trimmed text, or the texts of an array's parts but its thinking, on lines of their own."""
-    said = lambda p: F.when(~string(p, "$.type").isin("thinking", "reasoning"), F.nullif(trim_space(string(p, "$.text")), F.lit("")))
-    heard = lambda parts: F.array_join(F.transform(parts, said), "\n")
+    said = lambda p: F.when(~string(p, "$.type").isin("thinking", "reasoning"), trim_space(string(p, "$.text")))
+    heard = lambda parts: F.array_join(F.filter(F.transform(parts, said), lambda t: t != ""), "\n")
     return F.coalesce(heard(F.try_variant_get(v, path, "array<variant>")), trim_space(string(v, path)))
 
 

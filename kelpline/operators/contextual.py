@@ -20,6 +20,8 @@ from kelpline.sources.jsonl import CHATS
 
 LEAD_GAP, LEAD_LINES, LINE_RUNES, QUESTION_RUNES = 600, 2, 200, 300
 CHUNK_TOKENS, OVERLAP = 384, 64
+#: Characters of a text that is counted whole before it is split.
+SHORT = 4096
 #: Display names in headers.
 HARNESSES = {"claude": "Claude Code", "codex": "Codex", "pi": "Pi", "omp": "OMP", "grok": "Grok", "grokbot": "Grok bot"}
 X_KINDS = {"dm": "DM", "group": "group"}
@@ -84,14 +86,14 @@ def carried(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return both.groupBy("key", "container_id").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in ("title", "asked")])
 
 
-def units(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+def units(rows: DataFrame, before: DataFrame | None = None, sources: list[str] | None = None) -> DataFrame:
     """``rows`` with header, body and the unit's content_hash; container_title is filled from the last title of the container.
 
-    Where ``rows`` continue sessions, ``before`` is what ``carried`` gave for the rows before them.
+    Where ``rows`` continue sessions, ``before`` is what ``carried`` gave for the rows before them. ``sources`` are those that rows are of, where they are known: what only chats have is planned for these alone.
     """
     if before is not None:
         told = before.select("key", "container_id", F.col("title").alias("_title"), F.col("asked").alias("_before"))
-        return units(rows.join(told, ["key", "container_id"], "left")).drop("_title", "_before")
+        return units(rows.join(told, ["key", "container_id"], "left"), sources=sources).drop("_title", "_before")
     chat, order = F.col("source").isin(*CHATS), list(_PLACE)
     container = W.partitionBy("key", "container_id").orderBy(*order)
     titles = F.last(F.when(F.col("kind") == "title", plain_title(F.col("text"))), ignorenulls=True).over(container.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -105,30 +107,44 @@ def units(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
         "container_title": F.when(F.col("container_title") != "", F.col("container_title")).otherwise(F.coalesce(titles, F.lit(""))),
         "_line": line, "_asked": F.when(told & (F.col("author_id") == "assistant"), F.nullif(asked, F.lit(""))),
     })
-    talk = W.partitionBy("key", "source", "container_id", F.col("container_kind") == "channel").orderBy(*order)
-    leads = chat & (F.col("container_kind") != "channel")
+    context = [F.when(F.col("_asked").isNotNull(), F.concat(F.lit("Re: "), F.col("_asked"))), F.col("_line")]
+    if sources is None or not set(CHATS).isdisjoint(sources):
+        r, talk = _led(r, rows.where(chat).withColumn("_line", line))
+        context = [*talk, *context]
+    out = r.withColumns({"header": header(), "body": F.concat_ws("\n", *context)})
+    return out.withColumn("content_hash", content_hash(F.concat_ws("\n", "header", "body"))).select(*rows.columns, "header", "body")
+
+
+def _led(r: DataFrame, chats: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``r``, and the lines before a chat's: the one it answers, of ``chats``, and those it follows."""
+    talk = W.partitionBy("key", "source", "container_id", F.col("container_kind") == "channel").orderBy(*_PLACE)
+    leads = F.col("source").isin(*CHATS) & (F.col("container_kind") != "channel")
     for k in range(1, LEAD_LINES + 1):
         near = leads & (F.col("timestamp") - F.lag("timestamp", k).over(talk) <= LEAD_GAP)
         r = r.withColumns({f"_id{k}": F.when(near, F.lag("id", k).over(talk)), f"_lead{k}": F.when(near, clip_line(F.lag("_line", k).over(talk), LINE_RUNES))})
-    answered = r.where(leads & (F.col("reply_to") != "")).select("key", F.col("reply_to").alias("id")).distinct()
-    parents = r.where(chat).join(answered, ["key", "id"], "left_semi").select("key", F.col("id").alias("reply_to"), F.struct(*_PLACE).alias("_pplace"), F.col("_line").alias("_pline"))
+    answered = chats.where(leads & (F.col("reply_to") != "")).select("key", F.col("reply_to").alias("id")).distinct()
+    parents = chats.join(answered, ["key", "id"], "left_semi").select("key", F.col("id").alias("reply_to"), F.struct(*_PLACE).alias("_pplace"), F.col("_line").alias("_pline"))
     r = r.join(parents, ["key", "reply_to"], "left")
     said = F.lit(False)
     for k in range(1, LEAD_LINES + 1):
         said = said | F.coalesce(F.col(f"_id{k}") == F.col("reply_to"), F.lit(False))
     parent = F.when(leads & ~said & (F.col("_pplace") < F.struct(*_PLACE)), F.concat(F.lit("> "), clip_line(F.col("_pline"), LINE_RUNES)))
-    body = F.concat_ws("\n", parent, *[F.col(f"_lead{k}") for k in range(LEAD_LINES, 0, -1)], F.when(F.col("_asked").isNotNull(), F.concat(F.lit("Re: "), F.col("_asked"))), F.col("_line"))
-    out = r.withColumns({"header": header(), "body": body})
-    return out.withColumn("content_hash", content_hash(F.concat_ws("\n", "header", "body"))).select(*rows.columns, "header", "body")
+    return r, [parent, *[F.col(f"_lead{k}") for k in range(LEAD_LINES, 0, -1)]]
+
+
+def keyed(units: DataFrame, suffix: str = "|unit") -> DataFrame:
+    """``units`` with their key in the deduplication state."""
+    return units.withColumn("dedup_key", F.concat("id", F.lit(suffix)))
 
 
 def pending(units: DataFrame, state: DataFrame | None, suffix: str = "|unit") -> DataFrame:
     """Units whose key (id and ``suffix``) and hash are not in the deduplication state (dedup_key, content_hash); an empty id or hash is never in it."""
-    mine = units.withColumn("dedup_key", F.concat("id", F.lit(suffix)))
+    mine = units if "dedup_key" in units.columns else keyed(units, suffix)
     if state is None:
         return mine
-    known = state.where("dedup_key <> '' AND content_hash <> ''").select("dedup_key", "content_hash")
-    return mine.join(known, ["dedup_key", "content_hash"], "left_anti")
+    known = state.where("dedup_key <> '' AND content_hash <> ''").select(F.col("dedup_key").alias("_key"), F.col("content_hash").alias("_hash"))
+    same = F.array_contains(F.array("_hash"), F.col("content_hash"))  # no key of the join, so that units that lie by their key aren't shuffled again
+    return mine.join(known, (F.col("dedup_key") == F.col("_key")) & same, "left_anti")
 
 
 class Tokenizer(Protocol):
@@ -170,6 +186,8 @@ def split_tokens(text: str, most: int, count: Callable[[str], int] = words, over
             low, high = (mid, high) if fits(mid) else (low, mid - 1)
         return low
 
+    if len(text) <= SHORT and count(text) <= most:
+        return [text]
     out, start, size = [], 0, len(text)
     while True:
         n = longest(lambda k: count(text[start : start + k]) <= most, size - start)

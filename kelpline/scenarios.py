@@ -200,7 +200,7 @@ _PI_UNIT = f"""(SELECT *, 'Pi session' || CASE WHEN container_title <> '' THEN '
 
 
 def _pi_units(s, d) -> DataFrame:
-    return U.units(_parse(_pi(s, d)))
+    return U.units(_parse(_pi(s, d)), sources=["pi"])
 
 
 @query(f"SELECT id, header FROM {_PI_UNIT} UNION ALL SELECT id, 'Telegram group \"' || container_title || '\"' FROM {CHAT}")
@@ -270,10 +270,17 @@ def _engine(s: SparkSession, dims: int = 4, embed: bool = True) -> Engine:
     return Engine(s, scratch(s, "engine"), U.hashed_vectors(dims) if embed else None, dims)
 
 
+def _at_rest(s: SparkSession, objects: DataFrame) -> DataFrame:
+    """``objects`` as they lie in a raw store: written once, so that a poll reads what it needs of them and makes none anew."""
+    path = scratch(s, "objects")
+    objects.write.parquet(path)
+    return s.read.schema(objects.schema).parquet(path)
+
+
 @query("""SELECT 'h/pi/a/' || conv_id || '.jsonl' AS key, 'indexed' AS status, CAST(CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS BIGINT) AS attempts, 'c' || conv_id AS containers FROM conversations GROUP BY conv_id""")
 def poll_registry(s, d):
     """Indexed once; every third object changes and is indexed again when that is due, and no object a third time."""
-    e, objects = _engine(s), _pi(s, d)
+    e, objects = _engine(s), _at_rest(s, _pi(s, d))
     e.poll(objects, now=1000)
     changed = objects.withColumn("etag", F.when(F.regexp_extract("key", r"(\d+)\.", 1).cast("long") % 3 == 0, "b").otherwise("a"))
     e.poll(changed, now=1100)
@@ -287,7 +294,7 @@ def poll_registry(s, d):
 @query(f"SELECT id, text, kind FROM {PI}")
 def poll_messages(s, d):
     """What two polls of the same objects store."""
-    e, objects = _engine(s), _pi(s, d)
+    e, objects = _engine(s), _at_rest(s, _pi(s, d))
     e.poll(objects, now=1000)
     e.poll(objects.withColumn("etag", F.lit("b")), now=9000)
     return e.store.read("messages").select("id", "text", "kind")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from kelpline.functions import variants as V
-from kelpline.functions.text import RESTATING, content_hash, guess_container, indexable, project_from_cwd, record_id, trim_space
+from kelpline.functions.text import RESTATING, content_hash, guess_container, indexable, indexed, project_from_cwd, record_id, trim_space
 
 SOURCES = ("pi", "codex", "omp", "claude", "grok", "grokbot", "telegram", "x")
 CHATS = ("telegram", "x")
@@ -63,7 +63,7 @@ def listed(spark: SparkSession, root: str, keys: list[str] | None = None) -> Dat
 
 def failures(objects: DataFrame) -> DataFrame:
     """(key, error) of recognised objects that are too large or have a line that is too long."""
-    long_line = F.exists(F.split(F.col("content").cast("string"), "\n"), lambda t: F.octet_length(t) > LONGEST_LINE)
+    long_line = (F.octet_length("content") > LONGEST_LINE) & F.exists(F.split(F.col("content").cast("string"), "\n"), lambda t: F.octet_length(t) > LONGEST_LINE)
     size = F.col("size") if "size" in objects.columns else F.octet_length("content")
     error = F.when(size > LARGEST, "object too large").when(long_line, "line too long")
     return identify(objects).select("key", error.alias("error")).where(F.col("error").isNotNull())
@@ -76,19 +76,20 @@ def lines(objects: DataFrame) -> DataFrame:
     Objects named by ``failures`` give no lines.
     """
     split = F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")  # what is no UTF-8 becomes U+FFFD
-    fit = objects.where(F.octet_length("content") <= LARGEST).where(~F.exists(split, lambda t: F.octet_length(t) > LONGEST_LINE))
+    short = F.octet_length("content") <= LONGEST_LINE // 3  # a byte that is no UTF-8 becomes three
+    fit = objects.where(F.octet_length("content") <= LARGEST).where(short | ~F.exists(split, lambda t: F.octet_length(t) > LONGEST_LINE))
     old = [c for c in ("old",) if c in objects.columns]
-    each = fit.select("key", "host", "source", *old, F.posexplode(split).alias("n", "raw"))
+    each = fit.select("key", "host", "source", *old, F.posexplode(split).alias("n", "raw")).where(F.col("raw").rlike(r"(?U)\S"))
     passed = F.coalesce("old.lines", F.lit(0).cast("long")) if old else F.lit(0)
-    own = each.select("key", "host", "source", *old, (F.col("n") + 1 + passed).cast("int").alias("line_no"), trim_space(F.col("raw")).alias("line")).where(F.col("line") != "")
+    own = each.select("key", "host", "source", *old, (F.col("n") + 1 + passed).cast("int").alias("line_no"), trim_space(F.col("raw")).alias("line"))
     return own.withColumn("then", F.lit(None).cast("long")).unionByName(fit.select("key", "host", "source", *old, F.inline("pending"))) if old else own
 
 
 def entries(rows: DataFrame) -> DataFrame:
     """Lines that hold a JSON object, as ``v`` with its ``type``."""
     more = [c for c in ("old", "line", "then") if "old" in rows.columns]
-    read = rows.select("key", "host", "source", "line_no", *more, F.try_parse_json("line").alias("v"))
-    return read.where(F.schema_of_variant("v").startswith("OBJECT")).withColumn("type", V.string(F.col("v"), "$.type"))
+    object = F.filter(F.array(F.try_parse_json("line")), lambda v: F.schema_of_variant(v).startswith("OBJECT"))  # a filter on ``v`` itself would parse each line twice
+    return rows.select("key", "host", "source", "line_no", *more, F.explode(object).alias("v")).withColumn("type", V.string(F.col("v"), "$.type"))
 
 
 def _stem() -> Column:
@@ -123,7 +124,8 @@ def _record(kind: Column | str, turn: Column, role: Column | str, text: Column,
 def _emit(rows: DataFrame, found: Column) -> DataFrame:
     """Explode the candidates ``found`` of each line; those without a text go."""
     keep = [c for c in ("key", "host", "source", "line_no", "session", "project", "header")]
-    r = rows.select(*keep, F.explode(F.filter(found, lambda r: r.isNotNull() & (r["text"] != ""))).alias("r")).where(~F.col("r.waits") | F.col("header").isNotNull())
+    made = rows.select(*keep, found.alias("found"))  # ahead of the generator, whose own expressions are interpreted
+    r = made.select(*keep, F.explode(F.filter("found", lambda r: r.isNotNull() & (r["text"] != ""))).alias("r")).where(~F.col("r.waits") | F.col("header").isNotNull())
     waits = F.col("r.waits")
     session = F.when(waits, F.col("header.session")).otherwise(F.col("session"))
     part = F.when(F.col("r.kind") == "message", F.col("r.turn")).otherwise(F.concat_ws("/", "r.kind", "r.turn"))
@@ -147,18 +149,20 @@ def parse_pi(rows: DataFrame) -> DataFrame:
     e, v = entries(rows), F.col("v")
     head, own, kind = F.col("type") == "session", V.string(v, "$.id"), F.col("type")
     e = _state(e, _latest(F.when(head, F.nullif(own, F.lit(""))), _old(e, "session", _stem())), _latest(F.when(head, project_from_cwd(V.string(v, "$.cwd"))), _old(e, "project", F.lit("unknown"))), head)
+    e = e.withColumns({"own": own, "role": V.string(v, "$.message.role")})  # used several times
+    own, role = F.col("own"), F.col("role")
     turn = F.when(own != "", own).otherwise(F.concat(F.lit("line-"), F.col("line_no").cast("string")))
     named, changed, sent = V.moment(v, "$.updatedAt", "$.timestamp"), V.moment(v, "$.timestamp"), V.moment(v, "$.timestamp", "$.message.timestamp")
-    role, tool, text, voice = V.string(v, "$.message.role"), V.string(v, "$.message.toolName"), V.spoken(v, "$.message.content"), V.spoken(v, "$.content")
+    tool, text, voice = V.string(v, "$.message.toolName"), V.spoken(v, "$.message.content"), V.spoken(v, "$.content")
     custom = V.string(v, "$.customType")
     record = (
         F.when(head, _record("title", F.concat(turn, F.lit("-session")), "system", V.title(v, "session"), named))
         .when(kind.isin("title", "title_change"), _record("title", turn, "system", V.title(v, kind), named, waits=F.col("project") == "unknown"))
         .when((kind == "custom") & (custom == "user_todo_edit"), _record("todo", turn, "user_todo_edit", V.todo(v, "user_todo_edit"), changed))
-        .when((kind == "custom_message") & (custom == "live-delegation") & indexable(F.lit("user"), voice), _record("message", turn, "user", voice, changed, name="user (voice)"))
+        .when((kind == "custom_message") & (custom == "live-delegation"), _record("message", turn, "user", indexed(F.lit("user"), voice), changed, name="user (voice)"))
         .when((kind == "message") & (role == "toolResult") & (tool == "todo"), _record("todo", turn, role, V.todo(v, "todo", "$.message"), sent))
         .when((kind == "message") & (role == "toolResult") & (tool == "task"), _record("task", turn, role, V.tool_result(v, "task", "$.message"), sent))
-        .when((kind == "message") & indexable(role, text), _record("message", turn, role, text, sent))
+        .when(kind == "message", _record("message", turn, role, indexed(role, text), sent))
     )
     return _emit(e, F.array(record)).drop("ref")
 
@@ -335,7 +339,7 @@ def restates() -> tuple[Column, Column]:
     """(whether a row is a user's message, whether it opens with a restating prompt)."""
     opens = F.lit(False)
     for p in RESTATING:
-        opens = opens | trim_space(F.col("text")).startswith(p)
+        opens = opens | F.regexp_replace("text", r"(?U)^\s+", "").startswith(p)
     return (F.col("kind") == "message") & (F.col("author_id") == "user"), opens
 
 

@@ -51,7 +51,7 @@ def units(objects: DataFrame, found: DataFrame) -> DataFrame:
     """The units of ``rows``, without those of objects that restate."""
     gone = restating(objects, found).where("skip").select("key")
     before = objects.where("containers IS NOT NULL").select("key", F.inline("containers"))
-    return U.units(found.join(gone, "key", "left_anti"), before)
+    return U.units(found.join(gone, "key", "left_anti"), before, list(GROWING))
 
 
 def state(objects: DataFrame, found: DataFrame) -> DataFrame:

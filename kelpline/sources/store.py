@@ -163,9 +163,12 @@ class Store:
         before = after or self.version(table)
         return self._commit(table, Version(before.n + 1 if before else 1, self._put(table, rows), (), key))
 
-    def upsert(self, table: str, rows: DataFrame, key: str = "id") -> int:
-        """Put ``rows`` in place of those with their keys; of rows that repeat a key one is kept. Only they are written, and once for each tier of deltas when ``MERGED`` of a tier are merged."""
-        name = self._put(table, rows.dropDuplicates([key]))
+    def upsert(self, table: str, rows: DataFrame, key: str = "id", distinct: bool = False) -> int:
+        """Put ``rows`` in place of those with their keys; of rows that repeat a key one is kept. Only they are written, and once for each tier of deltas when ``MERGED`` of a tier are merged.
+
+        ``distinct``: no key is repeated, so the rows are written where they lie.
+        """
+        name = self._put(table, rows if distinct else rows.dropDuplicates([key]))
         for _ in range(TRIES):
             v = self.version(table)
             new = Version(1, name, (), key) if v is None else Version(v.n + 1, v.base, (*v.deltas, name), key, (*v.counts, 1))
@@ -189,10 +192,10 @@ class Store:
         return gone
 
     def flush(self, messages: DataFrame, chunks: DataFrame, state: DataFrame) -> None:
-        """Chunks, then messages, then the deduplication state: a crash in between only repeats work."""
-        self.upsert("chunks", chunks)
-        self.upsert("messages", messages)
-        self.upsert("dedup", state, "dedup_key")
+        """Chunks, then messages, then the deduplication state, none of which may repeat a key: a crash in between only repeats work."""
+        self.upsert("chunks", chunks, distinct=True)
+        self.upsert("messages", messages, distinct=True)
+        self.upsert("dedup", state, "dedup_key", distinct=True)
 
     def optimize(self, table: str, files: int, *order: str) -> int:
         """Merge a table's deltas into its base, in ``files`` files that are ranges of ``order``, so that a scan for its first column skips most of them."""
